@@ -1,7 +1,7 @@
 """Operators for preparing training text; nothing else in the package imports this subpackage."""
 
-from . import simhash
+from . import decontam, simhash, warc
 
-MODULES = [simhash]
+MODULES = [warc, simhash, decontam]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
