@@ -1,7 +1,7 @@
 """Operators for preparing training text; nothing else in the package imports this subpackage."""
 
-from . import decontam, html_text, simhash, warc
+from . import decontam, html_text, simhash, toxicity, warc
 
-MODULES = [warc, html_text, simhash, decontam]
+MODULES = [warc, html_text, simhash, decontam, toxicity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
