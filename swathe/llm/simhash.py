@@ -88,7 +88,7 @@ class _Trie:
         return np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)])).astype(np.int32)
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 1 << 19, leaf: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 1 << 16, leaf: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs ``a[i]``, ``b[j]`` that differ in ``budget`` bits at most, in batches.
 
     ``a`` and ``b`` are sorted distinct uint64 arrays; ``b=None`` joins ``a`` with itself (i < j).
@@ -111,7 +111,7 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 1 <
             at, left, right, wide = sa[x[done]], sb[y[done]], na[done], nb[done]
             sizes = right.astype(np.int64) * wide
             ends = np.cumsum(sizes)
-            for lo, hi in _slices(ends, 1 << 21):
+            for lo, hi in _slices(ends, 1 << 17):
                 n = sizes[lo:hi]
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 w = np.repeat(wide[lo:hi], n)
@@ -214,23 +214,14 @@ def links(uniq: DataFrame, budget: int, most: int = 300_000) -> DataFrame:
                 if y != x:
                     groups[y].append((n, 1))
                 n += 1
-    rows = [(p, g, s) for p in counts for x in [_leaf_of(p, leaves)] for g, s in groups[x]] if n <= 4096 else None
-    if rows is None:  # many leaves: send each leaf's groups, not each prefix's
-        rows = [(x, g, s) for x, own in enumerate(groups) for g, s in own]
-        lookup = spark.createDataFrame([(p, _leaf_of(p, leaves)) for p in counts], "p int, leaf int")
-        keyed = uniq.join(F.broadcast(lookup), prefix == F.col("p")).select("fp", F.col("leaf").alias("p"))
-    else:
-        keyed = uniq.select("fp", prefix.alias("p"))
-    deal = F.broadcast(spark.createDataFrame(rows, "p int, grp int, side int"))
-    dealt = keyed.join(deal, "p").select("grp", "side", "fp")
+    at = {leaf: x for x, leaf in enumerate(leaves)}
+    lookup = spark.createDataFrame([(p, next(at[d, q] for d in range(PREFIX_BITS + 1) if (d, q := p >> (PREFIX_BITS - d)) in at)) for p in counts], "p int, leaf int")
+    deal = spark.createDataFrame([(x, [{"grp": g, "side": s} for g, s in own]) for x, own in enumerate(groups)], "leaf int, deal array<struct<grp:int,side:int>>")
+    leafed = uniq.join(F.broadcast(lookup), prefix == F.col("p")).join(F.broadcast(deal), "leaf")
+    dealt = leafed.select("fp", F.explode("deal").alias("to")).select("to.grp", "to.side", "fp")
     return dealt.groupBy("grp").applyInPandas(lambda pdf: _forest(pdf, budget), "u long, v long")
 
 
-def _leaf_of(p: int, leaves: list[tuple[int, int]]) -> int:
-    lo = {(d, x): i for i, (d, x) in enumerate(leaves)} if not isinstance(leaves, dict) else leaves
-    return next(lo[d, p >> (PREFIX_BITS - d)] for d in range(PREFIX_BITS + 1) if (d, p >> (PREFIX_BITS - d)) in lo)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u, v) reaches; by large-star and small-star steps."""
 
