@@ -1,7 +1,7 @@
 """Operators for preparing training text; nothing else in the package imports this subpackage."""
 
-from . import decontam, html_text, langid, secrets, simhash, toxicity, url_rules, warc
+from . import decontam, html_text, langid, pieces, secrets, simhash, toxicity, url_rules, warc
 
-MODULES = [warc, html_text, simhash, decontam, toxicity, langid, secrets, url_rules]
+MODULES = [warc, html_text, simhash, decontam, toxicity, langid, secrets, url_rules, pieces]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
