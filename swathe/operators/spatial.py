@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_mindist2, distance2
+from ..lineage import materialize
 
 Pred = Column
 
@@ -114,9 +115,10 @@ def nearest(probes: DataFrame, points: DataFrame, cell: float, itself: bool = Fa
     for ring in range(rings):
         r = cell * 2**ring
         hit = spatial_join(left, targets, r, residual=None if itself else other()).groupBy("id").agg(F.min(F.struct(d.alias("d2"), "t_id")).alias("m"))
-        sure = hit.filter((F.col("m.d2") < r * r) if ring < rings - 1 else F.lit(True)).select("id", F.col("m.t_id").alias("t_id"), F.col("m.d2").alias("d2")).persist()
+        sure = hit.filter((F.col("m.d2") < r * r) if ring < rings - 1 else F.lit(True)).select("id", F.col("m.t_id").alias("t_id"), F.col("m.d2").alias("d2"))
+        sure = materialize(sure)
         out = sure if out is None else out.union(sure)
-        left = left.join(sure.select("id"), "id", "left_anti").persist()
+        left = materialize(left.join(sure.select("id"), "id", "left_anti"))
         if left.isEmpty():
             break
     return out
