@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from ..lineage import materialize, shared_dir, small
+
+__all__ = ["hex16", "materialize", "row_hash", "shared_dir", "small", "table", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,48 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset, as in tests.
-
-    It is removed when the driver ends.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="swathe-"))
-        base = f"file://{_OWN_DIR[0]}"
-    path = f"{base.rstrip('/')}/swathe-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may have gone before; the folder is only left behind
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts its lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``most_rows`` rows at most, else as it is (a shuffle join follows).
-
-    ``df`` should be materialized: its rows are counted here.
-    """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def row_hash(*columns: str) -> Column:
     """A 64-bit key of a row's named columns."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
