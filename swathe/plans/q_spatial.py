@@ -72,7 +72,12 @@ INNER = "AND NOT (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < CAST(0.
 SPHERE = f"AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < CAST({R3} AS DOUBLE) * CAST({R3} AS DOUBLE)"
 PAIRS = " SELECT id, t_id FROM nb"
 _COUNT = " SELECT p.id, count(nb.t_id) AS n FROM p LEFT JOIN nb ON nb.id = p.id GROUP BY p.id"
-_OTHER_GROUP = F.col("g_id") != F.col("t_g_id")
+
+
+def _other_group():
+    return F.col("g_id") != F.col("t_g_id")
+
+
 
 QUERIES = {
     "inside_box": lambda s, d: points(s, d).filter(c.inside_box(F.col("x"), F.col("y"), 40.0, 40.0, 7.5)).select("id"),
@@ -84,16 +89,16 @@ QUERIES = {
     "neighbors_rect2d": lambda s, d: sj.neighbours(points(s, d), 0.4, 0.15),
     "neighbors_box3d": lambda s, d: sj.neighbours(points3(s, d), R3, residual=sj.within_z(R3)),
     "neighbors_sphere": lambda s, d: sj.neighbours(points3(s, d), R3, residual=sj.within_sphere(R3)),
-    "neighbors_diff_group": lambda s, d: sj.neighbours(points(s, d), R, residual=_OTHER_GROUP),
-    "neighbors_lower_z": lambda s, d: sj.neighbours(points(s, d), R, residual=_OTHER_GROUP & (F.col("t_z") < F.col("z"))),
-    "neighbors3d_no_group": lambda s, d: sj.neighbours(points3(s, d), R3, residual=sj.within_z(R3) & _OTHER_GROUP),
+    "neighbors_diff_group": lambda s, d: sj.neighbours(points(s, d), R, residual=_other_group()),
+    "neighbors_lower_z": lambda s, d: sj.neighbours(points(s, d), R, residual=_other_group() & (F.col("t_z") < F.col("z"))),
+    "neighbors3d_no_group": lambda s, d: sj.neighbours(points3(s, d), R3, residual=sj.within_z(R3) & _other_group()),
     "neighbors_circle": lambda s, d: sj.neighbours(points(s, d), R, residual=sj.within_circle(R)),
     "neighbors_donut": lambda s, d: sj.neighbours(points(s, d), R, residual=sj.within_ring(0.1, R)),
     "neighbors_with_leaf": _with_leaf,
     "neighbors_renumbered": lambda s, d: sj.renumbered(sj.neighbours(points(s, d), R)),
     "neighbor_counts": lambda s, d: sj.counts(points(s, d), R),
     "neighbor_counts_3d": lambda s, d: sj.counts(points3(s, d), R3, residual=sj.within_z(R3)),
-    "neighbor_counts_diff_group": lambda s, d: sj.counts(points(s, d), R, residual=_OTHER_GROUP),
+    "neighbor_counts_diff_group": lambda s, d: sj.counts(points(s, d), R, residual=_other_group()),
     "leaf_neighbors": lambda s, d: sj.box_join(_leaf_boxes(s, d), _leaf_boxes(s, d), 4.0),
     "bvh_overlaps": lambda s, d: sj.box_join(_chunk_boxes(s, d), _chunk_boxes(s, d), 4.0, most=8),
     "point_group": lambda s, d: sj.group_of(points(s, d).withColumn("x", F.col("x") + 0.005), points(s, d), 0.25),

@@ -52,10 +52,13 @@ def speedups(s):
     return bt.speedup_vs_baseline(runs(s), "baseline", "opt", "cloud", "total").join(runs(s).select("opt", "cloud", "ord"), ["opt", "cloud"])
 
 
-x, y, z = F.col("x"), F.col("y"), F.col("z")
+def xyz():
+    """Columns; made when a query is, as they need a session."""
+    return F.col("x"), F.col("y"), F.col("z")
 
 
 def _lines(s, d):
+    x, y, z = xyz()
     ix, iy = c.line_intersection((0.0, 0.0, x, y), (0.0, 40.0, y, x + 1))
     nx, ny = c.nearest_on_line(x, y, 10.0, 5.0, 70.0, 60.0)
     mx, my = c.midpoint(x, y, 43.0, 43.0)
@@ -67,6 +70,7 @@ def _lines(s, d):
 
 
 def _vectors(s, d):
+    x, y, z = xyz()
     a, b = (x, y, z), (1.0, 2.0, 2.0)
     u, v, w = c.cross(a, b)
     n1, n2, n3 = c.normalized(a)
@@ -77,6 +81,7 @@ def _vectors(s, d):
 
 
 def _tests(s, d):
+    x, y, z = xyz()
     cols = dict(r2=c.round2(x / 7), onrange=c.on_range(x, 10, 20), onint=c.on_intensity(z, x, 0.2), diff=c.differs_in_range(x, y, 0.1), deg=c.on_degree(x * 10, y * 10, 5.0), inside=c.in_polygon(x, y, RING), turn=F.round(c.ccw(10.0, 5.0, 70.0, 60.0, x, y), 4))
     return points(s, d).select("id", *[v.alias(n) for n, v in cols.items()])
 
@@ -135,7 +140,7 @@ QUERIES = {
     "plane_fit": _plane,
     "eigenvalues": _eigen,
     "bounding_cube": lambda s, d: points(s, d).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("z") - F.min("z")).alias("width")),
-    "discretize_segments": lambda s, d: r6(geo.discretized(points(s, d).select("id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), x.alias("x1"), y.alias("y1")), 10.0), 4),
+    "discretize_segments": lambda s, d: r6(geo.discretized(points(s, d).select("id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")), 10.0), 4),
     "convex_hull": lambda s, d: geo.convex_hull(points(s, d), "g_id").select("g_id", F.size("hull").alias("corners"), F.round(c.shoelace2(F.col("hull")) / 2, 4).alias("area")),
     "eigen_normals": lambda s, d: r6(geo.eigen_normals(points3(s, d), 0.5), 4),
     "linear_solve": lambda s, d: r6(geo.solved(points3(s, d)), 4),
