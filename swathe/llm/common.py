@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import materialize, shared_dir, small
 
-__all__ = ["hex16", "materialize", "row_hash", "shared_dir", "small", "table", "union_all"]
+__all__ = ["hex16", "materialize", "row_hash", "shared_dir", "small", "small_batches", "table", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lowers the session's Arrow batch size: texts can be long, and a batch stands in memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def row_hash(*columns: str) -> Column:
     """A 64-bit key of a row's named columns."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])

@@ -138,5 +138,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    # RE2 has no look-behind; runs are matched from their first sign on all the same
+    patterns = [ASSIGN, ACCESS, HEX, BARE[BARE.index(")") + 1 :]]
+    split = lambda p: f"string_split_regex(regexp_replace(t, {quote(f'({p})')}, '{OPEN}\\1{SHUT}', 'g'), '[{OPEN}{SHUT}]')"
+    kinds = " UNION ALL ".join(f"SELECT uid, owner, repo, {k} AS kind, {split(p)} AS parts FROM d" for k, p in enumerate(patterns))
+    name = "['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || start || ':' || stop"
+    return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS owner, replace(replace(coalesce(text, ''), '{OPEN}', '{OTHER}'), '{SHUT}', '{OTHER}') AS t, 0 AS repo FROM documents),
+m AS (SELECT *, list_transform(parts, lambda x: length(x)) AS lens FROM ({kinds}) WHERE len(parts) > 1),
+i AS (SELECT *, unnest(range(1, len(parts) // 2 + 1)) AS i FROM m),
+s AS (SELECT uid, owner, kind, CAST(list_sum(lens[1 : 2 * i - 1]) AS BIGINT) AS start, CAST(list_sum(lens[1 : 2 * i]) AS BIGINT) AS stop, parts[2 * i] AS found FROM i),
+v AS (SELECT uid, owner, kind, start, stop, CASE WHEN kind = 0 THEN regexp_extract(found, {quote(f'^(?:{ASSIGN})')}, 1) ELSE found END AS value FROM s),
+b AS (SELECT * FROM v WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= 12),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM v WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+ AND NOT EXISTS (SELECT 1 FROM b WHERE b.uid = v.uid AND v.start < b.stop AND b.start < v.stop)),
+h AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
+f AS (SELECT c.*, owners FROM c JOIN h ON h.value = c.value WHERE kind < 3 OR owners = 1),
+g AS (SELECT uid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+ string_agg({name}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({name}, ',' ORDER BY start, kind) AS spans,
+ count(*) FILTER (owners < {COPIED_OWNERS}) AS n_live, count(*) FILTER (owners >= {COPIED_OWNERS}) AS n_copied, count(*) FILTER (kind = 3) AS n_added FROM f GROUP BY uid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+ coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_added, 0) AS n_added FROM d LEFT JOIN g ON g.uid = d.uid"""
+
+
 QUERIES = {"op6_secrets": op6_secrets}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_secrets": _sql()}
