@@ -107,33 +107,32 @@ def point_windows(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame
 
 
 def window_stats(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True) -> DataFrame:
-    """i, j, n and the lowest point (z, id) of every window with points.
+    """i, j, n and the lowest point (z, id, x, y) of every window with points; its coordinates come along, so no later step joins the cloud.
 
     ``tiled``: points held by the same windows are first reduced to one tile, so tiles are exploded and shuffled, not points.
     """
     if tiled:
-        tiles = with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), F.min(F.struct("z", "id")).alias("m"))
+        tiles = with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), F.min(F.struct("z", "id", "x", "y")).alias("m"))
         each = _explode(tiles, "n", "m")
     else:
-        each = point_windows(points, params, s).select("i", "j", F.lit(1).cast("long").alias("n"), F.struct("z", "id").alias("m"))
+        each = _explode(with_spans(points, params, s), "id", "x", "y", "z").select("i", "j", F.lit(1).cast("long").alias("n"), F.struct("z", "id", "x", "y").alias("m"))
     got = each.groupBy("i", "j").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    return got.select("i", "j", "n", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    return got.select("i", "j", "n", *[F.col(f"m.{c}").alias(c) for c in ("z", "id", "x", "y")])
 
 
 def stage1(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True) -> DataFrame:
     """The lowest point of each window that holds enough points; an id for each window."""
-    return window_stats(points, params, s, tiled).crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum").select("i", "j", "n", "z", "id")
+    return window_stats(points, params, s, tiled).crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum").drop("minnum")
 
 
 def votes(minima: DataFrame, least: int = 2) -> DataFrame:
-    """id and in how many windows it is lowest, ``least`` at least."""
-    return minima.groupBy("id").agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
+    """id, x, y, z and in how many windows it is lowest, ``least`` at least."""
+    return minima.groupBy("id").agg(F.count("*").alias("votes"), *[F.first(c).alias(c) for c in "xyz"]).filter(F.col("votes") >= least)
 
 
 def local_lowest(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True) -> DataFrame:
-    """Ids that stage 2 keeps: chosen by more than one window, or by any if windows do not overlap."""
-    minima = stage1(points, params, s, tiled)
-    return votes(minima, 2 if s.o > 0 else 1).select("id") if s.o > 0 else minima.select("id").distinct()
+    """id, x, y, z of the points that stage 2 keeps: chosen by more than one window, or by any if windows do not overlap."""
+    return votes(stage1(points, params, s, tiled), 2 if s.o > 0 else 1).select("id", "x", "y", "z")
 
 
 def with_cells(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
@@ -149,19 +148,18 @@ def with_cells(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
     return got.filter("ci >= 0 AND cj >= 0 AND ci < gcols AND cj < grows").drop("gcols", "grows")
 
 
-def empty_cells(points: DataFrame, lowest: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """Grid cells without a point of ``lowest`` (ids); cells without any point are among them."""
-    own = with_cells(points.select("id", "x", "y").join(lowest, "id", "left_semi"), params, s).select("ci", "cj").distinct()
+def empty_cells(lowest: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
+    """Grid cells without a point of ``lowest`` (id, x, y); cells without any point are among them."""
+    own = with_cells(lowest.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
     grid = params.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("gcols") - 1)).alias("ci"), "grows").select("ci", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grows") - 1)).alias("cj"))
     return grid.join(own, ["ci", "cj"], "left_anti")
 
 
 def fill(points: DataFrame, lowest: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """The lowest point (ci, cj, z, id) of each cell that has points, but none of ``lowest``; one pass over the points."""
-    cells = with_cells(points.select("id", "x", "y", "z"), params, s)
-    best = cells.groupBy("ci", "cj").agg(F.min(F.struct("z", "id")).alias("m"))
-    own = cells.join(lowest, "id", "left_semi").select("ci", "cj").distinct()
-    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    """The lowest point (ci, cj, z, id, x, y) of each cell that has points, but none of ``lowest`` (id, x, y); one pass over the points."""
+    best = with_cells(points.select("id", "x", "y", "z"), params, s).groupBy("ci", "cj").agg(F.min(F.struct("z", "id", "x", "y")).alias("m"))
+    own = with_cells(lowest.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
+    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", *[F.col(f"m.{c}").alias(c) for c in ("z", "id", "x", "y")])
 
 
 def low_outliers_removed(points: DataFrame, params: DataFrame, size: float = 20.0, factor: float = 0.8) -> DataFrame:

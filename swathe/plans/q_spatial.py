@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import index as ix
 from ..operators import spatial as sj
-from ..operators import windows as w
 from ..sources.cloud import POINTS3_SQL, POINTS_SQL, holed, points, points3
 
 R, R3, CHUNK = 0.25, 0.1, 64
@@ -43,11 +42,6 @@ def _corner(spark, d):
     return b.select("id", c.box_overlap(box, BOX).alias("overlaps"), c.box_within(box, BOX).alias("within"), c.box_within(BOX, box).alias("covers"))
 
 
-def _seeds(spark, d, s):
-    p = points(spark, d)
-    return p.select("id", "x", "y", "z").join(w.local_lowest(p, w.parameters(p, s), s), "id", "left_semi")
-
-
 P = f"WITH p AS ({POINTS_SQL})"
 E3 = "WITH p AS (" + POINTS3_SQL.format(a=1, b=2, c=3) + ")"
 

@@ -71,7 +71,7 @@ def _raster_minima(p, prm, s):
 
 
 def _gold(p, prm, s):
-    lowest = lambda t: p.select("id", "x", "y", "z").join(w.local_lowest(p, w.parameters(p, t), t), "id", "left_semi")
+    lowest = lambda t: w.local_lowest(p, w.parameters(p, t), t)
     return w.gold_matches(lowest(s), lowest(w.Setting(w=8)), s)
 
 
@@ -82,7 +82,7 @@ def _gold_ratio(p, prm, s):
 
 
 def _gold_pairs(p, prm, s):
-    lowest = lambda t: p.select("id", "x", "y", "z").join(w.local_lowest(p, w.parameters(p, t), t), "id", "left_semi")
+    lowest = lambda t: w.local_lowest(p, w.parameters(p, t), t)
     return w.gold_pairs(lowest(s), lowest(w.Setting(w=8)), s)
 
 
@@ -96,16 +96,16 @@ QUERIES = {
     "owm_params": _with(S, lambda p, prm, s: prm.select("n", "minx", "maxx", "miny", "maxy", "width", "height", F.round("density", 6).alias("density"), "minnum", "ncols", "nrows", "gcols", "grows")),
     "owm_windows": _with(S, lambda p, prm, s: w.windows(prm, s).select("i", "j", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))),
     "owm_point_windows": _with(S, lambda p, prm, s: w.point_windows(p, prm, s)),
-    "owm_window_stats": _with(S, lambda p, prm, s: w.window_stats(p, prm, s, tiled=False)),
-    "owm_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s, tiled=False)),
-    "owm_tiled_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s)),
-    "owm_stage1_gpu_box": _with(w.Setting(exact=True), lambda p, prm, s: w.stage1(p, prm, s)),
-    "owm_stage2": _with(S, lambda p, prm, s: w.local_lowest(p, prm, s)),
-    "owm_llp_votes": _with(S, lambda p, prm, s: w.votes(w.stage1(p, prm, s), 1)),
+    "owm_window_stats": _with(S, lambda p, prm, s: w.window_stats(p, prm, s, tiled=False).drop("x", "y")),
+    "owm_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s, tiled=False).drop("x", "y")),
+    "owm_tiled_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
+    "owm_stage1_gpu_box": _with(w.Setting(exact=True), lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
+    "owm_stage2": _with(S, lambda p, prm, s: w.local_lowest(p, prm, s).select("id")),
+    "owm_llp_votes": _with(S, lambda p, prm, s: w.votes(w.stage1(p, prm, s), 1).select("id", "votes")),
     "owm_grid_cells": _with(S4, lambda p, prm, s: w.with_cells(p.select("id", "x", "y"), prm, s).select("id", "ci", "cj")),
-    "owm_empty_cells": _with(S4, lambda p, prm, s: w.empty_cells(p, w.local_lowest(p, prm, s), prm, s)),
-    "owm_stage3": _with(S4, lambda p, prm, s: w.fill(p, w.local_lowest(p, prm, s), prm, s)),
-    "owm_stage3_holed": _with(S4, lambda p, prm, s: w.fill(p, w.local_lowest(p, prm, s), prm, s), hole=True),
+    "owm_empty_cells": _with(S4, lambda p, prm, s: w.empty_cells(w.local_lowest(p, prm, s), prm, s)),
+    "owm_stage3": _with(S4, lambda p, prm, s: w.fill(p, w.local_lowest(p, prm, s), prm, s).drop("x", "y")),
+    "owm_stage3_holed": _with(S4, lambda p, prm, s: w.fill(p, w.local_lowest(p, prm, s), prm, s).drop("x", "y"), hole=True),
     "owm_seed_points": lambda spark, d: seed_points(points(spark, d), S4),
     "owm_seed_points_default": lambda spark, d: seed_points(points(spark, d), S),
     "owm_no_overlap": lambda spark, d: seed_points(points(spark, d), NO_OVERLAP),

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import materialize
 from ..operators import windows as w
 
 
 def seed_points(points: DataFrame, setting: w.Setting | None = None, head: DataFrame | None = None, tiled: bool = True) -> DataFrame:
     """id, x, y, z and ``source`` (``window`` or ``grid``) of the seed points.
 
-    The cloud is read for the header, the windows, the grid and the coordinates; a caller that has the header gives it.
+    The cloud is read for the header, the windows and the grid, once each, and is never joined; a caller that has the header gives it.
     """
     s = setting or w.Setting()
-    params = w.parameters(points, s, head)
-    lowest = w.local_lowest(points, params, s, tiled)
-    chosen = lowest.select("id", F.lit("window").alias("source"))
+    # both are small, and each is used more than once: settled, so that the cloud is not read again for them
+    params = materialize(w.parameters(points, s, head))
+    lowest = materialize(w.local_lowest(points, params, s, tiled))
+    chosen = lowest.select("id", "x", "y", "z", F.lit("window").alias("source"))
     if s.b:
-        chosen = chosen.union(w.fill(points, lowest, params, s).select("id", F.lit("grid").alias("source")))
-    return points.select("id", "x", "y", "z").join(chosen, "id")
+        chosen = chosen.union(w.fill(points, lowest, params, s).select("id", "x", "y", "z", F.lit("grid").alias("source")))
+    return chosen
 
 
 def summary(points: DataFrame, setting: w.Setting | None = None) -> DataFrame:
