@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: name part, points and box of known clouds; fixed values
+#: part of the file's name, number of points, minx, maxx, miny, maxy of clouds without a header record; fixed values
 CATALOG = [
-    ("Alcoy_mini", 2772832, 715244.96, 716057.75, 4286623.63, 4287447.70),
-    ("sample24", 7492, 0.0, 121.85, 0.0, 72.44),
+    ("INAER_2011_Alcoy.xyz", 2772832, 715244.96, 716057.75, 4286623.63, 4287447.70),
+    ("INAER_2011_Alcoy_Core.xyz", 20380212, 714947.98, 716361.06, 4286501.93, 4288406.23),
+    ("BABCOCK_2017_Arzua_3B.xyz", 40706503, 568000.00, 568999.99, 4752320.00, 4753319.99),
+    ("V21_group1_densified_point_cloud.xyz", 42384876, 526964.093, 527664.647, 4742610.292, 4743115.738),
+    ("V19_group1_densified_point_cloud.xyz", 48024480, 526955.908, 527686.445, 4742586.025, 4743124.373),
+    ("sample24.xyz", 7492, 513748.12, 513869.97, 5403124.76, 5403197.20),
 ]
 
 
