@@ -141,6 +141,18 @@ def moved(x: Num, y: Num, dx: Num, dy: Num, length: Num) -> tuple[Column, Column
     return num(x) + num(dx) / size * num(length), num(y) + num(dy) / size * num(length)
 
 
+def polar_pair(cx: Num, cy: Num, distance: Num, angle: float, side: float = 1.0) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """The points ``side`` to the left and to the right of the end of a ray."""
+    c, s = math.cos(angle), math.sin(angle)
+    x, y = num(cx) + num(distance) * c, num(cy) + num(distance) * s
+    return (x - side * s, y + side * c), (x + side * s, y - side * c)
+
+
+def segment_ends(cx: Num, cy: Num, dx: Num, dy: Num, half: Num) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """The ends of a segment about its centre, ``half`` each way along a direction."""
+    return moved(cx, cy, dx, dy, half), moved(cx, cy, -num(dx), -num(dy), half)
+
+
 # --- vectors
 
 
@@ -235,6 +247,23 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return odd
 
 
+def in_hull(x: Column, y: Column, ring: list[tuple[float, float]], turn: int = 1) -> Column:
+    """Whether a point is on no outer side of the edges of a literal hull; ``turn`` -1 for a clockwise one. The closing edge is not tested."""
+    out = F.lit(True)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+        out = out & (ccw(ax, ay, bx, by, x, y) * turn >= 0)
+    return out
+
+
+def plane_patch(p: tuple, q: tuple, normal: tuple, half: float = 7.5) -> list[tuple[Column, Column, Column]]:
+    """Four corners, ``half`` each way, about p in the plane that holds the horizontal direction from p to q and is square to ``normal``."""
+    dx, dy = num(q[0]) - num(p[0]), num(q[1]) - num(p[1])
+    size = F.sqrt(dx * dx + dy * dy)
+    tan = (dx / size, dy / size, (num(q[2]) - num(p[2])) / size)
+    side = cross(tan, normal)
+    return [tuple(num(c) + (u * a + v * b) * half for c, u, v in zip(p, tan, side, strict=True)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+
 # --- planes and symmetric matrices
 
 

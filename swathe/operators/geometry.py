@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial as sj
+from . import stats as st
 
 
 def discretized(segments: DataFrame, step: float) -> DataFrame:
@@ -93,3 +94,17 @@ def solved(points: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": p.id, "u": s[:, 0], "v": s[:, 1], "w": s[:, 2]})
 
     return points.select("id", "x", "y", "z").mapInPandas(run, "id long, u double, v double, w double")
+
+
+def fitted_curve(points: DataFrame, key: str, step: float = 0.5, least: float = 10.0) -> DataFrame:
+    """(key, i, x, y, z): points each ``step`` along the parabola fitted to a group's y over x, at the group's mean z.
+
+    The curve spans the group's extent in x; a shorter one than ``least`` is laid about the mean of x.
+    """
+    fit = st.parabola_fit(points, "x", "y", key)
+    g = points.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mx"), F.avg("z").alias("z"))
+    n = F.floor((F.col("hi") - F.col("lo")) / step)
+    short = n * step < least
+    g = g.withColumn("start", F.when(short, F.col("mx") - least / 2).otherwise(F.col("lo"))).withColumn("n", F.when(short, F.lit(int(least / step))).otherwise(n).cast("long"))
+    e = g.join(fit, key).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("x", F.col("start") + step * F.col("i"))
+    return e.select(key, "i", "x", (F.col("a") * F.col("x") * F.col("x") + F.col("b") * F.col("x") + F.col("c")).alias("y"), "z")

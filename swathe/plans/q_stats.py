@@ -108,6 +108,22 @@ def _eigen(s, d):
     return r6(g.select("g_id", (e[0] + e[1] + e[2]).alias("trace"), (e[0] * e[0] + e[1] * e[1] + e[2] * e[2]).alias("norm2"), (e[0] * e[1] * e[2]).alias("det")), 6)
 
 
+def _polar(s, d):
+    x, y, z = xyz()
+    (ax, ay), (bx, by) = c.polar_pair(x, y, z, 0.5)
+    (sx, sy), (tx, ty) = c.segment_ends(x, y, 3.0, 4.0, 2.5)
+    cols = dict(ax=ax, ay=ay, bx=bx, qy=by, sx=sx, sy=sy, tx=tx, ty=ty)
+    return r6(points(s, d).select("id", *[v.alias(n) for n, v in cols.items()]), 4)
+
+
+def _patch(s, d):
+    x, y, z = xyz()
+    corners = c.plane_patch((x, y, z), (x + 3, y + 4, z + 1), (0.0, 0.0, 1.0))
+    return r6(points(s, d).select("id", *[v.alias(f"{a}{i}") for i, k in enumerate(corners) for a, v in zip("xyz", k, strict=True)]), 4)
+
+
+HULL = [(10.0, 10.0), (60.0, 5.0), (70.0, 50.0), (35.0, 70.0)]
+
 QUERIES = {
     "argmin_z": lambda s, d: st.lowest(points(s, d)),
     "intensity_range": lambda s, d: points(s, d).agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi")),
@@ -141,6 +157,10 @@ QUERIES = {
     "eigenvalues": _eigen,
     "bounding_cube": lambda s, d: points(s, d).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("z") - F.min("z")).alias("width")),
     "discretize_segments": lambda s, d: r6(geo.discretized(points(s, d).select("id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")), 10.0), 4),
+    "curve_points": lambda s, d: r6(geo.fitted_curve(points(s, d), "g_id"), 4),
+    "polar_points": _polar,
+    "plane_patch": _patch,
+    "in_hull": lambda s, d: points(s, d).filter(c.in_hull(F.col("x"), F.col("y"), HULL)).select("id"),
     "convex_hull": lambda s, d: geo.convex_hull(points(s, d), "g_id").select("g_id", F.size("hull").alias("corners"), F.round(c.shoelace2(F.col("hull")) / 2, 4).alias("area")),
     "eigen_normals": lambda s, d: r6(geo.eigen_normals(points3(s, d), 0.5), 4),
     "linear_solve": lambda s, d: r6(geo.solved(points3(s, d)), 4),
@@ -213,5 +233,9 @@ ORACLES = {
     "eigenvalues": f"{_COV} SELECT g_id, {_r('xx + yy + zz', 'trace')}, {_r('xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)', 'norm2')}, {_r('xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)', 'det')} FROM q",
     "bounding_cube": P + " SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS width FROM p",
     "discretize_segments": f"{P}, k AS (SELECT id, x, y, sqrt(x * x + y * y) AS len FROM p), s AS (SELECT *, unnest(range(1, CAST(floor(len / 10) AS BIGINT) + 1)) AS step FROM k) SELECT id, step, {_r('x / len * step * 10', 'x', 4)}, {_r('y / len * step * 10', 'y', 4)} FROM s",
+    "curve_points": f"{P}, f AS (SELECT g_id, avg(x) AS m1, avg(x * x) AS m2, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x * x, x) AS xu, covar_pop(x * x, x * x) AS uu, covar_pop(x, y) AS xt, covar_pop(x * x, y) AS ut, min(x) AS lo, max(x) AS hi, avg(z) AS z FROM p GROUP BY g_id), k AS (SELECT *, (ut * xx - xt * xu) / (uu * xx - xu * xu) AS a, (xt * uu - ut * xu) / (uu * xx - xu * xu) AS b FROM f), h AS (SELECT *, my - b * m1 - a * m2 AS c, floor((hi - lo) / CAST(0.5 AS DOUBLE)) * CAST(0.5 AS DOUBLE) < 10 AS short FROM k), e AS (SELECT *, unnest(range(0, CASE WHEN short THEN 20 ELSE CAST(floor((hi - lo) / CAST(0.5 AS DOUBLE)) AS BIGINT) END)) AS i FROM h), w AS (SELECT *, CASE WHEN short THEN m1 - 5 ELSE lo END + CAST(0.5 AS DOUBLE) * i AS x FROM e) SELECT g_id, i, {_r('x', 'x', 4)}, {_r('a * x * x + b * x + c', 'y', 4)}, {_r('z', 'z', 4)} FROM w",
+    "polar_points": f"{P} SELECT id, " + ", ".join(_r(e, n, 4) for n, e in {"ax": f"x + z * CAST({_C!r} AS DOUBLE) - CAST({_S!r} AS DOUBLE)", "ay": f"y + z * CAST({_S!r} AS DOUBLE) + CAST({_C!r} AS DOUBLE)", "bx": f"x + z * CAST({_C!r} AS DOUBLE) + CAST({_S!r} AS DOUBLE)", "qy": f"y + z * CAST({_S!r} AS DOUBLE) - CAST({_C!r} AS DOUBLE)", "sx": "x + CAST(1.5 AS DOUBLE)", "sy": "y + CAST(2 AS DOUBLE)", "tx": "x - CAST(1.5 AS DOUBLE)", "ty": "y - CAST(2 AS DOUBLE)"}.items()) + " FROM p",
+    "plane_patch": f"{P} SELECT id, " + ", ".join(_r(f"{v} + (CAST({t} AS DOUBLE) * {a} + CAST({u} AS DOUBLE) * {b}) * CAST(7.5 AS DOUBLE)", f"{v}{i}", 4) for i, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))) for v, t, u in (("x", 0.6, 0.8), ("y", 0.8, -0.6), ("z", 0.2, 0.0))) + " FROM p",
+    "in_hull": f"{P} SELECT id FROM p WHERE " + " AND ".join(f"({b[0] - a[0]}) * (y - {a[1]}) - ({b[1] - a[1]}) * (x - {a[0]}) >= 0" for a, b in zip(HULL, HULL[1:], strict=False)),
     "shuffle_arrays": P + " SELECT g_id, count(*) AS n FROM p GROUP BY g_id",
 }
