@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_hash, small, table
+from .common import row_hash, small, small_batches, table
 
 Q, RATE = 10, 0.06
 BLOCK_CHARS = 20_000_000
@@ -186,6 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the documents for each block, so what is broadcast is bounded at any size of the benchmark.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     ahead = F.sum(F.length("text")).over(_by_item())
     sized = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").withColumn("block", (ahead / block_chars).cast("int"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, small, small_batches, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -264,7 +264,7 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
-    kind = pages.select(F.col(id_col)).schema[0].dataType.simpleString()
+    small_batches(pages.sparkSession)
     templates = materialize(site_templates(pages, url_col, html_col))
     host = F.translate(F.regexp_extract(F.col("url"), r"^[\s\S]*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)

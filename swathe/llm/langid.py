@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, small, table
+from .common import materialize, row_hash, small, small_batches, table
 
 SAMPLE_ROWS = 4000
 BINS = 1 << 16
@@ -42,7 +42,9 @@ def trigrams(text: str) -> np.ndarray:
 def fit(docs: DataFrame, text: Column, declared: Column, order: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and a (bins, languages) table of log probabilities, from ``sample_rows`` rows at most (least hash first)."""
     known = docs.select(text.alias("text"), declared.alias("lang"), F.xxhash64(order.cast("string"), text).alias("h")).filter("lang is not null and lang <> '' and text is not null")
-    rows = known.orderBy("h").limit(sample_rows).toPandas()
+    # the bound comes from the hashes alone, so only the sample's texts are sent
+    last = known.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    rows = known.filter(F.col("h") <= F.lit(0 if last is None else last)).limit(2 * sample_rows).toPandas()
     langs = sorted(rows.lang.unique())
     counts = np.full((BINS, max(1, len(langs))), 0.1)
     for i, lang in enumerate(langs):
@@ -54,6 +56,7 @@ def fit(docs: DataFrame, text: Column, declared: Column, order: Column, sample_r
 def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: dict[str, Column], key: Column) -> DataFrame:
     """One slim row per row of ``docs``: key, id, declared, host, suffix, tempered log likelihoods, number of letter trigrams."""
     langs, logs = model
+    small_batches(docs.sparkSession)
     base = docs.select(key.alias("key"), columns["id"].alias("id"), columns["declared"].alias("declared"), columns["host"].alias("host"), columns["text"].alias("text"))
     base = base.withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
     shared = docs.sparkSession.sparkContext.broadcast(logs)

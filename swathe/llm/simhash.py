@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex16, materialize, small, table
+from .common import hex16, materialize, small, small_batches, table
 
 PREFIX_BITS = 16
 
@@ -255,6 +255,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, keep: list[Column] | None = None) -> DataFrame:
     """Per row of ``docs``: its id, ``fp`` (long), ``component`` (the smallest id reachable), ``root`` (a fingerprint that names the component) and the ``keep`` columns."""
+    small_batches(docs.sparkSession)
     sig = materialize(docs.select(F.col(id_col).alias("id"), with_fingerprint(docs, text_col, width).alias("fp"), *(keep or [])))
     uniq = materialize(sig.groupBy("fp").agg(F.min("id").alias("least")))
     comp = components(links(uniq, budget))

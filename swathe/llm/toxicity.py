@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SAMPLE_ROWS = 6000
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9'][^\W\d_]+)*")
@@ -266,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, model: tuple[dict[str, float], dict[str, int], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, matches) of every row."""
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
