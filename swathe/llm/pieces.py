@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -72,6 +73,10 @@ class Segmenter:
         self.prefixes = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
         self.names = {i: p.encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.raw)}
         self.skip = frozenset(vocab["skip"])
+        # line breaks and tabs that no piece holds: no piece crosses them
+        letters = set().union(*self.pieces) if self.pieces else set()
+        apart = "".join(c for c in "\n\r\t" if c not in letters)
+        self.apart = re.compile(f"([{apart}])") if apart else None
         self.memo: dict[str, tuple[bytes, float, float]] = {}
         self.more: dict[str, list[Path]] = {}
         self._index()
@@ -138,67 +143,69 @@ class Segmenter:
         self.memo[word] = paths[0][1], paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
 
     def _batch(self, words: list[str], size: int) -> None:
-        n, rows = len(words), np.arange(len(words))
-        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
-        row, col = (x.ravel() for x in np.indices((n, size)))
-        h = np.zeros(n * size, np.uint64)
-        score, piece = {}, {}
+        """Words of one size; arrays are by place, then word, so that each step works on rows."""
+        n = len(words)
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        flat = np.arange(n * size)  # place * n + word
+        h, letters = np.zeros(n * size, np.uint64), c.ravel()
+        # (length, start) of the edges that any word has, with their scores and ids
+        score: dict[tuple[int, int], np.ndarray] = {}
+        piece: dict[tuple[int, int], np.ndarray] = {}
         odd = np.zeros(n, bool)
         for k in range(1, min(self.longest, size) + 1):
-            h = h * np.uint64(BASE) + c[row, col + k - 1]
+            h = h * np.uint64(BASE) + letters[flat + (k - 1) * n]
             e = self._find(h)
-            s, i = np.full((n, size), -np.inf), np.full((n, size), -1, np.int64)
-            s[row, col], i[row, col] = self.entry_score[e], self.entry_id[e]
+            s, i = np.full(n * size, -np.inf), np.full(n * size, -1, np.int32)
+            s[flat], i[flat] = self.entry_score[e], self.entry_id[e]
+            s, i = s.reshape(size, n), i.reshape(size, n)
             if k == 1:
-                odd = (i < 0).any(axis=1)
-            if k == 1 or np.isfinite(s).any():
-                score[k], piece[k] = s, i
-            go = (e >= 0) & (col + k < size)
-            row, col, h = row[go], col[go], h[go]
-            if not len(row):
+                odd = (i < 0).any(axis=0)
+            for at in np.flatnonzero((i >= 0).any(axis=1)).tolist():
+                score[k, at], piece[k, at] = s[at], i[at]
+            go = (e >= 0) & (flat < n * (size - k))
+            flat, h = flat[go], h[go]
+            if not len(flat):
                 break
-        fore, count, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
-        fore[:, 0] = 0
+        into: list[list[int]] = [[] for _ in range(size + 1)]
+        for k, at in score:
+            into[at + k].append(k)
+        fore, count, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int8)
+        fore[0] = 0
         for t in range(1, size + 1):
-            for k, s in score.items():
-                if k <= t:
-                    x, m = fore[:, t - k] + s[:, t - k], count[:, t - k] + 1
-                    up = (x > fore[:, t]) | (x == fore[:, t]) & (m < count[:, t])
-                    fore[up, t], count[up, t], back[up, t] = x[up], m[up], k
-        rear = np.full((n, size + 1), -np.inf)
-        rear[:, size] = 0
-        for t in range(size - 1, -1, -1):
-            for k, s in score.items():
-                if t + k <= size:
-                    np.maximum(rear[:, t], rear[:, t + k] + s[:, t], out=rear[:, t])
-        total, at, steps = fore[:, size], np.full(n, size), []
+            for k in into[t]:
+                x, m = fore[t - k] + score[k, t - k], count[t - k] + 1
+                up = (x > fore[t]) | ((x == fore[t]) & (m < count[t]))
+                np.copyto(fore[t], x, where=up)
+                np.copyto(count[t], m, where=up)
+                np.copyto(back[t], k, where=up)
+        rear = np.full((size + 1, n), -np.inf)
+        rear[size] = 0
+        total, second = fore[size], np.full(n, np.inf)
+        on, ids = np.zeros((size + 1, n), bool), np.full((size, n), -1, np.int32)
+        on[size] = True
         with np.errstate(invalid="ignore"):
-            loss = {k: total[:, None] - (fore[:, : size - k + 1] + s[:, : size - k + 1] + rear[:, k:]) for k, s in score.items()} if not odd.all() else {}
-        while (at > 0).any():
-            step = np.full(n, -1, np.int64)
-            for k in score:
-                own = rows[(at > 0) & (back[rows, at] == k)]
-                if len(own):
-                    a = at[own] - k
-                    step[own] = piece[k][own, a]
-                    loss[k][own, a] = np.inf
-            move = back[rows, at]
-            steps.append(step)
-            if not (move > 0).any():
-                break
-            at = at - move
-        second = np.full(n, np.inf)
-        for x in loss.values():
-            second = np.fmin(second, x.min(axis=1))
-        memo = self.memo
-        wide = 4 * len(steps)
-        flat = np.ascontiguousarray(np.array(steps, "<i4").T[:, ::-1]).tobytes()
-        ends = ((rows + 1) * wide).tolist()
-        for w, end, m, s, d, strange in zip(words, ends, count[:, size].tolist(), total.tolist(), second.tolist(), odd.tolist(), strict=True):
+            for t in range(size, 0, -1):
+                for k in into[t]:
+                    s = score[k, t - k]
+                    through = rear[t] + s
+                    np.maximum(rear[t - k], through, out=rear[t - k])
+                    taken = on[t] & (back[t] == k)
+                    on[t - k] |= taken
+                    np.copyto(ids[t - 1], piece[k, t - k], where=taken)
+                    loss = total - (fore[t - k] + through)
+                    loss[taken] = np.inf
+                    np.fmin(second, loss, out=second)
+        mine = np.ascontiguousarray(ids.T)
+        kept = mine >= 0
+        ends = (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+        data = mine[kept].astype("<i4").tobytes()
+        memo, start = self.memo, 0
+        for w, end, s, d, strange in zip(words, ends, total.tolist(), second.tolist(), odd.tolist(), strict=True):
             if strange:
                 self._single(w)
             else:
-                memo[w] = flat[end - 4 * m : end], s, d
+                memo[w] = data[start:end], s, d
+            start = end
 
     def _edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end place the edges into it: start, score, ids."""
@@ -259,9 +266,24 @@ class Segmenter:
         return [word[x:y] for x, y in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
     def words(self, text: str) -> list[str]:
-        """The text in normal form, cut before each space that follows another character, and long words further."""
+        """The text in normal form, cut before each space that follows another character, around line breaks, and long words further."""
         if not text:
             return []
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            out = self._words_with_runs(text)
+        else:
+            # a space before the text, and none after a line break
+            lines = self.apart.split(text) if self.apart else [text]
+            out = [SPACE + p for p in lines[0].split(" ")] if lines[0] else [SPACE]
+            for line in lines[1:]:
+                if line:
+                    first, *rest = line.split(" ")
+                    out.append(first)
+                    out += [SPACE + p for p in rest]
+            out = [w for w in out if w] if "" in out else out
+        return [x for w in out for x in (self.cut(w) if len(w) > LONG else (w,))] if max(map(len, out)) > LONG else out
+
+    def _words_with_runs(self, text: str) -> list[str]:
         # runs of spaces stay with the word that follows
         parts = (" " + text).split(" ")[1:]
         out, run = [], SPACE
@@ -273,7 +295,7 @@ class Segmenter:
                 run += SPACE
         if len(run) > 1:
             out.append(run[1:])
-        return [x for w in out for x in (self.cut(w) if len(w) > LONG else (w,))]
+        return [x for w in out for x in self.apart.split(w) if x] if self.apart else out
 
     def others(self, word: str) -> list[Path]:
         """A word's n best with the one in the memo first."""
@@ -281,20 +303,22 @@ class Segmenter:
         if got is None or got[0][1] != self.memo[word][0]:
             best = self.memo[word][0]
             got = [(self.memo[word][1], best), *[p for p in self.nbest(word) if p[1] != best]][: self.n]
-            if len(self.more) > CACHE_WORDS:
+            if len(self.more) > CACHE_WORDS // 8:
                 self.more.clear()
             self.more[word] = got
         return got
 
     def learn(self, texts: list[list[str]]) -> None:
         """Finds the best segmentations of all words that are new."""
-        if len(self.memo) > CACHE_WORDS:
-            self.memo.clear()
+        if len(self.memo) > CACHE_WORDS:  # long words are rare: short ones stay
+            self.memo = {w: x for w, x in self.memo.items() if len(w) <= 9}
+            if len(self.memo) > CACHE_WORDS // 2:
+                self.memo.clear()
             self.more.clear()
         self.best_many(list(set().union(*texts).difference(self.memo)))
 
-    def encode(self, text: str | None, words: list[str] | None = None) -> tuple[list, list[tuple[float, dict[int, bytes]]]]:
-        """Each word's best (ids, score, loss), and the text's n best as (score, {word number: ids where not the best}).
+    def encode(self, text: str | None, words: list[str] | None = None) -> tuple[tuple, list[tuple[float, dict[int, bytes]]]]:
+        """Each word's best ids, and the text's n best as (score, {word number: ids where not the best}).
 
         ``words``: of the text, if they are learnt already.
         """
@@ -302,10 +326,10 @@ class Segmenter:
             words = self.words(text or "")
             self.learn([words])
         memo = self.memo
-        lists = [memo[w] for w in words]
-        total = sum([x[1] for x in lists])
+        lists, scores, losses = zip(*[memo[w] for w in words], strict=True) if words else ((), (), ())
+        total = sum(scores)
         # the n - 1 words that lose least by their second best, and their further ranks, hold all that the n best can differ in
-        order = [(d, k) for d, k in heapq.nsmallest(self.n - 1, zip([x[2] for x in lists], range(len(lists)), strict=True)) if d < float("inf")]
+        order = self._least(losses)
         ranks = {k: self.others(words[k]) for _, k in order}
         out: list[tuple[float, dict[int, tuple[int, ...]]]] = []
         heap: list[tuple] = [(0.0, (), -1)]
@@ -322,9 +346,18 @@ class Segmenter:
                     heapq.heappush(heap, (loss + ranks[k][0][0] - ranks[k][1][0], (*picks, (k, 1)), at))
         return lists, out
 
-    def ids(self, lists: list, picks: dict[int, bytes]) -> bytes:
+    def _least(self, losses: tuple[float, ...]) -> list[tuple[float, int]]:
+        """The n - 1 least finite losses and their places; of equals the first places."""
+        many = min(self.n - 1, len(losses))
+        if many < 1:
+            return []
+        x = np.array(losses)
+        near = np.flatnonzero(x <= np.partition(x, many - 1)[many - 1])
+        return [(d, k) for d, k in sorted(zip(x[near].tolist(), near.tolist(), strict=True))[:many] if d < float("inf")]
+
+    def ids(self, lists: tuple, picks: dict[int, bytes]) -> bytes:
         """The piece ids of one of the n best, as little-endian 32-bit integers."""
-        parts = [x[0] for x in lists]
+        parts = list(lists)
         for k, x in picks.items():
             parts[k] = x
         return b"".join(parts)
@@ -343,6 +376,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     sha256 is over the ids as little-endian 32-bit integers. The vocabulary (bounded by the model) is broadcast.
     """
+    small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(load(model))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"id {kind}, n_pieces long, score double, sha256 string, nbest array<struct<score:double,n_pieces:long,sha256:string>>, decoded boolean" + (", ids array<int>" if with_ids else "")
@@ -350,12 +384,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seg = Segmenter(vocab.value, n)
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
+            for lo in range(0, len(pdf), 250):
                 rows = []
-                texts = [t if isinstance(t, str) else "" for t in pdf.text[lo : lo + 500]]
+                texts = [t if isinstance(t, str) else "" for t in pdf.text[lo : lo + 250]]
                 split = [seg.words(t) for t in texts]
                 seg.learn(split)
-                for i, t, words in zip(pdf.id[lo : lo + 500], texts, split, strict=True):
+                for i, t, words in zip(pdf.id[lo : lo + 250], texts, split, strict=True):
                     lists, found = seg.encode(t, words)
                     best, each = None, []
                     for score, picks in found:
