@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.llm import decontam, langid, pieces, secrets, simhash
+from swathe.llm import decontam, langid, pieces, secrets, similar
 from swathe.llm.common import materialize, table
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: that with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each group of near-duplicates (five-word runs, similarity 0.8 or more): that with the smallest doc_id."""
+    return similar.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

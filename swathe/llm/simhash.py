@@ -265,26 +265,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sig.join(small(roots, 100_000), "fp")
 
 
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id (nulls last), then text hash; all columns are kept.
-
-    Texts are joined with the keys of the rows that go, which are broadcast if they are few. Repeated rows that are chosen are
-    reduced to one; only these are shuffled with their texts.
-    """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("text")]
-    found = materialize(near_duplicates(docs, keep=[key[0].alias("k1"), key[1].alias("k2")]))
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k2", "k1")).alias("m")).select("m.k1", "m.k2")
-    per_key = found.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    kept = per_key.join(chosen, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit(True).alias("keep"), "n")
-    odd = materialize(per_key.join(kept.select("k1", "k2", "keep"), ["k1", "k2"], "left").filter("keep is null or n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("keep", F.lit(False)).alias("_keep")))
-    odd = small(odd, 300_000)
-    match = (key[0] == F.col("_k1")) & (key[1] == F.col("_k2"))
-    single = docs.join(odd, match, "left_anti")
-    twice = docs.join(odd.filter("_keep"), match, "left_semi")
-    return single.unionByName(twice.dropDuplicates(["doc_id", "text"]))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

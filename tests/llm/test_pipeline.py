@@ -56,3 +56,26 @@ def test_clashing_columns_pass_through(spark, tables):
         read = stage(spark, read, folder)
         assert read.filter("id = 'x' AND score = 'x' AND root = 'x'").count() == read.count()
     assert read.count() == 1
+
+
+def test_near_copies_go_by_similarity(spark):
+    r = random.Random(5)
+    base = [prose(300 + s, 120).split() for s in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for changes in (1, 2, 3, 4, 6):
+            words = list(b)
+            for at in r.sample(range(len(words)), changes):
+                words[at] = f"other{at}"
+            texts.append(" ".join(words))
+    texts += [texts[0], texts[20], "", " ", "one two", "ONE  two"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(min(len(w), 1), len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min(k for k in range(len(texts)) if group[k] == g) for g in group}
+    read = spark.createDataFrame(docs(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    got = [row.doc_id for row in corpus_pipeline.near_duplicates(spark, read, "").collect()]
+    assert sorted(got) == sorted(want) and len(want) < 60
