@@ -4,14 +4,16 @@ A benchmark item of m characters that occurs in a document with at most k = floo
 m - q + 1 - k*q character q-grams with the region, and all of them lie on k + 1 neighbouring diagonals (place in the
 document minus place in the item). Every shared q-gram is counted, in bands of 2(k + 1) diagonals that overlap by half, so one
 band holds all of a match; bands that reach the bound are verified by a banded alignment of the whole item. Nothing that has a
-match within the edit budget can be missed.
+match within the edit budget can be missed. Items of 150 characters or more are searched for in the same way by windows of 100 characters too, one
+at every 50th, so a document that holds a part of an item has a row too: any 150 characters of an item hold a whole window.
 
 Characters are code points, lower-cased one for one, with any ASCII white space read as a space; spans are
 code points of the original text, end exclusive.
 
 Defined cases: null or empty texts and items have no match; for short items k is the largest budget whose bound is still 1, and items
 of fewer than q characters are searched for exactly. Repeated rows each give their rows; a null doc_id is kept. An empty documents or benchmark
-table gives no rows. Overlapping matches of one item in one document count as one, with the fewest edits, the leftmost of equals.
+table gives no rows. Windows of one item that touch in a document are one row with the span of them all and the fewest edits of one window; those that touch
+a match of the whole item are left out. Overlapping matches of one item in one document count as one, with the fewest edits, the leftmost of equals.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import row_hash, small, small_batches, table
 
 Q, RATE = 10, 0.06
+WINDOW, STEP = 100, 50
 BLOCK_CHARS = 20_000_000
 BASE = 0x9E3779B97F4A7C15
 SHIFT = 1 << 20  # bands are numbered from here, as diagonals may be negative
@@ -114,17 +117,25 @@ class Items:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def regions(self, c: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-        """(item, band) pairs of code points ``c`` whose count of shared q-grams reaches the item's bound."""
+    def hits(self, c: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the q-grams of code points ``c`` that an item has too."""
         if not len(self.keys) or len(c) < self.q:
-            return np.zeros((0, 2), np.int64)
-        counted, places, hashes = [], [], []
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        places, hashes = [], []
         for lo in range(0, max(1, len(c) - self.q + 1), piece):
             g = grams(c[lo : lo + piece + self.q - 1], self.q)
             hit = np.flatnonzero(self.seen[(g >> np.uint64(64 - self.bits)).astype(np.int64)])
             places.append(hit + lo)
             hashes.append(g[hit])
         kept, g = np.concatenate(places), np.concatenate(hashes)
+        true = self.keys[np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)] == g
+        return kept[true], g[true]
+
+    def regions(self, kept: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """(item, band) pairs whose count of the q-grams ``g`` at ``kept`` reaches the item's bound."""
+        if not len(self.keys) or len(kept) < self.least[self.least > 0].min(initial=1 << 40):
+            return np.zeros((0, 2), np.int64)
+        counted = []
         for a in range(0, len(kept), 1 << 18):  # postings of a slice of places at a time
             s = slice(a, a + (1 << 18))
             hit = kept[s]
@@ -147,9 +158,8 @@ class Items:
         keys = keys[both >= self.least[keys >> 40]]
         return np.stack((keys >> 40, keys & ((1 << 40) - 1)), axis=1)
 
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, stop, edits) of the matches in a text."""
-        c = codes(text)
+    def search(self, c: np.ndarray, hits: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, stop, edits) of the matches in the code points of a text; ``hits``: its q-grams, if known."""
         out: list[tuple[int, int, int, int]] = []
         for i in self.exact:
             item_id, _, want = self.rows[i]
@@ -161,16 +171,16 @@ class Items:
                         found += 4 * (len(want) - 1)
                     else:
                         found -= found % 4
-        hits: dict[int, list[tuple[int, int, int]]] = {}
-        for i, band in self.regions(c).tolist():
+        near: dict[int, list[tuple[int, int, int]]] = {}
+        for i, band in self.regions(*(hits or self.hits(c))).tolist():
             item_id, _, want = self.rows[i]
             k = int(self.k[i])
             first = (band - SHIFT) * (k + 1) - k
             lo, hi = max(0, first), min(len(c), first + 4 * (k + 1) + len(want))
             got = align(want, c[lo:hi], k, first - lo, 4 * (k + 1))
             if got:
-                hits.setdefault(i, []).append((got[0], got[1] + lo, got[2] + lo))
-        for i, own in hits.items():
+                near.setdefault(i, []).append((got[0], got[1] + lo, got[2] + lo))
+        for i, own in near.items():
             taken: list[tuple[int, int]] = []
             for e, a, b in sorted(own):
                 if all(b <= x or a >= y for x, y in taken):
@@ -179,6 +189,26 @@ class Items:
         return sorted(out, key=lambda r: (r[1], r[0]))
 
 
+def windows(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The overlapping windows of the items that are longer than one by a step at least; shorter ones are searched for as a whole only."""
+    return [(i, t[a : a + WINDOW]) for i, t in rows if t and len(t) >= WINDOW + STEP for a in sorted({*range(0, len(t) - WINDOW, STEP), len(t) - WINDOW})]
+
+
+def search(items: Items, parts: Items, text: str) -> list[tuple[int, int, int, int]]:
+    """(item_id, start, stop, edits) of the whole items and of the parts of items in a text."""
+    c = codes(text)
+    hits = items.hits(c)  # an item has all q-grams of its windows
+    whole = items.search(c, hits)
+    spans: dict[int, list[list[int]]] = {}
+    for i, a, b, e in parts.search(c, hits):
+        own = spans.setdefault(i, [])
+        if own and a <= own[-1][1]:
+            own[-1][1:] = max(own[-1][1], b), min(own[-1][2], e)
+        else:
+            own.append([a, b, e])
+    return sorted(whole + [(i, a, b, e) for i, own in spans.items() for a, b, e in own if all(b <= y or a >= z for x, y, z, _ in whole if x == i)], key=lambda r: (r[1], r[0]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item_id, start, stop, edits): each match of a benchmark item in ``docs``.
 
@@ -197,9 +227,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in sized.filter(F.col("block") == b).select("item_id", "text").collect()])
 
         def find(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            items = Items(rows.value, q, rate)
+            items, parts = Items(rows.value, q, rate), Items(windows(rows.value), q, rate)
             for pdf in batches:
-                got = [(i, *m) for i, t in zip(pdf.id, pdf.text, strict=True) if isinstance(t, str) and t for m in items.search(t)]
+                got = [(i, *m) for i, t in zip(pdf.id, pdf.text, strict=True) if isinstance(t, str) and t for m in search(items, parts, t)]
                 yield pd.DataFrame(got, columns=["id", "item_id", "start", "stop", "edits"])
 
         out = out.unionByName(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(find, schema))

@@ -442,6 +442,17 @@ def test_decontamination_blocks_and_empties(spark, tables):
     assert decontam.op9_decontamination(spark, tables(documents=docs(["x"]), benchmark=[])).count() == 0
 
 
+def test_parts_of_items_are_found(spark, tables):
+    item, other = prose(400, 70), prose(401, 60)
+    texts = [prose(1, 20) + " " + item[:300] + " " + prose(2, 20), prose(3, 20) + " " + item[-200:], prose(4, 20) + " " + item[: len(item) // 2], item, other[:80]]
+    folder = tables(documents=docs(texts), benchmark=[(1, item), (2, other)])
+    got = {(r["doc_id"], r["item_id"]): r for r in rows(decontam.op9_decontamination(spark, folder))}
+    assert sorted(got) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    assert got[0, 1]["stop"] - got[0, 1]["start"] > 250 and got[3, 1]["stop"] == len(item)
+    read = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    assert [r.doc_id for r in decontam.decontaminate(read("documents"), read("benchmark")).collect()] == [4]
+
+
 # --- 10 toxicity
 
 
