@@ -44,7 +44,8 @@ class Lexicon:
     """The product of a trie of terms and their Levenshtein automata, as a lazily built deterministic automaton.
 
     terms: term to weight; a term that ends with ``*`` is a stem and matches any word that begins with it.
-    A stem, a term of fewer than ``least`` letters or one of far less weight than the weightiest allows no edit, one of fewer than twice as many letters one, else two.
+    A term of fewer than four letters and a stem of fewer than ``least`` allow no edit; a stem, a term of fewer than twice ``least`` letters or one of far less
+    weight than the weightiest allows one, else two. Two neighbouring letters that changed places are one edit. The last letter of a stem is never an edited one.
     """
 
     def __init__(self, terms: dict[str, float], least: int = 5) -> None:
@@ -57,7 +58,7 @@ class Lexicon:
         self.budget: list[int] = []
         for i, term in enumerate(self.terms):
             stem = term.rstrip("*")
-            allowed = 0 if term.endswith("*") or len(stem) < least or terms[term] < strong else 1 if len(stem) < 2 * least else 2
+            allowed = 0 if len(stem) < (least if term.endswith("*") else least - 1) else 1 if term.endswith("*") or len(stem) < 2 * least or terms[term] < strong else 2
             self.budget.append(allowed)
             node = 0
             self.most[0] = max(self.most[0], allowed)
@@ -72,13 +73,12 @@ class Lexicon:
             self.ends[node].append(i)
         self.ids: dict[tuple, int] = {}
         self.sets: list[tuple] = []
-        self.next: list[dict[str, int]] = []
+        self.next: list[dict[str, tuple[int, tuple[int, int] | None]]] = []
         self.found: list[tuple[int, int] | None] = []
-        self.stems: list[tuple[int, int] | None] = []
-        self.start = self._state({0: 0})
+        self.start = self._state({0: 0}, {})
         self.memo: dict[str, tuple[int, int] | None] = {}
 
-    def _state(self, pairs: dict[int, int]) -> int:
+    def _state(self, pairs: dict[int, int], swapped: dict[tuple[int, str], int]) -> int:
         # letters of the term that the word lacks
         todo = list(pairs)
         while todo:
@@ -88,40 +88,54 @@ class Lexicon:
                 if e <= self.most[m] and e < pairs.get(m, 9):
                     pairs[m] = e
                     todo.append(m)
-        key = tuple(sorted(pairs.items()))
+        key = tuple(sorted(pairs.items())), tuple(sorted(swapped.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            whole = [(e, i) for n, e in key for i in self.ends[n] if e <= self.budget[i] and not self.terms[i].endswith("*")]
-            stem = [(e, i) for n, e in key for i in self.ends[n] if e == 0 and self.terms[i].endswith("*")]
+            whole = [(e, i) for n, e in key[0] for i in self.ends[n] if e <= self.budget[i] and not self.terms[i].endswith("*")]
             self.found.append(min(whole, default=None))
-            self.stems.append(min(stem, default=None))
         return self.ids[key]
 
-    def _step(self, state: int, c: str) -> int:
+    def _step(self, state: int, c: str) -> tuple[int, tuple[int, int] | None]:
+        """The next state, and the nearest stem that ends with this letter."""
         pairs: dict[int, int] = {}
+        swapped: dict[tuple[int, str], int] = {}  # (node after two letters, the second one to come)
+        stems: list[tuple[int, int]] = []
 
         def put(n: int, e: int) -> None:
             if e <= self.most[n] and e < pairs.get(n, 9):
                 pairs[n] = e
 
-        for n, e in self.sets[state]:
+        def end(n: int, e: int) -> None:
+            stems.extend((e, i) for i in self.ends[n] if e <= self.budget[i] and self.terms[i].endswith("*"))
+
+        known, halves = self.sets[state]
+        for n, e in known:
             put(n, e + 1)  # a letter too many
             for d, m in self.child[n].items():
                 put(m, e + (d != c))
-        out = self._state(pairs) if pairs else -1
-        self.next[state][c] = out
-        return out
+                if d == c:
+                    end(m, e)
+                elif (to := self.child[m].get(c)) is not None and e + 1 <= self.most[to]:
+                    swapped[to, d] = min(e + 1, swapped.get((to, d), 9))
+        for (n, d), e in halves:
+            if d == c:
+                put(n, e)
+                end(n, e)
+        out = self._state(pairs, swapped) if pairs or swapped else -1
+        self.next[state][c] = out, min(stems, default=None)
+        return self.next[state][c]
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term, or None."""
         state, stem = self.start, None
         for c in word:
-            state = s if (s := self.next[state].get(c)) is not None else self._step(state, c)
+            state, hit = s if (s := self.next[state].get(c)) is not None else self._step(state, c)
+            if hit and (stem is None or hit < stem):
+                stem = hit
             if state < 0:
                 return stem
-            stem = stem or self.stems[state]
         return min((x for x in (self.found[state], stem) if x), default=None)
 
     def lookup(self, words: set[str]) -> dict[str, tuple[int, int]]:

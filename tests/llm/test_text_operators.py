@@ -517,3 +517,11 @@ def test_toxicity_without_labels(spark, tables):
     got = rows(toxicity.op10_toxicity(spark, tables(documents=documents[:20], labels=[])))
     assert len(got) == 20 and len({r["score"] for r in got}) == 1
     assert toxicity.op10_toxicity(spark, tables(documents=[], labels=[])).count() == 0
+
+
+def test_misspelled_stems_short_and_weak_terms():
+    lex = toxicity.Lexicon({"scum": 7.0, "idiot": 7.0, "achlich": 4.8, "bomen*": 4.8, "abc": 7.0})
+    at = {t: i for i, t in enumerate(lex.terms)}
+    for word, term in (("scvm", "scum"), ("idoit", "idiot"), ("achlixh", "achlich"), ("bimente", "bomen*"), ("bmoente", "bomen*")):
+        assert lex.match(word) == (1, at[term])
+    assert lex.match("bomente") == (0, at["bomen*"]) and lex.match("bomelia") is None and lex.match("abd") is None
