@@ -1,13 +1,14 @@
 """Main text of web pages with site templates removed.
 
-Pass 1 hashes the subtree of every block element of every page and counts per host on how many pages
-each one stands (grouped counts, combined before the shuffle). Pass 2 parses each page again and deletes
+Pass 1 hashes the subtree of every block element in the content of every page and counts per host among how many different contents
+each one stands. Its context on a page are the two longest blocks outside it, so copies of a page, near ones too, count once and what is copied with
+its surroundings is no template. Pass 2 parses each page again and deletes
 what the page itself marks as no content (by element, role, class or id) and the subtrees that recur across many pages of
-its host. Inside an article a recurring subtree goes only if it is a small part of the article: an article that is itself copied
-to many pages is content. Blocks come in page order, one line each.
+its host. Each recurring subtree is judged by itself: it goes only if it is 30 % of the content at most, half of it on pages without article or main,
+and a page is never emptied. A template among whose surroundings the two longest blocks are templates too is not told from a copy. Blocks come in page order, one line each.
 
-Defined cases: null or empty html gives empty text; a null url has no host and no template. Repeated rows each give a row (and count as pages of
-their own). Unclosed, misnested and truncated markup is read like browsers do: what stays open ends with the page. White space is what
+Defined cases: null or empty html gives empty text; a null url has no host and no template. Repeated rows each give a row (and count as one
+page). Unclosed, misnested and truncated markup is read like browsers do: what stays open ends with the page. White space is what
 ``str.split`` splits at; a ``br`` is white space inside its block. Empty input gives no rows. Other columns are ignored.
 """
 
@@ -203,28 +204,57 @@ def blocks(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool],
     return out
 
 
-def extract(page: str, templates: set[int], most: float = 0.3) -> str:
+def spans(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool]) -> tuple[list[tuple[str, int]], dict[int, list[int]]]:
+    """The content's blocks, and per block element that holds some of them (itself no article, main, body or html) their numbers."""
+    lines = [x for r in roots(nodes, ok) for x in blocks(nodes, items, ok, r)]
+    inside: dict[int, list[int]] = {}
+    top = set(roots(nodes, ok))
+    for n, (_, k) in enumerate(lines):
+        depth = 0
+        while k > 0 and k not in top and depth < 200:  # a wrapper further out is no template
+            if nodes[k][0] in BLOCK and nodes[k][0] not in WHOLE:
+                inside.setdefault(k, []).append(n)
+            k, depth = nodes[k][2], depth + 1
+    return lines, inside
+
+
+def contexts(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool]) -> set[tuple[int, int]]:
+    """(hash, context) of each block element in the content, and (0, context) of the page; an element that holds the whole content has none."""
+    import xxhash
+
+    lines, inside = spans(nodes, items, ok)
+    by_size = sorted(range(len(lines)), key=lambda n: (-len(lines[n][0]), n))
+
+    def context(own: list[int]) -> int:
+        gone, longest = set(own), []
+        for n in by_size:
+            if n not in gone:
+                longest.append(lines[n][0])
+                if len(longest) == 2:
+                    break
+        return xxhash.xxh64_intdigest("\x00".join(longest).encode("utf-8", "surrogatepass")) - (1 << 63) if longest else 0
+
+    h = hashes(nodes, items, ok)
+    return {(0, context([]))} | {(h[k], x) for k, own in inside.items() if h[k] and (x := context(own))}
+
+
+def extract(page: str, templates: set[int], most: float = 0.3, most_plain: float = 0.5) -> str:
     """The main text of a page, given the hashes of its host's templates."""
     nodes, items = parse(page)
     ok = kept(nodes)
+    lines, gone = None, set()
     if templates:
+        lines, inside = spans(nodes, items, ok)
         h = hashes(nodes, items, ok)
-        inside = [False] * len(nodes)
-        for k in range(1, len(nodes)):
-            inside[k] = inside[nodes[k][2]] or nodes[k][0] in ("article", "main")
-        found = [k for k in range(1, len(nodes)) if h[k] in templates and nodes[k][0] in BLOCK and nodes[k][0] not in WHOLE]
-        for within in (False, True):
-            own = {k for k in found if inside[k] == within}
-            if not own:
-                continue
-            then = list(ok)
-            for k in range(1, len(nodes)):
-                then[k] = then[k] and then[nodes[k][2]] and k not in own
-            before = sum(len(t) for r in roots(nodes, ok) for t, _ in blocks(nodes, items, ok, r))
-            after = sum(len(t) for r in roots(nodes, then) for t, _ in blocks(nodes, items, then, r))
-            if not within or before - after <= most * before:
-                ok = then
-    return "\n".join(t for r in roots(nodes, ok) for t, _ in blocks(nodes, items, ok, r))
+        total = sum(len(t) for t, _ in lines) * (most_plain if roots(nodes, ok) == [0] else most)
+        for k, own in inside.items():
+            if h[k] in templates and sum(len(lines[n][0]) for n in own) <= total:
+                gone.update(own)
+        if len(gone) == len(lines):
+            gone = set()
+    else:
+        lines = [x for r in roots(nodes, ok) for x in blocks(nodes, items, ok, r)]
+    return "\n".join(t for n, (t, _) in enumerate(lines) if n not in gone)
 
 
 def host_of(url: str | None) -> str:
@@ -235,7 +265,7 @@ def host_of(url: str | None) -> str:
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, templates): hashes of the subtrees on ``share`` of a host's pages and ``least_pages`` at least.
+    """(host, templates): hashes of the subtrees in ``share`` of a host's different contents and ``least_pages`` at least.
 
     A host has at most (blocks of a page) / share of them.
     """
@@ -243,19 +273,18 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hosts: list[str] = []
-            found: list[int] = []
+            found: list[tuple[int, int]] = []
             for url, page in zip(pdf.url, pdf.html, strict=True):
                 host = host_of(url)
                 if not host:
                     continue
                 nodes, items = parse(page if isinstance(page, str) else "")
-                h = hashes(nodes, items, kept(nodes))
-                own = {0} | {h[k] for k in range(1, len(nodes)) if h[k] and nodes[k][0] in BLOCK and nodes[k][0] not in WHOLE}
+                own = contexts(nodes, items, kept(nodes))
                 hosts += [host] * len(own)
-                found += own  # 0 counts the pages
-            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "hash": pd.Series(found, dtype="int64")})
+                found += own  # hash 0 counts the different contents
+            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "hash": pd.Series([x for x, _ in found], dtype="int64"), "context": pd.Series([x for _, x in found], dtype="int64")})
 
-    each = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(emit, "host string, hash long")
+    each = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(emit, "host string, hash long, context long").distinct()
     counts = materialize(each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages))
     totals = counts.filter("hash = 0").select("host", F.col("n").alias("total"))
     often = counts.filter("hash <> 0").join(small(totals, 100_000), "host").filter(F.col("n") >= share * F.col("total"))

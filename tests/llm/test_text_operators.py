@@ -193,6 +193,13 @@ def test_copied_articles_stay(spark, tables):
     assert {r["text"] for r in got} == {"Whole article that was copied\nwith two parts"}
 
 
+def test_copied_plain_pages_stay(spark, tables):
+    body = "<body><div><p>Whole text that was copied</p><p>with two parts</p></div></body>"
+    own = [(i, "http://p.example/", f"<body><div><p>Only here number {i}</p><p>and some more {i}</p></div></body>") for i in range(20, 24)]
+    got = rows(html_text.op4_html_text(spark, tables(pages=[(i, "http://p.example/", body) for i in range(9)] + own)))
+    assert {r["text"] for r in got if r["page_id"] < 20} == {"Whole text that was copied\nwith two parts"}
+
+
 def test_html_depth_and_rubbish():
     deep = "<div>" * 20000 + "x" + "</div>" * 3
     assert html_text.extract(deep, set()) == "x"
