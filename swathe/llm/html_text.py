@@ -264,7 +264,7 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].translate({c: c + 32 for c in range(65, 91)})
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.5) -> DataFrame:
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.1) -> DataFrame:
     """(host, templates): hashes of the subtrees in ``share`` of a host's different contents and ``least_pages`` at least.
 
     A host has at most (blocks of a page) / share of them.

@@ -200,6 +200,14 @@ def test_copied_plain_pages_stay(spark, tables):
     assert {r["text"] for r in got if r["page_id"] < 20} == {"Whole text that was copied\nwith two parts"}
 
 
+def test_templates_are_judged_one_by_one(spark, tables):
+    page = lambda i, parts: "<article>" + "".join(f"<p>Paragraph {k} of text number {i} is here</p>" for k in range(2)) + parts + "</article>"
+    both = "<p>Join our club now</p><p>Read more of this site</p>"
+    pages = [(i, "http://t.example/", page(i, both if i < 8 else "")) for i in range(24)]
+    for r in rows(html_text.op4_html_text(spark, tables(pages=pages))):
+        assert r["text"] == "\n".join(f"Paragraph {k} of text number {r['page_id']} is here" for k in range(2))
+
+
 def test_html_depth_and_rubbish():
     deep = "<div>" * 20000 + "x" + "</div>" * 3
     assert html_text.extract(deep, set()) == "x"
