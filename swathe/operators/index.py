@@ -71,13 +71,21 @@ def _nodes(points: DataFrame, depth: int, head: DataFrame | None) -> DataFrame:
     return each.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r"))
 
 
-def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None) -> DataFrame:
+def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None, deepest: int = 0) -> DataFrame:
     """Leaves (level, key, n, radius) of the quadtree whose leaves split above ``most`` points, and always down to ``level``.
 
-    ``depth`` is the deepest level, where a leaf may hold more. With ``empty``, leaves without points are given too:
+    ``depth`` is the deepest level, where a leaf may hold more; with ``deepest``, cells that hold more there are split on down to that level. With ``empty``, leaves without points are given too:
     all four children of a split node exist.
     """
-    nodes = _nodes(points, depth, head).withColumn("split", ((F.col("n") > most) | (F.col("level") <= level)) & (F.col("level") < depth))
+    nodes = _nodes(points, depth, head)
+    if deepest > depth:
+        crowded = nodes.filter((F.col("level") == depth) & (F.col("n") > most)).select(F.col("key").alias("above"))
+        cells = with_keys(points, deepest, head).select("key", "radius", F.expr(f"shiftright(key, {2 * (deepest - depth)})").alias("above")).join(crowded, "above", "left_semi")
+        below = cells.groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
+        below = below.select("c", "r", "key", F.explode(F.sequence(F.lit(depth + 1), F.lit(deepest))).alias("level"))
+        below = below.select("level", F.expr(f"shiftright(key, 2 * ({deepest} - level))").alias("key"), "c", "r")
+        nodes = nodes.unionByName(below.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r")))
+    nodes = nodes.withColumn("split", ((F.col("n") > most) | (F.col("level") <= level)) & (F.col("level") < max(depth, deepest)))
     split = nodes.filter("split").select((F.col("level") + 1).alias("l2"), "r", F.shiftleft("key", 2).alias("k4"))
     children = split.select("l2", "r", F.explode(F.sequence(F.col("k4"), F.col("k4") + 3)).alias("k2"))
     got = children.join(nodes.select("level", "key", "n", "split"), (F.col("l2") == F.col("level")) & (F.col("k2") == F.col("key")), "left")

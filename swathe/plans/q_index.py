@@ -44,7 +44,7 @@ lf AS (SELECT ch.level AS level, ch.key AS key, coalesce(sp.n, 0) AS n, ch.r / p
 
 
 def leaves(spark, d):
-    return ix.number_leaves(points(spark, d), MOST, LEVEL, DEEPEST)
+    return ix.number_leaves(points(spark, d), MOST, LEVEL, DEEPEST, deepest=ix.MAX_DEPTH)
 
 
 def _morton3(spark, d):

@@ -187,3 +187,11 @@ def test_plan_has_no_all_pairs_join(spark):
     p = cloud(spark, LATTICE)
     plan = sj.neighbours(p, 1.0)._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_crowded_cells_split_on(spark):
+    rows = [(i, 0.01 * (i % 8), 0.01 * (i // 8), 0.0) for i in range(64)] + [(100, 900.0, 900.0, 0.0), (101, -100.0, -100.0, 0.0)]
+    p = spark.createDataFrame([(i, float(x), float(y), z) for i, x, y, z in rows], "id long, x double, y double, z double")
+    capped = [r.n for r in ix.number_leaves(p, 8, 1, 6, empty=False).collect()]
+    got = [r.n for r in ix.number_leaves(p, 8, 1, 6, empty=False, deepest=ix.MAX_DEPTH).collect()]
+    assert max(capped) == 64 and max(got) <= 8 and sum(got) == len(rows)
