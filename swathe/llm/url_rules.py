@@ -9,7 +9,7 @@ Fixed rules: a rule fits its host and all subdomains, if the path starts with th
 allow over block. A page that no fixed rule fits gets the mined verdict: block if a mined rule fires, else allow.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no token and the verdict allow. Repeated rows each give
-a row. Without labelled rows, or without a blocked one, no rule is mined. Empty input gives no rows. Other columns are ignored.
+a row. With fewer than 20 blocked rows among the labelled ones no rule is mined. Empty input gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(named, words, parts, names, scheme))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float, longest: int = 4, least_rows: int = 20) -> DataFrame:
+def mine(labelled: DataFrame, support: float, confidence: float, least_rows: int = 20) -> DataFrame:
     """(rule, tokens, n_tokens, confidence, support) from rows (tokens, blocked), materialized.
 
-    An item set needs ``support`` of the rows and ``least_rows`` of them. Rules are bounded by the support: a row of t tokens adds to at most C(t, ``longest``) item sets, and an item set needs ``support`` of all rows.
+    An item set needs ``support`` of the rows and ``least_rows`` of them. With fewer than ``least_rows`` blocked rows nothing is mined.
     """
     spark = labelled.sparkSession
     schema = "rule long, tokens array<string>, n_tokens int, confidence double, support double"
@@ -61,7 +61,7 @@ def mine(labelled: DataFrame, support: float, confidence: float, longest: int =
     support = max(support, least_rows / total)
     baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    mined = model.associationRules.filter(F.element_at("consequent", 1) == LABEL).filter(F.size("antecedent") <= longest)
+    mined = model.associationRules.filter(F.element_at("consequent", 1) == LABEL)
     mined = materialize(mined.select(F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n_tokens"), "confidence", "support"))
     # a rule is pruned if the rule without one of its tokens has no less confidence; such rules are looked up by their tokens
     shorter = mined.select(F.col("tokens").alias("t2"), F.col("confidence").alias("c2"))

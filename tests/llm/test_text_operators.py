@@ -540,3 +540,10 @@ def test_misspelled_stems_short_and_weak_terms():
     for word, term in (("scvm", "scum"), ("idoit", "idiot"), ("achlixh", "achlich"), ("bimente", "bomen*"), ("bmoente", "bomen*")):
         assert lex.match(word) == (1, at[term])
     assert lex.match("bomente") == (0, at["bomen*"]) and lex.match("bomelia") is None and lex.match("abd") is None
+
+
+def test_long_rules_are_mined(spark):
+    five = list("abcde")
+    rows_ = [(five, True)] * 30 + [([t for t in five if t != gone], False) for gone in five for _ in range(30)]
+    got = url_rules.mine(spark.createDataFrame(rows_, "tokens array<string>, blocked boolean"), 0.002, 0.6).collect()
+    assert [r.tokens for r in got] == [five] and got[0].confidence == 1
