@@ -152,21 +152,45 @@ def test_bm25(spark, tables):
     assert bm25.op3_bm25(spark, tables(documents=[])).count() == 0
 
 
-def test_bm25_pruning_is_exact():
+def _shard(r, n, topics=1):
+    """Bags of zipf words, each topic with words of its own; repeats among them."""
+    terms = [np.unique(r.zipf(1.3, 60) % 400) + 1000 * (d % topics) for d in range(n)]
+    terms[5] = terms[5 + topics]
+    tfs = [np.ones(len(t), np.int32) if d == 5 else r.integers(1, 5, len(t)).astype(np.int32) for d, t in enumerate(terms)]
+    tfs[5 + topics] = tfs[5]
+    lengths = np.array([t.sum() for t in tfs], np.int64)
+    row = bm25.build([str(d) for d in range(n)], lengths, np.cumsum([len(t) for t in terms]), np.concatenate(terms).astype(np.int64), np.concatenate(tfs), 60.0)
+    return bm25.Shard(row, 60.0), terms, tfs, lengths
+
+
+@pytest.mark.parametrize("least", [0.0, 0.9])
+def test_bm25_pruning_is_exact(least):
     r = np.random.default_rng(2)
-    used = np.arange(400)
-    terms = [np.unique(r.zipf(1.3, 60) % 400) for _ in range(700)]
-    tfs = [r.integers(1, 5, len(t)).astype(np.int32) for t in terms]
-    shard = bm25.Shard(np.arange(700), np.array([t.sum() for t in tfs], float), terms, tfs, used, 60.0)
-    for t in terms[:40]:
-        w = r.random(len(t)) + 0.01
-        at, score = shard.search(t, w, 10)
-        dense = np.zeros(700)
+    shard, terms, tfs, lengths = _shard(r, 700)
+    asked = [terms[i] for i in range(300)]
+    weights = [r.random(len(t)) + 0.01 for t in asked]
+    q = bm25.Queries(list(range(300)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), np.concatenate(weights))
+    want = []
+    for t, w in zip(asked, weights, strict=True):
+        scores = []
         for d in range(700):
-            s = slice(shard.row[d], shard.row[d + 1])
-            m = np.isin(shard.term[s], t)
-            dense[d] = round(float((w[np.searchsorted(t, shard.term[s][m])] * shard.impact[s][m]).sum()), 9)
-        assert np.allclose(sorted(score, reverse=True)[:10], sorted(dense, reverse=True)[:10])
+            both, x, y = np.intersect1d(t, terms[d], return_indices=True)
+            scores.append((-round(float((w[x] * bm25.impacts(tfs[d][y], lengths[d : d + 1], np.zeros(len(both), int), 60.0)).sum()), 9), d))
+        want.append(sorted(x for x in scores if x[0] < 0)[:10])
+    q.least = np.array([least * -x[9][0] for x in want])
+    got = dict(shard.search(q, 10))
+    for i in range(300):
+        assert [d for _, d in got[i]] == [str(d) for _, d in want[i]]
+        assert np.allclose([s for s, _ in got[i]], [-s for s, _ in want[i]])
+
+
+def test_bm25_skips_blocks():
+    r = np.random.default_rng(4)
+    shard, terms, *_ = _shard(r, 2400, topics=6)
+    asked = [terms[i] for i in range(768)]
+    q = bm25.Queries(list(range(768)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), np.ones(sum(map(len, asked))))
+    list(shard.search(q, 10))
+    assert 0 < shard.scored < 0.5 * shard.seen
 
 
 # --- 4 HTML
