@@ -178,10 +178,14 @@ def test_bm25_pruning_is_exact(least):
             scores.append((-round(float((w[x] * bm25.impacts(tfs[d][y], lengths[d : d + 1], np.zeros(len(both), int), 60.0)).sum()), 9), d))
         want.append(sorted(x for x in scores if x[0] < 0)[:10])
     q.least = np.array([least * -x[9][0] for x in want])
-    got = dict(shard.search(q, 10))
+    got = defaultdict(list)
+    for query, row, score in shard.search(q, 10):
+        for i, d, x in zip(query.tolist(), row.tolist(), score.tolist(), strict=True):
+            got[i].append((x, shard.ids[d]))
     for i in range(300):
         assert [d for _, d in got[i]] == [str(d) for _, d in want[i]]
         assert np.allclose([s for s, _ in got[i]], [-s for s, _ in want[i]])
+        assert q.least[i] >= got[i][-1][0] - 1e-9
 
 
 def test_bm25_skips_blocks():
@@ -190,7 +194,7 @@ def test_bm25_skips_blocks():
     asked = [terms[i] for i in range(768)]
     q = bm25.Queries(list(range(768)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), np.ones(sum(map(len, asked))))
     list(shard.search(q, 10))
-    assert 0 < shard.scored < 0.5 * shard.seen
+    assert 0 < shard.active <= shard.scored < 0.5 * shard.pairs
 
 
 # --- 4 HTML
