@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lowers the session's Arrow batch size: texts can be long, and a batch stands in memory several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 8 << 20) -> None:
+    """Lowers the session's Arrow batch sizes, in rows and in bytes, if they are larger: texts can be long, and a batch stands in memory several times.
+
+    They stay lowered, as results are lazy: a plan reads them when it runs. They bound memory only and change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def row_hash(*columns: str) -> Column:
