@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: bytes as stored; in memory rows take a few times that
+MOST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset, as in tests.
+    """A new folder below ``spark.checkpoint.dir``; below a temporary one where that is unset and all tasks run in this process's machine, as in tests.
 
-    It is removed when the driver ends.
+    It is removed when the driver ends. Without the setting on a cluster it raises: executors do not share local folders.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="swathe-"))
         base = f"file://{_OWN_DIR[0]}"
@@ -38,17 +43,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts its lineage, survives lost executors."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts its lineage, survives lost executors. ``by``: columns to partition it by."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``most_rows`` rows at most, else as it is (a shuffle join follows).
+def small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``most_rows`` rows and ``most_bytes`` bytes at most, else as it is (a shuffle join follows).
 
-    ``df`` should be materialized: its rows are counted here.
+    ``df`` should be materialized: its rows are counted here, and its bytes are those of its files (estimated by its columns, if it selects some).
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= most_bytes and df.limit(most_rows + 1).count() <= most_rows else df
