@@ -43,11 +43,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts its lineage, survives lost executors. ``by``: columns to partition it by."""
+def materialize(df: DataFrame, *by: str, **options: int) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts its lineage, survives lost executors. ``by``: columns to partition it by; ``options`` of the writer."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,5 +57,5 @@ def small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> DataFr
 
     ``df`` should be materialized: its rows are counted here, and its bytes are those of its files (estimated by its columns, if it selects some).
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most_bytes and df.limit(most_rows + 1).count() <= most_rows else df
