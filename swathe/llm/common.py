@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import materialize, shared_dir, small
 
-__all__ = ["hex16", "materialize", "row_hash", "shared_dir", "small", "small_batches", "table", "union_all"]
+__all__ = ["as_text", "hex16", "materialize", "row_hash", "shared_dir", "small", "small_batches", "table", "typed_id", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 2 << 20) -> None:
     """Lowers the session's Arrow batch sizes, in rows and in bytes, if they are larger: texts can be long, and a batch stands in memory several times.
 
     They stay lowered, as results are lazy: a plan reads them when it runs. They bound memory only and change no result.
@@ -29,6 +29,16 @@ def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 8 << 2
             spark.conf.set(key, str(most))
 
 
+def as_text(c: Column | str) -> Column:
+    """An id as text, in which form it goes through pandas: there one null turns a column of longs into doubles."""
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def typed_id(df: DataFrame, like: DataFrame, name: str) -> DataFrame:
+    """``df`` with its text column ``id`` in the type of the column ``name`` of ``like``."""
+    return df.withColumn("id", F.col("id").cast(like.select(name).schema[0].dataType))
+
+
 def row_hash(*columns: str) -> Column:
     """A 64-bit key of a row's named columns."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])

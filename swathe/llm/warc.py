@@ -7,8 +7,10 @@ Reading: files come as binary rows and are parsed by Content-Length, a record at
 records are aggregated by the identifier they are concurrent to, and joined to the payload records: one
 nested row per capture. Secondaries that point to another secondary are first moved on to what that one points to.
 
+Record ids come from the row, so captures with the same page_id, repeated rows among them, have records of their own.
+
 Defined cases: a null html is an empty payload; a null url gives no target URI; a null page_id stays null and counts as
-smaller than any id. Rows with the same page_id and payload as the largest are all responses. If a capture has several requests or
+smaller than any id; equal payloads of which none has an id are all responses. Rows with the same page_id and payload as the largest are all responses, and the first of them is referred to. If a capture has several requests or
 metadata records, the one with the smallest record id is nested and all are counted. Secondaries whose
 target is absent give a row without payload. Empty input gives no rows. Other columns are ignored.
 """
@@ -28,7 +30,7 @@ from .common import materialize, shared_dir, small, table
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 1000
-FILE_RECORDS = 2000
+FILE_BYTES = 64 << 20
 RECORDS = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, digest string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 
 
@@ -45,21 +47,27 @@ def _record(kind: Column | str, rid: Column, headers: list[tuple[str, Column]],
     return F.concat(F.concat_ws(CRLF, *lines), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
-    """Writes the captures as gzipped WARC files below ``path``.
+def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the captures as gzipped WARC files below ``path``, each of about ``file_bytes`` before compression or one capture.
 
     Of captures with equal payloads of ``least_bytes`` or more, that with the largest id is a response, the others are
-    revisits of it. The payload is shuffled only if more captures have an equal than a broadcast may hold.
+    revisits of it. Payloads are told apart by their digests, in a table without payloads. The captures of each size class, by powers of 16, are written by
+    themselves, as the text sink bounds its files by rows.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    base = captures.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
+    # a row's number comes from its place in the scan: the same in each pass over the same files
+    base = captures.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    equal = base.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    equal = small(materialize(equal), 200_000)
-    rows = base.join(equal, "digest", "left")
-    again = (F.col("first").isNotNull()) & (F.col("id").isNull() | (F.col("id") < F.col("first")))
-    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none/"), F.coalesce("url", F.lit("")), F.lit("/"), F.col("digest")))
-    rows = rows.select("*", again.alias("again"), _urn("payload", key).alias("rid"), F.regexp_replace("url", "[\\x00-\\x20]", "%20").alias("uri"), key.alias("key"))
+    size_class = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest("bytes", F.lit(1)) / 4096))).cast("int")
+    slim = materialize(base.select("uid", "id", "digest", "bytes", size_class.alias("size")))
+    equal = slim.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.max_by(F.negate("uid"), F.struct("id", F.negate("uid"))).alias("lead"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    later = slim.select("uid", "id", "digest").join(equal, "digest").filter("id IS NULL OR id < first")
+    later = small(materialize(later.select("uid", "first", F.negate("lead").alias("lead"))), 200_000)
+    rows = base.join(later, "uid", "left")
+    again = F.col("first").isNotNull()
+    key = lambda uid, number: F.concat(uid.cast("string"), F.lit("/"), F.coalesce(number.cast("string"), F.lit("none")), F.lit("/"), F.col("digest"))
+    own = key(F.col("uid"), F.col("id"))
+    rows = rows.select("*", again.alias("again"), _urn("payload", own).alias("rid"), F.regexp_replace("url", "[\\x00-\\x20]", "%20").alias("uri"), own.alias("key"))
     uri = ("WARC-Target-URI", F.col("uri"))
     to = ("WARC-Concurrent-To", F.col("rid"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -70,7 +78,7 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
             uri,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(F.col("again"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            ("WARC-Refers-To", F.when(F.col("again"), _urn("payload", F.col("first").cast("string")))),
+            ("WARC-Refers-To", F.when(F.col("again"), _urn("payload", key(F.col("lead"), F.col("first"))))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(F.col("again"), http).otherwise(F.concat(http, F.col("html"))),
@@ -79,8 +87,11 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
     asked = _record("request", _urn("request", F.col("key")), [uri, to, ("Content-Type", F.lit("application/http; msgtype=request"))], request)
     facts = F.concat_ws(CRLF, F.concat(F.lit("capture-id: "), F.col("id").cast("string")), F.concat(F.lit("payload-length: "), F.col("bytes").cast("string")), F.concat(F.lit("refers-to-capture: "), F.when(F.col("again"), F.col("first").cast("string"))))
     noted = _record("metadata", _urn("metadata", F.col("key")), [uri, to, ("Content-Type", F.lit("application/warc-fields"))], facts)
-    lines = rows.select(F.concat_ws("\r\n\r\n", asked, main, noted).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    sizes = [r[0] for r in slim.select("size").distinct().orderBy("size").collect()]  # eight at most: a payload has less than 2^31 bytes
+    for size in sizes or [0]:
+        lines = rows.filter(size_class == size) if len(sizes) > 1 else rows
+        most = max(1, file_bytes // (4096 * 16**size + 2048))
+        lines.select(F.concat_ws("\r\n\r\n", asked, main, noted).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
