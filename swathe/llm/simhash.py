@@ -1,10 +1,10 @@
-"""SimHash near-duplicates by a distributed self-join of a binary trie.
+"""SimHash near-duplicates by a distributed self-join of binary tries.
 
-Fingerprints come from whole texts. The distinct ones are dealt to leaves of a coarse prefix trie
-that is split further where it is dense; each pair of leaves within the error budget is one
-task group, in which two binary tries are walked together: node pairs are expanded bit by bit, the
-differing bits add up and a pair is dropped as soon as they exceed the budget. A task returns a
-spanning forest of its links and never the links themselves, so a group of n copies costs n rows.
+Fingerprints come from whole texts. Of two that differ in ``budget`` bits at most, one of budget + 1 blocks of their bits is equal: the distinct ones are
+dealt by the value of each block, so each pair within the budget meets in a group, and no group holds more than its share. A group that is still large is
+dealt again, by blocks of the bits that are left. In a group a binary trie is walked against itself: node pairs are expanded bit by bit, the
+differing bits add up and a pair is dropped as soon as they exceed the budget. The tries of many groups are walked at once.
+A task returns a spanning forest of its links and never the links themselves, so a group of n copies costs n rows.
 Forests are merged by alternating large-star and small-star steps on written tables.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint 0; such documents link to each other
@@ -18,12 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex16, materialize, small, small_batches, table
+from .common import hex16, materialize, small, small_batches, table, union_all
 
-PREFIX_BITS = 16
+#: a group of more is dealt again; a batch of groups is walked at once from so many fingerprints on
+MOST, BATCH = 100_000, 100_000
+MASK = (1 << 64) - 1
 
 
 def fingerprints(texts: list[str | None], width: int) -> np.ndarray:
@@ -62,10 +65,11 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4) -> Col
 
 
 class _Trie:
-    """The nodes of a binary trie over sorted distinct fingerprints, as arrays by level."""
+    """The nodes of binary tries over sorted distinct fingerprints, as arrays by level; a trie for each run of equal ``groups``."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, groups: np.ndarray | None = None) -> None:
         self.values = values
+        self.apart = np.zeros(max(0, len(values) - 1), bool) if groups is None else groups[1:] != groups[:-1]
         self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,24 +87,24 @@ class _Trie:
 
     def _starts(self, depth: int) -> np.ndarray:
         if depth == 0:
-            return np.array([0, len(self.values)], np.int32)
+            return np.concatenate(([0], np.flatnonzero(self.apart) + 1, [len(self.values)])).astype(np.int32)
         p = self.values >> np.uint64(64 - min(depth, 64))
-        return np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)])).astype(np.int32)
+        return np.concatenate(([0], np.flatnonzero((p[1:] != p[:-1]) | self.apart) + 1, [len(p)])).astype(np.int32)
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 1 << 16, leaf: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 1 << 16, leaf: int = 24, groups: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs ``a[i]``, ``b[j]`` that differ in ``budget`` bits at most, in batches.
 
-    ``a`` and ``b`` are sorted distinct uint64 arrays; ``b=None`` joins ``a`` with itself (i < j).
-    A node pair is expanded until it stands for ``leaf`` value pairs at most; these are compared.
+    ``a`` and ``b`` are sorted distinct uint64 arrays; ``b=None`` joins ``a`` with itself (i < j), with ``groups`` only inside its runs of equal
+    groups, in each of which it is sorted and distinct. A node pair is expanded until it stands for ``leaf`` value pairs at most; these are compared.
     """
     own = b is None
-    ta = _Trie(a)
+    ta = _Trie(a, groups)
     tb = ta if own else _Trie(b)
     if not len(a) or not len(tb.values):
         return
-    zero = np.zeros(1, np.int32)
-    stack = [(0, zero, zero, np.zeros(1, np.int8))]
+    roots = np.arange(len(ta.level(0)[0]) - 1, dtype=np.int32)
+    stack = [(0, roots[i : i + chunk], roots[i : i + chunk], np.zeros(len(roots[i : i + chunk]), np.int8)) for i in range(0, len(roots), chunk)]
     while stack:
         depth, x, y, used = stack.pop()
         sa, ca = ta.level(depth)
@@ -168,58 +172,74 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _forest(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    a = np.sort(pdf.fp[pdf.side == 0].to_numpy().view(np.uint64))
-    b = np.sort(pdf.fp[pdf.side == 1].to_numpy().view(np.uint64))
-    every = np.concatenate((a, b))
-    label = np.arange(len(every))
-    for i, j in trie_join(a, b if len(b) else None, budget):
-        _merge(label, i, j + (len(a) if len(b) else 0))
-    out = np.flatnonzero(label != np.arange(len(every)))
-    return pd.DataFrame({"u": every[out].view(np.int64), "v": every[label[out]].view(np.int64)})
-
-
-def _leaves(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of the trie leaves that hold all fingerprints, each ``most`` at most or at full depth."""
-    out, todo = [], [(0, 0, sorted(counts.items()))]
-    while todo:
-        depth, prefix, own = todo.pop()
-        if sum(n for _, n in own) <= most or depth == PREFIX_BITS:
-            out.append((depth, prefix))
-            continue
-        for bit in (0, 1):
-            if part := [(p, n) for p, n in own if p >> (PREFIX_BITS - 1 - depth) & 1 == bit]:
-                todo.append((depth + 1, prefix * 2 + bit, part))
-    return sorted(out)
+def _forest(fp: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): a spanning forest of the links inside the groups, each set's members with its smallest one; by ``groups``, then fingerprint."""
+    order = np.lexsort((fp, groups))
+    a, groups = fp[order], groups[order]
+    label = np.arange(len(a))
+    for i, j in trie_join(a, None, budget, leaf=256, groups=groups):
+        _merge(label, i, j)
+    out = np.flatnonzero(label != np.arange(len(a)))
+    return a[out].view(np.int64), a[label[out]].view(np.int64)
+
+
+def blocks(mask: int, parts: int) -> list[int]:
+    """The bits of ``mask`` in ``parts`` blocks of neighbouring bits, as even as may be; none is empty unless there are too few bits."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
 
+def _dealt(rows: DataFrame, budget: int) -> DataFrame:
+    """``rows`` (fp, mask, grp) in budget + 1 groups each: by the value of each block of the bits in ``mask``; ``mask`` keeps the bits that are left."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = [r[0] for r in rows.select("mask").distinct().collect()]  # a few: one for each way to this depth
+    to = F.lit(None).cast("array<struct<mask:bigint,grp:bigint>>")
+    for m in masks:
+        cells = [F.struct(F.lit(signed((m & MASK) & ~block)).alias("mask"), F.xxhash64("grp", F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(block)))).alias("grp")) for k, block in enumerate(blocks(m & MASK, budget + 1))]
+        to = F.when(F.col("mask") == m, F.array(*cells)).otherwise(to)
+    return rows.select("fp", F.explode(to).alias("to")).select("fp", "to.mask", "to.grp")
 
-def links(uniq: DataFrame, budget: int, most: int = 300_000) -> DataFrame:
-    """A spanning forest (u, v) of the links between distinct fingerprints in ``uniq.fp``, v < u as unsigned numbers.
 
-    Only a histogram of 16-bit prefixes comes to the driver (65,536 rows at most).
+def links(uniq: DataFrame, budget: int, most: int = MOST, rounds: int = 4) -> DataFrame:
+    """A spanning forest (u, v) in each group of the links between distinct fingerprints in ``uniq.fp``, v < u as unsigned numbers.
+
+    A group of more than ``most`` is dealt again, ``rounds`` times at most: then its fingerprints share most of their bits, so there are few of them.
     """
-    spark = uniq.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - PREFIX_BITS).cast("int")
-    counts = {r[0]: r[1] for r in uniq.groupBy(prefix.alias("p")).count().collect()}
-    total = sum(counts.values())
-    leaves = _leaves(counts, min(most, max(4096, total // 13)))
-    groups: list[list[tuple[int, int]]] = [[] for _ in leaves]
-    n = 0
-    for x, (dx, px) in enumerate(leaves):
-        for y in range(x, len(leaves)):
-            dy, py = leaves[y]
-            d = min(dx, dy)
-            if ((px >> (dx - d)) ^ (py >> (dy - d))).bit_count() <= budget:
-                groups[x].append((n, 0))
-                if y != x:
-                    groups[y].append((n, 1))
-                n += 1
-    at = {leaf: x for x, leaf in enumerate(leaves)}
-    lookup = spark.createDataFrame([(p, next(at[d, q] for d in range(PREFIX_BITS + 1) if (d, q := p >> (PREFIX_BITS - d)) in at)) for p in counts], "p int, leaf int")
-    deal = spark.createDataFrame([(x, [{"grp": g, "side": s} for g, s in own]) for x, own in enumerate(groups)], "leaf int, deal array<struct<grp:int,side:int>>")
-    leafed = uniq.join(F.broadcast(lookup), prefix == F.col("p")).join(F.broadcast(deal), "leaf")
-    dealt = leafed.select("fp", F.explode("deal").alias("to")).select("to.grp", "to.side", "fp")
-    return dealt.groupBy("grp").applyInPandas(lambda pdf: _forest(pdf, budget), "u long, v long")
+    left, done = uniq.select("fp", F.lit(-1).cast("long").alias("mask"), F.lit(0).cast("long").alias("grp")), []
+    for turn in range(rounds):
+        dealt = _dealt(left, budget)
+        if turn == rounds - 1:
+            done.append(dealt.select("fp", "grp"))
+            break
+        large = small(materialize(dealt.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("grp")), 300_000)
+        if large.isEmpty():
+            done.append(dealt.select("fp", "grp"))
+            break
+        done.append(dealt.join(large, "grp", "left_anti").select("fp", "grp"))
+        left = materialize(dealt.join(large, "grp", "left_semi"))
+    rows = union_all(done)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def forest(fp: np.ndarray, grp: np.ndarray) -> pa.RecordBatch:
+            u, v = _forest(fp.view(np.uint64), grp, budget)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += len(batch)
+            if n >= BATCH:
+                fp, grp = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(grp, grp[-1]))  # the last group may go on
+                if cut:
+                    yield forest(fp[:cut], grp[:cut])
+                held, n = [(fp[cut:], grp[cut:])], len(fp) - cut
+        if n:
+            yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(walk, "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
