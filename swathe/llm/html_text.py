@@ -3,8 +3,8 @@
 Pass 1 hashes the subtree of every block element in the content of every page and counts per host among how many different contents
 each one stands. Its context on a page are the two longest blocks outside it, so copies of a page, near ones too, count once and what is copied with
 its surroundings is no template. Pass 2 parses each page again and deletes
-what the page itself marks as no content (by element, role, class or id) and the subtrees that recur across many pages of
-its host. Each recurring subtree is judged by itself: it goes only if it is 30 % of the content at most, half of it on pages without article or main,
+what the page itself marks as no content (by element, role, or the words of a class name or id) and the subtrees that recur across many pages of
+its host. Which article or main element is the content is told by the amounts of text. Each recurring subtree is judged by itself: it goes only if it is 30 % of the content at most, half of it on pages without article or main,
 and a page is never emptied. A template among whose surroundings the two longest blocks are templates too is not told from a copy. Blocks come in page order, one line each.
 
 Defined cases: null or empty html gives empty text; a null url has no host and no template. Repeated rows each give a row (and count as one
@@ -36,15 +36,28 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = set("script style noscript template head title nav footer aside form button select textarea input iframe svg canvas object menu dialog noframes header".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# words in class or id that mark what is not the article
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|aside|nav\w*|menu\w*|breadcrumbs?|crumbs|header|masthead|footer|foot|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|comments?|commentlist|reply|replies|disqus|respond|skip|hidden)(?=$|[\s_-])",
-    re.I,
+#: elements that never hold text of the page
+HARD = set("script style noscript template head title textarea select button input iframe svg canvas object noframes".split())
+#: words in a class or id that mark what is not the article, wherever they stand in its name, and those that do so as its last word or its only one
+MARKS = set(
+    "ad ads adbox adsense adslot banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs crumbs masthead cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing shares social"
+    " related widget widgets toolbar pagination pager comment comments commentlist reply replies disqus respond popup modal overlay notice notices alert skip skiplink".split()
 )
+STEMS = ("advert", "sponsor", "promo", "recommend")
+LAST = set("header footer foot side aside hidden".split())
+#: first words of names that tell a state, and of names of the article's own parts
+STATES = set("has no not with without is are show shows hide hides js can uses supports enable disable".split())
+PARTS = set("entry post article story content text section chapter page main body title".split())
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+FLOW = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
+CONTENT = set("content main main-content page-content".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "caption"}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 WHOLE = {"html", "body", "main", "article"}
+HOST_PARTS = 32
+#: of the text beside a marked element without which the page would have nothing, of the largest article for one to belong to the text, and of a main for its articles to stand for it
+REST, LEAST_ARTICLE, MOST_OF_MAIN = 0.2, 0.25, 0.6
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, int]], list[list]]:
@@ -113,20 +126,62 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], list[list]]:
     return nodes, items
 
 
-def kept(nodes: list[tuple[str, str, int]]) -> list[bool]:
-    """Per node whether neither it nor an ancestor is marked as no content."""
-    ok = [True] * len(nodes)
-    inside = [False] * len(nodes)  # an article or main, in which a header is that of the article
-    for k in range(1, len(nodes)):
+def is_mark(name: str) -> bool:
+    """Whether a class or an id names something that is not the article: by its words, not by a state or as a part of the article."""
+    words = [w.lower() for w in NAMES.findall(name)]
+    if not words or words[0] in STATES:
+        return False
+    if any(w in MARKS or w.startswith(STEMS) for w in words):
+        return True
+    return words[-1] in LAST and not (len(words) > 1 and words[0] in PARTS and words[-1] == "header")
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)}
+
+
+def kept(nodes: list[tuple[str, str, int]], items: list[list]) -> list[bool]:
+    """Per node whether neither it nor an ancestor is marked as no content.
+
+    A marked element stays if nothing else would be left: if it holds every article and main of the page, or, on a page without these, if
+    less than a fifth of the text stands outside marked elements.
+    """
+    n = len(nodes)
+    hard, marked, flow, inside = [False] * n, [False] * n, [False] * n, [False] * n
+    holder = [0] * n  # how many unmarked articles and mains below, itself included
+    size = [0] * n
+    for k in range(1, n):
         tag, attrs, parent = nodes[k]
         inside[k] = inside[parent] or tag in ("article", "main")
-        ok[k] = ok[parent] and not (tag in DROP and not (tag == "header" and inside[parent]))
-        if ok[k] and attrs and tag not in ("html", "body", "main"):
-            for m in ATTR.finditer(attrs):
-                name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-                if name in ("class", "id") and MARKS.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                    ok[k] = False
-                    break
+        flow[k] = flow[parent] or tag in FLOW
+        hard[k] = hard[parent] or tag in HARD
+        mark = tag in DROP and not (tag == "header" and inside[parent])
+        if not mark and attrs and tag not in ("html", "body") and not (tag in INLINE and flow[parent]):
+            a = _attributes(attrs)
+            names = a.get("class", "").split() + [a.get("id", "")]
+            mark = any(map(is_mark, names)) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        marked[k] = mark
+    for k in range(n - 1, 0, -1):
+        if not hard[k]:
+            tag, _, parent = nodes[k]
+            size[k] += sum(len(x.strip()) for x in items[k] if isinstance(x, str))
+            size[parent] += size[k]
+            holder[k] += tag in ("article", "main") and not marked[k]
+            holder[parent] += holder[k]
+    outside = size[0] + sum(len(x.strip()) for x in items[0] if isinstance(x, str))
+    free = outside
+    below = [False] * n  # in a marked element
+    for k in range(1, n):
+        below[k] = below[nodes[k][2]]
+        if marked[k] and not below[k]:
+            below[k] = True
+            free -= size[k]
+    ok = [True] * n
+    for k in range(1, n):
+        if not ok[nodes[k][2]] or hard[k]:
+            ok[k] = False
+        elif marked[k]:
+            ok[k] = holder[k] == holder[0] if holder[0] else 0 < size[k] and free < REST * outside and size[k] > 0.5 * outside
     return ok
 
 
@@ -144,20 +199,38 @@ def hashes(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool])
     return out
 
 
-def roots(nodes: list[tuple[str, str, int]], ok: list[bool]) -> list[int]:
-    """The nodes that hold the content: outermost articles, else main elements, else the whole page."""
-    for tag in ("article", "main"):
-        own = [k for k, n in enumerate(nodes) if n[0] == tag and ok[k]]
-        if own:
-            inner = set()
-            for k in own:
-                p = nodes[k][2]
-                while p > 0 and nodes[p][0] != tag:
-                    p = nodes[p][2]
-                if p > 0:
-                    inner.add(k)
-            return [k for k in own if k not in inner]
-    return [0]
+def roots(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool]) -> list[int]:
+    """The nodes that hold the content, by their amount of text: articles if they make most of the main element, or there is none; else main, else what is named content; else the whole page.
+
+    Of several articles those with a quarter of the largest one's text or more belong to the content: less is a teaser.
+    """
+    size = [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        if ok[k]:
+            size[k] += sum(len(x.strip()) for x in items[k] if isinstance(x, str))
+            if k:
+                size[nodes[k][2]] += size[k]
+
+    def outermost(test) -> list[int]:
+        below, out = [False] * len(nodes), []
+        for k in range(1, len(nodes)):
+            below[k] = below[nodes[k][2]]
+            if ok[k] and not below[k] and size[k] and test(*nodes[k][:2]):
+                below[k] = True
+                out.append(k)
+        return out
+
+    role = lambda attrs: _attributes(attrs).get("role", "").lower() if "role" in attrs.lower() else ""
+    articles = outermost(lambda tag, attrs: tag == "article" or role(attrs) == "article")
+    mains = outermost(lambda tag, attrs: tag == "main" or role(attrs) == "main")
+    large = [k for k in articles if size[k] >= LEAST_ARTICLE * max(size[x] for x in articles)]
+    if mains and (not large or sum(size[k] for k in large) < MOST_OF_MAIN * sum(size[k] for k in mains)):
+        return mains
+    if large:
+        return large
+    named = outermost(lambda _, attrs: bool(attrs) and bool(CONTENT.intersection([*(a := _attributes(attrs)).get("class", "").lower().split(), a.get("id", "").lower()])))
+    named = [k for k in named if size[k] > 0.5 * size[0]]
+    return named or [0]
 
 
 def blocks(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool], root: int) -> list[tuple[str, int]]:
@@ -206,9 +279,10 @@ def blocks(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool],
 
 def spans(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool]) -> tuple[list[tuple[str, int]], dict[int, list[int]]]:
     """The content's blocks, and per block element that holds some of them (itself no article, main, body or html) their numbers."""
-    lines = [x for r in roots(nodes, ok) for x in blocks(nodes, items, ok, r)]
+    tops = roots(nodes, items, ok)
+    lines = [x for r in tops for x in blocks(nodes, items, ok, r)]
     inside: dict[int, list[int]] = {}
-    top = set(roots(nodes, ok))
+    top = set(tops)
     for n, (_, k) in enumerate(lines):
         depth = 0
         while k > 0 and k not in top and depth < 200:  # a wrapper further out is no template
@@ -241,19 +315,19 @@ def contexts(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool
 def extract(page: str, templates: set[int], most: float = 0.3, most_plain: float = 0.5) -> str:
     """The main text of a page, given the hashes of its host's templates."""
     nodes, items = parse(page)
-    ok = kept(nodes)
+    ok = kept(nodes, items)
     lines, gone = None, set()
     if templates:
         lines, inside = spans(nodes, items, ok)
         h = hashes(nodes, items, ok)
-        total = sum(len(t) for t, _ in lines) * (most_plain if roots(nodes, ok) == [0] else most)
+        total = sum(len(t) for t, _ in lines) * (most_plain if roots(nodes, items, ok) == [0] else most)
         for k, own in inside.items():
             if h[k] in templates and sum(len(lines[n][0]) for n in own) <= total:
                 gone.update(own)
         if len(gone) == len(lines):
             gone = set()
     else:
-        lines = [x for r in roots(nodes, ok) for x in blocks(nodes, items, ok, r)]
+        lines = [x for r in roots(nodes, items, ok) for x in blocks(nodes, items, ok, r)]
     return "\n".join(t for n, (t, _) in enumerate(lines) if n not in gone)
 
 
@@ -279,7 +353,7 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 if not host:
                     continue
                 nodes, items = parse(page if isinstance(page, str) else "")
-                own = contexts(nodes, items, kept(nodes))
+                own = contexts(nodes, items, kept(nodes, items))
                 hosts += [host] * len(own)
                 found += own  # hash 0 counts the different contents
             yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "hash": pd.Series([x for x, _ in found], dtype="int64"), "context": pd.Series([x for _, x in found], dtype="int64")})
@@ -297,7 +371,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     templates = materialize(site_templates(pages, url_col, html_col))
     host = F.translate(F.regexp_extract(F.col("url"), r"^[\s\S]*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
-    joined = base.join(small(templates, 50_000), "host", "left").select("id", "url", "html", "templates")
+    known = small(templates, 50_000)
+    if known is templates:
+        # too many to send to all: hosts are dealt in parts, as one may hold a third of the pages
+        base = base.withColumn("part", F.pmod(F.xxhash64("id", "url"), F.lit(HOST_PARTS)))
+        known = templates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOST_PARTS - 1).cast("long"))))
+    joined = base.join(known, ["host", "part"] if "part" in base.columns else "host", "left").select("id", "url", "html", "templates")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
