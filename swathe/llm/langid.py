@@ -3,7 +3,10 @@
 For each row: log P(text | language) from hashed byte trigrams (naive Bayes, fitted on a bounded sample of rows with a declared
 language, tempered so that a text counts as ``EVIDENCE`` trigrams at most), plus log P(declared markup language | language), plus
 log P(language | host). The host prior is smoothed by its address suffix, and that by the corpus. All three tables are grouped counts
-over every row, made from the rows whose text alone is decisive. Missing evidence counts as none.
+over every row, made from the rows whose text alone is decisive. Missing evidence counts as none. A row's own declared language never
+shapes its text evidence: there are two sets of trigram counts, of two halves of the rows by hash, and each half is judged by the other's.
+
+The suffix of a host is what follows its last dot; bare names without one (``src12``) are grouped by what is left without the digits at their end.
 
 A row is rejected if it has no letters or its best language has a posterior under ``least``.
 
@@ -22,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, small, small_batches, table
+from .common import as_text, materialize, row_hash, small, small_batches, table
 
 SAMPLE_ROWS = 4000
 BINS = 1 << 16
 EVIDENCE = 60
-SCHEMA = "key long, id {id}, declared string, host string, suffix string, loglik array<double>, letters long"
+SCHEMA = "key long, id string, declared string, host string, suffix string, loglik array<double>, letters long"
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -39,33 +42,57 @@ def trigrams(text: str) -> np.ndarray:
     return ((g ^ (g >> np.uint32(15))) & np.uint32(BINS - 1))[(b[:-2] != 32) | (b[1:-1] != 32)]
 
 
+def _hash(text: Column, order: Column) -> Column:
+    return F.xxhash64(order.cast("string"), text)
+
+
 def fit(docs: DataFrame, text: Column, declared: Column, order: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and a (bins, languages) table of log probabilities, from ``sample_rows`` rows at most (least hash first)."""
-    known = docs.select(text.alias("text"), declared.alias("lang"), F.xxhash64(order.cast("string"), text).alias("h")).filter("lang is not null and lang <> '' and text is not null")
-    # the bound comes from the hashes alone, so only the sample's texts are sent
+    """Languages and a (2, bins, languages) table of log probabilities, one for each half of the rows, from the ``sample_rows`` rows of least hash (and those of the same hash as the last).
+
+    Trigrams are counted where the texts are; only sums by half, language and bin come to the driver.
+    """
+    small_batches(docs.sparkSession)
+    known = docs.select(text.alias("text"), declared.alias("lang"), _hash(text, order).alias("h")).filter("lang is not null and lang <> '' and text is not null")
     last = known.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    rows = known.filter(F.col("h") <= F.lit(0 if last is None else last)).limit(2 * sample_rows).toPandas()
-    langs = sorted(rows.lang.unique())
-    counts = np.full((BINS, max(1, len(langs))), 0.1)
-    for i, lang in enumerate(langs):
-        for t in rows.text[rows.lang == lang]:
-            counts[:, i] += np.bincount(trigrams(t), minlength=BINS) / max(1.0, len(t) / 2000)
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    sample = known.filter(F.col("h") <= F.lit(0 if last is None else last)).select("text", "lang", F.col("h").bitwiseAND(F.lit(1)).cast("int").alias("half"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (lang, half), own in pdf.groupby(["lang", "half"]).text:
+                sums = np.zeros(BINS)
+                for t in own:
+                    sums += np.bincount(trigrams(t), minlength=BINS) / max(1.0, len(t) / 2000)
+                bins = np.flatnonzero(sums)
+                yield pd.DataFrame({"lang": lang, "half": half, "bin": bins.astype(np.int32), "n": sums[bins]})
+
+    got = sample.mapInPandas(count, "lang string, half int, bin int, n double").groupBy("lang", "half", "bin").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(got.lang.unique())
+    counts = np.full((2, BINS, max(1, len(langs))), 0.1)
+    counts[got.half, got.bin, np.searchsorted(langs, got.lang) if langs else got.bin] += got.n
+    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def suffix_of(host: Column) -> Column:
+    """The group of a host: its last label, or a bare name without the digits at its end; null without a host."""
+    bare = F.regexp_replace(host, "[0-9]+$", "")
+    return F.when(host.contains("."), F.substring_index(host, ".", -1)).when(bare != "", bare)
 
 
 def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: dict[str, Column], key: Column) -> DataFrame:
     """One slim row per row of ``docs``: key, id, declared, host, suffix, tempered log likelihoods, number of letter trigrams."""
     langs, logs = model
     small_batches(docs.sparkSession)
-    base = docs.select(key.alias("key"), columns["id"].alias("id"), columns["declared"].alias("declared"), columns["host"].alias("host"), columns["text"].alias("text"))
-    base = base.withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
+    half = _hash(columns["text"], columns["id"]).bitwiseAND(F.lit(1)).cast("int")
+    base = docs.select(key.alias("key"), as_text(columns["id"]).alias("id"), columns["declared"].alias("declared"), columns["host"].alias("host"), columns["text"].alias("text"), half.alias("half"))
+    base = base.withColumn("suffix", suffix_of(F.col("host")))
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logp = shared.value
+        both = shared.value
         for pdf in batches:
             loglik, letters = [], []
-            for t in pdf.text:
+            for t, h in zip(pdf.text, pdf.half, strict=True):
+                logp = both[1 - h]  # counted on the other half
                 g = trigrams(t) if isinstance(t, str) else np.zeros(0, np.uint32)
                 total = np.zeros(logp.shape[1])
                 for i in range(0, len(g), 1 << 16):
@@ -75,8 +102,8 @@ def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], columns:
                 letters.append(len(g))
             yield pd.DataFrame({"key": pdf.key, "id": pdf.id, "declared": pdf.declared, "host": pdf.host, "suffix": pdf.suffix, "loglik": loglik, "letters": letters})
 
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInPandas(run, SCHEMA.format(id=kind))
+    kind = docs.select(columns["id"].alias("id")).schema[0].dataType
+    return base.mapInPandas(run, SCHEMA).withColumn("id", F.col("id").cast(kind))
 
 
 def fuse(rows: DataFrame, langs: list[str], alpha: float = 20.0, beta: float = 20.0, gamma: float = 10.0, decisive: float = 3.0, least: float = 0.5) -> DataFrame:
