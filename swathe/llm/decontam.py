@@ -25,14 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_hash, small, small_batches, table
+from .common import as_text, row_hash, small, small_batches, table, typed_id
 
 Q, RATE = 10, 0.06
 WINDOW, STEP = 100, 50
 BLOCK_CHARS = 20_000_000
 BASE = 0x9E3779B97F4A7C15
+SLICE = 1 << 20  # postings
 SHIFT = 1 << 20  # bands are numbered from here, as diagonals may be negative
-SCHEMA = "id {id}, item_id long, start long, stop long, edits int"
+SCHEMA = "id string, item_id long, start long, stop long, edits int"
 
 
 def codes(text: str) -> np.ndarray:
@@ -136,12 +137,16 @@ class Items:
         if not len(self.keys) or len(kept) < self.least[self.least > 0].min(initial=1 << 40):
             return np.zeros((0, 2), np.int64)
         counted = []
-        for a in range(0, len(kept), 1 << 18):  # postings of a slice of places at a time
-            s = slice(a, a + (1 << 18))
-            hit = kept[s]
-            k = np.minimum(np.searchsorted(self.keys, g[s]), len(self.keys) - 1)
-            true = self.keys[k] == g[s]
-            hit, k = hit[true], k[true]
+        every = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        true = self.keys[every] == g
+        kept, every = kept[true], every[true]
+        # postings of some places at a time, by their number: many items may share a q-gram
+        ends = np.cumsum(self.count[every])
+        a = 0
+        while a < len(kept):
+            s = slice(a, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right"))))
+            a = s.stop
+            hit, k = kept[s], every[s]
             n = self.count[k]
             x = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             item = self.item[x].astype(np.int64)
@@ -212,17 +217,17 @@ def search(items: Items, parts: Items, text: str) -> list[tuple[int, int, int, i
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item_id, start, stop, edits): each match of a benchmark item in ``docs``.
 
-    Items go to the executors in blocks of ``block_chars`` characters at most (one item may be longer), one pass over
+    Items go to the executors in blocks of about ``block_chars`` characters (one item may be longer), one pass over
     the documents for each block, so what is broadcast is bounded at any size of the benchmark.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    ahead = F.sum(F.length("text")).over(_by_item())
-    sized = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").withColumn("block", (ahead / block_chars).cast("int"))
-    blocks = [r[0] for r in sized.select("block").distinct().orderBy("block").collect()]
-    schema = SCHEMA.format(id=kind)
-    out = spark.createDataFrame([], schema)
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
+    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    # by hash, so blocks are of like size at any order of the items
+    blocks = range(-(-chars // block_chars))
+    sized = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, len(blocks)))).cast("int"))
+    out = spark.createDataFrame([], SCHEMA)
     for b in blocks:
         rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in sized.filter(F.col("block") == b).select("item_id", "text").collect()])
 
@@ -230,16 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             items, parts = Items(rows.value, q, rate), Items(windows(rows.value), q, rate)
             for pdf in batches:
                 got = [(i, *m) for i, t in zip(pdf.id, pdf.text, strict=True) if isinstance(t, str) and t for m in search(items, parts, t)]
-                yield pd.DataFrame(got, columns=["id", "item_id", "start", "stop", "edits"])
+                yield pd.DataFrame(got, columns=["id", "item_id", "start", "stop", "edits"]).assign(item_id=pd.array([m[1] for m in got], "Int64"))
 
-        out = out.unionByName(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(find, schema))
-    return out
-
-
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.unionByName(docs.select(as_text(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(find, SCHEMA))
+    return typed_id(out, docs, id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
