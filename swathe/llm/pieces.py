@@ -6,7 +6,7 @@ the end, which yields segmentations best first and never one that is not among t
 the lattice of a text is a chain of word lattices: a word's n best are found once and kept, and the n best of the
 text are found by a best-first search over the chain that leaves the best segmentation in a few words only.
 
-Normal form, as the models say: a space is U+2581, and one is put before the text. A character without a piece of its
+``load`` refuses a model with a piece that crosses a word start. Normal form, as the models say: a space is U+2581, and one is put before the text. A character without a piece of its
 own becomes its UTF-8 byte pieces; such an edge costs ``UNKNOWN`` below the least score. Decoding undoes all this, so
 decode(encode(text)) is the text, but that U+2581 becomes a space.
 
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import as_text, small_batches, table, typed_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -57,6 +57,8 @@ def load(model: str | bytes = MODEL) -> dict:
             other.append(i)
         else:
             pieces[sp.id_to_piece(i)] = (i, sp.get_score(i))
+    if across := [p for p in pieces if SPACE in p.lstrip(SPACE)]:
+        raise ValueError(f"{len(across)} pieces of the model cross a word's start, like {across[0]!r}: texts can't be cut at words")
     return {"pieces": pieces, "bytes": [raw.get(b, sp.unk_id()) for b in range(256)], "skip": other}
 
 
@@ -378,8 +380,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(load(model))
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_pieces long, score double, sha256 string, nbest array<struct<score:double,n_pieces:long,sha256:string>>, decoded boolean" + (", ids array<int>" if with_ids else "")
+    schema = "id string, n_pieces long, score double, sha256 string, nbest array<struct<score:double,n_pieces:long,sha256:string>>, decoded boolean" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seg = Segmenter(vocab.value, n)
@@ -400,7 +401,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     rows.append([*row, np.frombuffer(best, "<i4")] if with_ids else row)
                 yield pd.DataFrame(rows, columns=["id", "n_pieces", "score", "sha256", "nbest", "decoded", *(["ids"] if with_ids else [])])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    got = docs.select(as_text(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return typed_id(got, docs, id_col)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

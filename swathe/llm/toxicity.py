@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import as_text, small_batches, table, typed_id
 
 SAMPLE_ROWS = 6000
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9'][^\W\d_]+)*")
@@ -281,7 +281,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def score(docs: DataFrame, model: tuple[dict[str, float], dict[str, int], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, matches) of every row."""
     small_batches(docs.sparkSession)
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, clean, weights = model
@@ -292,7 +291,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], dict[str, int], list[f
             z = np.clip(x @ w[:-1] + w[-1], -30, 30)
             yield pd.DataFrame({"id": pdf.id, "score": 1 / (1 + np.exp(-z)), "quoted": x[:, 2] > 0, "misspelled": x[:, 1] > 0})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double, quoted boolean, misspelled boolean")
+    got = docs.select(as_text(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, score double, quoted boolean, misspelled boolean")
+    return typed_id(got, docs, id_col)
 
 
 def is_held_out(doc_id: int) -> bool:

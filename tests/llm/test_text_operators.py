@@ -121,7 +121,7 @@ def test_nbest_by_enumeration(vocab, n):
         assert all(seg.decode(i) == text for i in ids)
 
 
-def test_best_equals_library_on_long_words(vocab):
+def test_words_equal_the_search_over_the_whole(vocab):
     seg = pieces.Segmenter(vocab, 3)
     r = random.Random(3)
     words = ["".join(r.choice("thernioséß.,\n") for _ in range(r.randint(1, 40))) for _ in range(300)] + ["a" * 700, "ab" * 400]
@@ -387,10 +387,46 @@ def test_chain_becomes_one_component(spark):
     assert got == {k + 1: 0 for k in range(n)} | {201: 200} and len(values) == n
 
 
-def test_leaves_split_dense_prefixes():
-    counts = {5: 10_000, 6: 9_000, 40_000: 3}
-    leaves = simhash._leaves(counts, 9_500)
-    assert (16, 5) in leaves and all(any(p >> (16 - d) == x for d, x in leaves) for p in counts)
+@pytest.mark.parametrize("most", [3, 1000])
+def test_links_equal_all_pairs(spark, most, monkeypatch):
+    """Groups of any size, dealt again and again or not, and batches cut anywhere give the same components."""
+    monkeypatch.setattr(simhash, "BATCH", 50)
+    r = np.random.default_rng(9)
+    x = r.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2)
+    for _ in range(3):
+        flips = sum(np.uint64(1) << r.integers(0, 64, len(x)).astype(np.uint64) for _ in range(2))
+        x = np.concatenate((x, x ^ flips))
+    x = np.unique(np.concatenate((x, np.array([0, (1 << 64) - 1, 1 << 63], np.uint64))))
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    root = {row.node: row.root for row in simhash.components(simhash.links(df, 4, most)).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    comp = brute_components(list(range(len(x))), [int(v) for v in x])
+    for i, v in enumerate(x.view(np.int64).tolist()):
+        got[root.get(v, v)].add(i)
+        want[comp[i]].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_blocks_part_all_bits():
+    for mask in (simhash.MASK, 0xFFFF00FF, 0b1011, 0):
+        parts = simhash.blocks(mask, 5)
+        assert sum(parts) == mask and len(parts) == 5
+
+
+def test_large_ids_beside_nulls(spark, tables):
+    """One null id in a batch must leave the others exact."""
+    big = 1152921504606846977
+    texts = [LANGS["en"] + " idiot", LANGS["en"], prose(5, 30)]
+    documents = [(big, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1), (big + 2, texts[2], "en", "s", 1), (20 * 57646075230342349, texts[0], "en", "s", 1)]
+    ids = sorted(str(d[0]) for d in documents)
+    folder = tables(documents=documents, labels=[(big, 1, 1)], benchmark=[(big, prose(5, 30)), (None, texts[1])])
+    read = spark.read.parquet(folder + "/documents.parquet")
+    for got in (pieces.op2_pieces(spark, folder), langid.op8_language(spark, folder), toxicity.op10_toxicity(spark, folder), simhash.op5_simhash(spark, folder), secrets.op6_secrets(spark, folder)):
+        assert sorted(str(x.doc_id) for x in got.collect()) == ids
+    assert sorted(str(x.id) for x in bm25.bags(read, "doc_id", "text").collect()) == ids
+    found = {(x.doc_id, x.item_id) for x in decontam.op9_decontamination(spark, folder).collect()}
+    assert {(big + 2, big), (None, None)} <= found
+    assert {x.doc_id for x in bm25.search(read, bm25.F.col("query") % 20 == 0).select(bm25.F.col("id").alias("doc_id")).collect()} == {big, None, big + 2, 20 * 57646075230342349} - ({big + 2} if not set(texts[2].split()) & set(texts[0].split()) else set())
 
 
 # --- 6 secrets
@@ -471,6 +507,52 @@ def test_url_rules_are_mined(spark, tables):
     assert got[500] == "block" and got[501] == "allow" and all(got[i] == "block" for i in range(40))
 
 
+def brute_rules(labelled, support, lift, least=5, z=1.645):
+    """All rules by enumeration of the token sets of every row."""
+    total, blocked = len(labelled), sum(y for _, y in labelled)
+    base, need = blocked / total, max(support * total, least)
+    rows_of = defaultdict(frozenset)
+    for k, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            rows_of[t] |= {k}
+    by_rows = defaultdict(list)
+    for t, own in rows_of.items():
+        if need - 1e-9 <= len(own) < total:
+            by_rows[own].append(t)
+    names = {min(own) for own in by_rows.values()}
+    sets = {c for tokens, _ in labelled for n in range(1, 9) for c in itertools.combinations(sorted(names.intersection(tokens)), n)}
+    found = {}
+    for c in sets:
+        own = [y for tokens, y in labelled if set(c) <= set(tokens)]
+        n, p = len(own), sum(own) / len(own)
+        low = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        if sum(own) >= need - 1e-9 and p >= min(1, lift * base) - 1e-12 and low > base:
+            found[c] = p
+    return {c: p for c, p in found.items() if not any(found.get(c[:i] + c[i + 1 :], -1) >= p for i in range(len(c)))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_by_enumeration(spark, seed):
+    r = random.Random(seed)
+    labelled = []
+    for _ in range(160):
+        tokens = [t for t in "abcdefg" if r.random() < 0.5] + ["same", "always"][: 1 + (r.random() < 2)]
+        tokens += ["twin"] if "a" in tokens else []
+        labelled.append((tokens, r.random() < (0.7 if {"a", "b"} <= set(tokens) else 0.5 if "c" in tokens else 0.1)))
+    got = url_rules.mine(spark.createDataFrame(labelled, "tokens array<string>, blocked boolean"), 0.002).collect()
+    want = brute_rules(labelled, 0.002, 1.5)
+    assert want and {tuple(x.tokens): round(x.confidence, 9) for x in got} == {c: round(p, 9) for c, p in want.items()}
+    base = sum(y for _, y in labelled) / len(labelled)
+    assert all(abs(x.lift - x.confidence / base) < 1e-9 for x in got)
+
+
+def test_url_rules_run_no_python(spark, tables):
+    pages = [(i, f"http://m.{'casino' if i < 40 else 'news'}.fr/{i}", "") for i in range(80)]
+    labels = [(i, int(i >= 40), 0) for i in range(80)]
+    plan = url_rules.op7_url_rules(spark, tables(pages=pages, labels=labels))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 # --- 8 language ID
 
 
@@ -495,6 +577,63 @@ def test_language(spark, tables):
     assert langid.op8_language(spark, tables(documents=[])).count() == 0
 
 
+def brute_posteriors(documents):
+    """Each row's languages and posteriors by plain arithmetic, from the texts up."""
+    import xxhash as xx
+
+    def half(i, t):  # as the columns' hash: seed 42, one value after the other, nulls left out
+        h = 42
+        for v in (None if i is None else str(i), t):
+            if v is not None:
+                h = xx.xxh64_intdigest(v.encode(), h)
+        return h & 1
+
+    langs = sorted({x for _, t, x, *_ in documents if x and t is not None})
+    counts = np.full((2, langid.BINS, len(langs)), 0.1)
+    for i, t, x, *_ in documents:
+        if x and t is not None:
+            counts[half(i, t), :, langs.index(x)] += np.bincount(langid.trigrams(t), minlength=langid.BINS) / max(1, len(t) / 2000)
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    lik, best = [], []
+    for i, t, *_ in documents:
+        g = langid.trigrams(t) if t is not None else np.zeros(0, int)
+        x = logs[1 - half(i, t)][g].sum(axis=0, dtype=float) * min(1, langid.EVIDENCE / max(1, len(g)))
+        x -= x.max()
+        lik.append(x if len(g) else None)
+        best.append(int(np.argmax(x)) if len(g) and sorted(x)[-2] < -3 else None)
+    suffix = lambda h: None if h is None else h.rsplit(".", 1)[1] if "." in h else re.sub("[0-9]+$", "", h) or None
+    n = lambda test: np.array([sum(b == k and test(d) for b, d in zip(best, documents, strict=True)) for k in range(len(langs))], float)
+    overall = (n(lambda d: True) + 1) / (n(lambda d: True).sum() + len(langs))
+    kinds = {d[2] for b, d in zip(best, documents, strict=True) if b is not None and d[2]}
+    tallied = sum(n(lambda d, k=k: d[2] == k) for k in kinds)
+    hosts = {d[3] for b, d in zip(best, documents, strict=True) if b is not None and d[3] is not None}
+    out = []
+    for d, x in zip(documents, lik, strict=True):
+        score = np.zeros(len(langs)) if x is None else x.copy()
+        if d[3] in hosts:
+            s = n(lambda e: e[3] is not None and suffix(e[3]) == suffix(d[3])) if suffix(d[3]) is not None else np.zeros(len(langs))
+            by_suffix = (s + 20 * overall) / (s.sum() + 20)
+            h = n(lambda e: e[3] == d[3])
+            score += np.log((h + 20 * by_suffix) / (h.sum() + 20))
+        else:
+            score += np.log(overall)
+        if d[2] in kinds:
+            score += np.log((n(lambda e: e[2] == d[2]) + 10 / len(kinds)) / (tallied + 10))
+        p = 1 / np.exp(score - score.max()).sum()
+        out.append((d[0], langs[int(np.argmax(score))] if x is not None and round(p, 6) >= 0.5 else None, p))
+    return out
+
+
+def test_posteriors_by_brute_force(spark, tables):
+    r = random.Random(18)
+    mixed = [(1000 + i, " ".join(r.choices((LANGS["de"] + " " + LANGS["en"]).split(), k=r.randint(1, 9))), r.choice(["de", "en", None, ""]), r.choice(["src1", "src22", "a.de", "b.de", "new.org", None, "7"]), 1) for i in range(60)]
+    documents = language_docs() + mixed + [(2000, None, "en", "src1", 0), (2001, " 1 ", "en", "a.de", 0), (None, LANGS["fr"], "fr", "src1", 1)]
+    got = sorted(((x["doc_id"], x["lang"], round(x["posterior"], 4)) for x in rows(langid.op8_language(spark, tables(documents=documents)))), key=str)
+    want = sorted(((i, x, round(p, 4)) for i, x, p in brute_posteriors(documents)), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 2e-4 for a, b in zip(got, want, strict=True))
+
+
 def test_host_prior_decides_short_texts(spark, tables):
     documents = language_docs()
     # letters that no language has seen: the host and the declared language decide
