@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,18 +39,33 @@ def inside_box(x: Column, y: Column, cx: Num, cy: Num, rx: Num, ry: Num | None =
     return (x > cx - rx) & (x < cx + rx) & (y > cy - ry) & (y < cy + ry)
 
 
+def in_limits(at: tuple, box: tuple, tol: float = 0.0) -> Column:
+    """Whether a point (x, y) or (x, y, z) lies in the open box (least ..., greatest ...), the whole box moved up by ``tol``."""
+    n = len(at)
+    return reduce(Column.__and__, [(num(v) - num(box[k]) > tol) & (num(v) - num(box[n + k]) < tol) for k, v in enumerate(at)])
+
+
 def inside_box3(x: Column, y: Column, z: Column, cx: Num, cy: Num, cz: Num, r: Num) -> Column:
     return inside_box(x, y, cx, cy, r) & (z > num(cz) - num(r)) & (z < num(cz) + num(r))
 
 
-def box_overlap(a: tuple, b: tuple) -> Column:
-    """Closed boxes (xmin, ymin, xmax, ymax): touching ones overlap."""
-    return (num(a[0]) <= num(b[2])) & (num(a[2]) >= num(b[0])) & (num(a[1]) <= num(b[3])) & (num(a[3]) >= num(b[1]))
+def box_overlap(a: tuple, b: tuple, tol: float = 0.0) -> Column:
+    """Closed boxes (xmin, ymin, xmax, ymax) or (xmin, ymin, zmin, xmax, ymax, zmax): touching ones overlap.
 
+    With ``tol`` b's upper sides must be that far above a's lower ones, and its lower ones may be that far above a's upper ones.
+    """
+    n = len(a) // 2
+    if not tol:
+        return reduce(Column.__and__, [(num(a[k]) <= num(b[n + k])) & (num(a[n + k]) >= num(b[k])) for k in range(n)])
+    return reduce(Column.__and__, [(num(b[n + k]) - num(a[k]) >= tol) & (num(b[k]) - num(a[n + k]) <= tol) for k in range(n)])
 
-def box_within(a: tuple, b: tuple) -> Column:
-    """Box a within the closed box b."""
-    return (num(a[0]) >= num(b[0])) & (num(a[2]) <= num(b[2])) & (num(a[1]) >= num(b[1])) & (num(a[3]) <= num(b[3]))
+
+def box_within(a: tuple, b: tuple, tol: float = 0.0) -> Column:
+    """Box a within the closed box b, in two or three dimensions; with ``tol`` all sides of b count as that much higher."""
+    n = len(a) // 2
+    if not tol:
+        return reduce(Column.__and__, [(num(a[k]) >= num(b[k])) & (num(a[n + k]) <= num(b[n + k])) for k in range(n)])
+    return reduce(Column.__and__, [(num(a[n + k]) - num(b[n + k]) <= tol) & (num(a[k]) - num(b[k]) >= tol) for k in range(n)])
 
 
 def distance2(ax: Num, ay: Num, bx: Num, by: Num) -> Column:
@@ -61,24 +77,20 @@ def inside_circle(x: Column, y: Column, cx: Num, cy: Num, r: Num) -> Column:
     return distance2(x, y, cx, cy) < num(r) * num(r)
 
 
-def box_mindist2(x: Column, y: Column, box: tuple) -> Column:
-    """Squared distance of a point to a box, 0 inside."""
-    dx = F.greatest(num(box[0]) - x, x - num(box[2]), F.lit(0.0))
-    dy = F.greatest(num(box[1]) - y, y - num(box[3]), F.lit(0.0))
-    return dx * dx + dy * dy
-
-
-def box_minmaxdist2(x: Column, y: Column, box: tuple) -> Column:
-    """Least over the axes of the squared distance to the farther corner of the nearer face."""
-    def near(p: Column, lo: Column, hi: Column) -> Column:
-        return F.when(p <= (lo + hi) / 2, lo).otherwise(hi)
+def box_mindist2(x: Column, y: Column, box: tuple, z: Column | None = None) -> Column:
+    """Squared distance of a point to a box, 0 inside; with ``z`` the box has six sides (least ones first)."""
+    at = [x, y] if z is None else [x, y, z]
+    gaps = [F.greatest(num(box[k]) - v, v - num(box[len(at) + k]), F.lit(0.0)) for k, v in enumerate(at)]
+    return reduce(Column.__add__, [g * g for g in gaps])
 
-    def far(p: Column, lo: Column, hi: Column) -> Column:
-        return F.when(p >= (lo + hi) / 2, lo).otherwise(hi)
 
-    x0, y0, x1, y1 = map(num, box)
-    sq = lambda v: v * v
-    return F.least(sq(x - near(x, x0, x1)) + sq(y - far(y, y0, y1)), sq(y - near(y, y0, y1)) + sq(x - far(x, x0, x1)))
+def box_minmaxdist2(x: Column, y: Column, box: tuple, z: Column | None = None) -> Column:
+    """Least over the axes of the squared distance to the farthest corner of the nearer face; with ``z`` in three dimensions."""
+    at = [x, y] if z is None else [x, y, z]
+    sides = [(num(box[k]), num(box[len(at) + k])) for k in range(len(at))]
+    near = [v - F.when(v <= (lo + hi) / 2, lo).otherwise(hi) for v, (lo, hi) in zip(at, sides, strict=True)]
+    far = [v - F.when(v >= (lo + hi) / 2, lo).otherwise(hi) for v, (lo, hi) in zip(at, sides, strict=True)]
+    return F.least(*[reduce(Column.__add__, [d * d for d in [near[k], *[far[i] for i in range(len(at)) if i != k]]]) for k in range(len(at))])
 
 
 def on_range(v: Column, lo: Num, hi: Num) -> Column:
@@ -141,6 +153,11 @@ def moved(x: Num, y: Num, dx: Num, dy: Num, length: Num) -> tuple[Column, Column
     return num(x) + num(dx) / size * num(length), num(y) + num(dy) / size * num(length)
 
 
+def to_origin(at: tuple, origin: tuple) -> tuple[Column, ...]:
+    """A point's coordinates from ``origin``."""
+    return tuple(num(a) - num(o) for a, o in zip(at, origin, strict=True))
+
+
 def polar_pair(cx: Num, cy: Num, distance: Num, angle: float, side: float = 1.0) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
     """The points ``side`` to the left and to the right of the end of a ray."""
     c, s = math.cos(angle), math.sin(angle)
@@ -156,6 +173,23 @@ def segment_ends(cx: Num, cy: Num, dx: Num, dy: Num, half: Num) -> tuple[tuple[C
 # --- vectors
 
 
+def added(a: tuple, b: tuple) -> tuple[Column, ...]:
+    return tuple(num(u) + num(v) for u, v in zip(a, b, strict=True))
+
+
+def subtracted(a: tuple, b: tuple) -> tuple[Column, ...]:
+    return tuple(num(u) - num(v) for u, v in zip(a, b, strict=True))
+
+
+def scaled_by(a: tuple, factor: Num) -> tuple[Column, ...]:
+    return tuple(num(v) * num(factor) for v in a)
+
+
+def perpendicular(a: tuple) -> tuple[Column, Column]:
+    """A quarter turn to the left in the plane."""
+    return -num(a[1]), num(a[0])
+
+
 def dot(a: tuple, b: tuple) -> Column:
     out = num(a[0]) * num(b[0])
     for u, v in zip(a[1:], b[1:], strict=True):

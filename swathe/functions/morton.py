@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (shift, mask) steps that spread 16 bits to every second bit, and 21 bits to every third
-SPREAD2 = [(8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)]
-SPREAD3 = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
+def _steps(bits: int, gap: int) -> list[tuple[int, int]]:
+    """(shift, mask) steps that spread ``bits`` bits to every ``gap``-th: groups of bits are halved until each is one."""
+    out, size = [], 1 << (bits - 1).bit_length() >> 1
+    while size:
+        mask = sum(1 << (k // size * size * gap + k % size) for k in range(bits))
+        out.append((size * (gap - 1), mask))
+        size //= 2
+    return out
+
+
+SPREAD2, SPREAD3 = _steps(16, 2), _steps(21, 3)
 
 
 def _spread(v: Column, steps: list[tuple[int, int]]) -> Column:

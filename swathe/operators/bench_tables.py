@@ -14,13 +14,14 @@ def best_config(runs: DataFrame, keys: list[str], settings: list[str], time: str
 
 def best_optimization(runs: DataFrame, name: str, time: str) -> DataFrame:
     """The variant of the least mean time, one row."""
-    means = runs.groupBy(name).agg(F.avg(time).alias("mean"))
+    # decimals, so that the mean does not depend on the order of the sum
+    means = runs.groupBy(name).agg(F.avg(F.col(time).cast("decimal(20,10)")).cast("double").alias("mean"))
     return means.agg(F.min(F.struct("mean", name)).alias("m")).select(F.col(f"m.{name}").alias(name), F.col("m.mean").alias("mean"))
 
 
 def speedup_vs_baseline(runs: DataFrame, baseline: str, name: str, item: str, time: str) -> DataFrame:
     base = runs.filter(F.col(name) == baseline).select(item, F.col(time).alias("_base"))
-    return runs.join(F.broadcast(base), item).select(name, item, (F.col("_base") / F.col(time)).alias("speedup"))
+    return runs.join(base, item).select(name, item, (F.col("_base") / F.col(time)).alias("speedup"))
 
 
 def speedup_vs_previous(runs: DataFrame, order: str, name: str, item: str, time: str) -> DataFrame:
@@ -47,4 +48,4 @@ def cross_host_best(runs: DataFrame, host: str, name: str, time: str, variants:
     means = runs.groupBy(host, name).agg(F.avg(time).alias("mean"))
     pair = means.filter(F.col(name).isin(*variants))
     better = pair.groupBy(host).agg(F.min(F.struct("mean", name)).alias("m")).select(host, F.col(f"m.{name}").alias("_keep"))
-    return means.join(F.broadcast(better), host, "left").filter(~F.col(name).isin(*variants) | (F.col(name) == F.col("_keep"))).drop("_keep")
+    return means.join(better, host, "left").filter(~F.col(name).isin(*variants) | (F.col(name) == F.col("_keep"))).drop("_keep")

@@ -64,11 +64,12 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
 
 
 def eigen_normals(points: DataFrame, r: float) -> DataFrame:
-    """(id, nx, ny, nz): the upward normal of each point's neighbourhood in the box of half side r, itself included.
+    """(id, nx, ny, nz): the upward normal of each point's neighbourhood in the box of half side r, itself included; with n and the neighbourhood's
+    covariances xx, xy, xz, yy, yz, zz.
 
     The scatter sums are grouped in the JVM; only six numbers per point go to numpy, in batches. Under three neighbours there is no row.
     """
-    near = sj.spatial_join(points.select("id", "x", "y", "z"), points.select("id", "x", "y", "z"), r, residual=sj.within_z(r))
+    near = sj.spatial_join(points.select("id", "x", "y", "z"), points.select("id", "x", "y", "z"), r, rz=r)
     c = lambda a, b: F.covar_pop(f"t_{a}", f"t_{b}").alias(a + b)
     g = near.groupBy("id").agg(F.count("*").alias("n"), c("x", "x"), c("x", "y"), c("x", "z"), c("y", "y"), c("y", "z"), c("z", "z")).filter("n >= 3")
 
@@ -77,23 +78,9 @@ def eigen_normals(points: DataFrame, r: float) -> DataFrame:
             m = np.stack([p.xx, p.xy, p.xz, p.xy, p.yy, p.yz, p.xz, p.yz, p.zz], axis=1).reshape(-1, 3, 3)
             v = np.linalg.eigh(m)[1][:, :, 0]
             v = np.where(v[:, 2:] < 0, -v, v)
-            yield pd.DataFrame({"id": p.id, "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2]})
+            yield p.assign(nx=v[:, 0], ny=v[:, 1], nz=v[:, 2])
 
-    return g.mapInPandas(normals, "id long, nx double, ny double, nz double")
-
-
-def solved(points: DataFrame) -> DataFrame:
-    """(id, u, v, w): the solution of a 3x3 system made of each point's coordinates, as a batched general solver; null if singular."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            x, y, z = p.x.to_numpy(), p.y.to_numpy(), p.z.to_numpy()
-            one = np.ones(len(p))
-            m = np.stack([x + 5, y, one, y, z + 7, one, one, one, x * 0 + 9], axis=1).reshape(-1, 3, 3)
-            s = np.linalg.solve(m, np.stack([x, y, z], axis=1)[:, :, None])[:, :, 0] if len(p) else np.zeros((0, 3))
-            yield pd.DataFrame({"id": p.id, "u": s[:, 0], "v": s[:, 1], "w": s[:, 2]})
-
-    return points.select("id", "x", "y", "z").mapInPandas(run, "id long, u double, v double, w double")
+    return g.mapInPandas(normals, "id long, n long, xx double, xy double, xz double, yy double, yz double, zz double, nx double, ny double, nz double")
 
 
 def fitted_curve(points: DataFrame, key: str, step: float = 0.5, least: float = 10.0) -> DataFrame:

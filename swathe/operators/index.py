@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import morton as m
+from ..functions.ordering import lowest, number_of, order_key
 from .windows import header
 
 MAX_DEPTH = 20
@@ -17,10 +18,10 @@ def f32(v: float) -> float:
     return struct.unpack("f", struct.pack("f", v))[0]
 
 
-def geometry(head: DataFrame) -> DataFrame:
-    """Radii, their maximum and the centre of a header's box."""
-    rx, ry = (F.col("maxx") - F.col("minx")) / 2, (F.col("maxy") - F.col("miny")) / 2
-    return head.select(rx.alias("rx"), ry.alias("ry"), F.greatest(rx, ry).alias("radius"), (F.col("minx") + rx).alias("cx"), (F.col("miny") + ry).alias("cy"))
+def geometry(head: DataFrame, axes: str = "xy") -> DataFrame:
+    """Half sides (rx, ry ...), their maximum ``radius`` and the centre (cx, cy ...) of a header's box."""
+    half = {a: (F.col(f"max{a}") - F.col(f"min{a}")) / 2 for a in axes}
+    return head.select(*[h.alias(f"r{a}") for a, h in half.items()], F.greatest(*half.values()).alias("radius"), *[(F.col(f"min{a}") + h).alias(f"c{a}") for a, h in half.items()])
 
 
 def quadrant(x: Column, y: Column, cx: Column, cy: Column) -> Column:
@@ -28,20 +29,30 @@ def quadrant(x: Column, y: Column, cx: Column, cy: Column) -> Column:
     return F.when(x >= cx, 2).otherwise(0) + F.when(y >= cy, 1).otherwise(0)
 
 
-def with_keys(points: DataFrame, depth: int, head: DataFrame | None = None) -> DataFrame:
-    """``points`` with the Morton ``key`` of their quadtree cell at ``depth``, and the root's ``radius``.
+def octant(x: Column, y: Column, z: Column, cx: Column, cy: Column, cz: Column) -> Column:
+    """4 for the upper half in x, 2 in y, 1 in z."""
+    return F.when(x >= cx, 4).otherwise(0) + F.when(y >= cy, 2).otherwise(0) + F.when(z >= cz, 1).otherwise(0)
 
-    The root is the square around the box's centre with the larger half side.
+
+def with_keys(points: DataFrame, depth: int, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
+    """``points`` with the Morton ``key`` of their tree cell at ``depth``, and the root's ``radius``.
+
+    The root is the square (``axes`` "xy": a quadtree) or cube ("xyz": an octree) around the box's centre with the largest half side. In a cloud without
+    extent every cell is 0.
     """
-    g = F.broadcast(geometry(header(points) if head is None else head))
+    g = F.broadcast(geometry(header(points, axes) if head is None else head, axes))
     n = 1 << depth
     j = points.crossJoin(g)
-    cell = lambda v, c: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(v) - (F.col(c) - F.col("radius"))) / (2 * F.col("radius")) * n))).cast("long")
-    return j.select(*points.columns, interleave(cell("x", "cx"), cell("y", "cy"), depth).alias("key"), "radius")
+    place = lambda v: F.when(F.col("radius") > 0, F.floor((F.col(v) - (F.col(f"c{v}") - F.col("radius"))) / (2 * F.col("radius")) * n)).otherwise(0)
+    cells = [F.greatest(F.lit(0), F.least(F.lit(n - 1), place(v))).cast("long") for v in axes]
+    return j.select(*points.columns, interleave(*cells, depth=depth).alias("key"), "radius")
 
 
-def interleave(x: Column, y: Column, depth: int) -> Column:
-    """Two cell numbers of ``depth`` bits each as one key, x on the higher of each two bits."""
+def interleave(*cells: Column, depth: int) -> Column:
+    """Two or three cell numbers of ``depth`` bits each as one key, the first on the highest bit of each group."""
+    if len(cells) == 3:
+        return m.morton3(*cells)
+    x, y = cells
     if depth <= 16:
         return m.morton2(x, y)
     low = F.lit(0xFFFF)
@@ -57,37 +68,48 @@ def depth_for_radius(radius: float, least: float, level: int = 0) -> int:
     return max(d, level + 1 if level else 0)
 
 
-def radius_leaves(points: DataFrame, depth: int, head: DataFrame | None = None) -> DataFrame:
-    """Leaves of the least-radius quadtree: level, key, n, lowest (z, id) and radius of every cell with points at ``depth``."""
-    g = with_keys(points, depth, head).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("z", "id")).alias("m"), F.first("radius").alias("radius"))
-    return g.select(F.lit(depth).alias("level"), "key", "n", F.col("m.z").alias("z"), F.col("m.id").alias("id"), (F.col("radius") / float(1 << depth)).alias("radius"))
+def radius_leaves(points: DataFrame, depth: int, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
+    """Leaves of the least-radius tree: level, key, n, lowest (z, id) and radius of every cell with points at ``depth``."""
+    g = _summaries(points, depth, head, axes)
+    return g.select(F.lit(depth).alias("level"), "key", "n", "z", number_of("low").alias("id"), (F.col("radius") / float(1 << depth)).alias("radius"))
+
+
+def _summaries(points: DataFrame, depth: int, head: DataFrame | None, axes: str = "xy") -> DataFrame:
+    keyed = with_keys(points.select("id", *"xyz"), depth, head, axes).withColumn("low", order_key("z", "id"))
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), *lowest("low", "z"), F.first("radius").alias("radius"))
+
 
+def _up(level: str, key: str, deepest: int, axes: str) -> Column:
+    """The key at ``level`` of the node that holds a cell of the deepest level."""
+    return F.expr(f"shiftright({key}, {len(axes)} * ({deepest} - {level}))")
 
-def _nodes(points: DataFrame, depth: int, head: DataFrame | None) -> DataFrame:
+
+def _nodes(points: DataFrame, depth: int, head: DataFrame | None, axes: str) -> DataFrame:
     """level, key, n of every node with points, from the root to ``depth``; points are counted once, then cells."""
-    cells = with_keys(points, depth, head).groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
+    cells = with_keys(points, depth, head, axes).groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
     each = cells.select("c", "r", "key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    each = each.select("level", F.expr(f"shiftright(key, 2 * ({depth} - level))").alias("key"), "c", "r")
+    each = each.select("level", _up("level", "key", depth, axes).alias("key"), "c", "r")
     return each.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r"))
 
 
-def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None, deepest: int = 0) -> DataFrame:
-    """Leaves (level, key, n, radius) of the quadtree whose leaves split above ``most`` points, and always down to ``level``.
+def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None, deepest: int = 0, axes: str = "xy") -> DataFrame:
+    """Leaves (level, key, n, radius) of the tree whose leaves split above ``most`` points, and always down to ``level``.
 
     ``depth`` is the deepest level, where a leaf may hold more; with ``deepest``, cells that hold more there are split on down to that level. With ``empty``, leaves without points are given too:
-    all four children of a split node exist.
+    all children of a split node exist, four in a quadtree, eight in an octree.
     """
-    nodes = _nodes(points, depth, head)
+    wide = len(axes)
+    nodes = _nodes(points, depth, head, axes)
     if deepest > depth:
         crowded = nodes.filter((F.col("level") == depth) & (F.col("n") > most)).select(F.col("key").alias("above"))
-        cells = with_keys(points, deepest, head).select("key", "radius", F.expr(f"shiftright(key, {2 * (deepest - depth)})").alias("above")).join(crowded, "above", "left_semi")
+        cells = with_keys(points, deepest, head, axes).select("key", "radius", F.expr(f"shiftright(key, {wide * (deepest - depth)})").alias("above")).join(crowded, "above", "left_semi")
         below = cells.groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
         below = below.select("c", "r", "key", F.explode(F.sequence(F.lit(depth + 1), F.lit(deepest))).alias("level"))
-        below = below.select("level", F.expr(f"shiftright(key, 2 * ({deepest} - level))").alias("key"), "c", "r")
+        below = below.select("level", _up("level", "key", deepest, axes).alias("key"), "c", "r")
         nodes = nodes.unionByName(below.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r")))
     nodes = nodes.withColumn("split", ((F.col("n") > most) | (F.col("level") <= level)) & (F.col("level") < max(depth, deepest)))
-    split = nodes.filter("split").select((F.col("level") + 1).alias("l2"), "r", F.shiftleft("key", 2).alias("k4"))
-    children = split.select("l2", "r", F.explode(F.sequence(F.col("k4"), F.col("k4") + 3)).alias("k2"))
+    split = nodes.filter("split").select((F.col("level") + 1).alias("l2"), "r", F.shiftleft("key", wide).alias("k4"))
+    children = split.select("l2", "r", F.explode(F.sequence(F.col("k4"), F.col("k4") + (1 << wide) - 1)).alias("k2"))
     got = children.join(nodes.select("level", "key", "n", "split"), (F.col("l2") == F.col("level")) & (F.col("k2") == F.col("key")), "left")
     leaves = got.filter("split IS NULL OR NOT split").select(F.col("l2").alias("level"), F.col("k2").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("r") / F.pow(F.lit(2.0), F.col("l2"))).alias("radius"))
     root = nodes.filter("level = 0 AND NOT split").select("level", "key", "n", F.col("r").alias("radius"))
@@ -95,20 +117,30 @@ def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10,
     return leaves if empty else leaves.filter("n > 0")
 
 
-def rollup(points: DataFrame, depth: int, head: DataFrame | None = None) -> DataFrame:
+def leaf_centres(leaves: DataFrame, head: DataFrame) -> DataFrame:
+    """``leaves`` of a quadtree (level, key, n, radius) with the centre (x, y) of each cell."""
+    g = F.broadcast(geometry(head).select(F.col("radius").alias("_r"), "cx", "cy"))
+    low = F.lit(0xFFFFFFFF)
+    upper, lower = m.unmorton2(F.shiftrightunsigned("key", 32)), m.unmorton2(F.col("key").bitwiseAND(low))
+    cells = [F.shiftleft(a, 16).bitwiseOR(b) for a, b in zip(upper, lower, strict=True)]
+    at = lambda c, k: (F.col(c) - F.col("_r") + (2 * k + 1) * F.col("radius")).alias(c[1])
+    return leaves.crossJoin(g).select(*leaves.columns, at("cx", cells[0]), at("cy", cells[1]))
+
+
+def rollup(points: DataFrame, depth: int, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
     """level, key, n and lowest (z, id) of every node with points; each level from the leaves' summaries."""
-    leaves = radius_leaves(points, depth, head).select("key", "n", F.struct("z", "id").alias("m"))
-    each = leaves.select("n", "m", "key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    each = each.select("level", F.expr(f"shiftright(key, 2 * ({depth} - level))").alias("key"), "n", "m")
-    got = each.groupBy("level", "key").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    return got.select("level", "key", "n", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    each = _summaries(points, depth, head, axes).select("n", "low", "z", "key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    each = each.select("level", _up("level", "key", depth, axes).alias("key"), "n", "low", "z")
+    got = each.groupBy("level", "key").agg(F.sum("n").alias("n"), *lowest("low", "z"))
+    return got.select("level", "key", "n", "z", number_of("low").alias("id"))
 
 
-def with_morton(points: DataFrame, head: DataFrame | None = None) -> DataFrame:
-    """``points`` with their 32-bit Morton ``code`` in the box."""
-    h = F.broadcast(header(points) if head is None else head)
+def with_morton(points: DataFrame, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
+    """``points`` with their Morton ``code`` in the box: 32 bits in two dimensions, 63 in three."""
+    h = F.broadcast(header(points, axes) if head is None else head)
     j = points.crossJoin(h)
-    return j.select(*points.columns, m.morton2(m.scaled(F.col("x"), F.col("minx"), F.col("maxx"), 16), m.scaled(F.col("y"), F.col("miny"), F.col("maxy"), 16)).alias("code"))
+    cells = [m.scaled(F.col(a), F.col(f"min{a}"), F.col(f"max{a}"), 16 if axes == "xy" else 21) for a in axes]
+    return j.select(*points.columns, (m.morton2 if axes == "xy" else m.morton3)(*cells).alias("code"))
 
 
 def morton_sorted(points: DataFrame, partitions: int) -> DataFrame:
@@ -116,35 +148,61 @@ def morton_sorted(points: DataFrame, partitions: int) -> DataFrame:
     return with_morton(points).repartitionByRange(partitions, "code", "id").sortWithinPartitions("code", "id")
 
 
-def ranked(points: DataFrame, head: DataFrame | None = None, bits: int = 10) -> DataFrame:
-    """``points`` with ``code`` and their 0-based ``rank`` by (code, id).
+def dense_rank(rows: DataFrame, bucket: Column, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``rows`` with their 0-based dense ``rank`` in the order of ``bucket``, then ``order``.
 
-    Ranks are dense over the cloud without one task for all: points are counted by the code's leading bits, and a
-    bucket's first rank is the sum over the buckets before it (2**bits rows at most).
+    No task sees all rows: they are counted by bucket, and a bucket's first rank is the sum over the buckets before it. The
+    buckets must be few (a row each on one task) and hold like numbers of rows.
     """
-    keyed = with_morton(points, head).withColumn("bucket", F.shiftright("code", 32 - bits))
-    firsts = keyed.groupBy("bucket").agg(F.count("*").alias("c"))
-    firsts = firsts.select("bucket", (F.sum("c").over(Window.orderBy("bucket")) - F.col("c")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("code", "id"))
-    return keyed.withColumn("rn", within).join(F.broadcast(firsts), "bucket").select(*points.columns, "code", (F.col("before") + F.col("rn") - 1).alias("rank"))
+    keyed = rows.withColumn("_bucket", bucket)
+    firsts = keyed.groupBy("_bucket").agg(F.count("*").alias("c"))
+    firsts = firsts.select("_bucket", (F.sum("c").over(Window.orderBy("_bucket")) - F.col("c")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return keyed.withColumn("_within", within).join(F.broadcast(firsts), "_bucket").select(*rows.columns, (F.col("_before") + F.col("_within") - 1).alias(name))
+
+
+def ranked(points: DataFrame, head: DataFrame | None = None, bits: int = 10, axes: str = "xy") -> DataFrame:
+    """``points`` with ``code`` and their 0-based ``rank`` by (code, id), dense; counted by the code's leading ``bits``."""
+    return dense_rank(with_morton(points, head, axes), F.shiftright("code", (32 if axes == "xy" else 63) - bits), "code", "id")
+
+
+def shuffled(points: DataFrame, mixed: Column, bits: int = 10) -> DataFrame:
+    """``points`` in a random order: with a 0-based dense ``position`` by ``mixed`` (a 32-bit hash of the row), ties by id."""
+    return dense_rank(points.withColumn("_mixed", mixed), F.shiftright("_mixed", 32 - bits), "_mixed", "id", name="position").drop("_mixed")
+
+
+def gathered(points: DataFrame, index: DataFrame) -> DataFrame:
+    """``points`` reordered by ``index`` (position, id): the row with that id at each position; positions without a row are left out."""
+    return index.select("position", "id").join(points, "id")
+
+
+def reversed_order(points: DataFrame, name: str = "reversed") -> DataFrame:
+    """``points`` with ids from 1 to n and the ids that they have when the cloud is turned round."""
+    return points.crossJoin(F.broadcast(points.agg(F.max("id").alias("_last")))).select(*points.columns, (F.col("_last") - F.col("id") + 1).alias(name))
+
+
+def subcloud(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``points`` whose id is in ``ids`` (id)."""
+    return points.join(ids.select("id"), "id", "left_semi")
 
 
-def chunks(points: DataFrame, size: int, head: DataFrame | None = None) -> DataFrame:
-    """Leaves of ``size`` consecutive ranks: chunk, n, box and lowest (z, id)."""
-    g = ranked(points, head).withColumn("chunk", F.floor(F.col("rank") / size).cast("long")).groupBy("chunk")
-    got = g.agg(F.count("*").alias("n"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"), F.min(F.struct("z", "id")).alias("m"))
-    return got.select("chunk", "n", "xmin", "ymin", "xmax", "ymax", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+def chunks(points: DataFrame, size: int, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
+    """Leaves of ``size`` consecutive ranks: chunk, n, box (xmin, ymin ..., xmax, ymax ...) and lowest (z, id)."""
+    g = ranked(points.select("id", *"xyz"), head, axes=axes).withColumn("low", order_key("z", "id")).withColumn("chunk", F.floor(F.col("rank") / size).cast("long")).groupBy("chunk")
+    got = g.agg(F.count("*").alias("n"), *[f(a).alias(f"{a}{name}") for name, f in (("min", F.min), ("max", F.max)) for a in axes], *lowest("low", "z"))
+    return got.select("chunk", "n", *[f"{a}{name}" for name in ("min", "max") for a in axes], "z", number_of("low").alias("id"))
 
 
 def chunk_rollup(leaves: DataFrame, levels: int) -> DataFrame:
     """level, node and the merged summary of the hierarchy above chunks: node = chunk shifted right by level."""
-    each = leaves.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("node", F.expr("shiftright(chunk, level)"))
-    got = each.groupBy("level", "node").agg(F.sum("n").alias("n"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.min(F.struct("z", "id")).alias("m"))
-    return got.select("level", "node", "n", "xmin", "ymin", "xmax", "ymax", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    each = leaves.withColumn("low", order_key("z", "id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("node", F.expr("shiftright(chunk, level)"))
+    got = each.groupBy("level", "node").agg(F.sum("n").alias("n"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), *lowest("low", "z"))
+    return got.select("level", "node", "n", "xmin", "ymin", "xmax", "ymax", "z", number_of("low").alias("id"))
 
 
 def decimated(points: DataFrame, depth: int, head: DataFrame | None = None) -> DataFrame:
     """The highest and the lowest point of each cell, one row if they are the same."""
-    g = with_keys(points, depth, head).groupBy("key").agg(F.min(F.struct("z", "id")).alias("a"), F.max(F.struct("z", F.negate("id").alias("minus"))).alias("b"))
-    ids = g.select(F.explode(F.array_distinct(F.array(F.col("a.id"), F.negate("b.minus")))).alias("id"))
+    keyed = with_keys(points.select("id", *"xyz"), depth, head)
+    g = keyed.groupBy("key").agg(F.min(order_key("z", "id")).alias("a"), F.max(order_key("z", F.negate("id"))).alias("b"))
+    ids = g.select(F.explode(F.array_distinct(F.array(number_of("a"), F.negate(number_of("b"))))).alias("id"))
     return points.join(ids, "id", "left_semi")

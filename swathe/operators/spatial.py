@@ -6,11 +6,17 @@ wide as the box, so a probe goes to a few cells. A range condition alone would c
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_mindist2, distance2
-from ..lineage import materialize
+from ..functions.ordering import lowest, number_of, order_key
+from ..lineage import materialize, small
+from .index import MAX_DEPTH, with_keys
+from .windows import header
 
 Pred = Column
 
@@ -19,30 +25,29 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long")))
 
 
-def spatial_join(probes: DataFrame, targets: DataFrame, rx: float, ry: float | None = None, cell: float | None = None, residual: Pred | None = None, how: str = "inner") -> DataFrame:
-    """Probes with the targets in the open box of half sides rx, ry around them.
+def spatial_join(probes: DataFrame, targets: DataFrame, rx: float, ry: float | None = None, cell: float | None = None, residual: Pred | None = None, how: str = "inner", rz: float | None = None) -> DataFrame:
+    """Probes with the targets in the open box of half sides rx, ry (and rz, if given) around them.
 
-    Columns of probes keep their names, those of targets get the prefix ``t_``; ``residual`` may use both.
+    Columns of probes keep their names, those of targets get the prefix ``t_``; ``residual`` may use both. With ``rz`` cells are cubes.
     """
-    ry = rx if ry is None else ry
-    size = cell or max(2 * rx, 2 * ry)
-    p = probes.select("*", _cells(F.col("x") - rx, F.col("x") + rx, size).alias("_cx")).select("*", _cells(F.col("y") - ry, F.col("y") + ry, size).alias("_cy"))
-    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in targets.columns], F.floor(F.col("x") / size).cast("long").alias("_tx"), F.floor(F.col("y") / size).cast("long").alias("_ty"))
-    near = (F.col("t_x") > F.col("x") - rx) & (F.col("t_x") < F.col("x") + rx) & (F.col("t_y") > F.col("y") - ry) & (F.col("t_y") < F.col("y") + ry)
-    on = (F.col("_cx") == F.col("_tx")) & (F.col("_cy") == F.col("_ty")) & near
-    if residual is not None:
-        on = on & residual
-    return p.join(t, on, how).drop("_cx", "_cy", "_tx", "_ty")
+    half = {"x": rx, "y": rx if ry is None else ry} | ({} if rz is None else {"z": rz})
+    size = cell or 2 * max(half.values())
+    p, on = probes, F.lit(True) if residual is None else residual
+    for a, r in half.items():
+        p = p.select("*", _cells(F.col(a) - r, F.col(a) + r, size).alias(f"_c{a}"))
+        on = (F.col(f"_c{a}") == F.col(f"_t{a}")) & (F.col(f"t_{a}") > F.col(a) - r) & (F.col(f"t_{a}") < F.col(a) + r) & on
+    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in targets.columns], *[F.floor(F.col(a) / size).cast("long").alias(f"_t{a}") for a in half])
+    return p.join(t, on, how).drop(*[f"{k}{a}" for k in ("_c", "_t") for a in half])
 
 
 def other() -> Pred:
     return F.col("id") != F.col("t_id")
 
 
-def neighbours(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, cell: float | None = None) -> DataFrame:
-    """(id, t_id): every point with the others in its box."""
+def neighbours(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, cell: float | None = None, rz: float | None = None, along: tuple[str, ...] = ()) -> DataFrame:
+    """(id, t_id): every point with the others in its box; ``along``: further columns, like ``t_key`` for the other's key."""
     cond = other() if residual is None else other() & residual
-    return spatial_join(points, points, rx, ry, cell, cond).select("id", "t_id")
+    return spatial_join(points, points, rx, ry, cell, cond, rz=rz).select("id", "t_id", *along)
 
 
 def within_z(r: float) -> Pred:
@@ -62,20 +67,21 @@ def within_sphere(r: float) -> Pred:
     return distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y")) + dz * dz < r * r
 
 
-def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, itself: bool = True) -> DataFrame:
+def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, itself: bool = True, rz: float | None = None) -> DataFrame:
     """(id, n): how many points are in each one's box; 0 where none is."""
     cond = residual
     if not itself:
         cond = other() if cond is None else other() & cond
-    found = spatial_join(points, points, rx, ry, None, cond).groupBy("id").agg(F.count("*").alias("n"))
+    found = spatial_join(points, points, rx, ry, None, cond, rz=rz).groupBy("id").agg(F.count("*").alias("n"))
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def group_of(probes: DataFrame, points: DataFrame, r: float = 1.0) -> DataFrame:
     """(id, g): the group of the nearest point in the box, -1 without one; equal distances go to the smaller id."""
     d = distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y"))
-    best = spatial_join(probes.select("id", "x", "y"), points.select("id", "x", "y", "g_id"), r).groupBy("id").agg(F.min(F.struct(d.alias("d"), "t_id", "t_g_id")).alias("m"))
-    return probes.select("id").join(best, "id", "left").select("id", F.coalesce("m.t_g_id", F.lit(-1)).alias("g"))
+    found = spatial_join(probes.select("id", "x", "y"), points.select("id", "x", "y", "g_id"), r).select("id", "t_g_id", order_key(d, "t_id").alias("key"))
+    best = found.groupBy("id").agg(F.min_by("t_g_id", "key").alias("g"))
+    return probes.select("id").join(best, "id", "left").select("id", F.coalesce("g", F.lit(-1)).alias("g"))
 
 
 def renumbered(pairs: DataFrame) -> DataFrame:
@@ -83,45 +89,120 @@ def renumbered(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("t_id")) - 1)
 
 
-def box_join(a: DataFrame, b: DataFrame, size: float, most: int | None = None) -> DataFrame:
-    """(id, t_id, hits) of overlapping closed boxes (id, xmin, ymin, xmax, ymax).
+def box_join(a: DataFrame, b: DataFrame, size: float, most: int | None = None, axes: str = "xy") -> DataFrame:
+    """(id, t_id, hits) of overlapping closed boxes (id, xmin, ymin, xmax, ymax; zmin and zmax too for ``axes`` "xyz").
 
     Both sides stand in all cells that they touch; a pair is reported by the cell of its lower common corner alone. With ``most``, a box
     gets its first partners by id only (a capped buffer), ``hits`` being the true number.
     """
+    names = [f"{a}{k}" for k in ("min", "max") for a in axes]
+
     def keyed(df: DataFrame, mark: str) -> DataFrame:
-        named = df.select(*[F.col(c).alias(f"{mark}{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")])
-        return named.select("*", _cells(F.col(f"{mark}xmin"), F.col(f"{mark}xmax"), size).alias(f"{mark}cx")).select("*", _cells(F.col(f"{mark}ymin"), F.col(f"{mark}ymax"), size).alias(f"{mark}cy"))
+        got = df.select(*[F.col(c).alias(f"{mark}{c}") for c in ("id", *names)])
+        for c in axes:
+            got = got.select("*", _cells(F.col(f"{mark}{c}min"), F.col(f"{mark}{c}max"), size).alias(f"{mark}c{c}"))
+        return got
 
-    p, t = keyed(a, "a_"), keyed(b, "b_")
-    meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("a_xmax") >= F.col("b_xmin")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("a_ymax") >= F.col("b_ymin"))
-    corner = (F.floor(F.greatest("a_xmin", "b_xmin") / size) == F.col("a_cx")) & (F.floor(F.greatest("a_ymin", "b_ymin") / size) == F.col("a_cy"))
-    got = p.join(t, (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & meet & corner).select(F.col("a_id").alias("id"), F.col("b_id").alias("t_id"))
+    on = F.lit(True)
+    for c in axes:
+        meet = (F.col(f"a_{c}min") <= F.col(f"b_{c}max")) & (F.col(f"a_{c}max") >= F.col(f"b_{c}min"))
+        corner = F.floor(F.greatest(f"a_{c}min", f"b_{c}min") / size) == F.col(f"a_c{c}")
+        on = (F.col(f"a_c{c}") == F.col(f"b_c{c}")) & meet & corner & on
+    got = keyed(a, "a_").join(keyed(b, "b_"), on).select(F.col("a_id").alias("id"), F.col("b_id").alias("t_id"))
     if most is None:
         return got
     ranked = got.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("t_id"))).withColumn("hits", F.count("*").over(Window.partitionBy("id")))
     return ranked.filter(F.col("rn") <= most).select("id", "t_id", "hits")
 
 
-def nearest(probes: DataFrame, points: DataFrame, cell: float, itself: bool = False, rings: int = 12) -> DataFrame:
-    """(id, t_id, d2): each probe's nearest point; equal distances go to the smaller id.
+def nearest(probes: DataFrame, points: DataFrame, itself: bool = False, axes: str = "xy", per_cell: float = 2.0, rings: int = 3, most: int = 64) -> DataFrame:
+    """(id, t_id, d2): each probe's nearest point, at any distance; equal distances go to the smaller id. Without ``itself`` a point with the probe's id does not count.
 
-    Boxes double from ``cell`` until every probe has a point as near as its box reaches; only the probes that are
-    left go on, so dense regions stop at once. After ``rings`` doublings a probe without any point in reach has no row.
+    Points of equal coordinates are one spot. Cells as wide as ``per_cell`` spots on average need are searched with their neighbours, so a probe meets
+    few spots at any density of the cloud; those without a spot as near as the cells reach go on with cells twice as wide, ``rings`` times in all. What is left
+    then, and what is near a cell of more than ``most`` spots, goes down a tree of the occupied cells instead: a branch is left as soon as
+    another one holds a point for certain that is nearer than its box. A probe has no row only if there is no other point.
     """
-    left, out = probes.select("id", "x", "y"), None
-    targets = points.select("id", "x", "y")
-    d = distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y"))
-    for ring in range(rings):
-        r = cell * 2**ring
-        hit = spatial_join(left, targets, r, residual=None if itself else other()).groupBy("id").agg(F.min(F.struct(d.alias("d2"), "t_id")).alias("m"))
-        sure = hit.filter((F.col("m.d2") < r * r) if ring < rings - 1 else F.lit(True)).select("id", F.col("m.t_id").alias("t_id"), F.col("m.d2").alias("d2"))
-        sure = materialize(sure)
-        out = sure if out is None else out.union(sure)
-        left = materialize(left.join(sure.select("id"), "id", "left_anti"))
+    at = list(axes)
+    # spots of more than one point keep the two smallest ids: one of them is not the probe's own
+    firsts = points.groupBy(*at).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    again = points.select("id", *at).join(firsts.filter("n > 1").select(*at, "first"), at).filter("id <> first").groupBy(*at).agg(F.min("id").alias("second"))
+    spots = materialize(firsts.join(again, at, "left"))
+    h = header(spots, axes).first()
+    sides = [s for s in (h[f"max{a}"] - h[f"min{a}"] for a in at) if s > 0] if h.n else []
+    # cells must not be finer than doubles are at these coordinates
+    fine = max((abs(h[f"{e}{a}"]) for a in at for e in ("min", "max")), default=0.0) * 1e-9 if h.n else 0.0
+    cell = max(math.prod(s / max(sides) for s in sides) * per_cell / h.n, 1e-300) ** (1 / len(sides)) * max(sides) if sides else 1.0
+    left, out = probes.select("id", *at), []
+    for ring in range(rings if sides else 0):
+        left, sure = _ring(left, spots, at, max(cell, fine) * 2**ring, itself, most)
+        out.append(sure)
         if left.isEmpty():
             break
-    return out
+    else:
+        out.append(_descend(left, spots, at, itself))
+    return reduce(DataFrame.union, out)
+
+
+def _candidate(itself: bool) -> Column:
+    """The id that stands for a spot (first, second): not the probe's own."""
+    return F.col("first") if itself else F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+
+
+def _apart(at: list[str]) -> Column:
+    return reduce(Column.__add__, [(F.col(a) - F.col(f"t_{a}")) * (F.col(a) - F.col(f"t_{a}")) for a in at])
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The nearest of (id, t_id, d2) by id."""
+    best = found.withColumn("key", order_key("d2", "t_id")).groupBy("id").agg(*lowest("key", "d2"))
+    return best.select("id", number_of("key").alias("t_id"), "d2")
+
+
+def _ring(left: DataFrame, spots: DataFrame, at: list[str], size: float, itself: bool, most: int) -> tuple[DataFrame, DataFrame]:
+    """The probes that are still open, and the settled ones with their nearest point, among spots in a probe's own cell and those around."""
+    cells = [F.floor(F.col(a) / size).cast("long").alias(f"_{a}") for a in at]
+    keyed = spots.select(*[F.col(a).alias(f"t_{a}") for a in at], "first", "second", *cells)
+    around = left.select("*", *cells)
+    for a in at:
+        around = around.withColumn(f"_{a}", F.explode(F.sequence(F.col(f"_{a}") - 1, F.col(f"_{a}") + 1)))
+    names = [f"_{a}" for a in at]
+    crowded = materialize(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*names))
+    if not crowded.isEmpty():
+        crowded = small(crowded, 100_000)
+        keyed = keyed.join(crowded, names, "left_anti")
+        beside = materialize(around.join(crowded, names, "left_semi").select("id").distinct())
+        around = around.join(beside, "id", "left_anti")
+    found = around.join(keyed, names).withColumn("t_id", _candidate(itself)).filter("t_id IS NOT NULL").select("id", "t_id", _apart(at).alias("d2"))
+    sure = materialize(_best(found).filter(F.col("d2") < size * size))
+    return materialize(left.join(sure.select("id"), "id", "left_anti")), sure
+
+
+def _descend(left: DataFrame, spots: DataFrame, at: list[str], itself: bool, step: int = 2) -> DataFrame:
+    """The nearest points of ``left`` by a search down a tree of cells, all probes level by level, ``step`` levels at a time."""
+    wide = len(at) * step
+    ends = [f(f"{a}{e}").alias(f"{a}{e}") for a in at for e, f in (("min", F.min), ("max", F.max))]
+    keyed = materialize(with_keys(spots, MAX_DEPTH, axes="".join(at)).drop("radius"))
+    # nodes from the leaves up: number of points, and the box of what is in the cell
+    level = [materialize(keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spots"), *[f(a).alias(f"{a}{e}") for a in at for e, f in (("min", F.min), ("max", F.max))]))]
+    for _ in range(MAX_DEPTH // step):
+        level.append(materialize(level[-1].withColumn("key", F.shiftright("key", wide)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("spots").alias("spots"), *ends)))
+    gap = {a: F.greatest(F.col(f"{a}min") - F.col(a), F.col(a) - F.col(f"{a}max"), F.lit(0.0)) for a in at}
+    reach = {a: F.greatest(F.col(a) - F.col(f"{a}min"), F.col(f"{a}max") - F.col(a)) for a in at}
+    square = lambda d: reduce(Column.__add__, [v * v for v in d.values()])
+    front = left.withColumn("key", F.lit(0).cast("long"))
+    for nodes in reversed(level):
+        seen = front.join(nodes, "key").withColumn("near", square(gap)).withColumn("far", square(reach))
+        # a node of one point at the probe's own place may hold none but the probe
+        certain = F.when((F.col("far") > 0) | (F.col("n") > 1) | F.lit(itself), F.col("far"))
+        bound = seen.groupBy("id").agg(F.min(certain).alias("bound"))
+        kept = seen.join(bound, "id").filter("bound IS NULL OR near <= bound").select("id", *at, "key")
+        if nodes is not level[0]:
+            kept = kept.select("id", *at, F.explode(F.sequence(F.shiftleft("key", wide), F.shiftleft("key", wide) + (1 << wide) - 1)).alias("key"))
+        front = materialize(kept)
+    inside = keyed.select(*[F.col(a).alias(f"t_{a}") for a in at], "first", "second", "key")
+    found = front.join(inside, "key").withColumn("t_id", _candidate(itself)).filter("t_id IS NOT NULL").select("id", "t_id", _apart(at).alias("d2"))
+    return _best(found)
 
 
 def box_distances(points: DataFrame, box: tuple) -> DataFrame:

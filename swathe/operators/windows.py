@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round2, rounded, trunc
+from ..functions.ordering import lowest, number_of, order_key
 from ..lineage import materialize
 
 
@@ -42,9 +43,9 @@ class Setting:
         return self.b / 2 if self.exact else float(self.b // 2)
 
 
-def header(points: DataFrame) -> DataFrame:
-    """n and the bounding box of a cloud, one row."""
-    return points.agg(F.count("*").alias("n"), F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
+def header(points: DataFrame, axes: str = "xy") -> DataFrame:
+    """n and the bounding box of a cloud (minx, maxx, miny, maxy, and z if in ``axes``), one row."""
+    return points.agg(F.count("*").alias("n"), *[f(a).alias(f"{name}{a}") for a in axes for name, f in (("min", F.min), ("max", F.max))])
 
 
 def parameters(points: DataFrame, s: Setting, head: DataFrame | None = None) -> DataFrame:
@@ -90,10 +91,11 @@ def _span(v: Column, lo: str, count: str, s: Setting) -> tuple[Column, Column]:
 
 
 def with_spans(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """id, x, y, z of points in a window, and the windows i0..i1, j0..j1 that hold them."""
+    """id, x, y, z, ``key`` (the order by z, then id) of points in a window, and the windows i0..i1, j0..j1 that hold them."""
     j = points.select("id", "x", "y", "z").crossJoin(F.broadcast(params.select("minx", "miny", "ncols", "nrows")))
     (i0, i1), (j0, j1) = _span(F.col("x"), "minx", "ncols", s), _span(F.col("y"), "miny", "nrows", s)
-    return j.select("id", "x", "y", "z", i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1")).filter("i0 <= i1 AND j0 <= j1")
+    spans = j.select("id", "x", "y", "z", i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1")).filter("i0 <= i1 AND j0 <= j1")
+    return spans.withColumn("key", order_key("z", "id"))
 
 
 def _explode(df: DataFrame, *keep: str) -> DataFrame:
@@ -111,13 +113,14 @@ def window_stats(points: DataFrame, params: DataFrame, s: Setting, tiled: bool =
 
     ``tiled``: points held by the same windows are first reduced to one tile, so tiles are exploded and shuffled, not points.
     """
-    if tiled:
-        tiles = with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), F.min(F.struct("z", "id", "x", "y")).alias("m"))
-        each = _explode(tiles, "n", "m")
-    else:
-        each = _explode(with_spans(points, params, s), "id", "x", "y", "z").select("i", "j", F.lit(1).cast("long").alias("n"), F.struct("z", "id", "x", "y").alias("m"))
-    got = each.groupBy("i", "j").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    return got.select("i", "j", "n", *[F.col(f"m.{c}").alias(c) for c in ("z", "id", "x", "y")])
+    each = _explode(tiles(points, params, s) if tiled else with_spans(points, params, s).withColumn("n", F.lit(1).cast("long")), "n", "key", "z", "x", "y")
+    got = each.groupBy("i", "j").agg(F.sum("n").alias("n"), *lowest("key", "z", "xy"))
+    return got.select("i", "j", "n", "z", number_of("key").alias("id"), "x", "y")
+
+
+def tiles(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
+    """i0, i1, j0, j1, n and the lowest point (key, z, x, y) of each set of points that the same windows hold."""
+    return with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), *lowest("key", "z", "xy"))
 
 
 def stage1(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True) -> DataFrame:
@@ -148,18 +151,18 @@ def with_cells(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
     return got.filter("ci >= 0 AND cj >= 0 AND ci < gcols AND cj < grows").drop("gcols", "grows")
 
 
-def empty_cells(lowest: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """Grid cells without a point of ``lowest`` (id, x, y); cells without any point are among them."""
-    own = with_cells(lowest.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
+def empty_cells(chosen: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
+    """Grid cells without a point of ``chosen`` (id, x, y); cells without any point are among them."""
+    own = with_cells(chosen.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
     grid = params.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("gcols") - 1)).alias("ci"), "grows").select("ci", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grows") - 1)).alias("cj"))
     return grid.join(own, ["ci", "cj"], "left_anti")
 
 
-def fill(points: DataFrame, lowest: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """The lowest point (ci, cj, z, id, x, y) of each cell that has points, but none of ``lowest`` (id, x, y); one pass over the points."""
-    best = with_cells(points.select("id", "x", "y", "z"), params, s).groupBy("ci", "cj").agg(F.min(F.struct("z", "id", "x", "y")).alias("m"))
-    own = with_cells(lowest.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
-    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", *[F.col(f"m.{c}").alias(c) for c in ("z", "id", "x", "y")])
+def fill(points: DataFrame, chosen: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
+    """The lowest point (ci, cj, z, id, x, y) of each cell that has points, but none of ``chosen`` (id, x, y); one pass over the points."""
+    best = with_cells(points.select("id", "x", "y", "z"), params, s).withColumn("key", order_key("z", "id")).groupBy("ci", "cj").agg(*lowest("key", "z", "xy"))
+    own = with_cells(chosen.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
+    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", "z", number_of("key").alias("id"), "x", "y")
 
 
 def low_outliers_removed(points: DataFrame, params: DataFrame, size: float = 20.0, factor: float = 0.8) -> DataFrame:
@@ -172,21 +175,29 @@ def low_outliers_removed(points: DataFrame, params: DataFrame, size: float = 20.
 
 
 def raster_minima(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """The raster form of stage 1: k + 1 shifted half-open rasters per axis, k = w / step - 1; cells with few points are left out."""
+    """The raster form of stage 1: k + 1 shifted half-open rasters per axis, k = w / step - 1; cells with few points are left out.
+
+    As k shifts stay below a cell's side, a point stands in its unshifted cell up to some shift and in the one before from there on: points
+    with the same cells and turning shifts are reduced to one tile, and tiles are dealt to the rasters, not points.
+    """
     k = int(math.floor(s.w / s.step + 0.5)) - 1
-    j = points.select("id", "x", "y", "z").crossJoin(F.broadcast(params.select("minx", "miny", "density")))
-    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("si")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("sj"))
-    cell = lambda v, lo, sh: F.floor((F.col(v) - F.col(lo) - F.col(sh) * s.step) / float(s.w)).cast("long")
-    g = j.select("id", "z", "density", "si", "sj", cell("x", "minx", "si").alias("ci"), cell("y", "miny", "sj").alias("cj"))
-    got = g.groupBy("si", "sj", "ci", "cj").agg(F.count("*").alias("n"), F.min(F.struct("z", "id")).alias("m"), F.first("density").alias("density"))
-    return got.filter(F.col("n") >= rounded(0.5 * round2(F.col("density")) * s.w * s.w)).select("si", "sj", "ci", "cj", "n", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    j = points.select("id", "x", "y", "z").crossJoin(F.broadcast(params.select("minx", "miny")))
+    cell = lambda v, lo, sh: F.floor((F.col(v) - F.col(lo) - sh * s.step) / float(s.w)).cast("long")
+    stays = lambda v, lo: reduce(Column.__add__, [(cell(v, lo, sh) == cell(v, lo, 0)).cast("int") for sh in range(k + 1)])
+    keyed = j.select("z", cell("x", "minx", 0).alias("c0"), stays("x", "minx").alias("cs"), cell("y", "miny", 0).alias("d0"), stays("y", "miny").alias("ds"), order_key("z", "id").alias("key"))
+    tile = keyed.groupBy("c0", "cs", "d0", "ds").agg(F.count("*").alias("n"), *lowest("key", "z"))
+    each = tile.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("si")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("sj"))
+    at = lambda c, stay, sh: (F.col(c) - F.when(F.col(sh) < F.col(stay), 0).otherwise(1)).alias(c[0] + "c")
+    got = each.select("si", "sj", at("c0", "cs", "si"), at("d0", "ds", "sj"), "n", "z", "key").groupBy("si", "sj", "cc", "dc").agg(F.sum("n").alias("n"), *lowest("key", "z"))
+    got = got.crossJoin(F.broadcast(params.select("density")))
+    return got.filter(F.col("n") >= rounded(0.5 * round2(F.col("density")) * s.w * s.w)).select("si", "sj", F.col("cc").alias("ci"), F.col("dc").alias("cj"), "n", "z", number_of("key").alias("id"))
 
 
 def raster_votes(minima: DataFrame, points: DataFrame) -> DataFrame:
-    """Identical rows of all attributes, with the sum of their scores, above 1."""
+    """Rows that are identical in all attributes but their id, once each, with the sum of their scores, above 1."""
     chosen = minima.groupBy("id").agg(F.count("*").alias("score"))
-    rows = points.join(chosen, "id").select("x", "y", "z", "score")
-    return rows.groupBy("x", "y", "z").agg(F.sum("score").alias("score")).filter("score > 1")
+    kept = [c for c in points.columns if c != "id"]
+    return points.join(chosen, "id").groupBy(*kept).agg(F.sum("score").alias("score")).filter("score > 1")
 
 
 def raster_fill(points: DataFrame, chosen: DataFrame, params: DataFrame, size: float) -> DataFrame:
@@ -194,8 +205,8 @@ def raster_fill(points: DataFrame, chosen: DataFrame, params: DataFrame, size: f
     cell = lambda v, lo: F.floor((F.col(v) - F.col(lo)) / size).cast("long")
     keyed = lambda df: df.crossJoin(F.broadcast(params.select("minx", "miny"))).select(*df.columns, cell("x", "minx").alias("ci"), cell("y", "miny").alias("cj"))
     own = keyed(chosen.select("x", "y")).select("ci", "cj").distinct()
-    best = keyed(points.select("id", "x", "y", "z")).groupBy("ci", "cj").agg(F.min(F.struct("z", "id")).alias("m"))
-    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    best = keyed(points.select("id", "x", "y", "z")).withColumn("key", order_key("z", "id")).groupBy("ci", "cj").agg(*lowest("key", "z"))
+    return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", "z", number_of("key").alias("id"))
 
 
 def gold_matches(seeds: DataFrame, gold: DataFrame, s: Setting, dz: float = 0.01) -> DataFrame:
@@ -209,11 +220,12 @@ def gold_matches(seeds: DataFrame, gold: DataFrame, s: Setting, dz: float = 0.01
     return near.join(g, on, "left_semi").select(*seeds.columns).distinct()
 
 
-def gold_pairs(seeds: DataFrame, gold: DataFrame, s: Setting, tile: int = 64) -> DataFrame:
+def gold_pairs(seeds: DataFrame, gold: DataFrame, s: Setting, rest: int = 100_000) -> DataFrame:
     """(seed id, gold id), each used once: seeds by z then id each take the free gold point nearest in the open box of half a step.
 
     Rows are compared through cells; what is connected is settled by rank in rounds, each a distributed join: a pair is
-    settled when no smaller pair of its seed or its gold is left. ``tile`` bounds the rounds.
+    settled when no smaller pair of its seed or its gold is left. Rounds go on until nothing is left, or at most ``rest`` pairs, which
+    the driver settles in one pass in their order, so long chains end soon.
     """
     r = s.step / 2
     cell = lambda v: F.floor(F.col(v) / s.step).cast("long")
@@ -224,11 +236,15 @@ def gold_pairs(seeds: DataFrame, gold: DataFrame, s: Setting, tile: int = 64) ->
     d2 = (F.col("x") - F.col("hx")) * (F.col("x") - F.col("hx")) + (F.col("y") - F.col("hy")) * (F.col("y") - F.col("hy"))
     left = near.join(g, on).select("id", "gold", F.struct("z", "id", d2.alias("d"), "gold").alias("k")).distinct()
     left, done = materialize(left), []
-    for _ in range(tile):
+    while left.limit(rest + 1).count() > rest:
         by_seed, by_gold = left.groupBy("id").agg(F.min("k").alias("a")), left.groupBy("gold").agg(F.min("k").alias("b"))
         now = materialize(left.join(by_seed, "id").join(by_gold, "gold").filter("k = a AND k = b").select("id", "gold"))
-        if now.isEmpty():
-            break
         done.append(now)
         left = materialize(left.join(now.select("id"), "id", "left_anti").join(now.select("gold"), "gold", "left_anti"))
-    return reduce(DataFrame.union, done) if done else left.select("id", "gold")
+    pairs, took, given = [], set(), set()
+    for r in left.orderBy("k").select("id", "gold").collect() if rest else []:
+        if r.id not in took and r.gold not in given:
+            pairs.append((r.id, r.gold))
+            took.add(r.id)
+            given.add(r.gold)
+    return reduce(DataFrame.union, done, left.sparkSession.createDataFrame(pairs, left.select("id", "gold").schema))

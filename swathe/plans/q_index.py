@@ -8,9 +8,11 @@ from ..functions import morton as m
 from ..operators import index as ix
 from ..operators import stats as st
 from ..operators.windows import header
-from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
+from ..sources.cloud import POINTS3_SQL, POINTS_SQL, holed, points, points3
 
-DEPTH, MOST, LEVEL, DEEPEST, CHUNK = 6, 32, 2, 10, 64
+DEPTH, MOST, LEVEL, DEEPEST, CHUNK, DEPTH3 = 6, 32, 2, 10, 64, 3
+#: the leaf queries run on the cloud with a hole, so that leaves stand at several levels
+HOLE = "WHERE NOT (x > 20 AND x < 60 AND y > 20 AND y < 60 AND id % 8 <> 0)"
 
 P = f"""WITH p AS ({POINTS_SQL}),
 hd AS (SELECT count(*) AS n, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM p),
@@ -22,6 +24,11 @@ def _bits(x: str, y: str, n: int) -> str:
     return " + ".join(f"((({x} >> {b}) & 1) << {2 * b + 1}) + ((({y} >> {b}) & 1) << {2 * b})" for b in range(n))
 
 
+def _unbits(key: str, low: int) -> str:
+    """The cell number in x (``low`` 0) or y (1) of a quadtree key of up to 20 levels."""
+    return "(" + " + ".join(f"((({key} >> {2 * b + 1 - low}) & 1) << {b})" for b in range(20)) + ")"
+
+
 def _bits3(x: str, y: str, z: str, n: int) -> str:
     return " + ".join(f"((({x} >> {b}) & 1) << {3 * b + 2}) + ((({y} >> {b}) & 1) << {3 * b + 1}) + ((({z} >> {b}) & 1) << {3 * b})" for b in range(n))
 
@@ -34,17 +41,46 @@ kc AS (SELECT id, x, y, z, g_id, intensity, radius, {cell('x', 'cx')} AS kx, {ce
 ky AS (SELECT *, {_bits('kx', 'ky', depth)} AS key FROM kc)"""
 
 
-_NODES = f"""{P}{_keyed(DEEPEST)},
-cl AS (SELECT key, count(*) AS c, any_value(radius) AS r FROM ky GROUP BY key),
-lv AS (SELECT unnest(range(0, {DEEPEST + 1})) AS level),
-nd AS (SELECT CAST(level AS INT) AS level, key >> CAST(2 * ({DEEPEST} - level) AS INT) AS key, CAST(sum(c) AS BIGINT) AS n, any_value(r) AS r FROM cl, lv GROUP BY 1, 2),
-sp AS (SELECT *, (n > {MOST} OR level <= {LEVEL}) AND level < {DEEPEST} AS split FROM nd),
-ch AS (SELECT level + 1 AS level, (key << 2) + q AS key, r FROM sp, (SELECT unnest(range(0, 4)) AS q) WHERE split),
-lf AS (SELECT ch.level AS level, ch.key AS key, coalesce(sp.n, 0) AS n, ch.r / pow(2.0, ch.level) AS radius FROM ch LEFT JOIN sp ON sp.level = ch.level AND sp.key = ch.key WHERE sp.split IS NULL OR NOT sp.split)"""
+def _tree(src: str, keyed: str, wide: int, most: int, level: int) -> str:
+    """lf: the leaves of a tree, level by level from the root; each level's nodes are joined to those that split above."""
+    deep = ix.MAX_DEPTH
+    out = [f"{src}{keyed}", f"c{deep} AS MATERIALIZED (SELECT key, count(*) AS n FROM ky GROUP BY key)"]
+    out += [f"c{v} AS MATERIALIZED (SELECT key >> {wide} AS key, CAST(sum(n) AS BIGINT) AS n FROM c{v + 1} GROUP BY 1)" for v in range(deep - 1, -1, -1)]
+    split = lambda v: f"(n > {most} OR {v} <= {level})" if v < deep else "false"
+    out.append(f"t0 AS MATERIALIZED (SELECT key, n, {split(0)} AS split FROM c0)")
+    for v in range(1, deep + 1):
+        out.append(f"t{v} AS MATERIALIZED (SELECT key, n, {split(v)} AND n > 0 AS split FROM (SELECT (t.key << {wide}) + q AS key, coalesce(c.n, 0) AS n FROM t{v - 1} t CROSS JOIN (SELECT unnest(range(0, {1 << wide})) AS q) LEFT JOIN c{v} c ON c.key = (t.key << {wide}) + q WHERE t.split))")
+    union = " UNION ALL ".join(f"SELECT {v} AS level, key, n FROM t{v} WHERE NOT split" for v in range(deep + 1))
+    out.append(f"lf AS (SELECT CAST(level AS INT) AS level, key, CAST(n AS BIGINT) AS n, geo.radius / pow(2.0, level) AS radius FROM ({union}), geo)")
+    return ",\n".join(out)
+
+
+_NODES = _tree(P.replace(f"({POINTS_SQL})", f"(SELECT * FROM ({POINTS_SQL}) {HOLE})"), _keyed(ix.MAX_DEPTH), 2, MOST, LEVEL)
 
 
 def leaves(spark, d):
-    return ix.number_leaves(points(spark, d), MOST, LEVEL, DEEPEST, deepest=ix.MAX_DEPTH)
+    return ix.number_leaves(holed(spark, d), MOST, LEVEL, DEEPEST, deepest=ix.MAX_DEPTH)
+
+
+def octree_leaves(spark, d):
+    return ix.number_leaves(points3(spark, d), MOST, 0, 6, deepest=ix.MAX_DEPTH, axes="xyz")
+
+
+def _octant(spark, d):
+    p = points3(spark, d)
+    g = F.broadcast(ix.geometry(header(p, "xyz"), "xyz"))
+    return p.crossJoin(g).select("id", ix.octant(*[F.col(c) for c in ("x", "y", "z", "cx", "cy", "cz")]).alias("octant"))
+
+
+def _mixed():
+    """A 32-bit hash that SQL can compute too."""
+    return F.pmod(F.col("id") * 2654435761, F.lit(1 << 32))
+
+
+def _gather(spark, d):
+    p = points(spark, d)
+    index = ix.shuffled(p.select("id"), _mixed()).select("position", "id")
+    return ix.gathered(p, index).select("position", "id", "x", "y", "z")
 
 
 def _morton3(spark, d):
@@ -83,6 +119,14 @@ QUERIES = {
     "qtree_minradius_leaves": lambda s, d: _r(ix.radius_leaves(points(s, d), ix.depth_for_radius(43.0, 0.5)), "radius"),
     "qtree_maxnum_leaves": lambda s, d: _r(leaves(s, d), "radius"),
     "qtree_rollup": lambda s, d: ix.rollup(points(s, d), DEPTH),
+    "octree_minradius_leaves": lambda s, d: _r(ix.radius_leaves(points3(s, d), DEPTH3, axes="xyz"), "radius"),
+    "octree_maxnum_leaves": lambda s, d: _r(octree_leaves(s, d), "radius"),
+    "octree_rollup": lambda s, d: ix.rollup(points3(s, d), DEPTH3, axes="xyz"),
+    "octant_id": _octant,
+    "shuffle_order": lambda s, d: ix.shuffled(points(s, d).select("id", "z"), _mixed()),
+    "gather_order": _gather,
+    "reverse_order": lambda s, d: ix.reversed_order(points(s, d).select("id")),
+    "morton_sorted": lambda s, d: ix.morton_sorted(points(s, d), 4).select("id", "code", "x", "y", "z"),
     "morton2d": lambda s, d: ix.with_morton(points(s, d)).select("id", "code"),
     "morton2d_decode": _decode,
     "morton3d": _morton3,
@@ -93,7 +137,7 @@ QUERIES = {
     "bvh_leaf_chunks": lambda s, d: ix.chunks(points(s, d), CHUNK),
     "bvh_rollup": lambda s, d: ix.chunk_rollup(ix.chunks(points(s, d), CHUNK), 4),
     "bvh_rollup_octree": lambda s, d: ix.chunk_rollup(ix.chunks(points(s, d), CHUNK), 9).filter("level % 3 = 0"),
-    "subcloud": lambda s, d: points(s, d).join(ix.rollup(points(s, d), DEPTH).filter(f"level = {DEPTH}").select("id"), "id", "left_semi").select("id", "x", "y", "z"),
+    "subcloud": lambda s, d: ix.subcloud(points(s, d), ix.radius_leaves(points(s, d), DEPTH)).select("id", "x", "y", "z"),
     "decimate_minmax": lambda s, d: ix.decimated(points(s, d), DEPTH).select("id", "x", "y", "z"),
     "point_leaf": lambda s, d: ix.with_keys(points(s, d), DEPTH).select("id", "key"),
     "leaf_centroid": lambda s, d: _r(st.centroids(ix.with_keys(points(s, d), DEPTH), "key"), "x", "y", "z", "intensity"),
@@ -116,6 +160,20 @@ mo AS (SELECT *, {_bits('mx', 'my', 16)} AS code FROM mc),
 rk AS (SELECT *, row_number() OVER (ORDER BY code, id) - 1 AS rank FROM mo),
 ck AS (SELECT rank // {CHUNK} AS chunk, count(*) AS n, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, min(struct_pack(z := z, id := id)) AS m FROM rk GROUP BY 1)"""
 _ROLL = lambda levels: f"{_MORTON}, lv AS (SELECT unnest(range(0, {levels + 1})) AS level), ro AS (SELECT CAST(level AS INT) AS level, chunk >> CAST(level AS INT) AS node, CAST(sum(n) AS BIGINT) AS n, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, min(m) AS m FROM ck, lv GROUP BY 1, 2)"
+_P3 = "WITH p AS (" + POINTS3_SQL.format(a=1, b=2, c=3) + """),
+hd AS (SELECT min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz FROM p),
+geo AS (SELECT greatest((maxx - minx) / 2, (maxy - miny) / 2, (maxz - minz) / 2) AS radius, minx + (maxx - minx) / 2 AS cx, miny + (maxy - miny) / 2 AS cy, minz + (maxz - minz) / 2 AS cz FROM hd)"""
+
+
+def _keyed3(depth: int) -> str:
+    n = 1 << depth
+    cell = lambda v: f"greatest(0, least({n - 1}, CAST(floor(({v} - (c{v} - radius)) / (2 * radius) * {n}) AS BIGINT))) AS k{v}"
+    return f""",
+kc AS (SELECT id, x, y, z, radius, {cell('x')}, {cell('y')}, {cell('z')} FROM p, geo),
+ky AS (SELECT *, {_bits3('kx', 'ky', 'kz', depth)} AS key FROM kc)"""
+
+
+_OCT = f"{_P3}{_keyed3(DEPTH3)}, lf AS (SELECT key, count(*) AS n, any_value(radius) AS radius, min(struct_pack(z := z, id := id)) AS m FROM ky GROUP BY key)"
 _E3 = "WITH e AS (" + POINTS3_SQL.format(a=1, b=2, c=3) + ")"
 _C3 = "e3 AS (SELECT id, CAST(floor((x + 1024) * 512) AS BIGINT) AS cx, CAST(floor((y + 1024) * 512) AS BIGINT) AS cy, CAST(floor((z + 1024) * 512) AS BIGINT) AS cz FROM e)"
 _U3 = "e3 AS (SELECT id, greatest(0, least(1023, CAST(floor((x + 4) / 8 * 1024) AS BIGINT))) AS cx, greatest(0, least(1023, CAST(floor((y + 4) / 8 * 1024) AS BIGINT))) AS cy, greatest(0, least(1023, CAST(floor((z + 4) / 8 * 1024) AS BIGINT))) AS cz FROM e)"
@@ -128,6 +186,14 @@ ORACLES = {
     "quadrant_id": P + " SELECT id, CASE WHEN x >= cx THEN 2 ELSE 0 END + CASE WHEN y >= cy THEN 1 ELSE 0 END AS quadrant FROM p, geo",
     "qtree_minradius_leaves": f"{P}{_keyed(_D)} SELECT {_D} AS level, key, count(*) AS n, min(struct_pack(z := z, id := id)).z AS z, min(struct_pack(z := z, id := id)).id AS id, round(any_value(radius) / {1 << _D}, 6) AS radius FROM ky GROUP BY key",
     "qtree_maxnum_leaves": _NODES + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
+    "octree_minradius_leaves": f"{_OCT} SELECT {DEPTH3} AS level, key, n, m.z AS z, m.id AS id, round(radius / {1 << DEPTH3}, 6) AS radius FROM lf",
+    "octree_maxnum_leaves": _tree(_P3, _keyed3(ix.MAX_DEPTH), 3, MOST, 0) + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
+    "octree_rollup": f"{_OCT}, lv AS (SELECT unnest(range(0, {DEPTH3 + 1})) AS level), ro AS (SELECT CAST(level AS INT) AS level, key >> CAST(3 * ({DEPTH3} - level) AS INT) AS key, CAST(sum(n) AS BIGINT) AS n, min(m) AS m FROM lf, lv GROUP BY 1, 2) SELECT level, key, n, m.z AS z, m.id AS id FROM ro",
+    "octant_id": _P3 + " SELECT id, CASE WHEN x >= cx THEN 4 ELSE 0 END + CASE WHEN y >= cy THEN 2 ELSE 0 END + CASE WHEN z >= cz THEN 1 ELSE 0 END AS octant FROM p, geo",
+    "shuffle_order": P + " SELECT id, z, row_number() OVER (ORDER BY (id * 2654435761) % 4294967296, id) - 1 AS position FROM p",
+    "gather_order": P + " SELECT row_number() OVER (ORDER BY (id * 2654435761) % 4294967296, id) - 1 AS position, id, x, y, z FROM p",
+    "reverse_order": P + " SELECT id, (SELECT max(id) FROM p) - id + 1 AS reversed FROM p",
+    "morton_sorted": _MORTON + " SELECT id, code, x, y, z FROM mo",
     "qtree_rollup": _QR + " SELECT level, key, n, m.z AS z, m.id AS id FROM ro",
     "morton2d": _MORTON + " SELECT id, code FROM mo",
     "morton2d_decode": _MORTON + " SELECT id, mx, my FROM mo",

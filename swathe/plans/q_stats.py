@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..functions import matrices as mx
 from ..operators import bench_tables as bt
 from ..operators import geometry as geo
 from ..operators import stats as st
@@ -15,12 +17,8 @@ from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
 P = f"WITH p AS ({POINTS_SQL})"
 E3 = "WITH p AS (" + POINTS3_SQL.format(a=1, b=2, c=3) + ")"
 
-#: (order, variant, cloud, tree seconds, query seconds) of published runs, fixed values
-RUNS = [
-    (0, "baseline", "a", 4.7364, 3.7149), (0, "baseline", "b", 5.73984, 4.0817), (0, "baseline", "c", 5.87186, 6.4408), (0, "baseline", "d", 6.65016, 7.3741),
-    (1, "quadtree", "a", 3.17047, 1.9733), (1, "quadtree", "b", 3.77238, 1.7054), (1, "quadtree", "c", 4.05499, 2.845), (1, "quadtree", "d", 4.48602, 3.7061),
-    (2, "parallel", "a", 0.53494, 1.82757), (2, "parallel", "b", 0.68923, 1.36547), (2, "parallel", "c", 0.85739, 1.83522), (2, "parallel", "d", 0.86608, 2.22683),
-]
+#: (order, variant, cloud, tree seconds, query seconds) of runs, made by rule: each variant is faster than the one before
+RUNS = [(k, opt, cl, round((4.7 + 0.61 * i) / (1 + 2 * k) + 0.0137 * i * k, 5), round((3.9 + 1.13 * i) / (1 + k) + 0.0211 * k, 5)) for k, opt in enumerate(("baseline", "quadtree", "parallel")) for i, cl in enumerate("abcd")]
 #: (host, cloud, threads, radius, seconds, accuracy) of a sweep, made by rule
 SWEEP = [(h, cl, t, r / 10, round((7 + 3 * i + j) / t + abs(r - 11) / 10 + (k + 1) / 4, 4), round(99 + ((i + j + r) % 9) / 10, 2)) for k, h in enumerate("xy") for i, cl in enumerate("ab") for j, t in enumerate((1, 4, 8)) for r in (5, 11, 20)]
 RING = [(2.0, 2.0), (60.0, 5.0), (70.0, 50.0), (35.0, 30.0), (10.0, 70.0)]
@@ -77,7 +75,52 @@ def _vectors(s, d):
     g1, g2, g3 = c.axis_angles((x + 1, y + 1, z + 1))
     cols = dict(dot=c.dot(a, b), cx=u, cy=v, cz=w, norm2=c.norm((x, y)), norm3=c.norm(a), n1=n1, n2=n2, n3=n3, g1=g1, g2=g2, g3=g3)
     cols |= dict(plain=c.angle2(x - 43, y - 43), half=c.angle2(x - 43, y - 43, "half"), full=c.angle2(x - 43, y - 43, "full"))
-    return r6(points(s, d).filter("x > 0 AND y > 0").select("id", *[e.alias(n) for n, e in cols.items()]), 4)
+    return r6(points(s, d).select("id", *[e.alias(n) for n, e in cols.items()]), 4)
+
+
+def _vector_ops(s, d):
+    x, y, z = xyz()
+    a, b = (x, y, z), (1.5, -2.0, 0.25)
+    p, q = c.perpendicular((x, y))
+    named = {"a": c.added(a, b), "s": c.subtracted(a, b), "m": c.scaled_by(a, 2.5), "o": c.to_origin(a, (43.0, 43.0, 100.0))}
+    cols = {f"{k}{v}": e for k, own in named.items() for v, e in zip("xyz", own, strict=True)} | {"px": p, "py": q}
+    # 1 / x is no finite number where x is 0
+    cols["inverse"] = c.number(F.when(x == 0, F.lit(float("inf"))).otherwise(1 / x))
+    return r6(points(s, d).select("id", *[e.alias(n) for n, e in cols.items()]), 6)
+
+
+def _system():
+    """A symmetric 3x3 matrix of a point's coordinates."""
+    x, y, z = xyz()
+    return [[x + 5, y, 1.0], [y, z + 7, 1.0], [1.0, 1.0, 9.0]]
+
+
+def _matrix_ops(s, d):
+    a = _system()
+    low, up = mx.lu(a)
+    b = [[1.0, 2.0, 0.5], [0.0, -1.0, 3.0], [4.0, 0.25, 1.0]]
+    inv, prod, turned, both = mx.inverse(a), mx.mat_mat(a, b), mx.transpose(b), mx.mat_sum(a, b)
+    v = list(xyz())
+    cols = {f"l{r}{k}": low[r][k] for r in range(3) for k in range(r)} | {f"u{r}{k}": up[r][k] for r in range(3) for k in range(r, 3)}
+    cols |= {f"i{r}{k}": inv[r][k] for r in range(3) for k in range(3)} | {f"p{r}{k}": prod[r][k] for r in range(3) for k in range(3)}
+    cols |= {f"v{r}": e for r, e in enumerate(mx.mat_vec(turned, v))} | {f"o{r}{k}": e for r, row in enumerate(mx.outer(v, v)) for k, e in enumerate(row) if k >= r} | {f"s{r}": both[r][r] for r in range(3)}
+    return r6(points3(s, d).select("id", *[e.alias(n) for n, e in cols.items()]), 6)
+
+
+def _solve(s, d):
+    flat = F.array(*[c.num(v) for row in _system() for v in row])
+    got = points3(s, d).select("id", mx.solved(flat, F.array(*xyz())).alias("s"))
+    return r6(got.select("id", *[F.get("s", F.lit(i)).alias(n) for i, n in enumerate("uvw")]), 4)
+
+
+def _normals(s, d):
+    """What makes a normal one: its length, its side, and that the scatter matrix only shortens it, by the least eigenvalue."""
+    g = geo.eigen_normals(points3(s, d), 0.5)
+    m, v = [["xx", "xy", "xz"], ["xy", "yy", "yz"], ["xz", "yz", "zz"]], [F.col(k) for k in ("nx", "ny", "nz")]
+    turned = mx.mat_vec([[F.col(k) for k in row] for row in m], v)
+    least = c.dot(tuple(turned), tuple(v))
+    off = c.norm(tuple(t - least * u for t, u in zip(turned, v, strict=True)))
+    return r6(g.select("id", "n", F.round(c.norm(tuple(v)), 6).alias("size"), (F.col("nz") >= 0).alias("up"), least.alias("least"), F.round(off, 6).alias("off")), 5)
 
 
 def _tests(s, d):
@@ -133,10 +176,9 @@ QUERIES = {
     "scatter_matrix": lambda s, d: r6(st.scatter(points3(s, d), "g_id"), 6),
     "distinct_ids": lambda s, d: points(s, d).select("intensity").distinct(),
     "sort_by_size": lambda s, d: points(s, d).groupBy("g_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g_id"),
-    "reverse_order": lambda s, d: points(s, d).select("id", (F.max("id").over(_whole()) - F.col("id") + 1).alias("reversed")),
-    "has_value": lambda s, d: points(s, d).groupBy("g_id").agg(F.sort_array(F.collect_set("intensity")).alias("v")).select("g_id", (F.array_position("v", 7) - 1).alias("at"), F.size(F.array_remove("v", 7)).alias("left")),
+    "has_value": lambda s, d: st.values_of(points(s, d), "g_id", "intensity", 7),
     "best_config": lambda s, d: bt.best_config(sweep(s), ["host", "cloud"], ["threads", "radius"], "seconds"),
-    "best_optimization": lambda s, d: r6(bt.best_optimization(runs(s), "opt", "total")),
+    "best_optimization": lambda s, d: r6(bt.best_optimization(runs(s), "opt", "total"), 8),
     "speedup_vs_baseline": lambda s, d: r6(bt.speedup_vs_baseline(runs(s), "baseline", "opt", "cloud", "total")),
     "speedup_vs_previous": lambda s, d: r6(bt.speedup_vs_previous(runs(s), "ord", "opt", "cloud", "total")),
     "speedup_sum": lambda s, d: r6(speedups(s).groupBy("cloud").agg(F.sum("speedup").alias("speedup"))),
@@ -148,9 +190,13 @@ QUERIES = {
     "accuracy_range": lambda s, d: sweep(s).groupBy("cloud").agg(F.min("accuracy").alias("lo"), F.max("accuracy").alias("hi")),
     "linear_fit": lambda s, d: r6(st.line_fit(sweep(s), "threads", "seconds", "cloud")),
     "parabola_fit": lambda s, d: r6(st.parabola_fit(sweep(s), "radius", "seconds", "cloud"), 4),
+    "cubic_fit": lambda s, d: r6(st.polynomial_fit(points(s, d), "x", "z", 3, "g_id"), 7),
+    "exponential_curve_fit": lambda s, d: r6(st.exponential_fit(sweep(s), "threads", "seconds", "cloud"), 6),
     "exponential_fit": lambda s, d: r6(st.line_fit(sweep(s).withColumn("logged", F.log("seconds")), "threads", "logged", "cloud"), 6),
     "line_geometry": _lines,
     "vector_geometry": _vectors,
+    "vector_ops": _vector_ops,
+    "matrix_ops": _matrix_ops,
     "scalar_tests": _tests,
     "polygon_measures": _polygon,
     "plane_fit": _plane,
@@ -161,19 +207,13 @@ QUERIES = {
     "polar_points": _polar,
     "plane_patch": _patch,
     "in_hull": lambda s, d: points(s, d).filter(c.in_hull(F.col("x"), F.col("y"), HULL)).select("id"),
-    "convex_hull": lambda s, d: geo.convex_hull(points(s, d), "g_id").select("g_id", F.size("hull").alias("corners"), F.round(c.shoelace2(F.col("hull")) / 2, 4).alias("area")),
-    "eigen_normals": lambda s, d: r6(geo.eigen_normals(points3(s, d), 0.5), 4),
-    "linear_solve": lambda s, d: r6(geo.solved(points3(s, d)), 4),
-    "shuffle_arrays": lambda s, d: points(s, d).groupBy("g_id").agg(F.collect_list(F.struct("id", "z")).alias("a")).select("g_id", F.size(F.shuffle("a")).alias("n")),
+    # whole hundredths, so that three points in line are so in doubles too
+    "convex_hull": lambda s, d: geo.convex_hull(points(s, d).select("g_id", F.round(F.col("x") * 100).alias("x"), F.round(F.col("y") * 100).alias("y")), "g_id").select("g_id", F.explode("hull").alias("p")).select("g_id", "p.x", "p.y"),
+    "eigen_normals": _normals,
+    "linear_solve": _solve,
 }
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def _r(e: str, n: str, digits: int = 6) -> str:
     return f"round({e}, {digits}) + 0.0 AS {n}"
 
@@ -191,6 +231,15 @@ _FIT = P + ", f AS (SELECT g_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mt, covar
 _COV = E3 + ", q AS (SELECT g_id, " + ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " FROM p GROUP BY g_id)"
 _SP = RUNS_SQL + ", sp AS (SELECT r.ord, r.opt, r.cloud, b.total / r.total AS speedup FROM r JOIN r b ON b.cloud = r.cloud AND b.opt = 'baseline')"
 
+
+
+def _det4(k: int | None = None) -> str:
+    """The determinant of the cubic's normal equations, with the right side in column ``k``."""
+    cell = lambda r, c: f"t{r}" if c == k else f"s{r + c}"
+    even = lambda p: sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2 == 0
+    return "0" + "".join(f" {'+' if even(p) else '-'} {' * '.join(cell(r, c) for r, c in enumerate(p))}" for p in itertools.permutations(range(4)))
+
+
 ORACLES = {
     "argmin_z": P + " SELECT z, id FROM p ORDER BY z, id LIMIT 1",
     "intensity_range": P + " SELECT min(intensity) AS lo, max(intensity) AS hi FROM p",
@@ -200,10 +249,9 @@ ORACLES = {
     "scatter_matrix": f"{E3} SELECT g_id, count(*) AS n, " + ", ".join(_r(f"covar_pop({a}, {b}) * count(*)", a + b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " FROM p GROUP BY g_id",
     "distinct_ids": P + " SELECT DISTINCT intensity FROM p",
     "sort_by_size": P + " SELECT g_id, count(*) AS n FROM p GROUP BY g_id",
-    "reverse_order": P + " SELECT id, (SELECT max(id) FROM p) - id + 1 AS reversed FROM p",
     "has_value": P + " , v AS (SELECT g_id, list_sort(list(DISTINCT intensity)) AS v FROM p GROUP BY g_id) SELECT g_id, coalesce(list_position(v, 7), 0) - 1 AS at, len(list_filter(v, lambda q: q <> 7)) AS left FROM v",
     "best_config": SWEEP_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY host, cloud ORDER BY seconds, threads, radius) AS rn FROM r) SELECT host, cloud, threads, radius, seconds FROM k WHERE rn = 1",
-    "best_optimization": f"{RUNS_SQL} SELECT opt, {_r('avg(total)', 'mean')} FROM r GROUP BY opt ORDER BY avg(total), opt LIMIT 1",
+    "best_optimization": f"{RUNS_SQL} SELECT opt, {_r('avg(total)', 'mean', 8)} FROM r GROUP BY opt ORDER BY avg(total), opt LIMIT 1",
     "speedup_vs_baseline": f"{_SP} SELECT opt, cloud, {_r('speedup', 'speedup')} FROM sp",
     "speedup_vs_previous": f"{RUNS_SQL} SELECT opt, cloud, {_r('lag(total) OVER (PARTITION BY cloud ORDER BY ord) / total', 'speedup')} FROM r",
     "speedup_sum": f"{_SP} SELECT cloud, {_r('sum(speedup)', 'speedup')} FROM sp GROUP BY cloud",
@@ -225,8 +273,8 @@ ORACLES = {
         "la": "y - 5", "lb": "10 - x", "lc": "(y - 5) * 10 + (10 - x) * 5", "d": "sqrt((x - 43) * (x - 43) + (y - 43) * (y - 43))"}.items()) + " FROM p",
     "vector_geometry": f"{P} SELECT id, " + ", ".join(_r(e, n, 4) for n, e in {
         "dot": "x + 2 * y + 2 * z", "cx": "y * 2 - z * 2", "cy": "z - x * 2", "cz": "x * 2 - y", "norm2": "sqrt(x * x + y * y)", "norm3": _N3,
-        "n1": f"x / {_N3}", "n2": f"y / {_N3}", "n3": f"z / {_N3}", "g1": f"degrees(acos((x + 1) / {_M3}))", "g2": f"degrees(acos((y + 1) / {_M3}))", "g3": f"degrees(acos((z + 1) / {_M3}))",
-        "plain": "atan2(y - 43, x - 43)", "half": _ANG(math.pi), "full": _ANG(2 * math.pi)}.items()) + " FROM p WHERE x > 0 AND y > 0",
+        "n1": f"CASE WHEN {_N3} > 0 THEN x / {_N3} END", "n2": f"CASE WHEN {_N3} > 0 THEN y / {_N3} END", "n3": f"CASE WHEN {_N3} > 0 THEN z / {_N3} END", "g1": f"degrees(acos((x + 1) / {_M3}))", "g2": f"degrees(acos((y + 1) / {_M3}))", "g3": f"degrees(acos((z + 1) / {_M3}))",
+        "plain": "atan2(y - 43, x - 43)", "half": _ANG(math.pi), "full": _ANG(2 * math.pi)}.items()) + " FROM p",
     "scalar_tests": f"{P} SELECT id, floor(x / 7 * 100 + 0.5) / 100 AS r2, x >= 10 AND x <= 20 AS onrange, abs(z - x) <= greatest(z, x) * CAST(0.2 AS DOUBLE) AS onint, abs(x - y) < (x + y) / 2 * CAST(0.1 AS DOUBLE) AS diff, least(abs(x * 10 - y * 10) % 360, 360 - abs(x * 10 - y * 10) % 360) <= 5 AS deg, ({_CROSSES}) % 2 = 1 AS inside, round(60 * (y - 5) - 55 * (x - 10), 4) AS turn FROM p",
     "polygon_measures": f"{_RINGS}, k AS (SELECT g_id, sum(ax * qy - bx * ay) AS a2, sum(sqrt((ax - bx) * (ax - bx) + (ay - qy) * (ay - qy))) AS pe, sum((ax + bx) * (ax * qy - bx * ay)) AS sx, sum((ay + qy) * (ax * qy - bx * ay)) AS sy FROM e GROUP BY g_id) SELECT g_id, {_r('a2 / 2', 'area', 4)}, {_r('pe', 'perimeter', 4)}, {_r('sx / (a2 * 3)', 'cx', 4)}, {_r('sy / (a2 * 3)', 'cy', 4)} FROM k",
     "plane_fit": f"{_FIT} SELECT g_id, {_r('a', 'a', 4)}, {_r('b', 'b', 4)}, {_r('c', 'c', 4)}, {_r('-a / s', 'na', 4)}, {_r('-b / s', 'nb', 4)}, {_r('1 / s', 'nc', 4)}, {_r('abs(a * 10 + b * 20 - 30 + c) / s', 'dist', 4)} FROM f3",
@@ -237,5 +285,20 @@ ORACLES = {
     "polar_points": f"{P} SELECT id, " + ", ".join(_r(e, n, 4) for n, e in {"ax": f"x + z * CAST({_C!r} AS DOUBLE) - CAST({_S!r} AS DOUBLE)", "ay": f"y + z * CAST({_S!r} AS DOUBLE) + CAST({_C!r} AS DOUBLE)", "bx": f"x + z * CAST({_C!r} AS DOUBLE) + CAST({_S!r} AS DOUBLE)", "qy": f"y + z * CAST({_S!r} AS DOUBLE) - CAST({_C!r} AS DOUBLE)", "sx": "x + CAST(1.5 AS DOUBLE)", "sy": "y + CAST(2 AS DOUBLE)", "tx": "x - CAST(1.5 AS DOUBLE)", "ty": "y - CAST(2 AS DOUBLE)"}.items()) + " FROM p",
     "plane_patch": f"{P} SELECT id, " + ", ".join(_r(f"{v} + (CAST({t} AS DOUBLE) * {a} + CAST({u} AS DOUBLE) * {b}) * CAST(7.5 AS DOUBLE)", f"{v}{i}", 4) for i, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))) for v, t, u in (("x", 0.6, 0.8), ("y", 0.8, -0.6), ("z", 0.2, 0.0))) + " FROM p",
     "in_hull": f"{P} SELECT id FROM p WHERE " + " AND ".join(f"({b[0] - a[0]}) * (y - {a[1]}) - ({b[1] - a[1]}) * (x - {a[0]}) >= 0" for a, b in zip(HULL, HULL[1:], strict=False)),
-    "shuffle_arrays": P + " SELECT g_id, count(*) AS n FROM p GROUP BY g_id",
+    "vector_ops": f"{P} SELECT id, " + ", ".join(_r(e, n) for n, e in {
+        **{f"a{v}": f"{v} + CAST({b} AS DOUBLE)" for v, b in zip("xyz", (1.5, -2.0, 0.25), strict=True)}, **{f"s{v}": f"{v} - CAST({b} AS DOUBLE)" for v, b in zip("xyz", (1.5, -2.0, 0.25), strict=True)},
+        **{f"m{v}": f"{v} * CAST(2.5 AS DOUBLE)" for v in "xyz"}, **{f"o{v}": f"{v} - {b}" for v, b in zip("xyz", (43, 43, 100), strict=True)}, "px": "-y", "py": "x", "inverse": "CASE WHEN x <> 0 THEN 1 / x END"}.items()) + " FROM p",
+    "matrix_ops": f"{E3}, k AS (SELECT *, x + 5 AS a, z + 7 AS e FROM p), d AS (SELECT *, a * (e * 9 - 1) - y * (y * 9 - 1) + (y - e) AS det, e - y / a * y AS u11 FROM k) SELECT id, " + ", ".join(_r(e, n) for n, e in {
+        "l10": "y / a", "l20": "1 / a", "l21": "(1 - y / a) / u11", "u00": "a", "u01": "y", "u02": "CAST(1 AS DOUBLE)", "u11": "u11", "u12": "1 - y / a", "u22": "9 - 1 / a - (1 - y / a) * (1 - y / a) / u11",
+        "i00": "(e * 9 - 1) / det", "i01": "(1 - y * 9) / det", "i02": "(y - e) / det", "i10": "(1 - y * 9) / det", "i11": "(a * 9 - 1) / det", "i12": "(y - a) / det", "i20": "(y - e) / det", "i21": "(y - a) / det", "i22": "(a * e - y * y) / det",
+        "p00": "a + 4", "p01": "2 * a - y + CAST(0.25 AS DOUBLE)", "p02": "a * CAST(0.5 AS DOUBLE) + 3 * y + 1", "p10": "y + 4", "p11": "2 * y - e + CAST(0.25 AS DOUBLE)", "p12": "y * CAST(0.5 AS DOUBLE) + 3 * e + 1", "p20": "CAST(37 AS DOUBLE)", "p21": "CAST(3.25 AS DOUBLE)", "p22": "CAST(12.5 AS DOUBLE)",
+        "v0": "x + 4 * z", "v1": "2 * x - y + CAST(0.25 AS DOUBLE) * z", "v2": "CAST(0.5 AS DOUBLE) * x + 3 * y + z", "o00": "x * x", "o01": "x * y", "o02": "x * z", "o11": "y * y", "o12": "y * z", "o22": "z * z", "s0": "a + 1", "s1": "e - 1", "s2": "CAST(10 AS DOUBLE)"}.items()) + " FROM d",
+    "cubic_fit": P + ", m AS (SELECT g_id, avg(x) AS m FROM p GROUP BY g_id), u AS (SELECT p.g_id, m, x - m AS u, z FROM p JOIN m ON m.g_id = p.g_id), s AS (SELECT g_id, any_value(m) AS m, " + ", ".join(f"sum({'*'.join(['u'] * k) or 'CAST(1 AS DOUBLE)'}) AS s{k}" for k in range(7)) + ", " + ", ".join(f"sum({'*'.join(['u'] * k + ['z'])}) AS t{k}" for k in range(4)) + " FROM u GROUP BY g_id), q AS (SELECT g_id, m, " + ", ".join(f"({_det4(k)}) / ({_det4()}) AS k{k}" for k in range(4)) + f" FROM s) SELECT g_id, {_r('k3', 'a', 7)}, {_r('k2 - 3 * m * k3', 'b', 7)}, {_r('k1 - 2 * m * k2 + 3 * m * m * k3', 'c', 7)}, {_r('k0 - m * k1 + m * m * k2 - m * m * m * k3', 'd', 7)} FROM q",
+    "exponential_curve_fit": SWEEP_SQL.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + f", h AS (SELECT cloud, CAST(threads AS DOUBLE) AS x, seconds AS y FROM r), g AS (SELECT cloud, 0 AS step, exp(regr_intercept(ln(y), x)) AS a, regr_slope(ln(y), x) AS b FROM h GROUP BY cloud UNION ALL SELECT cloud, step + 1, a + (er * ff - ef * fr) / (ee * ff - ef * ef), b + (ee * fr - er * ef) / (ee * ff - ef * ef) FROM (SELECT g.cloud, step, a, b, sum(exp(2 * b * x)) AS ee, sum(a * x * exp(2 * b * x)) AS ef, sum(a * x * a * x * exp(2 * b * x)) AS ff, sum((y - a * exp(b * x)) * exp(b * x)) AS er, sum((y - a * exp(b * x)) * a * x * exp(b * x)) AS fr FROM g JOIN h ON h.cloud = g.cloud WHERE step < 60 GROUP BY g.cloud, step, a, b)) SELECT cloud, {_r('a', 'a')}, {_r('b', 'b')} FROM g WHERE step = 60",
+    "convex_hull": P + """, q AS (SELECT DISTINCT g_id, round(x * 100) AS x, round(y * 100) AS y FROM p),
+w AS (SELECT *, min(y) OVER a AS la, max(y) OVER a AS ha, min(y) OVER b AS lb, max(y) OVER b AS hb FROM q WINDOW a AS (PARTITION BY g_id ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY g_id ORDER BY x, y ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT g_id, x, y FROM w WHERE la IS NULL OR lb IS NULL OR y <= la OR y >= ha OR y <= lb OR y >= hb)
+SELECT a.g_id, a.x, a.y FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.g_id = a.g_id AND (b.x <> a.x OR b.y <> a.y) AND NOT EXISTS (SELECT 1 FROM c r WHERE r.g_id = a.g_id
+ AND ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) < 0 OR (b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) = 0 AND (b.x - a.x) * (r.x - a.x) + (b.y - a.y) * (r.y - a.y) < 0)))""",
+    "eigen_normals": E3 + f", nb AS (SELECT a.id, count(*) AS n, covar_pop(b.x, b.x) AS xx, covar_pop(b.x, b.y) AS xy, covar_pop(b.x, b.z) AS xz, covar_pop(b.y, b.y) AS yy, covar_pop(b.y, b.z) AS yz, covar_pop(b.z, b.z) AS zz FROM p a JOIN p b ON abs(a.x - b.x) < 1 AND b.x > a.x - CAST(0.5 AS DOUBLE) AND b.x < a.x + CAST(0.5 AS DOUBLE) AND b.y > a.y - CAST(0.5 AS DOUBLE) AND b.y < a.y + CAST(0.5 AS DOUBLE) AND b.z > a.z - CAST(0.5 AS DOUBLE) AND b.z < a.z + CAST(0.5 AS DOUBLE) GROUP BY a.id HAVING count(*) >= 3), q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM nb), s AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM q), h AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * s * s * s) AS h FROM s) SELECT id, n, CAST(1 AS DOUBLE) AS size, true AS up, {_r(f'q + 2 * s * cos(acos(greatest(-1, least(1, h))) / 3 + CAST({2 * math.pi / 3!r} AS DOUBLE))', 'least', 5)}, CAST(0 AS DOUBLE) AS off FROM h",
 }

@@ -26,14 +26,14 @@ prm AS (SELECT *, greatest(1, CAST(floor({d(0.5)} * density * {s.w} * {s.w}) AS
 
 
 def cx(i: str, lo: str, s: w.Setting) -> str:
-    return f"({lo} - CAST({s.w // 2} AS DOUBLE) + CAST({s.step} AS DOUBLE) + {i} * CAST({s.step} AS DOUBLE))"
+    return f"({lo} - CAST({s.w / 2 if s.exact else s.w // 2} AS DOUBLE) + CAST({s.step} AS DOUBLE) + {i} * CAST({s.step} AS DOUBLE))"
 
 
 def pw(s: w.Setting) -> str:
     """pw: points in windows, by unnesting a generous range and testing the open box."""
     r = f"CAST({s.half} AS DOUBLE)"
     n = int(2 * s.half / s.step) + 3
-    lo = lambda v, l: f"CAST(floor(({v} - {r} - ({l} - CAST({s.w // 2} AS DOUBLE) + CAST({s.step} AS DOUBLE))) / CAST({s.step} AS DOUBLE)) AS BIGINT)"
+    lo = lambda v, l: f"CAST(floor(({v} - {r} - ({l} - CAST({s.w / 2 if s.exact else s.w // 2} AS DOUBLE) + CAST({s.step} AS DOUBLE))) / CAST({s.step} AS DOUBLE)) AS BIGINT)"
     return f""",
 px AS (SELECT id, x, y, z, minx, miny, ncols, nrows, unnest(range({lo('x', 'minx')} - 1, {lo('x', 'minx')} + {n})) AS i FROM p, prm),
 py AS (SELECT *, unnest(range({lo('y', 'miny')} - 1, {lo('y', 'miny')} + {n})) AS j FROM px WHERE i >= 0 AND i < ncols AND x > {cx('i', 'minx', s)} - {r} AND x < {cx('i', 'minx', s)} + {r}),
@@ -90,16 +90,18 @@ def _clean(p, prm, s):
     return w.low_outliers_removed(p, prm, 5.0, 0.8).select("id", "z")
 
 
-NO_OVERLAP, NO_GRID, EXACT5 = w.Setting(o=0.0, b=4), w.Setting(b=0), w.Setting(w=10, b=5, exact=True)
+NO_OVERLAP, NO_GRID = w.Setting(o=0.0, b=4), w.Setting(b=0)
+#: an odd window, whose half side is a whole number unless ``exact``
+ODD = w.Setting(w=9, exact=True)
 
 QUERIES = {
     "owm_params": _with(S, lambda p, prm, s: prm.select("n", "minx", "maxx", "miny", "maxy", "width", "height", F.round("density", 6).alias("density"), "minnum", "ncols", "nrows", "gcols", "grows")),
     "owm_windows": _with(S, lambda p, prm, s: w.windows(prm, s).select("i", "j", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))),
     "owm_point_windows": _with(S, lambda p, prm, s: w.point_windows(p, prm, s)),
-    "owm_window_stats": _with(S, lambda p, prm, s: w.window_stats(p, prm, s, tiled=False).drop("x", "y")),
-    "owm_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s, tiled=False).drop("x", "y")),
-    "owm_tiled_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
-    "owm_stage1_gpu_box": _with(w.Setting(exact=True), lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
+    "owm_window_stats": _with(S, lambda p, prm, s: w.window_stats(p, prm, s).drop("x", "y")),
+    "owm_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
+    "owm_tiled_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).select("i", "j", "n", "id", "x", "y", "z")),
+    "owm_stage1_gpu_box": _with(ODD, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
     "owm_stage2": _with(S, lambda p, prm, s: w.local_lowest(p, prm, s).select("id")),
     "owm_llp_votes": _with(S, lambda p, prm, s: w.votes(w.stage1(p, prm, s), 1).select("id", "votes")),
     "owm_grid_cells": _with(S4, lambda p, prm, s: w.with_cells(p.select("id", "x", "y"), prm, s).select("id", "ci", "cj")),
@@ -127,6 +129,7 @@ rc AS (SELECT id, x, y, z, density, si, sj, CAST(floor((x - minx - si * CAST(2.0
 rg AS (SELECT si, sj, ci, cj, count(*) AS n, min(struct_pack(z := z, id := id)) AS m, any_value(density) AS density FROM rc GROUP BY si, sj, ci, cj),
 rs AS (SELECT si, sj, ci, cj, n, m.z AS z, m.id AS id FROM rg WHERE n >= CAST(floor(CAST(0.5 AS DOUBLE) * (floor(density * 100 + 0.5) / 100) * 10 * 10 + 0.5) AS BIGINT)),
 rv AS (SELECT x, y, p.z AS z, count(*) AS score FROM rs JOIN p ON p.id = rs.id GROUP BY x, y, p.z HAVING count(*) > 1)"""
+_RASTER_ROWS = _RASTER.replace("rv AS (SELECT x, y, p.z AS z, count(*) AS score FROM rs JOIN p ON p.id = rs.id GROUP BY x, y, p.z HAVING count(*) > 1)", "rv AS (SELECT x, y, p.z AS z, g_id, intensity, count(*) AS score FROM rs JOIN p ON p.id = rs.id GROUP BY x, y, p.z, g_id, intensity HAVING count(*) > 1)")
 
 
 def _lowest_points(s: w.Setting, name: str) -> str:
@@ -143,8 +146,8 @@ ORACLES = {
     "owm_point_windows": _A + " SELECT id, z, i, j FROM pw",
     "owm_window_stats": _A + " SELECT i, j, n, m.z AS z, m.id AS id FROM ws",
     "owm_stage1": _A + " SELECT * FROM s1",
-    "owm_tiled_stage1": _A + " SELECT * FROM s1",
-    "owm_stage1_gpu_box": _A + " SELECT * FROM s1",
+    "owm_tiled_stage1": _A + " SELECT i, j, n, p.id, x, y, p.z AS z FROM s1 JOIN p ON p.id = s1.id",
+    "owm_stage1_gpu_box": cte(ODD) + pw(ODD) + " SELECT * FROM s1",
     "owm_stage2": _A + " SELECT id FROM llp",
     "owm_llp_votes": _A + " SELECT id, count(*) AS votes FROM s1 GROUP BY id",
     "owm_grid_cells": _B + " SELECT id, ci, cj FROM gc",
@@ -157,9 +160,15 @@ ORACLES = {
     "owm_no_grid": f"{cte(NO_GRID) + pw(NO_GRID)} SELECT p.id, x, y, z, 'window' AS source FROM p JOIN llp ON llp.id = p.id",
     "owm_summary": _B + " SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM seeds) AS seeds, (SELECT count(*) FROM p) - (SELECT count(*) FROM seeds) AS reduced",
     "owm_raster_stage1": _RASTER + " SELECT * FROM rs",
-    "owm_raster_votes": _RASTER + " SELECT * FROM rv",
-    "owm_raster_fill": _RASTER + ", k AS (SELECT id, x, y, z, CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM p, prm), o AS (SELECT DISTINCT CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM rv, prm), b AS (SELECT ci, cj, min(struct_pack(z := z, id := id)) AS m FROM k GROUP BY ci, cj) SELECT b.ci, b.cj, m.z AS z, m.id AS id FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ci = b.ci AND o.cj = b.cj)",
+    "owm_raster_votes": _RASTER_ROWS + " SELECT * FROM rv",
+    "owm_raster_fill": _RASTER_ROWS + ", k AS (SELECT id, x, y, z, CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM p, prm), o AS (SELECT DISTINCT CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM rv, prm), b AS (SELECT ci, cj, min(struct_pack(z := z, id := id)) AS m FROM k GROUP BY ci, cj) SELECT b.ci, b.cj, m.z AS z, m.id AS id FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ci = b.ci AND o.cj = b.cj)",
     "outlier_clean": cte(S) + ", k AS (SELECT id, z, floor((x - minx) / 5) AS ci, floor((y - miny) / 5) AS cj FROM p, prm), mn AS (SELECT ci, cj, sum(z) / count(*) AS mz FROM k GROUP BY ci, cj) SELECT id, z FROM k JOIN mn USING (ci, cj) WHERE floor(z * 100 + 0.5) / 100 > floor(CAST(0.8 AS DOUBLE) * (floor(mz * 100 + 0.5) / 100) * 100 + 0.5) / 100",
+    "gold_match_pairs": _GOLD.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """,
+nr AS (SELECT sd.id, gd.id AS gold, row_number() OVER (ORDER BY sd.z, sd.id, (sd.x - gd.x) * (sd.x - gd.x) + (sd.y - gd.y) * (sd.y - gd.y), gd.id) AS n FROM sd JOIN gd ON gd.x > sd.x - CAST(1.0 AS DOUBLE) AND gd.x < sd.x + CAST(1.0 AS DOUBLE) AND gd.y > sd.y - CAST(1.0 AS DOUBLE) AND gd.y < sd.y + CAST(1.0 AS DOUBLE)),
+st AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS a, CAST([] AS BIGINT[]) AS b UNION ALL
+ SELECT nr.n, CASE WHEN list_contains(st.a, nr.id) OR list_contains(st.b, nr.gold) THEN st.a ELSE list_append(st.a, nr.id) END, CASE WHEN list_contains(st.a, nr.id) OR list_contains(st.b, nr.gold) THEN st.b ELSE list_append(st.b, nr.gold) END FROM st JOIN nr ON nr.n = st.n + 1),
+en AS (SELECT a, b FROM st ORDER BY n DESC LIMIT 1)
+SELECT unnest(a) AS id, unnest(b) AS gold FROM en""",
     "gold_match_semi": _MATCH + " SELECT id, x, y, z FROM hit",
     "gold_match_ratio": _MATCH + " SELECT (SELECT count(*) FROM hit) AS matched, (SELECT count(*) FROM gd) AS gold, round((SELECT count(*) FROM hit) / (SELECT count(*) FROM gd) * 100, 4) AS ratio",
 }

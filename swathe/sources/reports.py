@@ -35,7 +35,7 @@ def _carried(lines: DataFrame, mark) -> DataFrame:
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, run, seconds): in a log the line ``Running: <name>`` names the times on the lines after it."""
-    lines = numbered(spark.read.text(path).withColumn("file", F.input_file_name()))
+    lines = numbered(spark, path)
     name = F.regexp_extract("value", r"^Running:\s*(.*\S)\s*$", 1)
     got = _carried(lines, F.when(name != "", name))
     seconds = F.regexp_extract("value", r"([0-9]+(?:\.[0-9]+)?)\s*(?:s|seconds)?\s*$", 1).try_cast("double")
@@ -44,7 +44,7 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tree_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, value, leaves): rows of numbers under their section's heading line."""
-    lines = numbered(spark.read.text(path).withColumn("file", F.input_file_name()))
+    lines = numbered(spark, path)
     words = F.split(F.trim(F.col("value")), r"\s+")
     value, leaves = F.get(words, F.lit(0)).try_cast("double"), F.get(words, F.lit(1)).try_cast("long")
     heading = F.when(value.isNull() & (F.trim("value") != ""), F.trim("value"))

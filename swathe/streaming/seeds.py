@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import lowest, number_of
 from ..operators import windows as w
 
 
 def tiles(points: DataFrame, params: DataFrame, s: w.Setting) -> DataFrame:
-    """i0, i1, j0, j1, n and the lowest (z, id) of each tile; ``points`` may be a stream, ``params`` must not be."""
-    return w.with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), F.min(F.struct("z", "id")).alias("m"))
+    """i0, i1, j0, j1, n and the lowest point (key, z, x, y) of each tile; ``points`` may be a stream, ``params`` must not be."""
+    return w.tiles(points, params, s)
 
 
 def minima(tiled: DataFrame, params: DataFrame) -> DataFrame:
     """Window minima of a batch of tiles."""
-    i = tiled.select("n", "m", F.explode(F.sequence("i0", "i1")).alias("i"), "j0", "j1").select("n", "m", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-    got = i.groupBy("i", "j").agg(F.sum("n").alias("n"), F.min("m").alias("m")).crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum")
-    return got.select("i", "j", "n", F.col("m.z").alias("z"), F.col("m.id").alias("id"))
+    i = tiled.select("n", "key", "z", F.explode(F.sequence("i0", "i1")).alias("i"), "j0", "j1").select("n", "key", "z", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
+    got = i.groupBy("i", "j").agg(F.sum("n").alias("n"), *lowest("key", "z")).crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum")
+    return got.select("i", "j", "n", "z", number_of("key").alias("id"))

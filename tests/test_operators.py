@@ -109,7 +109,7 @@ def test_neighbours_and_nearest_by_brute_force(spark):
     p = cloud(spark, rows)
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and abs(a[1] - b[1]) < 1 and abs(a[2] - b[2]) < 1}
     assert {(r.id, r.t_id) for r in sj.neighbours(p, 1.0).collect()} == want
-    near = {r.id: r.t_id for r in sj.nearest(p, p, 0.5).collect()}
+    near = {r.id: r.t_id for r in sj.nearest(p, p).collect()}
     for a in rows:
         d = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for b in rows if b[0] != a[0])
         assert near[a[0]] == d[0][1]
@@ -122,6 +122,140 @@ def test_gold_pairs_are_one_to_one(spark):
     assert {(r.id, r.gold) for r in w.gold_pairs(seeds, gold, s).collect()} == {(1, 7), (0, 8)}
 
 
+def test_gold_pairs_of_a_long_chain(spark):
+    """Each pair frees the next: far more rounds than a bound of rounds would allow."""
+    s = w.Setting(w=10)
+    n = 90
+    seeds = spark.createDataFrame([(i, i * 0.9, 0.0, float(i)) for i in range(n)], "id long, x double, y double, z double")
+    gold = spark.createDataFrame([(1000 + i, i * 0.9 + 0.46, 0.0, 0.0) for i in range(n)], "id long, x double, y double, z double")
+    want, free = set(), {1000 + i: i * 0.9 + 0.46 for i in range(n)}
+    for i in range(n):
+        near = [(abs(x - i * 0.9), g) for g, x in free.items() if abs(x - i * 0.9) < s.step / 2]
+        if near:
+            want.add((i, min(near)[1]))
+            del free[min(near)[1]]
+    for rest in (0, 5, 1000):
+        assert {(r.id, r.gold) for r in w.gold_pairs(seeds.limit(8) if rest < 1000 else seeds, gold, s, rest).collect()} == {p for p in want if rest == 1000 or p[0] < 8}
+
+
+@pytest.mark.parametrize("axes", ["xy", "xyz"])
+@pytest.mark.parametrize("itself", [False, True])
+def test_nearest_at_any_distance(spark, axes, itself):
+    """Far outliers, a crowded spot, equal points, equal distances: the same as by comparing all."""
+    rng = np.random.default_rng(11)
+    xyz = [*(rng.integers(0, 40, (60, 3)) / 4).tolist(), *(rng.random((150, 3)) * 1e-3 + 5).tolist(), *[[7.0, 7.0, 7.0]] * 5, [1e6, 0.0, 0.0], [1e6 + 3, 1.0, 0.0], [-4e5, 2e5, 1e5]]
+    rows = [(i, *map(float, q)) for i, q in enumerate(xyz)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    probes = [*rows[::3], *rows[-9:], (5000, 2.1, 3.3, -50.0), (5001, 7.0, 7.0, 7.0)]
+    probes = list({r[0]: r for r in probes}.values())
+    got = {r.id: (r.t_id, r.d2) for r in sj.nearest(spark.createDataFrame(probes, p.schema), p, itself, axes, most=20).collect()}
+    n = len(axes) + 1
+    for a in probes:
+        d, t = min((sum((u - v) * (u - v) for u, v in zip(a[1:n], b[1:n], strict=True)), b[0]) for b in rows if itself or b[0] != a[0])
+        assert got[a[0]][0] == t and got[a[0]][1] == pytest.approx(d, rel=1e-12)
+    assert len(got) == len(probes)
+
+
+def test_nearest_of_few_points(spark):
+    p = spark.createDataFrame([(1, 2.0, 2.0)], "id long, x double, y double")
+    assert sj.nearest(p, p).count() == 0 and sj.nearest(p, p, itself=True).first().t_id == 1
+    assert sj.nearest(p, p.limit(0)).count() == 0 and sj.nearest(p.limit(0), p).count() == 0
+    same = spark.createDataFrame([(i, 2.0, 2.0) for i in (3, 1, 2)], "id long, x double, y double")
+    assert {r.id: r.t_id for r in sj.nearest(same, same).collect()} == {1: 2, 2: 1, 3: 1}
+    line = spark.createDataFrame([(i, float(i * i), 5.0) for i in range(9)], "id long, x double, y double")
+    assert {r.id: r.t_id for r in sj.nearest(line, line).collect()} == {0: 1, **{i: i - 1 for i in range(1, 9)}}
+
+
+def test_order_keys(spark):
+    from pyspark.sql import functions as F
+
+    from swathe.functions.ordering import double_rank, number_of, order_key
+
+    r = np.random.default_rng(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.0, -1.0, 0.1, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), *np.ldexp(r.random(300) * 2 - 1, r.integers(-1070, 1020, 300)).tolist()]
+    values += [np.nextafter(v, np.inf).item() for v in values if abs(v) < 1e300] + [2.0**k for k in range(-1074, 1024, 7)]
+    rows = [(v, i) for v in values for i in (0, 7, (1 << 62) + 1, -4)]
+    got = spark.createDataFrame(rows, "z double, id long").select("z", "id", order_key("z", "id").alias("k"), double_rank(F.col("z")).alias("r")).select("*", number_of("k").alias("back")).collect()
+    assert all(x.back == x.id for x in got)
+    for x, y in zip(sorted(got, key=lambda x: x.k), sorted(got, key=lambda x: (x.z, x.id)), strict=True):
+        assert (x.z, x.id) == (y.z, y.id)
+    assert spark.createDataFrame([(None, 1), (float("nan"), 2)], "z double, id long").select(order_key("z", "id").alias("k")).filter("k IS NULL").count() == 1
+
+
+def test_lowest_points_need_no_sort(spark):
+    """The lowest of each group comes from hash aggregates, and the test cloud has more than one partition."""
+    p = cloud(spark, LATTICE)
+    s = w.Setting(w=4, b=4)
+    params = w.parameters(p, s)
+    for df in (w.window_stats(p, params, s), w.stage1(p, params, s), w.fill(p, p.limit(3), params, s), w.raster_minima(p, params, s), ix.rollup(p, 4), ix.radius_leaves(p, 4), ix.chunks(p, 16), sj.group_of(p, p)):
+        plan = df._jdf.queryExecution().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_the_clouds_ids(spark):
+    from swathe.sources import cloud as source
+
+    folder = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(folder):
+        pytest.skip("the driver's tables are absent")
+    p = source.points(spark, folder)
+    assert p.rdd.getNumPartitions() > 1
+    n = p.count()
+    assert p.select("id").distinct().count() == n and p.groupBy().max("id").first()[0] == n
+
+
+def test_systems_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from swathe.functions.matrices import solved
+
+    rows = [([2.0, 0.0, 0.0, 4.0], [2.0, 2.0]), ([1.0, 2.0, 2.0, 4.0], [1.0, 2.0]), ([0.0, 1.0, 1.0, 0.0], [3.0, 5.0]), ([4.0], [2.0]), (None, [1.0]), ([1.0, 2.0], [1.0, 2.0]), ([float("nan")], [1.0]), ([], [])]
+    got = spark.createDataFrame(rows, "m array<double>, v array<double>").coalesce(1).select(solved(F.col("m"), F.col("v")).alias("x")).collect()
+    assert [r.x for r in got] == [[1.0, 0.5], None, [5.0, 3.0], [0.5], None, None, None, None]
+
+
+def test_octree_by_insertion(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, q)) for i, q in enumerate(rng.random((300, 3)) ** 3)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    lo, hi = np.min([q[1:] for q in rows], axis=0), np.max([q[1:] for q in rows], axis=0)
+
+    def split(own, centre, r, level):
+        if len(own) <= 10 or level == 9:
+            return [(level, len(own))]
+        out = []
+        for o in range(8):
+            up = np.array([o & 4, o & 2, o & 1], bool)
+            out += split([q for q in own if ((np.array(q[1:]) >= centre) == up).all()], centre + np.where(up, r / 2, -r / 2), r / 2, level + 1)
+        return out
+
+    want = sorted(split(rows, (lo + hi) / 2, (hi - lo).max() / 2, 0))
+    assert sorted((r.level, r.n) for r in ix.number_leaves(p, 10, -1, 4, deepest=9, axes="xyz").collect()) == want
+
+
+def test_cloud_without_extent(spark):
+    p = spark.createDataFrame([(i, 3.0, 4.0, float(i)) for i in range(5)], "id long, x double, y double, z double")
+    assert [(r.key, r.n, r.id) for r in ix.radius_leaves(p, 3).collect()] == [(0, 5, 0)]
+
+
+def test_folders_on_a_cluster_must_be_shared(spark, monkeypatch):
+    from swathe import lineage
+
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "spark://far:7077"
+
+            @staticmethod
+            def getConf():  # noqa: N802
+                return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Far)
+    big = lineage.materialize(spark.range(1000).selectExpr("id", "sha2(cast(id as string), 512) AS h"))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().logical().toString() or "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(lineage.small(big, 2000)) and not hinted(lineage.small(big, 999)) and not hinted(lineage.small(big, 2000, 10_000))
+
+
 def test_hull_and_normals(spark):
     p = cloud(spark, LATTICE)
     hulls = {r.g_id: {(v.x, v.y) for v in r.hull} for r in geo.convex_hull(p, "g_id").collect()}
@@ -155,6 +289,23 @@ def test_text_files(spark, tmp_path):
     assert text.catalog_header(spark, "/data/unknown.xyz").count() == 0
 
 
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    many = tmp_path / "many"
+    many.mkdir()
+    lines = []
+    for k in range(3):
+        own = [f"{k}.5 {i}.25 1.0" if i % 50 else f"bad {k} {i}" for i in range(400 * (3 - k))]
+        (many / f"part-{k}.txt").write_text("\n".join(own) + "\n")
+        lines += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        got = [(r.id, f"{r.x} {r.y} {r.z}") for r in text.read_xyz(spark, str(many)).orderBy("id").collect()]
+        bad = [(r.id, r.value) for r in text.malformed_lines(spark, str(many)).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted([(i, v) for i, v in [*got, *bad]]) == list(enumerate(lines))
+
+
 def test_reports(spark, tmp_path):
     log = tmp_path / "run.log"
     log.write_text("start\nRunning: a 4\n time 1.5\n time 2.5\nRunning: b 8\nfinished\n 0.25 s\n")
