@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import materialize, shared_dir, small
 
-__all__ = ["as_text", "hex16", "materialize", "row_hash", "shared_dir", "small", "small_batches", "table", "typed_id", "union_all"]
+__all__ = ["as_text", "hex16", "materialize", "release", "row_hash", "shared_dir", "small", "small_batches", "table", "typed_id", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 2 << 2
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the machine, where the C library can: workers are used again, and keep what their largest task took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def as_text(c: Column | str) -> Column:
     """An id as text, in which form it goes through pandas: there one null turns a column of longs into doubles."""
     return (F.col(c) if isinstance(c, str) else c).cast("string")

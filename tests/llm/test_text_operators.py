@@ -140,6 +140,36 @@ def test_pieces_query(spark, tables):
     assert pieces.op2_pieces(spark, tables(documents=[])).count() == 0
 
 
+def test_pieces_query_by_enumeration(spark, tables, vocab):
+    seg = pieces.Segmenter(vocab, pieces.NBEST)
+    texts = ["the end", "a", "of it", "é x", "hi there", None, "of it"]
+    got = {r["doc_id"]: r for r in rows(pieces.op2_pieces(spark, tables(documents=docs(texts))))}
+    for i, text in enumerate(texts):
+        ways = all_segmentations(seg, (" " + text).replace(" ", pieces.SPACE)) if text else [(0.0, ())]
+        assert [round(x["score"], 6) for x in got[i]["nbest"]] == [round(w, 6) for w, _ in ways[: pieces.NBEST]]
+        digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+        by_digest = {digest(ids): (round(w, 6), len(ids)) for w, ids in ways}
+        assert all(by_digest[x["sha256"]] == (round(x["score"], 6), x["n_pieces"]) for x in got[i]["nbest"])
+        assert len({x["sha256"] for x in got[i]["nbest"]}) == len(got[i]["nbest"]) and got[i]["n_pieces"] == got[i]["nbest"][0]["n_pieces"]
+
+
+def test_models_that_cross_words_are_refused(vocab, monkeypatch):
+    import sentencepiece
+
+    class Model:
+        def __init__(self, **_):
+            pass
+
+        get_piece_size = lambda self: 1
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+        id_to_piece = lambda self, i: "of" + pieces.SPACE + "the"
+        get_score = lambda self, i: -1.0
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="cross"):
+        pieces.load("any")
+
+
 # --- 3 BM25
 
 
@@ -183,7 +213,8 @@ def test_bm25_pruning_is_exact(least):
     arrays, terms, tfs, lengths = _shard(r, 700)
     shard, exact = bm25.Shard(arrays, 60.0), bm25.Shard(arrays, 60.0, exact=True)
     asked = [terms[i] for i in range(300)]
-    weights = [r.random(len(t)) + 0.01 for t in asked]
+    of_term = r.random(400) + 0.01
+    weights = [of_term[t] for t in asked]
     q = bm25.Queries(list(range(300)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), np.concatenate(weights))
     want = []
     for t, w in zip(asked, weights, strict=True):
@@ -193,7 +224,7 @@ def test_bm25_pruning_is_exact(least):
             scores.append((-round(float((w[x] * bm25.impacts(tfs[d][y], lengths[d : d + 1], np.zeros(len(both), int), 60.0)).sum()), 9), d))
         want.append(sorted(x for x in scores if x[0] < 0)[:10])
     q.least = np.array([least * -x[9][0] for x in want])
-    pairs = [np.concatenate(x) for x in zip(*shard.search(q, 10), strict=True)]
+    pairs = shard.search(q, 10)
     assert len(pairs[0]) < 300 * 40
     order = np.lexsort((pairs[1], pairs[0]))
     got = defaultdict(list)
@@ -210,7 +241,7 @@ def test_bm25_skips_blocks():
     shard = bm25.Shard(arrays, 60.0)
     asked = [terms[i] for i in range(768)]
     q = bm25.Queries(list(range(768)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), np.ones(sum(map(len, asked))))
-    list(shard.search(q, 10))
+    shard.search(q, 10)
     assert 0 < shard.active <= shard.scored < 0.5 * shard.pairs
 
 
@@ -305,6 +336,16 @@ def test_html_query_by_brute_force(spark, tables):
     assert sorted(((x["page_id"], x["text"]) for x in got), key=str) == brute_text(pages)
 
 
+def test_hosts_in_parts_give_the_same(spark, tables, monkeypatch):
+    promo = "<div><p>Join our club</p></div>"
+    pages = [(i, "https://h.example/", PAGE.replace("{promo}", promo).replace("{n}", f"part {i} of it").replace("{more}", "<p>Ever the same</p>")) for i in range(12)] + [(None, None, "<p>x</p>")]
+    folder = tables(pages=pages)
+    want = sorted((str(r["page_id"]), r["text"]) for r in rows(html_text.op4_html_text(spark, folder)))
+    monkeypatch.setattr(html_text, "small", lambda df, most: df)
+    assert sorted((str(r["page_id"]), r["text"]) for r in rows(html_text.op4_html_text(spark, folder))) == want
+    assert not any("Ever" in t for _, t in want)
+
+
 def test_html_depth_and_rubbish():
     deep = "<div>" * 20000 + "x" + "</div>" * 3
     assert html_text.extract(deep, set()) == "x"
@@ -704,6 +745,18 @@ def test_parts_of_items_are_found(spark, tables):
     assert [r.doc_id for r in decontam.decontaminate(read("documents"), read("benchmark")).collect()] == [4]
 
 
+def test_shared_grams_are_read_in_slices(spark, tables, monkeypatch):
+    """Items of one long beginning: their postings go through slices smaller than one q-gram's."""
+    start = prose(500, 20)
+    items = [(i, start + " " + prose(600 + i, 8)) for i in range(30)]
+    texts = [prose(1, 30), start + " and more", "x " + items[7][1] + " y", items[8][1]]
+    folder = tables(documents=docs(texts), benchmark=items)
+    want = sorted(map(str, rows(decontam.op9_decontamination(spark, folder))))
+    monkeypatch.setattr(decontam, "SLICE", 7)
+    assert sorted(map(str, rows(decontam.op9_decontamination(spark, folder)))) == want
+    assert {(2, 7), (3, 8)} <= {(r["doc_id"], r["item_id"]) for r in rows(decontam.op9_decontamination(spark, folder))}
+
+
 # --- 10 toxicity
 
 
@@ -763,6 +816,62 @@ def test_toxicity(spark, tables):
     assert got[1003][0]["score"] < got[1004][0]["score"]
 
 
+def transposed_distance(a, b):
+    """Edit distance in which two neighbouring letters that changed places are one edit."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def brute_score(text, model, budgets):
+    """The score by comparing every word with every whole term, and context by counting quotation marks and reporting words."""
+    terms, clean, weights = model
+    names = sorted(terms)
+    low = (text or "").lower()
+    words = list(toxicity.WORD.finditer(low))
+    exact = fuzzy = quoted = top = 0.0
+    for k, m in enumerate(words):
+        near = []
+        for i, t in enumerate(names):
+            d = transposed_distance(m.group(), t)
+            if d <= budgets[i]:
+                near.append((d, i))
+        if not near or min(near)[0] and m.group() in clean:
+            continue
+        edits, i = min(near)
+        weight = terms[names[i]] / (1 + edits)
+        around = words[max(0, k - toxicity.WINDOW) : k + toxicity.WINDOW + 1]
+        before, after = low[around[0].start() : m.start()], low[m.end() : around[-1].end() + 2]
+        told = sum(c in toxicity.QUOTES for c in before) % 2 and any(c in toxicity.QUOTES for c in after) or any(w.group() in toxicity.REPORTED for w in around if w.start() < m.start())
+        if told:
+            quoted += weight
+        elif edits:
+            fuzzy += weight
+        else:
+            exact, top = exact + weight, max(top, weight)
+    z = sum(w * x for w, x in zip(weights, [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), top / 4, 1.0], strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_brute_force(spark, tables):
+    documents, labels = toxic_docs()
+    more = ["you wortless diiot", 'she said "moronic" then', "\u201cidiot\u201d", "stupid lies", None, "", "Worthless! idi0t moron1c", "words wrote worthless " + prose(3, 20), "idiots and stupidlly"]
+    documents += [(1000 + i, t, "en", "s", 1) for i, t in enumerate(more)]
+    folder = tables(documents=documents, labels=labels)
+    read = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    model = toxicity.train(read("documents"), read("labels"))
+    lexicon = toxicity.Lexicon({t: w for t, w in model[0].items() if not t.endswith("*")})
+    model = ({t: w for t, w in model[0].items() if not t.endswith("*")}, *model[1:])
+    assert len(model[0]) >= 3
+    got = {r["id"]: r["score"] for r in rows(toxicity.score(read("documents"), model))}
+    for i, t, *_ in documents:
+        assert got[i] == pytest.approx(brute_score(t, model, lexicon.budget), abs=1e-9), t
+
+
 def test_toxicity_without_labels(spark, tables):
     documents, _ = toxic_docs()
     got = rows(toxicity.op10_toxicity(spark, tables(documents=documents[:20], labels=[])))
