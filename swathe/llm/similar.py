@@ -1,8 +1,11 @@
 """Near-duplicates by the similarity of texts: Jaccard similarity of their sets of five-word runs, 0.8 or more.
 
-MinHash bands give the candidates: 20 bands of 5 hashes, so a pair of similarity 0.8 shares a band with probability 0.9996, one of 0.9
-all but surely. Every candidate is verified on the whole sets; the bands alone never link two texts. Texts of the same set are one node from the
-start. The members of a band are compared pair by pair where that is few pairs; else with a few hubs first, new ones in each round,
+MinHash bands choose the texts that can have a partner: 20 bands of 5 hashes, so two of similarity 0.8 share a band with probability 0.9996, two of 0.9
+all but surely. Among these, exactly, two sets can only be similar if they share one of their rarest runs: of a set of n runs the n - ceil(0.8 n) + 1 that stand in the
+fewest sets (its prefix); and where the first run that they share stands late in one of the two, what is left of it is too little for the overlap
+that 0.8 asks for. Runs of one text only come first, so a text that was changed in many places meets no other, whatever its group holds.
+Every pair is verified on the whole sets; a shared band or run alone never links two texts. Texts of the same set are one node from the
+start. The members of a run are compared pair by pair where that is few pairs; else with a few hubs first (that with the most partners, and others by hash, new ones in each round),
 and only members that are not yet in one component go on. Sets whose sizes alone rule the similarity out are not compared.
 
 Defined cases: texts without a word are copies of each other and of nothing else; a text of five words or fewer is one run.
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small, small_batches
@@ -22,7 +25,7 @@ from .simhash import components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
-STARS, HUBS = 3, 4
+STARS, HUBS = 4, 3
 _RANDOM = np.random.default_rng(20240229)
 MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -72,6 +75,19 @@ def _runs(text: Column) -> Column:
     return each(text)
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(band, same, size, df, rest): the runs in each set's prefix that another set has too, in how many sets each stands, and how many runs of the set come from it on.
+
+    Any order of all runs would do; by rising frequency they meet least.
+    """
+    each = sets.select("same", F.size("own").alias("size"), F.explode("own").alias("band"))
+    common = each.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1")
+    by_set = Window.partitionBy("same")  # a text's own runs
+    held = each.join(common, "band").withColumn("rank", F.row_number().over(by_set.orderBy("df", "band"))).withColumn("shared", F.count("*").over(by_set))
+    # the prefix begins with the runs that no other set has: size - shared of them
+    return held.filter(F.col("rank") <= F.col("shared") + 1 - F.ceil(LEAST * F.col("size") - 1e-9)).select("band", "same", "size", "df", (F.col("shared") - F.col("rank") + 1).cast("int").alias("rest"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (u, v) whose sets are similar."""
     a = sets.select(F.col("same").alias("u"), F.col("own").alias("a"))
@@ -87,16 +103,19 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     found = materialize(named.select("id", "k1", "k2", _signature(F.col("text")).alias("s")).select("id", "k1", "k2", "s.same", "s.size", "s.bands"))
     uniq = materialize(found.groupBy("same").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     each = uniq.select("same", "size", F.explode("bands").alias("band"))
-    held = each.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("same")).alias("x"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("y")).filter("n > 1")
-    shared = small(materialize(held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")), 300_000)  # bands of the same members count once
-    members = materialize(each.join(shared, "band"))
-    need = uniq.join(members.select("same").distinct(), "same", "left_semi").select("same", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    often = small(materialize(each.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")), 300_000)
+    need = uniq.join(each.join(often, "band").select("same").distinct(), "same", "left_semi").select("same", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     need = small(materialize(need), 300_000)
     sets = materialize(named.join(need, ["k1", "k2"]).select("same", "text").withColumn("own", _runs(F.col("text"))).select("same", "own").dropDuplicates(["same"]))
+    members = materialize(_prefixes(sets))
+    held = members.groupBy("band").agg(F.first("df").alias("df"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("same")).alias("x"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("y")).filter("n > 1")
+    # runs of the same members count once, by the first of them
+    shared = small(materialize(held.groupBy("n", "x", "y").agg(F.min(F.struct("df", "band")).alias("first")).select("first.band")), 300_000)
+    members = materialize(members.join(shared, "band"))
     comp = links = None
     for turn in range(STARS + 1):
         at = members if comp is None else members.join(comp, members.same == comp.node, "left")
-        at = materialize(at.select("band", "same", "size", F.col("same").alias("root") if comp is None else F.coalesce("root", "same").alias("root")))
+        at = materialize(at.select("band", "same", "size", "rest", F.col("same").alias("root") if comp is None else F.coalesce("root", "same").alias("root")))
         per_root = at.groupBy("band", "root").agg(F.count("*").cast("double").alias("n"))
         apart = materialize(per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).filter("roots > 1"))
         size = apart.agg(F.sum("pairs"), F.sum("rows")).first()
@@ -104,10 +123,13 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
             break
         last = turn == STARS or size[0] <= 4 * size[1]
         live = at.join(small(apart.select("band"), 300_000), "band")
-        hubs = [F.min(F.struct(F.xxhash64("same", F.lit(turn * HUBS + k)).alias("h"), "same", "size", "root")) for k in range(HUBS)]
-        other = live if last else live.groupBy("band").agg(F.array_distinct(F.array(*hubs)).alias("m")).select("band", F.explode("m").alias("m")).select("band", "m.same", "m.size", "m.root")
-        other = other.select(F.col("band").alias("b2"), F.col("same").alias("s2"), F.col("size").alias("z2"), F.col("root").alias("r2"))
-        near = F.least("size", "z2") >= LEAST * F.greatest("size", "z2") - 1e-9
+        if not last:
+            degree = live.groupBy("same").agg(F.count("*").alias("degree"))
+            live = materialize(live.join(degree, "same"))
+        hubs = [F.min(F.struct((F.negate("degree") if not k and not last else F.xxhash64("same", F.lit(turn * HUBS + k))).alias("h"), "same", "size", "rest", "root")) for k in range(HUBS)]
+        other = live if last else live.groupBy("band").agg(F.array_distinct(F.array(*hubs)).alias("m")).select("band", F.explode("m").alias("m")).select("band", "m.same", "m.size", "m.rest", "m.root")
+        other = other.select(F.col("band").alias("b2"), F.col("same").alias("s2"), F.col("size").alias("z2"), F.col("rest").alias("e2"), F.col("root").alias("r2"))
+        near = (F.least("size", "z2") >= LEAST * F.greatest("size", "z2") - 1e-9) & (F.least("rest", "e2") >= LEAST / (1 + LEAST) * (F.col("size") + F.col("z2")) - 1e-9)
         meet = live.join(other, (F.col("band") == F.col("b2")) & (F.col("root") != F.col("r2")) & near & (F.col("same") < F.col("s2") if last else F.lit(True)))
         pairs = materialize(meet.select(F.greatest("same", "s2").alias("u"), F.least("same", "s2").alias("v")).distinct())
         new = materialize(_verified(pairs, sets))

@@ -470,6 +470,34 @@ def test_large_ids_beside_nulls(spark, tables):
     assert {x.doc_id for x in bm25.search(read, bm25.F.col("query") % 20 == 0).select(bm25.F.col("id").alias("doc_id")).collect()} == {big, None, big + 2, 20 * 57646075230342349} - ({big + 2} if not set(texts[2].split()) & set(texts[0].split()) else set())
 
 
+def test_long_texts_are_read_to_their_ends(spark, tables):
+    long = prose(77, 150_000)
+    item = prose(901, 25)
+    text = long + " " + item + " you idiot idiot idiot token=abcdefghijkl012345"
+    toxic, labels = toxic_docs()
+    documents = [*toxic, (5000, text, "en", "src1", 1), (5001, long, "en", "src1", 1)]
+    folder = tables(documents=documents, labels=labels, benchmark=[(1, item)], pages=[(1, "http://a/", f"<article><p>{long}</p><p>The end</p></article>"), (2, "http://a/", "<p>short</p>")])
+    at = len(text) - len("token=abcdefghijkl012345")
+    assert {(r["doc_id"], r["start"]) for r in rows(decontam.op9_decontamination(spark, folder))} == {(5000, len(long) + 1)}
+    assert {r["doc_id"]: r["spans"] for r in rows(secrets.op6_secrets(spark, folder)) if r["doc_id"] >= 5000} == {5000: f"assign:{at}:{len(text)}", 5001: ""}
+    score = {r["doc_id"]: r["score"] for r in rows(toxicity.op10_toxicity(spark, folder)) if r["doc_id"] >= 5000}
+    assert score[5000] > score[5001]
+    fp = {r["doc_id"]: r["fingerprint"] for r in rows(simhash.op5_simhash(spark, folder)) if r["doc_id"] >= 5000}
+    assert fp[5000] == f"{brute_fingerprint(text):016x}"
+    assert all(r["decoded"] for r in rows(pieces.op2_pieces(spark, folder)))
+    assert {r["doc_id"] for r in rows(langid.op8_language(spark, folder)) if r["rejected"]} == set()
+    page = {r["page_id"]: r for r in rows(html_text.op4_html_text(spark, folder))}
+    assert page[1]["text"] == " ".join(long.split()) + "\nThe end" and page[1]["n_chars"] == len(page[1]["text"])
+    assert {r["page_id"]: r["payload_bytes"] for r in rows(warc.op1_warc(spark, folder))}[1] == len(long) + len("<article><p></p><p>The end</p></article>")
+
+
+def test_many_secrets_in_one_text(spark, tables):
+    text = "token=abcdefghijkl " * 20_000
+    got = rows(secrets.op6_secrets(spark, tables(documents=docs([text, "x"]))))
+    assert {r["doc_id"]: r["n_assign"] for r in got} == {0: 20_000, 1: 0}
+    assert next(r for r in got if r["doc_id"] == 0)["base_sha256"] == brute_secrets(text)[1]
+
+
 # --- 6 secrets
 
 
