@@ -306,6 +306,33 @@ def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
     assert sorted([(i, v) for i, v in [*got, *bad]]) == list(enumerate(lines))
 
 
+def test_las_files(spark, tmp_path):
+    import struct
+
+    from swathe.sources import las
+
+    def write(name, version, points, length=20, cut=0):
+        head = bytearray(375 if version == 4 else 227)
+        head[:4], head[24], head[25] = b"LASF", 1, version
+        struct.pack_into("<IBHI", head, 96, len(head) + 5, 1, length, 0 if version == 4 else len(points))
+        struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.001, 1000.0, 2000.0, -5.0)
+        if version == 4:
+            struct.pack_into("<Q", head, 247, len(points))
+        body = b"".join(struct.pack("<3iH", *p).ljust(length, b"\x07") for p in points)
+        (tmp_path / name).write_bytes(bytes(head) + b"extra" + body[: len(body) - cut])
+
+    a, b = [(i, -2 * i, 1000 * i, i % 7) for i in range(70_000)], [(5, 6, 7, 65535), (8, 9, 10, 0)]
+    write("a.las", 2, a)
+    write("b.las", 4, b, length=34, cut=3)
+    got = {r.id: (r.x, r.y, r.z, r.intensity) for r in las.read_las(spark, str(tmp_path / "*.las")).collect()}
+    assert len(got) == 70_001 and set(got) == set(range(70_001))
+    for k in (0, 1, 65_536, 69_999):
+        assert got[k] == pytest.approx((1000 + k * 0.01, 2000 - k * 0.02, -5 + k, k % 7))
+    assert got[70_000] == pytest.approx((1000.05, 2000.06, -4.993, 65535))
+    with pytest.raises(ValueError):
+        list(las.parse(b"PDF"))
+
+
 def test_reports(spark, tmp_path):
     log = tmp_path / "run.log"
     log.write_text("start\nRunning: a 4\n time 1.5\n time 2.5\nRunning: b 8\nfinished\n 0.25 s\n")
