@@ -96,6 +96,15 @@ def align(item: np.ndarray, region: np.ndarray, k: int, first: int, wide: int) -
     return (int(cost[e]), int(start[e]), int(first + e + m)) if cost[e] <= k else None
 
 
+def _find(item: np.ndarray, region: np.ndarray) -> int:
+    """The first place of the item in the region as it is, or -1."""
+    flat, want, at = region.tobytes(), item.tobytes(), -1
+    while (at := flat.find(want, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return -1
+
+
 class Items:
     """The q-gram index of a block of benchmark items."""
 
@@ -182,7 +191,8 @@ class Items:
             k = int(self.k[i])
             first = (band - SHIFT) * (k + 1) - k
             lo, hi = max(0, first), min(len(c), first + 4 * (k + 1) + len(want))
-            got = align(want, c[lo:hi], k, first - lo, 4 * (k + 1))
+            at = _find(want, c[lo:hi])  # most matches are whole: no alignment is needed for these
+            got = (0, at, at + len(want)) if at >= 0 else align(want, c[lo:hi], k, first - lo, 4 * (k + 1))
             if got:
                 near.setdefault(i, []).append((got[0], got[1] + lo, got[2] + lo))
         for i, own in near.items():
