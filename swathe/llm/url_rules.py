@@ -100,21 +100,6 @@ def fire(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return fired.groupBy("uid").agg(F.max("facts").alias("best"))
 
 
-def fire(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(uid, confidence, fired): the best rule of each row of ``pages`` (uid, tokens) for which one fires, by an inverted index.
-
-    A rule is indexed under its rarest token among the rules' tokens as counted over the pages.
-    """
-    held = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
-    wanted = small(materialize(held.select("token").distinct()), 100_000)
-    each = pages.select("uid", "tokens", F.explode("tokens").alias("token")).join(wanted, "token")
-    counts = each.groupBy("token").count()
-    index = held.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("k"), F.first("tokens").alias("need"), F.first("confidence").alias("confidence"))
-    index = small(materialize(index.select(F.col("k.token").alias("token"), "need", "confidence")), 100_000)
-    fired = each.join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0)
-    return fired.groupBy("uid").agg(F.max(F.struct("confidence", F.array_join("need", " ").alias("need"))).alias("best"))
-
-
 def fixed_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fixed rule that fits, null without one."""
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0]))

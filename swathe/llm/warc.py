@@ -31,6 +31,7 @@ CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 1000
 FILE_BYTES = 64 << 20
+CLASS_BYTES = 16 << 10  # of the payloads of the smallest class
 RECORDS = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, digest string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 
 
@@ -58,7 +59,7 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
     # a row's number comes from its place in the scan: the same in each pass over the same files
     base = captures.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    size_class = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest("bytes", F.lit(1)) / 4096))).cast("int")
+    size_class = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest("bytes", F.lit(1)) / CLASS_BYTES))).cast("int")
     slim = materialize(base.select("uid", "id", "digest", "bytes", size_class.alias("size")))
     equal = slim.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.max_by(F.negate("uid"), F.struct("id", F.negate("uid"))).alias("lead"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
     later = slim.select("uid", "id", "digest").join(equal, "digest").filter("id IS NULL OR id < first")
@@ -87,10 +88,10 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
     asked = _record("request", _urn("request", F.col("key")), [uri, to, ("Content-Type", F.lit("application/http; msgtype=request"))], request)
     facts = F.concat_ws(CRLF, F.concat(F.lit("capture-id: "), F.col("id").cast("string")), F.concat(F.lit("payload-length: "), F.col("bytes").cast("string")), F.concat(F.lit("refers-to-capture: "), F.when(F.col("again"), F.col("first").cast("string"))))
     noted = _record("metadata", _urn("metadata", F.col("key")), [uri, to, ("Content-Type", F.lit("application/warc-fields"))], facts)
-    sizes = [r[0] for r in slim.select("size").distinct().orderBy("size").collect()]  # eight at most: a payload has less than 2^31 bytes
+    sizes = [r[0] for r in slim.select("size").distinct().orderBy("size").collect()]  # six at most: a payload has less than 2^31 bytes
     for size in sizes or [0]:
         lines = rows.filter(size_class == size) if len(sizes) > 1 else rows
-        most = max(1, file_bytes // (4096 * 16**size + 2048))
+        most = max(1, file_bytes // (CLASS_BYTES * 16**size + 2048))
         lines.select(F.concat_ws("\r\n\r\n", asked, main, noted).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
