@@ -1,6 +1,7 @@
 """Near-duplicates by the similarity of texts: Jaccard similarity of their sets of five-word runs, 0.8 or more.
 
-MinHash bands choose the texts that can have a partner: 20 bands of 5 hashes, so two of similarity 0.8 share a band with probability 0.9996, two of 0.9
+The SimHash operator comes first: fingerprints over five-word runs, joined by its tries at 4 bits; what its spanning forest links is linked here if the
+sets are similar. Most copies are found so. For the rest, which differ in more bits, MinHash bands choose the texts that can have a partner: 20 bands of 5 hashes, so two of similarity 0.8 share a band with probability 0.9996, two of 0.9
 all but surely. Among these, exactly, two sets can only be similar if they share one of their rarest runs: of a set of n runs the n - ceil(0.8 n) + 1 that stand in the
 fewest sets (its prefix); and where the first run that they share stands late in one of the two, what is left of it is too little for the overlap
 that 0.8 asks for. Runs of one text only come first, so a text that was changed in many places meets no other, whatever its group holds.
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small, small_batches
-from .simhash import components
+from .simhash import components, fingerprints
+from .simhash import links as fingerprint_links
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -54,14 +56,15 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def _signature(text: Column) -> Column:
-    @F.pandas_udf("same long, size int, bands array<long>")
+    @F.pandas_udf("same long, size int, fp long, bands array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for s in batches:
-            sets = [runs(t if isinstance(t, str) else None) for t in s]
+            texts = [t if isinstance(t, str) else None for t in s]
+            sets = [runs(t) for t in texts]
             same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"same": same, "size": np.array([len(x) for x in sets], np.int32), "bands": pd.Series([bands(x) for x in sets], dtype=object)})
+            yield pd.DataFrame({"same": same, "size": np.array([len(x) for x in sets], np.int32), "fp": fingerprints(texts, WIDTH), "bands": pd.Series([bands(x) for x in sets], dtype=object)})
 
     return sign(text)
 
@@ -75,6 +78,15 @@ def _runs(text: Column) -> Column:
     return each(text)
 
 
+def _by_fingerprint(uniq: DataFrame, budget: int = 4) -> DataFrame:
+    """(u, v): pairs of sets whose fingerprints are equal or linked in the SimHash operator's forest; a pair for each set at most, and one for each link."""
+    lead = materialize(uniq.groupBy("fp").agg(F.min("same").alias("lead")))
+    equal = uniq.join(small(lead, 300_000), "fp").filter("same <> lead").select(F.col("same").alias("u"), F.col("lead").alias("v"))
+    forest = materialize(fingerprint_links(lead, budget))
+    end = lambda c: lead.select(F.col("fp").alias(c), F.col("lead").alias(f"at_{c}"))
+    return equal.union(forest.join(end("u"), "u").join(end("v"), "v").select(F.col("at_u").alias("u"), F.col("at_v").alias("v")))
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(band, same, size, df, rest): the runs in each set's prefix that another set has too, in how many sets each stands, and how many runs of the set come from it on.
 
@@ -100,11 +112,13 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     """(id, k1, k2, root) of each row of ``docs``: its keys and a number that names its component."""
     small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").alias("id"), key[0].alias("k1"), key[1].alias("k2"), "text")
-    found = materialize(named.select("id", "k1", "k2", _signature(F.col("text")).alias("s")).select("id", "k1", "k2", "s.same", "s.size", "s.bands"))
-    uniq = materialize(found.groupBy("same").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    found = materialize(named.select("id", "k1", "k2", _signature(F.col("text")).alias("s")).select("id", "k1", "k2", "s.same", "s.size", "s.fp", "s.bands"))
+    uniq = materialize(found.groupBy("same").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     each = uniq.select("same", "size", F.explode("bands").alias("band"))
     often = small(materialize(each.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")), 300_000)
-    need = uniq.join(each.join(often, "band").select("same").distinct(), "same", "left_semi").select("same", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    near = materialize(_by_fingerprint(uniq.filter("size > 0")))
+    chosen = each.join(often, "band").select("same").union(near.select("u")).union(near.select("v")).distinct()
+    need = uniq.join(chosen, "same", "left_semi").select("same", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     need = small(materialize(need), 300_000)
     sets = materialize(named.join(need, ["k1", "k2"]).select("same", "text").withColumn("own", _runs(F.col("text"))).select("same", "own").dropDuplicates(["same"]))
     members = materialize(_prefixes(sets))
@@ -112,10 +126,11 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     # runs of the same members count once, by the first of them
     shared = small(materialize(held.groupBy("n", "x", "y").agg(F.min(F.struct("df", "band")).alias("first")).select("first.band")), 300_000)
     members = materialize(members.join(shared, "band"))
-    comp = links = None
+    links = materialize(_verified(near, sets))
+    comp = materialize(components(links))
     for turn in range(STARS + 1):
-        at = members if comp is None else members.join(comp, members.same == comp.node, "left")
-        at = materialize(at.select("band", "same", "size", "rest", F.col("same").alias("root") if comp is None else F.coalesce("root", "same").alias("root")))
+        at = members.join(comp, members.same == comp.node, "left")
+        at = materialize(at.select("band", "same", "size", "rest", F.coalesce("root", "same").alias("root")))
         per_root = at.groupBy("band", "root").agg(F.count("*").cast("double").alias("n"))
         apart = materialize(per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).filter("roots > 1"))
         size = apart.agg(F.sum("pairs"), F.sum("rows")).first()
@@ -133,12 +148,10 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
         meet = live.join(other, (F.col("band") == F.col("b2")) & (F.col("root") != F.col("r2")) & near & (F.col("same") < F.col("s2") if last else F.lit(True)))
         pairs = materialize(meet.select(F.greatest("same", "s2").alias("u"), F.least("same", "s2").alias("v")).distinct())
         new = materialize(_verified(pairs, sets))
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         comp = materialize(components(links))
         if last:
             break
-    if comp is None:
-        return found.select("id", "k1", "k2", F.col("same").alias("root"))
     return found.join(small(comp, 100_000), found.same == comp.node, "left").select("id", "k1", "k2", F.coalesce("root", "same").alias("root"))
 
 
