@@ -27,6 +27,7 @@ HEX = r"[0-9a-f]{16,}"
 BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "bare"]
 COPIED_OWNERS = 3
+BLOCK_PARTS = 256  # even
 
 
 def _possible(text: Column, kind: int) -> Column:
@@ -45,14 +46,25 @@ def _spans(text: Column, kind: int, pattern: str) -> Column:
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{SHUT}"), f"[{OPEN}{SHUT}]", -1)
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
 
-    # matches are the second, fourth ... part; the text is read once, as a column used inside a lambda is evaluated for each element
+    # matches are the second, fourth ... part
     def take(acc: Column, x: Column) -> Column:
         stop = acc["at"] + F.char_length(x)
         span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x.alias("value"))
         return F.struct(stop.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("found"))
-    return F.when(_possible(text, kind), F.aggregate(parts, zero, take, lambda acc: acc["found"])).otherwise(none)
+    # parts are read in blocks, as an array that grows by one span is copied each time; a block begins outside a match
+    def block(acc: Column, k: Column, own: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), F.lit(False).alias("inside"), none.alias("found"))
+        got = F.aggregate(F.slice(own, k * BLOCK_PARTS + 1, BLOCK_PARTS), zero, take)
+        return F.transform(F.array(got), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["found"], F.array(g["found"])).alias("found")))[0]
+
+    def every(own: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK_PARTS).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,stop:int,value:string>>>").alias("found"))
+        return F.aggregate(blocks, start, lambda acc, k: block(acc, k, own), lambda acc: F.flatten(acc["found"]))
+
+    # a column inside a lambda is evaluated for each element: the parts are made an element themselves, and so read once
+    return F.when(_possible(text, kind), F.transform(F.array(parts), every)[0]).otherwise(none)
 
 
 def candidates(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
