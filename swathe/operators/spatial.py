@@ -115,7 +115,7 @@ def box_join(a: DataFrame, b: DataFrame, size: float, most: int | None = None, a
     return ranked.filter(F.col("rn") <= most).select("id", "t_id", "hits")
 
 
-def nearest(probes: DataFrame, points: DataFrame, itself: bool = False, axes: str = "xy", per_cell: float = 2.0, rings: int = 3, most: int = 64) -> DataFrame:
+def nearest(probes: DataFrame, points: DataFrame, itself: bool = False, axes: str = "xy", per_cell: float = 1.0, rings: int = 3, most: int = 64) -> DataFrame:
     """(id, t_id, d2): each probe's nearest point, at any distance; equal distances go to the smaller id. Without ``itself`` a point with the probe's id does not count.
 
     Points of equal coordinates are one spot. Cells as wide as ``per_cell`` spots on average need are searched with their neighbours, so a probe meets
@@ -173,8 +173,9 @@ def _ring(left: DataFrame, spots: DataFrame, at: list[str], size: float, itself:
         keyed = keyed.join(crowded, names, "left_anti")
         beside = materialize(around.join(crowded, names, "left_semi").select("id").distinct())
         around = around.join(beside, "id", "left_anti")
-    found = around.join(keyed, names).withColumn("t_id", _candidate(itself)).filter("t_id IS NOT NULL").select("id", "t_id", _apart(at).alias("d2"))
-    sure = materialize(_best(found).filter(F.col("d2") < size * size))
+    # only what is nearer than the cells reach can be the nearest for certain
+    found = around.join(keyed, names).withColumn("t_id", _candidate(itself)).select("id", "t_id", _apart(at).alias("d2")).filter((F.col("d2") < size * size) & F.col("t_id").isNotNull())
+    sure = materialize(_best(found))
     return materialize(left.join(sure.select("id"), "id", "left_anti")), sure
 
 
