@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import materialize, shared_dir, small
+from ..lineage import discard, materialize, shared_dir, small
 
-__all__ = ["as_text", "hex16", "materialize", "release", "row_hash", "shared_dir", "small", "small_batches", "table", "typed_id", "union_all"]
+__all__ = ["as_text", "discard", "hex16", "materialize", "release", "row_hash", "shared_dir", "small", "small_batches", "table", "typed_id", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

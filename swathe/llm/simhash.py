@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex16, materialize, small, small_batches, table, union_all
+from .common import discard, hex16, materialize, small, small_batches, table, union_all
 
 #: a group of more is dealt again; a batch of groups is walked at once from so many fingerprints on
 MOST, BATCH = 100_000, 100_000
@@ -263,7 +263,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        e = materialize(star(materialize(star(e, True)), False))
+        half = materialize(star(e, True))
+        last, e = e, materialize(star(half, False))
+        discard(last, half)
         now = mark(e)
         if now == before:
             break

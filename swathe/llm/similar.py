@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, small_batches
+from .common import discard, materialize, small, small_batches
 from .simhash import components, fingerprints
 from .simhash import links as fingerprint_links
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
-STARS, HUBS = 4, 3
+STARS, HUBS = 2, 3
 _RANDOM = np.random.default_rng(20240229)
 MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -92,10 +92,11 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
     Any order of all runs would do; by rising frequency they meet least.
     """
-    each = sets.select("same", F.size("own").alias("size"), F.explode("own").alias("band"))
+    each = sets.select("same", F.explode("own").alias("band"))
     common = each.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1")
     by_set = Window.partitionBy("same")  # a text's own runs
     held = each.join(common, "band").withColumn("rank", F.row_number().over(by_set.orderBy("df", "band"))).withColumn("shared", F.count("*").over(by_set))
+    held = held.join(sets.select("same", F.size("own").alias("size")), "same")
     # the prefix begins with the runs that no other set has: size - shared of them
     return held.filter(F.col("rank") <= F.col("shared") + 1 - F.ceil(LEAST * F.col("size") - 1e-9)).select("band", "same", "size", "df", (F.col("shared") - F.col("rank") + 1).cast("int").alias("rest"))
 
@@ -125,7 +126,8 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     held = members.groupBy("band").agg(F.first("df").alias("df"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("same")).alias("x"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("y")).filter("n > 1")
     # runs of the same members count once, by the first of them
     shared = small(materialize(held.groupBy("n", "x", "y").agg(F.min(F.struct("df", "band")).alias("first")).select("first.band")), 300_000)
-    members = materialize(members.join(shared, "band"))
+    every, members = members, materialize(members.join(shared, "band"))
+    discard(every)
     links = materialize(_verified(near, sets))
     comp = materialize(components(links))
     for turn in range(STARS + 1):
@@ -150,6 +152,7 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
         new = materialize(_verified(pairs, sets))
         links = links.unionByName(new)
         comp = materialize(components(links))
+        discard(at, pairs)
         if last:
             break
     return found.join(small(comp, 100_000), found.same == comp.node, "left").select("id", "k1", "k2", F.coalesce("root", "same").alias("root"))
