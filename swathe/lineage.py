@@ -49,7 +49,15 @@ def materialize(df: DataFrame, *by: str, **options: int) -> DataFrame:
     path = shared_dir(spark)
     writer = df.write.options(**options)
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._written = path
+    return got
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of written tables that nothing will read again, before the driver ends."""
+    for df in frames:
+        _remove(df.sparkSession, df._written)
 
 
 def small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> DataFrame:
