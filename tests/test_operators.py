@@ -314,7 +314,8 @@ def test_las_files(spark, tmp_path):
     def write(name, version, points, length=20, cut=0):
         head = bytearray(375 if version == 4 else 227)
         head[:4], head[24], head[25] = b"LASF", 1, version
-        struct.pack_into("<IBHI", head, 96, len(head) + 5, 1, length, 0 if version == 4 else len(points))
+        struct.pack_into("<I", head, 96, len(head) + 5)
+        struct.pack_into("<BHI", head, 104, 1, length, 0 if version == 4 else len(points))
         struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.001, 1000.0, 2000.0, -5.0)
         if version == 4:
             struct.pack_into("<Q", head, 247, len(points))
