@@ -196,6 +196,16 @@ def test_bm25(spark, tables):
     assert bm25.op3_bm25(spark, tables(documents=[])).count() == 0
 
 
+def test_bm25_over_many_shards(spark, tables, monkeypatch):
+    """Shards of a few documents, many in a partition: files hold whole ones, and rounds and merges give the same."""
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 4)
+    monkeypatch.setattr(bm25, "SEED_SHARE", 3)
+    texts = [prose(s % 90, 5 + s % 40) for s in range(160)]
+    documents = docs(texts)
+    got = rows(bm25.search(spark.read.parquet(tables(documents=documents) + "/documents.parquet"), bm25.F.col("query") % 20 == 0, query_block=5))
+    assert {(r["query"], r["rank"], round(r["score"], 5)) for r in got} == brute_bm25(documents, 10)
+
+
 def _shard(r, n, topics=1):
     """Bags of zipf words, each topic with words of its own; repeats among them."""
     terms = [np.unique(r.zipf(1.3, 60) % 400) + 1000 * (d % topics) for d in range(n)]
