@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = llm.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
@@ -24,5 +24,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_operators_are_registered():
-    names = [next(n for n in llm.QUERIES if n.startswith(f"op{k}_")) for k in range(1, 11)]
-    assert len(names) == len(llm.QUERIES) == 10
+    names = [next(n for n in llm.QUERIES if n.startswith(f"op{k}_")) for k in (*range(1, 11), 12)]
+    assert len(names) == len(llm.QUERIES) == 11
