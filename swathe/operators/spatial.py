@@ -6,17 +6,11 @@ wide as the box, so a probe goes to a few cells. A range condition alone would c
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_mindist2, distance2
-from ..functions.ordering import lowest, number_of, order_key
-from ..lineage import materialize, small
-from .index import MAX_DEPTH, with_keys
-from .windows import header
+from ..functions.ordering import order_key
 
 Pred = Column
 
@@ -115,96 +109,5 @@ def box_join(a: DataFrame, b: DataFrame, size: float, most: int | None = None, a
     return ranked.filter(F.col("rn") <= most).select("id", "t_id", "hits")
 
 
-def nearest(probes: DataFrame, points: DataFrame, itself: bool = False, axes: str = "xy", per_cell: float = 1.0, rings: int = 3, most: int = 64) -> DataFrame:
-    """(id, t_id, d2): each probe's nearest point, at any distance; equal distances go to the smaller id. Without ``itself`` a point with the probe's id does not count.
-
-    Points of equal coordinates are one spot. Cells as wide as ``per_cell`` spots on average need are searched with their neighbours, so a probe meets
-    few spots at any density of the cloud; those without a spot as near as the cells reach go on with cells twice as wide, ``rings`` times in all. What is left
-    then, and what is near a cell of more than ``most`` spots, goes down a tree of the occupied cells instead: a branch is left as soon as
-    another one holds a point for certain that is nearer than its box. A probe has no row only if there is no other point.
-    """
-    at = list(axes)
-    # spots of more than one point keep the two smallest ids: one of them is not the probe's own
-    firsts = points.groupBy(*at).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    again = points.select("id", *at).join(firsts.filter("n > 1").select(*at, "first"), at).filter("id <> first").groupBy(*at).agg(F.min("id").alias("second"))
-    spots = materialize(firsts.join(again, at, "left"))
-    h = header(spots, axes).first()
-    sides = [s for s in (h[f"max{a}"] - h[f"min{a}"] for a in at) if s > 0] if h.n else []
-    # cells must not be finer than doubles are at these coordinates
-    fine = max((abs(h[f"{e}{a}"]) for a in at for e in ("min", "max")), default=0.0) * 1e-9 if h.n else 0.0
-    cell = max(math.prod(s / max(sides) for s in sides) * per_cell / h.n, 1e-300) ** (1 / len(sides)) * max(sides) if sides else 1.0
-    left, out = probes.select("id", *at), []
-    for ring in range(rings if sides else 0):
-        left, sure = _ring(left, spots, at, max(cell, fine) * 2**ring, itself, most)
-        out.append(sure)
-        if left.isEmpty():
-            break
-    else:
-        out.append(_descend(left, spots, at, itself))
-    return reduce(DataFrame.union, out)
-
-
-def _candidate(itself: bool) -> Column:
-    """The id that stands for a spot (first, second): not the probe's own."""
-    return F.col("first") if itself else F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
-
-
-def _apart(at: list[str]) -> Column:
-    return reduce(Column.__add__, [(F.col(a) - F.col(f"t_{a}")) * (F.col(a) - F.col(f"t_{a}")) for a in at])
-
-
-def _best(found: DataFrame) -> DataFrame:
-    """The nearest of (id, t_id, d2) by id."""
-    best = found.withColumn("key", order_key("d2", "t_id")).groupBy("id").agg(*lowest("key", "d2"))
-    return best.select("id", number_of("key").alias("t_id"), "d2")
-
-
-def _ring(left: DataFrame, spots: DataFrame, at: list[str], size: float, itself: bool, most: int) -> tuple[DataFrame, DataFrame]:
-    """The probes that are still open, and the settled ones with their nearest point, among spots in a probe's own cell and those around."""
-    cells = [F.floor(F.col(a) / size).cast("long").alias(f"_{a}") for a in at]
-    keyed = spots.select(*[F.col(a).alias(f"t_{a}") for a in at], "first", "second", *cells)
-    around = left.select("*", *cells)
-    for a in at:
-        around = around.withColumn(f"_{a}", F.explode(F.sequence(F.col(f"_{a}") - 1, F.col(f"_{a}") + 1)))
-    names = [f"_{a}" for a in at]
-    crowded = materialize(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*names))
-    if not crowded.isEmpty():
-        crowded = small(crowded, 100_000)
-        keyed = keyed.join(crowded, names, "left_anti")
-        beside = materialize(around.join(crowded, names, "left_semi").select("id").distinct())
-        around = around.join(beside, "id", "left_anti")
-    # only what is nearer than the cells reach can be the nearest for certain
-    found = around.join(keyed, names).withColumn("t_id", _candidate(itself)).select("id", "t_id", _apart(at).alias("d2")).filter((F.col("d2") < size * size) & F.col("t_id").isNotNull())
-    sure = materialize(_best(found))
-    return materialize(left.join(sure.select("id"), "id", "left_anti")), sure
-
-
-def _descend(left: DataFrame, spots: DataFrame, at: list[str], itself: bool, step: int = 2) -> DataFrame:
-    """The nearest points of ``left`` by a search down a tree of cells, all probes level by level, ``step`` levels at a time."""
-    wide = len(at) * step
-    ends = [f(f"{a}{e}").alias(f"{a}{e}") for a in at for e, f in (("min", F.min), ("max", F.max))]
-    keyed = materialize(with_keys(spots, MAX_DEPTH, axes="".join(at)).drop("radius"))
-    # nodes from the leaves up: number of points, and the box of what is in the cell
-    level = [materialize(keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spots"), *[f(a).alias(f"{a}{e}") for a in at for e, f in (("min", F.min), ("max", F.max))]))]
-    for _ in range(MAX_DEPTH // step):
-        level.append(materialize(level[-1].withColumn("key", F.shiftright("key", wide)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("spots").alias("spots"), *ends)))
-    gap = {a: F.greatest(F.col(f"{a}min") - F.col(a), F.col(a) - F.col(f"{a}max"), F.lit(0.0)) for a in at}
-    reach = {a: F.greatest(F.col(a) - F.col(f"{a}min"), F.col(f"{a}max") - F.col(a)) for a in at}
-    square = lambda d: reduce(Column.__add__, [v * v for v in d.values()])
-    front = left.withColumn("key", F.lit(0).cast("long"))
-    for nodes in reversed(level):
-        seen = front.join(nodes, "key").withColumn("near", square(gap)).withColumn("far", square(reach))
-        # a node of one point at the probe's own place may hold none but the probe
-        certain = F.when((F.col("far") > 0) | (F.col("n") > 1) | F.lit(itself), F.col("far"))
-        bound = seen.groupBy("id").agg(F.min(certain).alias("bound"))
-        kept = seen.join(bound, "id").filter("bound IS NULL OR near <= bound").select("id", *at, "key")
-        if nodes is not level[0]:
-            kept = kept.select("id", *at, F.explode(F.sequence(F.shiftleft("key", wide), F.shiftleft("key", wide) + (1 << wide) - 1)).alias("key"))
-        front = materialize(kept)
-    inside = keyed.select(*[F.col(a).alias(f"t_{a}") for a in at], "first", "second", "key")
-    found = front.join(inside, "key").withColumn("t_id", _candidate(itself)).filter("t_id IS NOT NULL").select("id", "t_id", _apart(at).alias("d2"))
-    return _best(found)
-
-
 def box_distances(points: DataFrame, box: tuple) -> DataFrame:
     return points.select("id", box_mindist2(F.col("x"), F.col("y"), box).alias("d2"))

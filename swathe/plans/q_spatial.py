@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import index as ix
+from ..operators import nearest as nn
 from ..operators import spatial as sj
 from ..sources.cloud import POINTS3_SQL, POINTS_SQL, holed, points, points3
 
@@ -123,8 +124,10 @@ QUERIES = {
     "leaf_neighbors": lambda s, d: sj.box_join(_leaf_boxes(s, d), _leaf_boxes(s, d), 4.0),
     "bvh_overlaps": lambda s, d: sj.box_join(_chunk_boxes(s, d), _chunk_boxes(s, d), 4.0, most=8),
     "point_group": lambda s, d: sj.group_of(points(s, d).withColumn("x", F.col("x") + 0.005), points(s, d), 0.25),
-    "nearest_neighbor": lambda s, d: sj.nearest(points(s, d), points(s, d)).select("id", "t_id", F.round("d2", 6).alias("d2")),
-    "nearest_neighbor_3d": lambda s, d: sj.nearest(points3(s, d), points3(s, d), axes="xyz").select("id", "t_id", F.round("d2", 6).alias("d2")),
+    "nearest_neighbor": lambda s, d: nn.nearest(points(s, d), points(s, d)).select("id", "t_id", F.round("d2", 6).alias("d2")),
+    "nearest_neighbor_3d": lambda s, d: nn.nearest(points3(s, d), points3(s, d), axes="xyz").select("id", "t_id", F.round("d2", 6).alias("d2")),
+    "nearest_manhattan": lambda s, d: nn.nearest(points(s, d), points(s, d), metric=nn.MANHATTAN, name="distance").select("id", "t_id", F.round("distance", 6).alias("distance")),
+    "nearest_weighted": lambda s, d: nn.nearest(points3(s, d), points3(s, d), axes="xyz", metric=nn.weighted(x=4.0, z=0.25), name="distance").select("id", "t_id", F.round("distance", 6).alias("distance")),
     "box_overlap_3d": _corner3,
     "box_tolerance": _tolerance,
     "leaf_neighbors_3d": lambda s, d: sj.box_join(_leaf_boxes3(s, d), _leaf_boxes3(s, d), 0.5, axes="xyz"),
@@ -196,6 +199,8 @@ nb AS (SELECT a.id, min(struct_pack(d := (a.x - b.x) * (a.x - b.x) + (a.y - b.y)
 SELECT q.id, coalesce(m.g, -1) AS g FROM q LEFT JOIN nb ON nb.id = q.id""",
     "nearest_neighbor": pairs_sql(P, 4.0) + ", m AS (SELECT id, min(struct_pack(d2 := d2, t := t_id)) AS m FROM nb GROUP BY id) SELECT id, m.t AS t_id, round(m.d2, 6) AS d2 FROM m",
     "nearest_neighbor_3d": E3 + ", m AS (SELECT a.id, min(struct_pack(d2 := (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), t := b.id)) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id) SELECT id, m.t AS t_id, round(m.d2, 6) AS d2 FROM m",
+    "nearest_manhattan": pairs_sql(P, 4.0).replace("(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2", "abs(a.x - b.x) + abs(a.y - b.y) AS d2") + ", m AS (SELECT id, min(struct_pack(d2 := d2, t := t_id)) AS m FROM nb WHERE d2 < 4 GROUP BY id) SELECT id, m.t AS t_id, round(m.d2, 6) AS distance FROM m",
+    "nearest_weighted": E3 + ", m AS (SELECT a.id, min(struct_pack(d := (a.x - b.x) * (a.x - b.x) * CAST(4 AS DOUBLE) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) * CAST(0.25 AS DOUBLE), t := b.id)) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id) SELECT id, m.t AS t_id, round(m.d, 6) AS distance FROM m",
     "box_overlap_3d": f"{_CK3} SELECT id, " + " AND ".join(f"{v}min <= CAST({BOX3[k + 3]} AS DOUBLE) AND {v}max >= CAST({BOX3[k]} AS DOUBLE)" for k, v in enumerate("xyz")) + " AS overlaps, " + " AND ".join(f"{v}min >= CAST({BOX3[k]} AS DOUBLE) AND {v}max <= CAST({BOX3[k + 3]} AS DOUBLE)" for k, v in enumerate("xyz")) + " AS within FROM bx",
     "box_tolerance": f"{_CK} SELECT id, " + " AND ".join(f"{v}max - CAST({BOX[k]} AS DOUBLE) >= CAST({TOL} AS DOUBLE) AND {v}min - CAST({BOX[k + 2]} AS DOUBLE) <= CAST({TOL} AS DOUBLE)" for k, v in enumerate("xy")) + " AS overlaps, " + " AND ".join(f"{v}max - CAST({BOX[k + 2]} AS DOUBLE) <= CAST({TOL} AS DOUBLE) AND {v}min - CAST({BOX[k]} AS DOUBLE) >= CAST({TOL} AS DOUBLE)" for k, v in enumerate("xy")) + " AS within, " + " AND ".join(f"{v}min - CAST({BOX[k]} AS DOUBLE) > CAST({TOL} AS DOUBLE) AND {v}min - CAST({BOX[k + 2]} AS DOUBLE) < CAST({TOL} AS DOUBLE)" for k, v in enumerate("xy")) + " AS corner_in FROM bx",
     "leaf_neighbors_3d": f"{_LB3} SELECT a.id, b.id AS t_id FROM bx a JOIN bx b ON {_MEET3}",

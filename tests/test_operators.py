@@ -8,6 +8,7 @@ import pytest
 from swathe.functions import columns as c
 from swathe.operators import geometry as geo
 from swathe.operators import index as ix
+from swathe.operators import nearest as nn
 from swathe.operators import spatial as sj
 from swathe.operators import windows as w
 from swathe.plans.seeds import seed_points
@@ -109,7 +110,7 @@ def test_neighbours_and_nearest_by_brute_force(spark):
     p = cloud(spark, rows)
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and abs(a[1] - b[1]) < 1 and abs(a[2] - b[2]) < 1}
     assert {(r.id, r.t_id) for r in sj.neighbours(p, 1.0).collect()} == want
-    near = {r.id: r.t_id for r in sj.nearest(p, p).collect()}
+    near = {r.id: r.t_id for r in nn.nearest(p, p).collect()}
     for a in rows:
         d = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for b in rows if b[0] != a[0])
         assert near[a[0]] == d[0][1]
@@ -148,7 +149,7 @@ def test_nearest_at_any_distance(spark, axes, itself):
     p = spark.createDataFrame(rows, "id long, x double, y double, z double")
     probes = [*rows[::3], *rows[-9:], (5000, 2.1, 3.3, -50.0), (5001, 7.0, 7.0, 7.0)]
     probes = list({r[0]: r for r in probes}.values())
-    got = {r.id: (r.t_id, r.d2) for r in sj.nearest(spark.createDataFrame(probes, p.schema), p, itself, axes, most=20).collect()}
+    got = {r.id: (r.t_id, r.d2) for r in nn.nearest(spark.createDataFrame(probes, p.schema), p, itself, axes, most=20).collect()}
     n = len(axes) + 1
     for a in probes:
         d, t = min((sum((u - v) * (u - v) for u, v in zip(a[1:n], b[1:n], strict=True)), b[0]) for b in rows if itself or b[0] != a[0])
@@ -156,14 +157,43 @@ def test_nearest_at_any_distance(spark, axes, itself):
     assert len(got) == len(probes)
 
 
+METRICS = {
+    "manhattan": (nn.MANHATTAN, lambda a, b: sum(abs(u - v) for u, v in zip(a, b, strict=True))),
+    "weighted": (nn.weighted(x=9.0, t=0.0), lambda a, b: sum(k * (u - v) ** 2 for k, u, v in zip((9.0, 1.0, 1.0, 0.0), a, b, strict=False))),
+    # the caller's own: the largest side, of a box the largest gap
+    "chebyshev": (nn.Metric(lambda p, q: nn.F.greatest(*[nn.F.abs(p[a] - q[a]) for a in p]), lambda p, lo, hi: nn.F.greatest(*[nn.gap(p[a], lo[a], hi[a]) for a in p])), lambda a, b: max(abs(u - v) for u, v in zip(a, b, strict=True))),
+}
+
+
+@pytest.mark.parametrize("metric", sorted(METRICS))
+@pytest.mark.parametrize("axes, rings", [("xy", 2), ("xyzt", 2), ("xyzt", 0), ("xyz", 0)])
+def test_nearest_by_the_callers_distance(spark, metric, axes, rings):
+    """Lattice points give many ties, which go to the smaller id; with no rings all goes down the tree."""
+    own, brute = METRICS[metric]
+    rng = np.random.default_rng(len(axes) + rings)
+    xyzt = [*(rng.integers(0, 6, (120, 4)) / 2).tolist(), *(rng.random((60, 4)) * 1e-3 + 1).tolist(), [900.0, -3.0, 5.0, 1.0], [901.0, -3.0, 5.0, 1.0]]
+    rows = [(i, *map(float, q)) for i, q in enumerate(xyzt)]
+    p = spark.createDataFrame([*rows, (999, None, 1.0, 1.0, 1.0)], "id long, x double, y double, z double, t double")
+    got = nn.nearest(p, p, axes=list(axes), metric=own, name="far", rings=rings, most=20)
+    assert got.columns == ["id", "t_id", "far"]
+    found = {r.id: (r.t_id, r.far) for r in got.collect()}
+    assert len(found) == len(rows)
+    n = len(axes) + 1
+    for a in rows:
+        d, t = min((brute(a[1:n], b[1:n]), b[0]) for b in rows if b[0] != a[0])
+        assert found[a[0]][0] == t and found[a[0]][1] == pytest.approx(d, rel=1e-12, abs=1e-15)
+    with pytest.raises(ValueError):
+        nn.weighted(x=-1.0)
+
+
 def test_nearest_of_few_points(spark):
     p = spark.createDataFrame([(1, 2.0, 2.0)], "id long, x double, y double")
-    assert sj.nearest(p, p).count() == 0 and sj.nearest(p, p, itself=True).first().t_id == 1
-    assert sj.nearest(p, p.limit(0)).count() == 0 and sj.nearest(p.limit(0), p).count() == 0
+    assert nn.nearest(p, p).count() == 0 and nn.nearest(p, p, itself=True).first().t_id == 1
+    assert nn.nearest(p, p.limit(0)).count() == 0 and nn.nearest(p.limit(0), p).count() == 0
     same = spark.createDataFrame([(i, 2.0, 2.0) for i in (3, 1, 2)], "id long, x double, y double")
-    assert {r.id: r.t_id for r in sj.nearest(same, same).collect()} == {1: 2, 2: 1, 3: 1}
+    assert {r.id: r.t_id for r in nn.nearest(same, same).collect()} == {1: 2, 2: 1, 3: 1}
     line = spark.createDataFrame([(i, float(i * i), 5.0) for i in range(9)], "id long, x double, y double")
-    assert {r.id: r.t_id for r in sj.nearest(line, line).collect()} == {0: 1, **{i: i - 1 for i in range(1, 9)}}
+    assert {r.id: r.t_id for r in nn.nearest(line, line).collect()} == {0: 1, **{i: i - 1 for i in range(1, 9)}}
 
 
 def test_order_keys(spark):
