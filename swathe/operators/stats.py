@@ -15,7 +15,7 @@ from ..functions.ordering import number_of, order_key
 
 def lowest(points: DataFrame) -> DataFrame:
     """z and id of the lowest point, the smaller id of equals."""
-    return points.agg(F.min(order_key("z", "id")).alias("key"), F.min("z").alias("z")).select("z", number_of("key").alias("id"))
+    return points.agg(F.min(order_key("z", "id")).alias("key")).select("key.v", number_of("key").alias("id")).withColumnRenamed("v", "z")
 
 
 def histogram(leaves: DataFrame, value: Column, name: str) -> DataFrame:

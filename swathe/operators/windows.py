@@ -78,24 +78,36 @@ def windows(params: DataFrame, s: Setting) -> DataFrame:
     return g.select("i", "j", window_centre(F.col("i"), "minx", s).alias("cx"), window_centre(F.col("j"), "miny", s).alias("cy"))
 
 
-def _span(v: Column, lo: str, count: str, s: Setting) -> tuple[Column, Column]:
-    """First and last window whose open extent holds v; exact, as the estimate is tested against the edges themselves."""
-    base = F.col(lo) - float(s.w // 2 if not s.exact else s.w / 2) + s.step
-    upper = lambda i: window_centre(i, lo, s) + s.half
-    lower = lambda i: window_centre(i, lo, s) - s.half
-    a = F.floor((v - s.half - base) / s.step).cast("long") + 1
-    first = F.when(v < upper(a - 1), a - 1).when(v < upper(a), a).otherwise(a + 1)
-    b = F.ceil((v + s.half - base) / s.step).cast("long") - 1
-    last = F.when(v > lower(b + 1), b + 1).when(v > lower(b), b).otherwise(b - 1)
-    return F.greatest(first, F.lit(0).cast("long")), F.least(last, F.col(count) - 1)
-
-
-def with_spans(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
-    """id, x, y, z, ``key`` (the order by z, then id) of points in a window, and the windows i0..i1, j0..j1 that hold them."""
-    j = points.select("id", "x", "y", "z").crossJoin(F.broadcast(params.select("minx", "miny", "ncols", "nrows")))
-    (i0, i1), (j0, j1) = _span(F.col("x"), "minx", "ncols", s), _span(F.col("y"), "miny", "nrows", s)
-    spans = j.select("id", "x", "y", "z", i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1")).filter("i0 <= i1 AND j0 <= j1")
-    return spans.withColumn("key", order_key("z", "id"))
+def with_spans(points: DataFrame, params: DataFrame, s: Setting, clip: bool = True) -> DataFrame:
+    """id, x, y, z, ``key`` (the order by z, then id) of points in a window, and the windows i0..i1, j0..j1 whose open extent holds them.
+
+    An estimate is tested against the edges themselves, so spans are exact. Without ``clip`` they go on beyond the first and last window, as if there were more. Estimates, edges and
+    spans are columns of their own, step by step: as one expression they make a method that the JVM doesn't compile.
+    """
+    own = params.select("minx", "miny", "ncols", "nrows")
+    base = lambda lo: F.col(lo) - float(s.w // 2 if not s.exact else s.w / 2) + s.step
+    j = points.select("id", "x", "y", "z").crossJoin(F.broadcast(own))
+    axes = (("x", "minx", "i", "ncols"), ("y", "miny", "j", "nrows"))
+    guess = []
+    for v, lo, k, _ in axes:
+        guess.append((F.floor((F.col(v) - s.half - base(lo)) / s.step) + 1).cast("long").alias(f"_{k}a"))
+        guess.append((F.ceil((F.col(v) + s.half - base(lo)) / s.step) - 1).cast("long").alias(f"_{k}b"))
+    j = j.select("*", *guess)
+    upper = lambda i, lo: window_centre(i, lo, s) + s.half
+    lower = lambda i, lo: window_centre(i, lo, s) - s.half
+    shifts = []
+    for v, lo, k, _ in axes:
+        a, b = F.col(f"_{k}a"), F.col(f"_{k}b")
+        shifts.append((F.col(f"_{k}a") + F.when(F.col(v) < upper(a - 1, lo), -1).when(F.col(v) < upper(a, lo), 0).otherwise(1)).alias(f"_{k}0"))
+        shifts.append((F.col(f"_{k}b") + F.when(F.col(v) > lower(b + 1, lo), 1).when(F.col(v) > lower(b, lo), 0).otherwise(-1)).alias(f"_{k}1"))
+    j = j.select("id", "x", "y", "z", "ncols", "nrows", *shifts)
+    zero = F.lit(0).cast("long")
+    ends = [(F.greatest(F.col(f"_{k}0"), zero) if clip else F.col(f"_{k}0")).alias(f"{k}0") for _, _, k, _ in axes]
+    ends += [(F.least(F.col(f"_{k}1"), F.col(n) - 1) if clip else F.col(f"_{k}1")).alias(f"{k}1") for _, _, k, n in axes]
+    j = j.select("id", "x", "y", "z", *ends)
+    # a filter would be pushed, with all that its columns are made of, into the join; what a null makes no row of is not
+    spans = F.when(F.expr("i0 <= i1 AND j0 <= j1"), F.array(F.struct("i0", "i1", "j0", "j1")))
+    return j.select("id", "x", "y", "z", order_key("z", "id", "x", "y").alias("key"), F.inline(spans))
 
 
 def _explode(df: DataFrame, *keep: str) -> DataFrame:
@@ -113,7 +125,7 @@ def window_stats(points: DataFrame, params: DataFrame, s: Setting, tiled: bool =
 
     ``tiled``: points held by the same windows are first reduced to one tile, so tiles are exploded and shuffled, not points.
     """
-    each = _explode(tiles(points, params, s) if tiled else with_spans(points, params, s).withColumn("n", F.lit(1).cast("long")), "n", "key", "z", "x", "y")
+    each = _explode(tiles(points, params, s) if tiled else with_spans(points, params, s).withColumn("n", F.lit(1).cast("long")), "n", "key")
     got = each.groupBy("i", "j").agg(F.sum("n").alias("n"), *lowest("key", "z", "xy"))
     return got.select("i", "j", "n", "z", number_of("key").alias("id"), "x", "y")
 
@@ -141,14 +153,16 @@ def local_lowest(points: DataFrame, params: DataFrame, s: Setting, tiled: bool =
 def with_cells(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
     """The points in an open grid cell, with its ci and cj. Cells are apart, so a point has one at most."""
     j = points.crossJoin(F.broadcast(params.select("minx", "miny", "gcols", "grows")))
+    j = j.select("*", *[F.floor((F.col(v) - F.col(lo)) / float(s.b)).cast("long").alias(f"_{v}") for v, lo in (("x", "minx"), ("y", "miny"))])
 
     def cell(v: str, lo: str) -> Column:
-        a = F.floor((F.col(v) - F.col(lo)) / float(s.b)).cast("long")
+        a = F.col(f"_{v}")
         inside = lambda i: (F.col(v) > cell_centre(i, lo, s) - s.half_grid) & (F.col(v) < cell_centre(i, lo, s) + s.half_grid)
         return F.when(inside(a), a).when(inside(a - 1), a - 1).when(inside(a + 1), a + 1)
 
-    got = j.select(*points.columns, "gcols", "grows", cell("x", "minx").alias("ci"), cell("y", "miny").alias("cj"))
-    return got.filter("ci >= 0 AND cj >= 0 AND ci < gcols AND cj < grows").drop("gcols", "grows")
+    j = j.select(*points.columns, "gcols", "grows", cell("x", "minx").alias("ci"), cell("y", "miny").alias("cj"))
+    # no filter, as for spans
+    return j.select(*points.columns, F.inline(F.when(F.expr("ci >= 0 AND cj >= 0 AND ci < gcols AND cj < grows"), F.array(F.struct("ci", "cj")))))
 
 
 def empty_cells(chosen: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
@@ -160,7 +174,7 @@ def empty_cells(chosen: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
 
 def fill(points: DataFrame, chosen: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
     """The lowest point (ci, cj, z, id, x, y) of each cell that has points, but none of ``chosen`` (id, x, y); one pass over the points."""
-    best = with_cells(points.select("id", "x", "y", "z"), params, s).withColumn("key", order_key("z", "id")).groupBy("ci", "cj").agg(*lowest("key", "z", "xy"))
+    best = with_cells(points.select("id", "x", "y", "z"), params, s).withColumn("key", order_key("z", "id", "x", "y")).groupBy("ci", "cj").agg(*lowest("key", "z", "xy"))
     own = with_cells(chosen.select("id", "x", "y"), params, s).select("ci", "cj").distinct()
     return best.join(own, ["ci", "cj"], "left_anti").select("ci", "cj", "z", number_of("key").alias("id"), "x", "y")
 
@@ -188,7 +202,7 @@ def raster_minima(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame
     tile = keyed.groupBy("c0", "cs", "d0", "ds").agg(F.count("*").alias("n"), *lowest("key", "z"))
     each = tile.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("si")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("sj"))
     at = lambda c, stay, sh: (F.col(c) - F.when(F.col(sh) < F.col(stay), 0).otherwise(1)).alias(c[0] + "c")
-    got = each.select("si", "sj", at("c0", "cs", "si"), at("d0", "ds", "sj"), "n", "z", "key").groupBy("si", "sj", "cc", "dc").agg(F.sum("n").alias("n"), *lowest("key", "z"))
+    got = each.select("si", "sj", at("c0", "cs", "si"), at("d0", "ds", "sj"), "n", "key").groupBy("si", "sj", "cc", "dc").agg(F.sum("n").alias("n"), *lowest("key", "z"))
     got = got.crossJoin(F.broadcast(params.select("density")))
     return got.filter(F.col("n") >= rounded(0.5 * round2(F.col("density")) * s.w * s.w)).select("si", "sj", F.col("cc").alias("ci"), F.col("dc").alias("cj"), "n", "z", number_of("key").alias("id"))
 
