@@ -9,7 +9,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round2, rounded, trunc
@@ -135,9 +135,46 @@ def tiles(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
     return with_spans(points, params, s).groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), *lowest("key", "z", "xy"))
 
 
-def stage1(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True) -> DataFrame:
-    """The lowest point of each window that holds enough points; an id for each window."""
-    return window_stats(points, params, s, tiled).crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum").drop("minnum")
+def _slide(rows: DataFrame, lo: str, hi: str, every: int, by: list[str], name: str) -> DataFrame:
+    """(by, ``name``, n, key): for each number between ``lo`` and ``hi`` of any row, the sum of n and the least key of the rows that hold it; intervals of one axis.
+
+    An anchor stands at each multiple of ``every``. A row that holds an anchor is seen by the numbers from there to its ``hi``, of which each needs only the least of the rows that end at it or later,
+    and by those from its ``lo`` to there, of which each needs the least of the rows that begin at it or earlier: running sums and minima away from each anchor. As no interval is much longer than
+    ``every``, a row holds one or two anchors, and each number looks up two values, however many rows hold it. Rows between two anchors go to their few numbers themselves.
+    """
+    first, last = F.ceil(F.col(lo) / every).cast("long"), F.floor(F.col(hi) / every).cast("long")
+    held = rows.select(*by, lo, hi, "n", "key", first.alias("_first"), last.alias("_last"))
+    at = held.filter("_first <= _last").select(*by, lo, hi, "n", "key", F.explode(F.sequence("_first", "_last")).alias("_t"))
+    anchor = F.col("_t") * every
+
+    def running(found: DataFrame, end: str, order: Column, start: Column, stop: Column) -> DataFrame:
+        away = Window.partitionBy(*by, "_t").orderBy(order)
+        got = found.groupBy(*by, "_t", end).agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+        got = got.select(*by, "_t", end, F.sum("n").over(away).alias("n"), F.min("key").over(away).alias("key"), F.lead(end).over(away).alias("_next"))
+        return got.select(*by, F.explode(F.when(start <= stop, F.sequence(start, stop))).alias(name), "n", "key")
+
+    to_right = running(at, hi, F.desc(hi), F.greatest(F.coalesce(F.col("_next") + 1, anchor), anchor), F.least(F.col(hi), anchor + every - 1))
+    before = at.filter((F.col(lo) > anchor - every) & (F.col(lo) < anchor))
+    to_left = running(before, lo, F.asc(lo), F.col(lo), F.coalesce(F.col("_next") - 1, anchor - 1))
+    short = held.filter("_first > _last").select(*by, F.explode(F.sequence(lo, hi)).alias(name), "n", "key")
+    return to_right.unionByName(to_left).unionByName(short).groupBy(*by, name).agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+
+
+def sliding_stats(points: DataFrame, params: DataFrame, s: Setting) -> DataFrame:
+    """The same as ``window_stats`` by sliding minima and sums, along x and then along y: what is shuffled for a tile doesn't grow with the overlap."""
+    every = max(1, math.ceil(2 * s.half / s.step) - 1)
+    spans = with_spans(points, params, s, clip=False)
+    tile = materialize(spans.groupBy("i0", "i1", "j0", "j1").agg(F.count("*").alias("n"), F.min("key").alias("key")))
+    strips = materialize(_slide(tile, "i0", "i1", every, ["j0", "j1"], "i"))
+    got = _slide(strips, "j0", "j1", every, ["i"], "j").crossJoin(F.broadcast(params.select("ncols", "nrows")))
+    got = got.filter("i >= 0 AND i < ncols AND j >= 0 AND j < nrows")
+    return got.select("i", "j", "n", F.col("key.v").alias("z"), number_of("key").alias("id"), "key.x", "key.y")
+
+
+def stage1(points: DataFrame, params: DataFrame, s: Setting, tiled: bool = True, sliding: bool = False) -> DataFrame:
+    """The lowest point of each window that holds enough points; an id for each window. ``sliding``: by sliding minima, for large overlaps."""
+    stats = sliding_stats(points, params, s) if sliding else window_stats(points, params, s, tiled)
+    return stats.crossJoin(F.broadcast(params.select("minnum"))).filter("n >= minnum").drop("minnum")
 
 
 def votes(minima: DataFrame, least: int = 2) -> DataFrame:

@@ -93,6 +93,8 @@ def _clean(p, prm, s):
 NO_OVERLAP, NO_GRID = w.Setting(o=0.0, b=4), w.Setting(b=0)
 #: an odd window, whose half side is a whole number unless ``exact``
 ODD = w.Setting(w=9, exact=True)
+#: overlaps of the sliding minima
+SLIDING = {"owm_sliding_half": w.Setting(o=0.5), "owm_sliding_stage1": S, "owm_sliding_dense": w.Setting(o=0.95)}
 
 QUERIES = {
     "owm_params": _with(S, lambda p, prm, s: prm.select("n", "minx", "maxx", "miny", "maxy", "width", "height", F.round("density", 6).alias("density"), "minnum", "ncols", "nrows", "gcols", "grows")),
@@ -101,6 +103,7 @@ QUERIES = {
     "owm_window_stats": _with(S, lambda p, prm, s: w.window_stats(p, prm, s).drop("x", "y")),
     "owm_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
     "owm_tiled_stage1": _with(S, lambda p, prm, s: w.stage1(p, prm, s).select("i", "j", "n", "id", "x", "y", "z")),
+    **{name: _with(t, lambda p, prm, s: w.stage1(p, prm, s, sliding=True).select("i", "j", "n", "id", "x", "y", "z")) for name, t in SLIDING.items()},
     "owm_stage1_gpu_box": _with(ODD, lambda p, prm, s: w.stage1(p, prm, s).drop("x", "y")),
     "owm_stage2": _with(S, lambda p, prm, s: w.local_lowest(p, prm, s).select("id")),
     "owm_llp_votes": _with(S, lambda p, prm, s: w.votes(w.stage1(p, prm, s), 1).select("id", "votes")),
@@ -147,6 +150,7 @@ ORACLES = {
     "owm_window_stats": _A + " SELECT i, j, n, m.z AS z, m.id AS id FROM ws",
     "owm_stage1": _A + " SELECT * FROM s1",
     "owm_tiled_stage1": _A + " SELECT i, j, n, p.id, x, y, p.z AS z FROM s1 JOIN p ON p.id = s1.id",
+    **{name: cte(t) + pw(t) + " SELECT i, j, n, p.id, x, y, p.z AS z FROM s1 JOIN p ON p.id = s1.id" for name, t in SLIDING.items()},
     "owm_stage1_gpu_box": cte(ODD) + pw(ODD) + " SELECT * FROM s1",
     "owm_stage2": _A + " SELECT id FROM llp",
     "owm_llp_votes": _A + " SELECT id, count(*) AS votes FROM s1 GROUP BY id",

@@ -196,6 +196,25 @@ def test_nearest_of_few_points(spark):
     assert {r.id: r.t_id for r in nn.nearest(line, line).collect()} == {0: 1, **{i: i - 1 for i in range(1, 9)}}
 
 
+@pytest.mark.parametrize("s", [w.Setting(o=0.0), w.Setting(o=0.5), w.Setting(w=7, o=0.8), w.Setting(w=9, o=0.8, exact=True), w.Setting(w=4, o=0.95)])
+def test_sliding_minima_equal_windows(spark, s):
+    """Points on edges, ties in z, a lone point far off: every window's count and lowest point."""
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, v), 0, 0) for i, v in enumerate([*(rng.integers(0, 60, (300, 3)) / 2).tolist(), *(rng.random((60, 3)) * 30).tolist(), [45.0, 2.0, 1.0]])]
+    p = cloud(spark, rows)
+    params = w.parameters(p, s)
+    key = lambda r: (r.i, r.j, r.n, r.z, r.id, r.x, r.y)
+    assert sorted(map(key, w.sliding_stats(p, params, s).collect())) == sorted(map(key, w.window_stats(p, params, s).collect()))
+
+
+def test_a_row_slides_by_two_anchors_at_any_overlap(spark):
+    tile = spark.createDataFrame([(a, a + 18 + a % 2, 0, 1, (float(a * 7 % 11), a)) for a in range(40)], "i0 long, i1 long, j0 long, n long, key struct<v:double,id:long>")
+    got = {r.i: (r.n, r.key.v, r.key.id) for r in w._slide(tile, "i0", "i1", 18, ["j0"], "i").collect()}
+    for i in range(60):
+        own = [(float(a * 7 % 11), a) for a in range(40) if a <= i <= a + 18 + a % 2]
+        assert got.get(i) == ((len(own), *min(own)) if own else None)
+
+
 def test_order_keys(spark):
     from pyspark.sql import functions as F
 
