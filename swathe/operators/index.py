@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +65,9 @@ def interleave(*cells: Column, depth: int) -> Column:
 def depth_for_radius(radius: float, least: float, level: int = 0) -> int:
     """Depth at which half a cell's radius no longer exceeds ``least``; above ``level`` at least if one is given."""
     d, r = 0, f32(radius)
-    while r / 2 > least and d < MAX_DEPTH:
+    while r / 2 > least:
+        if d == MAX_DEPTH:
+            raise ValueError(f"a tree of {MAX_DEPTH} levels over a radius of {radius} has no cells of radius {least}")
         r /= 2
         d += 1
     return max(d, level + 1 if level else 0)
@@ -84,37 +89,98 @@ def _up(level: str, key: str, deepest: int, axes: str) -> Column:
     return F.expr(f"shiftright({key}, {len(axes)} * ({deepest} - {level}))")
 
 
-def _nodes(points: DataFrame, depth: int, head: DataFrame | None, axes: str) -> DataFrame:
-    """level, key, n of every node with points, from the root to ``depth``; points are counted once, then cells."""
-    cells = with_keys(points, depth, head, axes).groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
-    each = cells.select("c", "r", "key", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    each = each.select("level", _up("level", "key", depth, axes).alias("key"), "c", "r")
-    return each.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r"))
-
-
-def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None, deepest: int = 0, axes: str = "xy") -> DataFrame:
+def _split(keys: np.ndarray, counts: np.ndarray, at: int, start: int, stop: int, most: int, level: int, wide: int, empty: bool) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Leaves (level, keys, counts) below nodes that split at ``start`` - 1, and what still splits at ``stop`` (keys, counts); sorted distinct ``keys`` are of level ``at``."""
+    leaves = []
+    for d in range(start, stop + 1):
+        node = keys >> (wide * (at - d))
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        ids, n = node[first], np.add.reduceat(counts, first)
+        if empty:
+            parents = np.unique(ids >> wide)
+            missing = np.setdiff1d(((parents << wide)[:, None] + np.arange(1 << wide)).ravel(), ids, assume_unique=True)
+            leaves.append((d, missing, np.zeros(len(missing), np.int64)))
+        split = (n > most) | (d <= level)
+        leaves.append((d, ids[~split], n[~split]))
+        if d == stop:
+            return leaves, ids[split], n[split]
+        keep = np.repeat(split, np.diff(np.concatenate((first, [len(node)]))))
+        keys, counts = keys[keep], counts[keep]
+        if not len(keys):
+            break
+    return leaves, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10, empty: bool = True, head: DataFrame | None = None, deepest: int = 0, axes: str = "xy", bucket: int = 1_000_000, fine: int = 0) -> DataFrame:
     """Leaves (level, key, n, radius) of the tree whose leaves split above ``most`` points, and always down to ``level``.
 
-    ``depth`` is the deepest level, where a leaf may hold more; with ``deepest``, cells that hold more there are split on down to that level. With ``empty``, leaves without points are given too:
+    ``depth``, or ``deepest`` if that is more, is the deepest level, where a leaf may hold more. With ``empty``, leaves without points are given too:
     all children of a split node exist, four in a quadtree, eight in an octree.
+
+    The tree's top is counted first, by cells of level ``fine``; below cells of more than ``bucket`` points it is counted again, until none is left. What splits there
+    is dealt to buckets of like size, in one shuffle of the cloud's cell keys, each task having folded equal ones before; a bucket's subtrees are finished in one task.
     """
-    wide = len(axes)
-    nodes = _nodes(points, depth, head, axes)
-    if deepest > depth:
-        crowded = nodes.filter((F.col("level") == depth) & (F.col("n") > most)).select(F.col("key").alias("above"))
-        cells = with_keys(points, deepest, head, axes).select("key", "radius", F.expr(f"shiftright(key, {wide * (deepest - depth)})").alias("above")).join(crowded, "above", "left_semi")
-        below = cells.groupBy("key").agg(F.count("*").alias("c"), F.first("radius").alias("r"))
-        below = below.select("c", "r", "key", F.explode(F.sequence(F.lit(depth + 1), F.lit(deepest))).alias("level"))
-        below = below.select("level", _up("level", "key", deepest, axes).alias("key"), "c", "r")
-        nodes = nodes.unionByName(below.groupBy("level", "key").agg(F.sum("c").alias("n"), F.first("r").alias("r")))
-    nodes = nodes.withColumn("split", ((F.col("n") > most) | (F.col("level") <= level)) & (F.col("level") < max(depth, deepest)))
-    split = nodes.filter("split").select((F.col("level") + 1).alias("l2"), "r", F.shiftleft("key", wide).alias("k4"))
-    children = split.select("l2", "r", F.explode(F.sequence(F.col("k4"), F.col("k4") + (1 << wide) - 1)).alias("k2"))
-    got = children.join(nodes.select("level", "key", "n", "split"), (F.col("l2") == F.col("level")) & (F.col("k2") == F.col("key")), "left")
-    leaves = got.filter("split IS NULL OR NOT split").select(F.col("l2").alias("level"), F.col("k2").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("r") / F.pow(F.lit(2.0), F.col("l2"))).alias("radius"))
-    root = nodes.filter("level = 0 AND NOT split").select("level", "key", "n", F.col("r").alias("radius"))
-    leaves = leaves.union(root)
-    return leaves if empty else leaves.filter("n > 0")
+    wide, deepest = len(axes), max(depth, deepest)
+    keyed = with_keys(points.select(*axes), deepest, head, axes)
+    up = lambda d: F.shiftright("key", wide * (deepest - d)) if d < deepest else F.col("key")
+    stop = min(deepest, fine or 10 // wide)
+    found = keyed.groupBy(up(stop).alias("k")).agg(F.count("*").alias("n"), F.first("radius").alias("radius")).toArrow().sort_by("k")  # cells of one level
+    spark, rows = points.sparkSession, "level int, key long, n long"
+    if not found.num_rows:
+        return spark.createDataFrame([], f"{rows}, radius double")
+    k, n = found["k"].to_numpy(), found["n"].to_numpy()
+    radius, total = found["radius"][0].as_py(), int(n.sum())
+    target = min(bucket, max(20_000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    split = total > most or level >= 0
+    if not split or deepest == 0:
+        return spark.createDataFrame([(0, 0, total)], rows).withColumn("radius", F.lit(radius))
+    leaves, ids, sizes = _split(k, n, stop, 1, stop, most, level, wide, empty)
+    roots = []  # (level, key, n): nodes that split, each within one bucket
+    while len(ids):
+        heavy = (sizes > target) & (stop < deepest)
+        roots += zip([stop] * int((~heavy).sum()), ids[~heavy].tolist(), sizes[~heavy].tolist(), strict=True)
+        if not heavy.any():
+            break
+        above, at = F.broadcast(spark.createDataFrame([(v,) for v in ids[heavy].tolist()], "above long")), stop
+        stop = min(deepest, stop + max(1, 10 // wide))
+        more = keyed.select(up(at).alias("above"), up(stop).alias("k")).join(above, "above", "left_semi").groupBy("k").agg(F.count("*").alias("n")).toArrow().sort_by("k")
+        below, ids, sizes = _split(more["k"].to_numpy(), more["n"].to_numpy(), stop, at + 1, stop, most, level, wide, empty)
+        leaves += below
+    if stop == deepest:  # nothing splits there
+        leaves.append((deepest, ids, sizes))
+        roots = [r for r in roots if r[0] < deepest]
+    top = [(d, int(a), int(c)) for d, keys, counts in leaves for a, c in zip(keys, counts, strict=True)]
+    got = spark.createDataFrame(top, rows)
+    if roots:
+        roots.sort(key=lambda r: r[1] << (wide * (deepest - r[0])))
+        starts = np.array([r[1] << (wide * (deepest - r[0])) for r in roots])
+        ends = np.array([(r[1] + 1) << (wide * (deepest - r[0])) for r in roots])
+        levels, bins = np.array([r[0] for r in roots]), np.cumsum([r[2] for r in roots]) // target
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, counts = np.unique(batch["key"].to_numpy(), return_counts=True)
+                root = np.searchsorted(starts, own, "right") - 1
+                inside = (root >= 0) & (own < ends[root])
+                root = root[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(bins[root]), pa.array(root), pa.array(own[inside]), pa.array(counts[inside])], ["bucket", "root", "key", "n"])
+
+        def finish(table: pa.Table) -> pa.Table:
+            own, where = np.unique(table["key"].to_numpy(), return_inverse=True)
+            counts = np.bincount(where, table["n"].to_numpy()).astype(np.int64)
+            root = np.searchsorted(starts, own, "right") - 1
+            out = []
+            for r in np.unique(root):
+                mine = root == r
+                below, ids, sizes = _split(own[mine], counts[mine], deepest, int(levels[r]) + 1, deepest, most, level, wide, empty)
+                out += [*below, (deepest, ids, sizes)]
+            columns = [np.concatenate([np.full(len(a), d, np.int32) for d, a, _ in out]), np.concatenate([a for _, a, _ in out]), np.concatenate([c for _, _, c in out])]
+            return pa.table([pa.array(c) for c in columns], ["level", "key", "n"])
+
+        cells = keyed.select("key").mapInArrow(fold, "bucket long, root long, key long, n long")
+        got = got.unionByName(cells.groupBy("bucket").applyInArrow(finish, rows))
+    got = got.select("level", "key", "n", (F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))).alias("radius"))
+    return got if empty else got.filter("n > 0")
 
 
 def leaf_centres(leaves: DataFrame, head: DataFrame) -> DataFrame:

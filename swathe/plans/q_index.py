@@ -8,11 +8,10 @@ from ..functions import morton as m
 from ..operators import index as ix
 from ..operators import stats as st
 from ..operators.windows import header
-from ..sources.cloud import POINTS3_SQL, POINTS_SQL, holed, points, points3
+from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
 
-DEPTH, MOST, LEVEL, DEEPEST, CHUNK, DEPTH3 = 6, 32, 2, 10, 64, 3
-#: the leaf queries run on the cloud with a hole, so that leaves stand at several levels
-HOLE = "WHERE NOT (x > 20 AND x < 60 AND y > 20 AND y < 60 AND id % 8 <> 0)"
+#: with 24 points a leaf at most, the leaves of the test clouds stand at several levels; FORCED: all split down to that level
+DEPTH, MOST, LEVEL, FORCED, CHUNK, DEPTH3, MOST3 = 6, 24, 2, 5, 64, 3, 32
 
 P = f"""WITH p AS ({POINTS_SQL}),
 hd AS (SELECT count(*) AS n, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM p),
@@ -55,15 +54,19 @@ def _tree(src: str, keyed: str, wide: int, most: int, level: int) -> str:
     return ",\n".join(out)
 
 
-_NODES = _tree(P.replace(f"({POINTS_SQL})", f"(SELECT * FROM ({POINTS_SQL}) {HOLE})"), _keyed(ix.MAX_DEPTH), 2, MOST, LEVEL)
+_NODES = _tree(P, _keyed(ix.MAX_DEPTH), 2, MOST, LEVEL)
 
 
 def leaves(spark, d):
-    return ix.number_leaves(holed(spark, d), MOST, LEVEL, DEEPEST, deepest=ix.MAX_DEPTH)
+    return ix.number_leaves(points(spark, d), MOST, LEVEL, ix.MAX_DEPTH)
 
 
 def octree_leaves(spark, d):
-    return ix.number_leaves(points3(spark, d), MOST, 0, 6, deepest=ix.MAX_DEPTH, axes="xyz")
+    return ix.number_leaves(points3(spark, d), MOST3, 0, ix.MAX_DEPTH, axes="xyz")
+
+
+def forced_leaves(spark, d):
+    return ix.number_leaves(points(spark, d), MOST, FORCED, ix.MAX_DEPTH, fine=3, bucket=2000)
 
 
 def _octant(spark, d):
@@ -118,6 +121,7 @@ QUERIES = {
     "quadrant_id": lambda s, d: points(s, d).crossJoin(F.broadcast(ix.geometry(header(points(s, d))))).select("id", ix.quadrant(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("quadrant")),
     "qtree_minradius_leaves": lambda s, d: _r(ix.radius_leaves(points(s, d), ix.depth_for_radius(43.0, 0.5)), "radius"),
     "qtree_maxnum_leaves": lambda s, d: _r(leaves(s, d), "radius"),
+    "qtree_forced_leaves": lambda s, d: _r(forced_leaves(s, d), "radius"),
     "qtree_rollup": lambda s, d: ix.rollup(points(s, d), DEPTH),
     "octree_minradius_leaves": lambda s, d: _r(ix.radius_leaves(points3(s, d), DEPTH3, axes="xyz"), "radius"),
     "octree_maxnum_leaves": lambda s, d: _r(octree_leaves(s, d), "radius"),
@@ -186,8 +190,9 @@ ORACLES = {
     "quadrant_id": P + " SELECT id, CASE WHEN x >= cx THEN 2 ELSE 0 END + CASE WHEN y >= cy THEN 1 ELSE 0 END AS quadrant FROM p, geo",
     "qtree_minradius_leaves": f"{P}{_keyed(_D)} SELECT {_D} AS level, key, count(*) AS n, min(struct_pack(z := z, id := id)).z AS z, min(struct_pack(z := z, id := id)).id AS id, round(any_value(radius) / {1 << _D}, 6) AS radius FROM ky GROUP BY key",
     "qtree_maxnum_leaves": _NODES + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
+    "qtree_forced_leaves": _tree(P, _keyed(ix.MAX_DEPTH), 2, MOST, FORCED) + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
     "octree_minradius_leaves": f"{_OCT} SELECT {DEPTH3} AS level, key, n, m.z AS z, m.id AS id, round(radius / {1 << DEPTH3}, 6) AS radius FROM lf",
-    "octree_maxnum_leaves": _tree(_P3, _keyed3(ix.MAX_DEPTH), 3, MOST, 0) + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
+    "octree_maxnum_leaves": _tree(_P3, _keyed3(ix.MAX_DEPTH), 3, MOST3, 0) + " SELECT level, key, n, round(radius, 6) AS radius FROM lf",
     "octree_rollup": f"{_OCT}, lv AS (SELECT unnest(range(0, {DEPTH3 + 1})) AS level), ro AS (SELECT CAST(level AS INT) AS level, key >> CAST(3 * ({DEPTH3} - level) AS INT) AS key, CAST(sum(n) AS BIGINT) AS n, min(m) AS m FROM lf, lv GROUP BY 1, 2) SELECT level, key, n, m.z AS z, m.id AS id FROM ro",
     "octant_id": _P3 + " SELECT id, CASE WHEN x >= cx THEN 4 ELSE 0 END + CASE WHEN y >= cy THEN 2 ELSE 0 END + CASE WHEN z >= cz THEN 1 ELSE 0 END AS octant FROM p, geo",
     "shuffle_order": P + " SELECT id, z, row_number() OVER (ORDER BY (id * 2654435761) % 4294967296, id) - 1 AS position FROM p",

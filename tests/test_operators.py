@@ -82,6 +82,44 @@ def test_leaves_hold_every_point(spark):
     assert set(levels.values()) == {len(LATTICE)}
 
 
+@pytest.mark.parametrize("axes", ["xy", "xyz"])
+@pytest.mark.parametrize("bucket, fine, level", [(40, 1, 0), (15, 2, 3), (1, 0, 1), (10**6, 3, 7)])
+def test_leaves_of_buckets_of_any_size_are_the_same(spark, axes, bucket, fine, level):
+    rng = np.random.default_rng(bucket)
+    xyz = [*rng.random((200, 3)).tolist(), *(rng.random((150, 3)) * 1e-3).tolist(), *[[0.5, 0.5, 0.5]] * 40]
+    rows = [(i, *map(float, v), 0, 0) for i, v in enumerate(xyz)]
+    p = cloud(spark, rows)
+    deep = 11
+    got = ix.number_leaves(p, 9, level, deep, axes=axes, bucket=bucket, fine=fine).collect()
+    n = len(axes)
+    lo, hi = [min(r[1 + a] for r in rows) for a in range(n)], [max(r[1 + a] for r in rows) for a in range(n)]
+    radius = max((b - a) / 2 for a, b in zip(lo, hi, strict=True))
+    corner = [a + (b - a) / 2 - radius for a, b in zip(lo, hi, strict=True)]
+    cells = [tuple(max(0, min((1 << deep) - 1, math.floor((r[1 + a] - corner[a]) / (2 * radius) * (1 << deep)))) for a in range(n)) for r in rows]
+    key = lambda c: sum(((c[a] >> b) & 1) << (n * b + n - 1 - a) for b in range(deep) for a in range(n))
+    want = []
+
+    def walk(d, at, own):
+        if (len(own) > 9 or d <= level) and own and d < deep:
+            for q in range(1 << n):
+                child = (at << n) + q
+                walk(d + 1, child, [k for k in own if k >> (n * (deep - d - 1)) == child])
+        else:
+            want.append((d, at, len(own)))
+
+    walk(0, 0, [key(c) for c in cells])
+    assert sorted((r.level, r.key, r.n) for r in got) == sorted(want)
+
+
+def test_leaves_read_the_cloud_twice(spark, tmp_path):
+    cloud(spark, LATTICE).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    for df in (ix.number_leaves(p, 8, 1, 12), ix.rollup(p, 4), ix.radius_leaves(p, 4)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 2
+    with pytest.raises(ValueError):
+        ix.depth_for_radius(1.0, 1e-9)
+
+
 def test_number_leaves_by_insertion(spark):
     """The tree of one-by-one insertion has the same leaves."""
     rows = LATTICE[::2]
