@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morton as m
 from ..functions.ordering import lowest, number_of, order_key
+from ..lineage import materialize
 from .windows import header
 
 MAX_DEPTH = 20
@@ -214,27 +215,31 @@ def morton_sorted(points: DataFrame, partitions: int) -> DataFrame:
     return with_morton(points).repartitionByRange(partitions, "code", "id").sortWithinPartitions("code", "id")
 
 
-def dense_rank(rows: DataFrame, bucket: Column, *order: Column | str, name: str = "rank") -> DataFrame:
-    """``rows`` with their 0-based dense ``rank`` in the order of ``bucket``, then ``order``.
+def dense_rank(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``rows`` with their 0-based dense ``rank`` in an ``order``, written.
 
-    No task sees all rows: they are counted by bucket, and a bucket's first rank is the sum over the buckets before it. The
-    buckets must be few (a row each on one task) and hold like numbers of rows.
+    They are dealt by ranges of the order, cut at sampled quantiles, and numbered within a range; a range's first rank is the number of rows before it. No task sees all rows, however they
+    crowd, and rows that are alike in the order may stand in either order.
     """
-    keyed = rows.withColumn("_bucket", bucket)
-    firsts = keyed.groupBy("_bucket").agg(F.count("*").alias("c"))
-    firsts = firsts.select("_bucket", (F.sum("c").over(Window.orderBy("_bucket")) - F.col("c")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return keyed.withColumn("_within", within).join(F.broadcast(firsts), "_bucket").select(*rows.columns, (F.col("_before") + F.col("_within") - 1).alias(name))
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt)
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("c"))  # a row for each range
+    firsts = counts.select("_part", (F.sum("c").over(Window.orderBy("_part")) - F.col("c")).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("_part", part).join(F.broadcast(firsts), "_part").select(*rows.columns, (F.col("_before") + within).alias(name))
 
 
-def ranked(points: DataFrame, head: DataFrame | None = None, bits: int = 10, axes: str = "xy") -> DataFrame:
-    """``points`` with ``code`` and their 0-based ``rank`` by (code, id), dense; counted by the code's leading ``bits``."""
-    return dense_rank(with_morton(points, head, axes), F.shiftright("code", (32 if axes == "xy" else 63) - bits), "code", "id")
+def ranked(points: DataFrame, head: DataFrame | None = None, axes: str = "xy") -> DataFrame:
+    """``points`` with ``code`` and their 0-based ``rank`` by (code, id), dense."""
+    return dense_rank(with_morton(points, head, axes), "code", "id")
 
 
-def shuffled(points: DataFrame, mixed: Column, bits: int = 10) -> DataFrame:
-    """``points`` in a random order: with a 0-based dense ``position`` by ``mixed`` (a 32-bit hash of the row), ties by id."""
-    return dense_rank(points.withColumn("_mixed", mixed), F.shiftright("_mixed", 32 - bits), "_mixed", "id", name="position").drop("_mixed")
+def shuffled(points: DataFrame, mixed: Column) -> DataFrame:
+    """``points`` in a random order: with a 0-based dense ``position`` by ``mixed`` (a hash of the row), ties by id."""
+    return dense_rank(points.withColumn("_mixed", mixed), "_mixed", "id", name="position").drop("_mixed")
 
 
 def gathered(points: DataFrame, index: DataFrame) -> DataFrame:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import morton as m
 from ..operators import index as ix
 from ..operators import stats as st
+from ..operators import trees as tr
 from ..operators.windows import header
+from ..lineage import materialize
 from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
+from .q_windows import S4, cells, cte, pw
+from .seeds import seed_points
 
 #: with 24 points a leaf at most, the leaves of the test clouds stand at several levels; FORCED: all split down to that level
 DEPTH, MOST, LEVEL, FORCED, CHUNK, DEPTH3, MOST3 = 6, 24, 2, 5, 64, 3, 32
@@ -69,6 +73,13 @@ def forced_leaves(spark, d):
     return ix.number_leaves(points(spark, d), MOST, FORCED, ix.MAX_DEPTH, fine=3, bucket=2000)
 
 
+def _sub(spark, d, of):
+    """A query over the tree of the seed points, a part of the cloud."""
+    p = points(spark, d)
+    head, parents = materialize(header(p)), materialize(leaves(spark, d).select("level", "key", "n"))
+    return of(p, materialize(seed_points(p, S4).select("id")), parents, head)
+
+
 def _octant(spark, d):
     p = points3(spark, d)
     g = F.broadcast(ix.geometry(header(p, "xyz"), "xyz"))
@@ -141,6 +152,11 @@ QUERIES = {
     "bvh_leaf_chunks": lambda s, d: ix.chunks(points(s, d), CHUNK),
     "bvh_rollup": lambda s, d: ix.chunk_rollup(ix.chunks(points(s, d), CHUNK), 4),
     "bvh_rollup_octree": lambda s, d: ix.chunk_rollup(ix.chunks(points(s, d), CHUNK), 9).filter("level % 3 = 0"),
+    "radix_topology": lambda s, d: tr.cloud_topology(points(s, d)),
+    "one_point_leaves": lambda s, d: tr.one_point_leaves(points(s, d), axes="xy"),
+    "one_point_leaves_3d": lambda s, d: tr.one_point_leaves(points3(s, d), 0.005),
+    "subcloud_leaves": lambda s, d: _sub(s, d, lambda p, ids, parents, head: tr.sub_leaves(p, ids, parents, 4, head)),
+    "subcloud_chunks": lambda s, d: _sub(s, d, lambda p, ids, parents, head: tr.sub_chunks(p, ids, parents, 16, head)),
     "subcloud": lambda s, d: ix.subcloud(points(s, d), ix.radius_leaves(points(s, d), DEPTH)).select("id", "x", "y", "z"),
     "decimate_minmax": lambda s, d: ix.decimated(points(s, d), DEPTH).select("id", "x", "y", "z"),
     "point_leaf": lambda s, d: ix.with_keys(points(s, d), DEPTH).select("id", "key"),
@@ -185,7 +201,45 @@ _QR = f"{P}{_keyed(DEPTH)}, lf AS (SELECT key, count(*) AS n, min(struct_pack(z
 _D = ix.depth_for_radius(43.0, 0.5)
 _BOX = "n, xmin, ymin, xmax, ymax, m.z AS z, m.id AS id"
 
+#: the inner nodes by counting every prefix of every code; a rank's bits follow those of its code
+_RADIX = f"""{_MORTON},
+g AS (SELECT rank, code, lead(code) OVER (ORDER BY rank) AS nx, lag(code) OVER (ORDER BY rank) AS pv FROM rk),
+d AS (SELECT rank, code, CASE WHEN nx IS NULL THEN -1 WHEN nx = code THEN 72 - length(ltrim(bin(xor(rank, rank + 1)), '0')) ELSE 32 - length(ltrim(bin(xor(code, nx)), '0')) END AS r FROM g),
+e AS (SELECT rank, code, unnest(range(0, 72)) AS p FROM d),
+f AS (SELECT p, CASE WHEN p < 32 THEN code >> (32 - p) ELSE code END AS hi, CASE WHEN p > 32 THEN rank >> (72 - p) ELSE 0 END AS lo, rank FROM e),
+h AS (SELECT p, hi, lo, min(rank) AS first, max(rank) AS last FROM f GROUP BY p, hi, lo HAVING count(*) > 1),
+n AS (SELECT h.first, h.last, d.rank AS split, d.r AS prefix FROM d JOIN h ON h.p = d.r AND h.hi = (CASE WHEN d.r < 32 THEN code >> (32 - CAST(d.r AS INT)) ELSE code END) AND h.lo = (CASE WHEN d.r > 32 THEN d.rank >> (72 - CAST(d.r AS INT)) ELSE 0 END) WHERE d.r >= 0),
+q AS (SELECT n.*, coalesce(a.r, -1) AS ol, b.r AS orr FROM n LEFT JOIN d a ON a.rank = n.first - 1 JOIN d b ON b.rank = n.last),
+u AS (SELECT *, CASE WHEN ol < 0 AND orr < 0 THEN NULL WHEN ol > orr THEN first - 1 ELSE last END AS above FROM q),
+v AS (SELECT *, CASE WHEN above IS NULL THEN 0 WHEN above = last THEN last ELSE first END AS node FROM u)"""
+
+
+def _one_point(src: str, keyed, wide: int, deep: int) -> str:
+    """ol: leaves of one point by counts of every level: the highest node that holds one point, or the last level's."""
+    return f"""{src}{keyed(deep)},
+lv AS (SELECT unnest(range(0, {deep + 1})) AS level),
+nd AS (SELECT CAST(level AS INT) AS level, key >> CAST({wide} * ({deep} - level) AS INT) AS key, count(*) AS n, min(struct_pack(z := z, id := id)) AS m FROM ky, lv GROUP BY 1, 2),
+ol AS (SELECT a.* FROM nd a LEFT JOIN nd b ON b.level = a.level - 1 AND b.key = a.key >> {wide} WHERE (a.n = 1 OR a.level = {deep}) AND (b.n > 1 OR a.level = 0))"""
+
+
+_SEED_IDS = f"(SELECT DISTINCT id FROM ({cte(S4) + pw(S4) + cells(S4)} SELECT id FROM seeds))"
+#: sf: leaves of the seed points, in the whole cloud's root; pf: the cloud's leaves
+_SUB = f"""WITH pf AS ({_NODES} SELECT level, key, n FROM lf), kk AS ({P}{_keyed(ix.MAX_DEPTH)} SELECT id, key FROM ky),
+sk AS (SELECT id, key FROM kk WHERE id IN {_SEED_IDS})"""
+_SUB_LEAVES = f"""{_SUB}, lv AS (SELECT CAST(unnest(range(0, {ix.MAX_DEPTH + 1})) AS INT) AS level),
+sn AS (SELECT level, key >> (2 * ({ix.MAX_DEPTH} - level)) AS key, count(*) AS n FROM sk, lv GROUP BY 1, 2),
+sl AS (SELECT a.* FROM sn a LEFT JOIN sn b ON b.level = a.level - 1 AND b.key = a.key >> 2 WHERE a.n <= 4 AND (b.n > 4 OR a.level = 0) AND (a.level > 0)),
+pn AS (SELECT level, key >> (2 * ({ix.MAX_DEPTH} - level)) AS key, count(*) AS n FROM kk, lv GROUP BY 1, 2)
+SELECT sl.level, sl.key, sl.n, CAST(coalesce((SELECT sum(pf.n) FROM pf WHERE pf.n > 0 AND pf.level >= sl.level AND pf.key >> (2 * greatest(0, pf.level - sl.level)) = sl.key),
+ (SELECT max(pf.n) FROM pf WHERE pf.level < sl.level AND sl.key >> (2 * greatest(0, sl.level - pf.level)) = pf.key)) AS BIGINT) AS parent_n,
+ greatest(1, (SELECT count(*) FROM pf WHERE pf.n > 0 AND pf.level >= sl.level AND pf.key >> (2 * greatest(0, pf.level - sl.level)) = sl.key)) AS parent_leaves FROM sl"""
+
 ORACLES = {
+    "radix_topology": _RADIX + " SELECT v.node, w.node AS parent, v.first, v.last, v.split, CAST(v.prefix AS INT) AS prefix, v.first = v.split AS left_leaf, v.last = v.split + 1 AS right_leaf FROM v LEFT JOIN v w ON w.split = v.above",
+    "one_point_leaves": _one_point(P, _keyed, 2, ix.depth_for_radius(43.0, 0.10)) + " SELECT level, key, n, m.z AS z, m.id AS id FROM ol",
+    "one_point_leaves_3d": _one_point(_P3, _keyed3, 3, ix.depth_for_radius(0.4, 0.005)) + " SELECT level, key, n, m.z AS z, m.id AS id FROM ol",
+    "subcloud_leaves": _SUB_LEAVES,
+    "subcloud_chunks": f"{_SUB}, r AS (SELECT *, (row_number() OVER (ORDER BY key, id) - 1) // 16 AS chunk FROM sk) SELECT chunk, count(*) AS n, min(r.key) AS first_key, max(r.key) AS last_key, count(DISTINCT (pf.level, pf.key)) AS parent_leaves FROM r JOIN pf ON r.key >> (2 * ({ix.MAX_DEPTH} - pf.level)) = pf.key GROUP BY chunk",
     "bbox_geometry": P + " SELECT round(rx, 6) AS rx, round(ry, 6) AS ry, round(radius, 6) AS radius, round(cx, 6) AS cx, round(cy, 6) AS cy FROM geo",
     "quadrant_id": P + " SELECT id, CASE WHEN x >= cx THEN 2 ELSE 0 END + CASE WHEN y >= cy THEN 1 ELSE 0 END AS quadrant FROM p, geo",
     "qtree_minradius_leaves": f"{P}{_keyed(_D)} SELECT {_D} AS level, key, count(*) AS n, min(struct_pack(z := z, id := id)).z AS z, min(struct_pack(z := z, id := id)).id AS id, round(any_value(radius) / {1 << _D}, 6) AS radius FROM ky GROUP BY key",
