@@ -8,6 +8,7 @@ from ..functions import morton as m
 from ..operators import index as ix
 from ..operators import stats as st
 from ..operators import trees as tr
+from ..operators import upkeep
 from ..operators.windows import header
 from ..lineage import materialize
 from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
@@ -80,6 +81,17 @@ def _sub(spark, d, of):
     return of(p, materialize(seed_points(p, S4).select("id")), parents, head)
 
 
+def _upkeep(spark, d):
+    """The summaries after four batches: a group's points deleted, one's moved (some beyond the box), copies of one inserted below it, and every leaf's lowest point deleted."""
+    p = points(spark, d)
+    tree = upkeep.build(p, DEPTH)
+    none = [F.lit(None).cast("double").alias(a) for a in "xyz"]
+    tree = tree.changed(p.filter("g_id = 7").select("id", F.lit("delete").alias("op"), *none))
+    tree = tree.changed(p.filter("g_id = 6").select("id", F.lit("move").alias("op"), F.expr("x + 1.5D").alias("x"), F.expr("y - 0.75D").alias("y"), "z"))
+    tree = tree.changed(p.filter("g_id = 1").select((F.col("id") + 1_000_000_000).alias("id"), F.lit("insert").alias("op"), "x", "y", F.expr("z - 1D").alias("z")))
+    return tree.changed(tree.summaries().filter(F.col("level") == DEPTH).select("id", F.lit("delete").alias("op"), *none)).summaries()
+
+
 def _octant(spark, d):
     p = points3(spark, d)
     g = F.broadcast(ix.geometry(header(p, "xyz"), "xyz"))
@@ -157,6 +169,7 @@ QUERIES = {
     "one_point_leaves_3d": lambda s, d: tr.one_point_leaves(points3(s, d), 0.005),
     "subcloud_leaves": lambda s, d: _sub(s, d, lambda p, ids, parents, head: tr.sub_leaves(p, ids, parents, 4, head)),
     "subcloud_chunks": lambda s, d: _sub(s, d, lambda p, ids, parents, head: tr.sub_chunks(p, ids, parents, 16, head)),
+    "tree_upkeep": _upkeep,
     "subcloud": lambda s, d: ix.subcloud(points(s, d), ix.radius_leaves(points(s, d), DEPTH)).select("id", "x", "y", "z"),
     "decimate_minmax": lambda s, d: ix.decimated(points(s, d), DEPTH).select("id", "x", "y", "z"),
     "point_leaf": lambda s, d: ix.with_keys(points(s, d), DEPTH).select("id", "key"),
@@ -234,12 +247,24 @@ SELECT sl.level, sl.key, sl.n, CAST(coalesce((SELECT sum(pf.n) FROM pf WHERE pf.
  (SELECT max(pf.n) FROM pf WHERE pf.level < sl.level AND sl.key >> (2 * greatest(0, sl.level - pf.level)) = pf.key)) AS BIGINT) AS parent_n,
  greatest(1, (SELECT count(*) FROM pf WHERE pf.n > 0 AND pf.level >= sl.level AND pf.key >> (2 * greatest(0, pf.level - sl.level)) = sl.key)) AS parent_leaves FROM sl"""
 
+#: the cloud after the changes, in the first cloud's root
+_UPKEEP = f"""{P},
+c1 AS (SELECT CASE WHEN g_id = 6 THEN x + CAST(1.5 AS DOUBLE) ELSE x END AS x, CASE WHEN g_id = 6 THEN y - CAST(0.75 AS DOUBLE) ELSE y END AS y, z, id FROM p WHERE g_id <> 7
+ UNION ALL SELECT x, y, z - CAST(1 AS DOUBLE), id + 1000000000 FROM p WHERE g_id = 1),
+kc AS (SELECT c1.*, {", ".join(f"greatest(0, least({(1 << DEPTH) - 1}, CAST(floor(({v} - (c{v} - radius)) / (2 * radius) * {1 << DEPTH}) AS BIGINT))) AS k{v}" for v in "xy")} FROM c1, geo),
+ky AS (SELECT *, {_bits("kx", "ky", DEPTH)} AS key FROM kc),
+gone AS (SELECT min(struct_pack(z := z, id := id)).id AS id FROM ky GROUP BY key),
+lf AS (SELECT key, count(*) AS n, min(struct_pack(z := z, id := id)) AS m FROM ky WHERE id NOT IN (SELECT id FROM gone) GROUP BY key),
+lv AS (SELECT CAST(unnest(range(0, {DEPTH + 1})) AS INT) AS level)
+SELECT level, key >> (2 * ({DEPTH} - level)) AS key, CAST(sum(n) AS BIGINT) AS n, min(m).z AS z, min(m).id AS id FROM lf, lv GROUP BY 1, 2"""
+
 ORACLES = {
     "radix_topology": _RADIX + " SELECT v.node, w.node AS parent, v.first, v.last, v.split, CAST(v.prefix AS INT) AS prefix, v.first = v.split AS left_leaf, v.last = v.split + 1 AS right_leaf FROM v LEFT JOIN v w ON w.split = v.above",
     "one_point_leaves": _one_point(P, _keyed, 2, ix.depth_for_radius(43.0, 0.10)) + " SELECT level, key, n, m.z AS z, m.id AS id FROM ol",
     "one_point_leaves_3d": _one_point(_P3, _keyed3, 3, ix.depth_for_radius(0.4, 0.005)) + " SELECT level, key, n, m.z AS z, m.id AS id FROM ol",
     "subcloud_leaves": _SUB_LEAVES,
     "subcloud_chunks": f"{_SUB}, r AS (SELECT *, (row_number() OVER (ORDER BY key, id) - 1) // 16 AS chunk FROM sk) SELECT chunk, count(*) AS n, min(r.key) AS first_key, max(r.key) AS last_key, count(DISTINCT (pf.level, pf.key)) AS parent_leaves FROM r JOIN pf ON r.key >> (2 * ({ix.MAX_DEPTH} - pf.level)) = pf.key GROUP BY chunk",
+    "tree_upkeep": _UPKEEP,
     "bbox_geometry": P + " SELECT round(rx, 6) AS rx, round(ry, 6) AS ry, round(radius, 6) AS radius, round(cx, 6) AS cx, round(cy, 6) AS cy FROM geo",
     "quadrant_id": P + " SELECT id, CASE WHEN x >= cx THEN 2 ELSE 0 END + CASE WHEN y >= cy THEN 1 ELSE 0 END AS quadrant FROM p, geo",
     "qtree_minradius_leaves": f"{P}{_keyed(_D)} SELECT {_D} AS level, key, count(*) AS n, min(struct_pack(z := z, id := id)).z AS z, min(struct_pack(z := z, id := id)).id AS id, round(any_value(radius) / {1 << _D}, 6) AS radius FROM ky GROUP BY key",
