@@ -112,7 +112,7 @@ class Tree:
         return self.nodes.replaced(off.unionByName(fresh).withColumn("part", self._node_part()), [-1, *parts])
 
 
-def build(points: DataFrame, depth: int, top: int = 3, axes: str = "xy", head: DataFrame | None = None) -> Tree:
+def build(points: DataFrame, depth: int, top: int = 2, axes: str = "xy", head: DataFrame | None = None) -> Tree:
     """The tree of a cloud, or an empty tree over the box of a given ``head``."""
     head = materialize(header(points, axes) if head is None else head)
     empty = Tree(Parts([]), Parts([]), head, depth, min(top, depth), axes)

@@ -40,7 +40,7 @@ def _delimited(spark, d):
 
 def _report(spark, d):
     path = shared_dir(spark)
-    rows = q_stats.runs(spark).select(F.col("opt").alias("ExecName"), F.col("cloud").alias("InputFile"), F.col("ord").alias("NumThreads"), F.lit(0.1).alias("MinRadius"), F.lit(32).alias("MaxNumber"), F.lit(5).alias("Level"), F.col("tree").alias("TreeTime"), F.col("owm").alias("OwmTime"), F.lit(100.0).alias("Correctness"))
+    rows = q_stats.runs(spark, d).select(F.col("opt").alias("ExecName"), F.col("cloud").alias("InputFile"), F.col("ord").alias("NumThreads"), F.lit(0.1).alias("MinRadius"), F.lit(32).alias("MaxNumber"), F.lit(5).alias("Level"), F.col("tree").alias("TreeTime"), F.col("owm").alias("OwmTime"), F.lit(100.0).alias("Correctness"))
     text.write_report(rows, path)
     return reports.read_report(spark, path).select(F.col("ExecName").alias("opt"), F.col("InputFile").alias("cloud"), F.col("TreeTime").alias("tree"), F.col("OwmTime").alias("owm"))
 
@@ -62,7 +62,10 @@ def _full(spark, d):
 
 
 def _catalog(spark, d):
-    files = spark.createDataFrame([(f"/data/{r[0]}",) for r in text.CATALOG] + [("/data/unknown.xyz",)], "file string")
+    """A file for each supplier, one in turn of those that the catalog knows and one that it does not."""
+    names = [f"/data/{r[0]}" for r in text.CATALOG] + ["/data/unknown.xyz"]
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet")
+    files = suppliers.select("s_suppkey", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("s_suppkey") % len(names) + 1).cast("int")).alias("file"))
     return text.with_catalog(files)
 
 
@@ -75,14 +78,14 @@ def _malformed(spark, d):
 
 def _summary(spark, d):
     path = shared_dir(spark)
-    rows = q_stats.runs(spark).select(F.col("opt").alias("Optimization"), F.col("cloud").alias("Cloud"), F.col("tree").alias("TimeTree"), F.col("owm").alias("TimeOWM"), F.col("ord").alias("Level"), F.lit(0.5).alias("MinRadMaxNum"))
+    rows = q_stats.runs(spark, d).select(F.col("opt").alias("Optimization"), F.col("cloud").alias("Cloud"), F.col("tree").alias("TimeTree"), F.col("owm").alias("TimeOWM"), F.col("ord").alias("Level"), F.lit(0.5).alias("MinRadMaxNum"))
     rows.write.option("sep", ";").option("header", True).csv(path)
     return reports.read_summary(spark, path).select(F.col("Optimization").alias("opt"), F.col("Cloud").alias("cloud"), F.col("TimeTree").alias("tree"), F.col("TimeOWM").alias("owm"), F.col("Level").alias("ord"))
 
 
 def _tokens(spark, d):
     path = shared_dir(spark)
-    q_stats.sweep(spark).select(F.concat_ws("  ", "host", "cloud", F.col("threads").cast("string"), F.col("seconds").cast("string"))).write.text(path)
+    q_stats.sweep(spark, d).select(F.concat_ws("  ", "host", "cloud", F.col("threads").cast("string"), F.col("seconds").cast("string"))).write.text(path)
     got = reports.read_tokens(spark, path, ["host", "cloud", "threads", "seconds"])
     return got.withColumn("threads", F.col("threads").cast("int")).withColumn("seconds", F.col("seconds").cast("double"))
 
@@ -90,7 +93,7 @@ def _tokens(spark, d):
 def _log(spark, d):
     """A log with a heading and its times for each setting of the sweep."""
     path = shared_dir(spark)
-    s = q_stats.sweep(spark)
+    s = q_stats.sweep(spark, d)
     name = F.concat_ws(" ", "host", "cloud", F.col("threads").cast("string"), F.col("radius").cast("string"))
     lines = s.select(F.concat(F.lit("Running: "), name, F.lit("\n  Stage1 time elapsed: "), F.col("seconds").cast("string"), F.lit(" s\nnothing here\nTotal KERNEL time: "), (F.col("seconds") * 2).cast("string")))
     lines.write.text(path)
@@ -140,7 +143,7 @@ ORACLES = {
     "report_roundtrip": q_stats.RUNS_SQL + " SELECT opt, cloud, tree, owm FROM r",
     "xyz_header_roundtrip": P + " SELECT x, y, z, (SELECT count(*) FROM p) AS n FROM p",
     "full_precision_roundtrip": P + " SELECT x, y, z FROM p WHERE id % 3 <> 0 UNION ALL SELECT x, y, z FROM p WHERE id % 6 = 0",
-    "header_catalog": "SELECT * FROM " + q_stats._values([(f"/data/{r[0]}", *r[1:]) for r in text.CATALOG] + [("/data/unknown.xyz", *[None] * 7)]).replace("None", "NULL") + " AS t(file, n, minx, maxx, miny, maxy, minz, maxz)",
+    "header_catalog": "SELECT s_suppkey, t.* EXCLUDE (i) FROM supplier JOIN " + q_stats._values([(i, f"/data/{r[0]}", *r[1:]) for i, r in enumerate([*text.CATALOG, ("unknown.xyz", *[None] * 7)])]).replace("None", "NULL") + f" AS t(i, file, n, minx, maxx, miny, maxy, minz, maxz) ON t.i = s_suppkey % {len(text.CATALOG) + 1}",
     "malformed_lines": P + " SELECT 'broken ' || id AS line FROM p WHERE id % 100 = 0",
     "summary_roundtrip": q_stats.RUNS_SQL + " SELECT opt, cloud, tree, owm, ord FROM r",
     "tokens_roundtrip": q_stats.SWEEP_SQL + " SELECT host, cloud, threads, seconds FROM r",

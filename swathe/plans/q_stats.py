@@ -17,10 +17,13 @@ from ..sources.cloud import POINTS3_SQL, POINTS_SQL, points, points3
 P = f"WITH p AS ({POINTS_SQL})"
 E3 = "WITH p AS (" + POINTS3_SQL.format(a=1, b=2, c=3) + ")"
 
-#: (order, variant, cloud, tree seconds, query seconds) of runs, made by rule: each variant is faster than the one before
-RUNS = [(k, opt, cl, round((4.7 + 0.61 * i) / (1 + 2 * k) + 0.0137 * i * k, 5), round((3.9 + 1.13 * i) / (1 + k) + 0.0211 * k, 5)) for k, opt in enumerate(("baseline", "quadtree", "parallel")) for i, cl in enumerate("abcd")]
-#: (host, cloud, threads, radius, seconds, accuracy) of a sweep, made by rule
-SWEEP = [(h, cl, t, r / 10, round((7 + 3 * i + j) / t + abs(r - 11) / 10 + (k + 1) / 4, 4), round(99 + ((i + j + r) % 9) / 10, 2)) for k, h in enumerate("xy") for i, cl in enumerate("ab") for j, t in enumerate((1, 4, 8)) for r in (5, 11, 20)]
+#: runs of three variants on four clouds, each variant faster than the one before: their times are means over the rows of ``lineitem`` that belong to them, of whole numbers, so that both engines get the same doubles
+RUNS = """SELECT *, tree + owm AS total FROM (
+ SELECT ord, CASE ord WHEN 0 THEN 'baseline' WHEN 1 THEN 'quadtree' ELSE 'parallel' END AS opt, cloud, CAST(quantity AS DOUBLE) / CAST(n AS DOUBLE) / CAST(1 + 2 * ord AS DOUBLE) AS tree, CAST(price AS DOUBLE) / CAST(n AS DOUBLE) / CAST(1000 + 1000 * ord AS DOUBLE) AS owm
+ FROM (SELECT CAST(l_linenumber % 3 AS INT) AS ord, substr('abcd', CAST(l_suppkey % 4 AS INT) + 1, 1) AS cloud, count(*) AS n, sum(CAST(l_quantity AS INT)) AS quantity, sum(CAST(floor(l_extendedprice) AS BIGINT)) AS price FROM lineitem GROUP BY 1, 2) AS g) AS t"""
+#: a sweep of threads and radius on two hosts and clouds, likewise
+SWEEP = """SELECT host, cloud, threads, CAST(least + 0.0 AS DOUBLE) / CAST(10 AS DOUBLE) AS radius, CAST(quantity AS DOUBLE) / CAST(n AS DOUBLE) / CAST(threads AS DOUBLE) + CAST(abs(least - 11) AS DOUBLE) / CAST(10 AS DOUBLE) AS seconds, CAST(99 AS DOUBLE) + CAST(quantity % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS accuracy
+ FROM (SELECT substr('xy', CAST(l_orderkey % 2 AS INT) + 1, 1) AS host, substr('ab', CAST(l_partkey % 2 AS INT) + 1, 1) AS cloud, CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 8 END AS threads, CASE l_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 11 ELSE 20 END AS least, count(*) AS n, sum(CAST(l_quantity AS INT)) AS quantity FROM lineitem GROUP BY 1, 2, 3, 4) AS g"""
 RING = [(2.0, 2.0), (60.0, 5.0), (70.0, 50.0), (35.0, 30.0), (10.0, 70.0)]
 
 
@@ -30,24 +33,28 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + ")"
 
 
-RUNS_SQL = f"WITH r AS (SELECT *, tree + owm AS total FROM {_values(RUNS)} AS t(ord, opt, cloud, tree, owm))"
-SWEEP_SQL = f"WITH r AS (SELECT * FROM {_values(SWEEP)} AS t(host, cloud, threads, radius, seconds, accuracy))"
+RUNS_SQL = f"WITH r AS ({RUNS})"
+SWEEP_SQL = f"WITH r AS ({SWEEP})"
 
 
-def runs(s):
-    return s.createDataFrame(RUNS, "ord int, opt string, cloud string, tree double, owm double").withColumn("total", F.col("tree") + F.col("owm"))
+def _of_lineitem(s, d, sql):
+    return s.sql(sql.replace("FROM lineitem", "FROM {rows}"), rows=s.read.parquet(f"{d}/lineitem.parquet"))
 
 
-def sweep(s):
-    return s.createDataFrame(SWEEP, "host string, cloud string, threads int, radius double, seconds double, accuracy double")
+def runs(s, d):
+    return _of_lineitem(s, d, RUNS)
+
+
+def sweep(s, d):
+    return _of_lineitem(s, d, SWEEP)
 
 
 def r6(df, digits: int = 6):
     return df.select(*[(F.round(k, digits) + 0.0).alias(k) if t == "double" else F.col(k) for k, t in df.dtypes])
 
 
-def speedups(s):
-    return bt.speedup_vs_baseline(runs(s), "baseline", "opt", "cloud", "total").join(runs(s).select("opt", "cloud", "ord"), ["opt", "cloud"])
+def speedups(s, d):
+    return bt.speedup_vs_baseline(runs(s, d), "baseline", "opt", "cloud", "total").join(runs(s, d).select("opt", "cloud", "ord"), ["opt", "cloud"])
 
 
 def xyz():
@@ -172,27 +179,27 @@ QUERIES = {
     "intensity_range": lambda s, d: points(s, d).agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi")),
     "intensity_normalized": lambda s, d: r6(st.normalized(points(s, d).select("id", "intensity"), "intensity")),
     "stddev_pop_z": lambda s, d: r6(points(s, d).groupBy("g_id").agg(F.stddev_pop("z").alias("sd"), F.avg("z").alias("mean")), 4),
-    "timing_stats": lambda s, d: r6(runs(s).filter("ord > 0").groupBy("cloud").agg(F.avg("total").alias("mean"), F.var_samp("total").alias("variance"), F.stddev_samp("total").alias("sd"))),
+    "timing_stats": lambda s, d: r6(runs(s, d).filter("ord > 0").groupBy("cloud").agg(F.avg("total").alias("mean"), F.var_samp("total").alias("variance"), F.stddev_samp("total").alias("sd"))),
     "scatter_matrix": lambda s, d: r6(st.scatter(points3(s, d), "g_id"), 6),
     "distinct_ids": lambda s, d: points(s, d).select("intensity").distinct(),
     "sort_by_size": lambda s, d: points(s, d).groupBy("g_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g_id"),
     "has_value": lambda s, d: st.values_of(points(s, d), "g_id", "intensity", 7),
-    "best_config": lambda s, d: bt.best_config(sweep(s), ["host", "cloud"], ["threads", "radius"], "seconds"),
-    "best_optimization": lambda s, d: r6(bt.best_optimization(runs(s), "opt", "total"), 8),
-    "speedup_vs_baseline": lambda s, d: r6(bt.speedup_vs_baseline(runs(s), "baseline", "opt", "cloud", "total")),
-    "speedup_vs_previous": lambda s, d: r6(bt.speedup_vs_previous(runs(s), "ord", "opt", "cloud", "total")),
-    "speedup_sum": lambda s, d: r6(speedups(s).groupBy("cloud").agg(F.sum("speedup").alias("speedup"))),
-    "speedup_pct_of_max": lambda s, d: r6(bt.percent_of_max(speedups(s), "ord", "opt", "cloud")),
-    "filter_opts": lambda s, d: runs(s).filter(F.col("cloud").isin("a", "c") & ~F.col("opt").rlike("^base")).select("opt", "cloud", "tree", "owm"),
-    "efficiency_loss": lambda s, d: r6(bt.efficiency_loss(sweep(s).filter("threads = 8"), "cloud", "radius", "seconds")),
-    "efficiency_best": lambda s, d: r6(bt.efficiency_loss(sweep(s).filter("threads = 8"), "cloud", "radius", "seconds").agg(F.max(F.struct("efficiency", "radius")).alias("m")).select("m.radius", "m.efficiency")),
-    "cross_host_best": lambda s, d: r6(bt.cross_host_best(runs(s).withColumn("host", F.when(F.col("cloud").isin("a", "b"), "x").otherwise("y")), "host", "opt", "total", ("quadtree", "parallel"))),
-    "accuracy_range": lambda s, d: sweep(s).groupBy("cloud").agg(F.min("accuracy").alias("lo"), F.max("accuracy").alias("hi")),
-    "linear_fit": lambda s, d: r6(st.line_fit(sweep(s), "threads", "seconds", "cloud")),
-    "parabola_fit": lambda s, d: r6(st.parabola_fit(sweep(s), "radius", "seconds", "cloud"), 4),
+    "best_config": lambda s, d: bt.best_config(sweep(s, d), ["host", "cloud"], ["threads", "radius"], "seconds"),
+    "best_optimization": lambda s, d: r6(bt.best_optimization(runs(s, d), "opt", "total"), 8),
+    "speedup_vs_baseline": lambda s, d: r6(bt.speedup_vs_baseline(runs(s, d), "baseline", "opt", "cloud", "total")),
+    "speedup_vs_previous": lambda s, d: r6(bt.speedup_vs_previous(runs(s, d), "ord", "opt", "cloud", "total")),
+    "speedup_sum": lambda s, d: r6(speedups(s, d).groupBy("cloud").agg(F.sum("speedup").alias("speedup"))),
+    "speedup_pct_of_max": lambda s, d: r6(bt.percent_of_max(speedups(s, d), "ord", "opt", "cloud")),
+    "filter_opts": lambda s, d: runs(s, d).filter(F.col("cloud").isin("a", "c") & ~F.col("opt").rlike("^base")).select("opt", "cloud", "tree", "owm"),
+    "efficiency_loss": lambda s, d: r6(bt.efficiency_loss(sweep(s, d).filter("threads = 8"), "cloud", "radius", "seconds")),
+    "efficiency_best": lambda s, d: r6(bt.efficiency_loss(sweep(s, d).filter("threads = 8"), "cloud", "radius", "seconds").agg(F.max(F.struct("efficiency", "radius")).alias("m")).select("m.radius", "m.efficiency")),
+    "cross_host_best": lambda s, d: r6(bt.cross_host_best(runs(s, d).withColumn("host", F.when(F.col("cloud").isin("a", "b"), "x").otherwise("y")), "host", "opt", "total", ("quadtree", "parallel"))),
+    "accuracy_range": lambda s, d: sweep(s, d).groupBy("cloud").agg(F.min("accuracy").alias("lo"), F.max("accuracy").alias("hi")),
+    "linear_fit": lambda s, d: r6(st.line_fit(sweep(s, d), "threads", "seconds", "cloud")),
+    "parabola_fit": lambda s, d: r6(st.parabola_fit(sweep(s, d), "radius", "seconds", "cloud"), 4),
     "cubic_fit": lambda s, d: r6(st.polynomial_fit(points(s, d), "x", "z", 3, "g_id"), 7),
-    "exponential_curve_fit": lambda s, d: r6(st.exponential_fit(sweep(s), "threads", "seconds", "cloud"), 6),
-    "exponential_fit": lambda s, d: r6(st.line_fit(sweep(s).withColumn("logged", F.log("seconds")), "threads", "logged", "cloud"), 6),
+    "exponential_curve_fit": lambda s, d: r6(st.exponential_fit(sweep(s, d), "threads", "seconds", "cloud"), 6),
+    "exponential_fit": lambda s, d: r6(st.line_fit(sweep(s, d).withColumn("logged", F.log("seconds")), "threads", "logged", "cloud"), 6),
     "line_geometry": _lines,
     "vector_geometry": _vectors,
     "vector_ops": _vector_ops,
