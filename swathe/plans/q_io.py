@@ -8,9 +8,10 @@ from ..lineage import shared_dir
 from ..operators import index as ix
 from ..operators import stats as st
 from ..operators.windows import header
-from ..sources import reports, text
+from ..sources import las_source, options, reports, text
 from ..sources.cloud import POINTS_SQL, points
-from . import q_index, q_stats
+from . import q_index, q_stats, q_windows
+from .seeds import seed_points
 
 
 def _xyz(spark, d):
@@ -129,13 +130,31 @@ def _dump_points(spark, d):
     return got.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
 
 
+def _las(spark, d):
+    """Large files, each read by many tasks."""
+    path = shared_dir(spark)
+    las_source.write_las(points(spark, d).select("x", "y", "z", "intensity", F.col("g_id").alias("classification")), path, most=100_000)
+    got = las_source.scan_las(spark, path, ["x", "y", "z", "intensity", "classification"], 10_000)
+    return got.select(*[F.round(a, 6).alias(a) for a in "xyz"], "intensity", F.col("classification").alias("g_id"))
+
+
+def _options(spark, d):
+    path = shared_dir(spark)
+    s = q_windows.S4
+    options.write_options(spark, options.Options({"window-size": s.w, "grid-size": s.b, "overlap": s.o, "exact": s.exact, "verbosity": 1, "octree-min-radius": 0.1}), path)
+    return seed_points(points(spark, d), options.read_options(spark, path).setting)
+
+
 P = f"WITH p AS ({POINTS_SQL})"
 QUERIES = {
+    "las_roundtrip": _las, "options_roundtrip": _options,
     "xyz_roundtrip": _xyz, "classified_roundtrip": _classified, "header_roundtrip": _header, "delimited_roundtrip": _delimited, "report_roundtrip": _report,
     "xyz_header_roundtrip": _xyz_header, "full_precision_roundtrip": _full, "header_catalog": _catalog, "malformed_lines": _malformed, "summary_roundtrip": _summary, "tokens_roundtrip": _tokens,
     "run_log_roundtrip": _log, "statistics_roundtrip": _statistics, "histogram_roundtrip": _histogram, "leaf_centres_roundtrip": _dump_centres, "leaf_points_roundtrip": _dump_points,
 }
 ORACLES = {
+    "las_roundtrip": P + " SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, intensity, g_id FROM p",
+    "options_roundtrip": q_windows.ORACLES["owm_seed_points"],
     "xyz_roundtrip": P + " SELECT x, y, z FROM p",
     "classified_roundtrip": P + " SELECT x, y, z, intensity, g_id FROM p",
     "header_roundtrip": P + " SELECT count(*) AS n, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM p",

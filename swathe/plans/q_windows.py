@@ -168,7 +168,7 @@ ORACLES = {
     "owm_raster_fill": _RASTER_ROWS + ", k AS (SELECT id, x, y, z, CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM p, prm), o AS (SELECT DISTINCT CAST(floor((x - minx) / 4) AS BIGINT) AS ci, CAST(floor((y - miny) / 4) AS BIGINT) AS cj FROM rv, prm), b AS (SELECT ci, cj, min(struct_pack(z := z, id := id)) AS m FROM k GROUP BY ci, cj) SELECT b.ci, b.cj, m.z AS z, m.id AS id FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ci = b.ci AND o.cj = b.cj)",
     "outlier_clean": cte(S) + ", k AS (SELECT id, z, floor((x - minx) / 5) AS ci, floor((y - miny) / 5) AS cj FROM p, prm), mn AS (SELECT ci, cj, sum(z) / count(*) AS mz FROM k GROUP BY ci, cj) SELECT id, z FROM k JOIN mn USING (ci, cj) WHERE floor(z * 100 + 0.5) / 100 > floor(CAST(0.8 AS DOUBLE) * (floor(mz * 100 + 0.5) / 100) * 100 + 0.5) / 100",
     "gold_match_pairs": _GOLD.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """,
-nr AS (SELECT sd.id, gd.id AS gold, row_number() OVER (ORDER BY sd.z, sd.id, (sd.x - gd.x) * (sd.x - gd.x) + (sd.y - gd.y) * (sd.y - gd.y), gd.id) AS n FROM sd JOIN gd ON gd.x > sd.x - CAST(1.0 AS DOUBLE) AND gd.x < sd.x + CAST(1.0 AS DOUBLE) AND gd.y > sd.y - CAST(1.0 AS DOUBLE) AND gd.y < sd.y + CAST(1.0 AS DOUBLE)),
+nr AS MATERIALIZED (SELECT sd.id, gd.id AS gold, row_number() OVER (ORDER BY sd.z, sd.id, (sd.x - gd.x) * (sd.x - gd.x) + (sd.y - gd.y) * (sd.y - gd.y), gd.id) AS n FROM sd JOIN gd ON gd.x > sd.x - CAST(1.0 AS DOUBLE) AND gd.x < sd.x + CAST(1.0 AS DOUBLE) AND gd.y > sd.y - CAST(1.0 AS DOUBLE) AND gd.y < sd.y + CAST(1.0 AS DOUBLE)),
 st AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS a, CAST([] AS BIGINT[]) AS b UNION ALL
  SELECT nr.n, CASE WHEN list_contains(st.a, nr.id) OR list_contains(st.b, nr.gold) THEN st.a ELSE list_append(st.a, nr.id) END, CASE WHEN list_contains(st.a, nr.id) OR list_contains(st.b, nr.gold) THEN st.b ELSE list_append(st.b, nr.gold) END FROM st JOIN nr ON nr.n = st.n + 1),
 en AS (SELECT a, b FROM st ORDER BY n DESC LIMIT 1)
