@@ -30,6 +30,7 @@ from .common import materialize, shared_dir, small, table
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 1000
+PIECE = 1 << 16  # of a gzip member, read at once
 FILE_BYTES = 64 << 20
 CLASS_BYTES = 16 << 10  # of the payloads of the smallest class
 RECORDS = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, digest string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
@@ -95,15 +96,25 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
         lines.select(F.concat_ws("\r\n\r\n", asked, main, noted).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
+def _unzipped(data: memoryview) -> Iterator[bytes]:
+    """The plain bytes of gzip members, piece by piece: what a member leaves unread is never copied with the rest of the file."""
+    at = 0
+    while at < len(data):
+        if not data[at]:  # members may be padded with zeros
+            at += 1
+            continue
+        z = zlib.decompressobj(31)
+        while not z.eof and at < len(data):
+            piece = data[at : at + PIECE]
+            yield z.decompress(piece)
+            at += len(piece) - len(z.unused_data)
+        yield z.flush()
+
+
 def parse(data: bytes) -> Iterator[tuple]:
     """The records of an archive's bytes, gzipped (one member or many) or plain."""
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            z = zlib.decompressobj(31)
-            parts.append(z.decompress(data) + z.flush())
-            data = z.unused_data.lstrip(b"\x00")
-        data = b"".join(parts)
+        data = b"".join(_unzipped(memoryview(data)))
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
