@@ -45,6 +45,11 @@ MARKS = set(
 )
 STEMS = ("advert", "sponsor", "promo", "recommend")
 LAST = set("header footer foot side aside hidden".split())
+#: marking words that may as well be what an article is about, if its name has another word than those of boxes: they mark prose of an article only with support (``PROSE``)
+TOPICS = set("ad ads menu menus share sharing shares social related alert notice notices subscription banner reply replies".split())
+BOXES = set("box boxes list lists container wrapper wrap bar bars block blocks link links button buttons icon icons item items area section group row col column grid panel inner outer top bottom left right main page site post posts article articles story stories entry content text title header footer widget widgets area unit slot x".split())
+#: characters from which an element is prose, and the share of them in links up to which it is
+PROSE, LINKED = 800, 0.2
 #: first words of names that tell a state, and of names of the article's own parts
 STATES = set("has no not with without is are show shows hide hides js can uses supports enable disable".split())
 PARTS = set("entry post article story content text section chapter page main body title".split())
@@ -136,6 +141,13 @@ def is_mark(name: str) -> bool:
     return words[-1] in LAST and not (len(words) > 1 and words[0] in PARTS and words[-1] == "header")
 
 
+def is_topic(name: str) -> bool:
+    """Whether a name that marks may tell what an article is about: its marks are ``TOPICS``, and it has a word besides."""
+    words = [w.lower() for w in NAMES.findall(name)]
+    marks = {w for w in words if w in MARKS or w.startswith(STEMS)}
+    return bool(marks) and all(w in TOPICS or w.startswith("recommend") for w in marks) and any(w not in marks and w not in BOXES and len(w) > 2 for w in words) and words[-1] not in LAST
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)}
 
@@ -143,11 +155,14 @@ def _attributes(attrs: str) -> dict[str, str]:
 def kept(nodes: list[tuple[str, str, int]], items: list[list]) -> list[bool]:
     """Per node whether neither it nor an ancestor is marked as no content.
 
+    Names that may tell what an article is about (``is_topic``) mark no prose of an article or main: an element of many characters, few of them in links.
+
     A marked element stays if nothing else would be left: if it holds every article and main of the page, or, on a page without these, if
     less than a fifth of the text stands outside marked elements.
     """
     n = len(nodes)
-    hard, marked, flow, inside = [False] * n, [False] * n, [False] * n, [False] * n
+    hard, marked, flow, inside, topic, link = ([False] * n for _ in range(6))
+    linked = [0] * n
     holder = [0] * n  # how many unmarked articles and mains below, itself included
     size = [0] * n
     for k in range(1, n):
@@ -155,17 +170,25 @@ def kept(nodes: list[tuple[str, str, int]], items: list[list]) -> list[bool]:
         inside[k] = inside[parent] or tag in ("article", "main")
         flow[k] = flow[parent] or tag in FLOW
         hard[k] = hard[parent] or tag in HARD
+        link[k] = link[parent] or tag == "a"
         mark = tag in DROP and not (tag == "header" and inside[parent])
         if not mark and attrs and tag not in ("html", "body") and not (tag in INLINE and flow[parent]):
             a = _attributes(attrs)
             names = a.get("class", "").split() + [a.get("id", "")]
-            mark = any(map(is_mark, names)) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+            by_name = [x for x in names if is_mark(x)]
+            mark = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+            topic[k] = not mark and bool(by_name) and inside[parent] and all(map(is_topic, by_name))
+            mark = mark or bool(by_name)
         marked[k] = mark
     for k in range(n - 1, 0, -1):
         if not hard[k]:
             tag, _, parent = nodes[k]
-            size[k] += sum(len(x.strip()) for x in items[k] if isinstance(x, str))
+            own = sum(len(x.strip()) for x in items[k] if isinstance(x, str))
+            size[k] += own
+            linked[k] += own * link[k]
             size[parent] += size[k]
+            linked[parent] += linked[k]
+            marked[k] = marked[k] and not (topic[k] and size[k] >= PROSE and linked[k] <= LINKED * size[k])
             holder[k] += tag in ("article", "main") and not marked[k]
             holder[parent] += holder[k]
     outside = size[0] + sum(len(x.strip()) for x in items[0] if isinstance(x, str))
@@ -242,7 +265,7 @@ def blocks(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool],
     def end(then: int) -> None:
         nonlocal block
         if text:
-            line = " ".join(html.unescape("".join(text)).split())
+            line = " ".join("".join(text).split())
             if line:
                 out.append((line, block))
             text.clear()
@@ -255,7 +278,7 @@ def blocks(nodes: list[tuple[str, str, int]], items: list[list], ok: list[bool],
             x = items[k][i]
             i += 1
             if isinstance(x, str):
-                text.append(x)
+                text.append(html.unescape(x))  # each text by itself: markup ends a reference
             elif ok[x]:
                 if nodes[x][0] in BLOCK:
                     end(x)
