@@ -9,7 +9,7 @@ direct use. A logistic model over exact, misspelled and quoted matches gives the
 
 Defined cases: null and empty texts have the score of a text without a match. Repeated rows each give a row; a null
 doc_id is kept and not held out. With no labelled rows, or labels of one class only, the lexicon is empty and every score is the
-smoothed share of toxic labels. Labels that are null are not used; of repeated labels of a document the largest counts. Empty
+smoothed share of toxic labels. Labels that are null are not used; of repeated labels of a document the largest counts, and of repeated texts of one id the first by hash is learnt from. Empty
 input gives no rows; other columns are ignored.
 """
 
@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, small_batches, table, typed_id
+from .common import as_text, materialize, small_batches, table, typed_id
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 256 << 20
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9'][^\W\d_]+)*")
 QUOTES = frozenset("\"“”„«»‹›‘’")
 REPORTED = frozenset("said says say called quote quoted quotes wrote word term writes reported sagte wort zitat dit disait mot citation dijo palabra cita".split())
@@ -258,14 +258,19 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[str, int], list[float]]:
-    """Terms, known clean words and logistic weights, from ``sample_rows`` labelled rows at most.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[dict[str, float], dict[str, int], list[float]]:
+    """Terms, known clean words and logistic weights, from ``sample_rows`` labelled rows and ``sample_bytes`` bytes of text at most.
 
-    The rows are those with the smallest hashes of their ids, held-out ones left out; this sample alone comes to the driver.
+    The rows are those with the smallest hashes of their ids, held-out ones left out, up to the one with which their texts pass the bytes; this sample alone comes to the driver.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # of the texts of one id the first by hash, whatever their order
+    one = materialize(found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("m")).select("doc_id", "toxic", "m.text"))
+    # in the order of the sample, as many as the bytes allow
+    sized = one.select("doc_id", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto"))
+    rows = one.join(F.broadcast(sized.filter(F.col("upto") <= sample_bytes).select("doc_id")), "doc_id").orderBy("doc_id").toPandas()
     texts, y = rows.text.tolist(), [int(t > 0) for t in rows.toxic]
     terms, clean = learn_terms(texts, y)
     lexicon = Lexicon(terms)
