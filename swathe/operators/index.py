@@ -131,7 +131,8 @@ def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10,
         return spark.createDataFrame([], f"{rows}, radius double")
     k, n = found["k"].to_numpy(), found["n"].to_numpy()
     radius, total = found["radius"][0].as_py(), int(n.sum())
-    target = min(bucket, max(20_000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # as many buckets as a driver can hold, at most
+    target = max(min(bucket, max(20_000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))), total >> 18)
     split = total > most or level >= 0
     if not split or deepest == 0:
         return spark.createDataFrame([(0, 0, total)], rows).withColumn("radius", F.lit(radius))
@@ -143,7 +144,7 @@ def number_leaves(points: DataFrame, most: int, level: int = 0, depth: int = 10,
         if not heavy.any():
             break
         above, at = F.broadcast(spark.createDataFrame([(v,) for v in ids[heavy].tolist()], "above long")), stop
-        stop = min(deepest, stop + max(1, 10 // wide))
+        stop = min(deepest, stop + max(1, min(10, 20 - int(heavy.sum()).bit_length()) // wide))  # some million cells at most
         more = keyed.select(up(at).alias("above"), up(stop).alias("k")).join(above, "above", "left_semi").groupBy("k").agg(F.count("*").alias("n")).toArrow().sort_by("k")
         below, ids, sizes = _split(more["k"].to_numpy(), more["n"].to_numpy(), stop, at + 1, stop, most, level, wide, empty)
         leaves += below
