@@ -28,7 +28,8 @@ class Parts:
 
     @classmethod
     def of(cls, rows: DataFrame) -> Parts:
-        written = materialize(rows.repartition("part"), "part")
+        # a part goes to few tasks, a crowded one is split
+        written = materialize(rows.hint("rebalance", "part"), "part")
         return cls([(written, sorted(r.part for r in written.select("part").distinct().collect()))])
 
     def read(self, parts: list[int] | None = None) -> DataFrame:
