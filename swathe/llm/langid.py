@@ -11,7 +11,8 @@ The suffix of a host is what follows its last dot; bare names without one (``src
 A row is rejected if it has no letters or its best language has a posterior under ``least``.
 
 Defined cases: a null or empty text has no text evidence and is rejected; null or empty declared languages and hosts give no evidence. Repeated rows
-each give a row and count each; null ids are kept. Of equal posteriors the alphabetically first language wins. Without any row with a declared
+each give a row and count each; null ids are kept. Languages declared in less than ``SUPPORT`` of the sample are one class, ``other``, so the
+tables are bounded at any number of declared values (a value still gives its own evidence); rows of that class are not rejected for it. Of equal posteriors the alphabetically first language wins. Without any row with a declared
 language nothing can be told and all rows are rejected. Empty input gives no rows; other columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import as_text, materialize, row_hash, small, small_batches, table
 
 SAMPLE_ROWS = 4000
+SUPPORT = 0.005  # of the sample's rows; at most 200 languages can have it
+OTHER = "other"
 BINS = 1 << 16
 EVIDENCE = 60
 SCHEMA = "key long, id string, declared string, host string, suffix string, loglik array<double>, letters long"
@@ -46,15 +49,18 @@ def _hash(text: Column, order: Column) -> Column:
     return F.xxhash64(order.cast("string"), text)
 
 
-def fit(docs: DataFrame, text: Column, declared: Column, order: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, text: Column, declared: Column, order: Column, sample_rows: int = SAMPLE_ROWS, support: float = SUPPORT) -> tuple[list[str], np.ndarray]:
     """Languages and a (2, bins, languages) table of log probabilities, one for each half of the rows, from the ``sample_rows`` rows of least hash (and those of the same hash as the last).
 
-    Trigrams are counted where the texts are; only sums by half, language and bin come to the driver.
+    Trigrams are counted where the texts are; only sums by half, language and bin come to the driver. Languages below ``support`` of the sample are counted as ``OTHER``.
     """
     small_batches(docs.sparkSession)
     known = docs.select(text.alias("text"), declared.alias("lang"), _hash(text, order).alias("h")).filter("lang is not null and lang <> '' and text is not null")
-    last = known.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = known.filter(F.col("h") <= F.lit(0 if last is None else last)).select("text", "lang", F.col("h").bitwiseAND(F.lit(1)).cast("int").alias("half"))
+    first = known.select("h", "lang").orderBy("h", "lang").limit(sample_rows).groupBy("lang").agg(F.count("*").alias("n"), F.max("h").alias("last")).collect()
+    last, total = max((r.last for r in first), default=0), sum(r.n for r in first)
+    frequent = [r.lang for r in first if r.n >= support * total]  # 1 / support at most
+    lang = F.when(F.col("lang").isin(frequent), F.col("lang")).otherwise(OTHER)
+    sample = known.filter(F.col("h") <= F.lit(last)).select("text", lang.alias("lang"), F.col("h").bitwiseAND(F.lit(1)).cast("int").alias("half"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
