@@ -5,7 +5,8 @@ m - q + 1 - k*q character q-grams with the region, and all of them lie on k + 1
 document minus place in the item). Every shared q-gram is counted, in bands of 2(k + 1) diagonals that overlap by half, so one
 band holds all of a match; bands that reach the bound are verified by a banded alignment of the whole item. Nothing that has a
 match within the edit budget can be missed. Items of 150 characters or more are searched for in the same way by windows of 100 characters too, one
-at every 50th, so a document that holds a part of an item has a row too: any 150 characters of an item hold a whole window.
+at every 50th, so a document that holds a part of an item has a row too: any 150 characters of an item hold a whole window. With ``least_window`` under
+100, windows are half as long as their item, between that and 100 characters, so parts of shorter items are found too.
 
 Characters are code points, lower-cased one for one, with any ASCII white space read as a space; spans are
 code points of the original text, end exclusive.
@@ -14,6 +15,7 @@ Defined cases: null or empty texts and items have no match; for short items k is
 of fewer than q characters are searched for exactly. Repeated rows each give their rows; a null doc_id is kept. An empty documents or benchmark
 table gives no rows. Windows of one item that touch in a document are one row with the span of them all and the fewest edits of one window; those that touch
 a match of the whole item are left out. Overlapping matches of one item in one document count as one, with the fewest edits, the leftmost of equals.
+Rows of the benchmark with the same item_id are items of their own, each with its text.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import as_text, row_hash, small, small_batches, table, typed_id
 
 Q, RATE = 10, 0.06
-WINDOW, STEP = 100, 50
-BLOCK_CHARS = 20_000_000
+WINDOW = 100
+BLOCK_CHARS = 1_000_000  # about 300 MB of index in a worker
+SEEN_BITS = 26
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20  # postings
 SHIFT = 1 << 20  # bands are numbered from here, as diagonals may be negative
@@ -123,7 +126,7 @@ class Items:
         self.item, self.place = item[order], place[order]
         self.keys, self.first = np.unique(h[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(h)))
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 64))))
+        self.bits = min(SEEN_BITS, max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 64)))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
@@ -204,31 +207,46 @@ class Items:
         return sorted(out, key=lambda r: (r[1], r[0]))
 
 
-def windows(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The overlapping windows of the items that are longer than one by a step at least; shorter ones are searched for as a whole only."""
-    return [(i, t[a : a + WINDOW]) for i, t in rows if t and len(t) >= WINDOW + STEP for a in sorted({*range(0, len(t) - WINDOW, STEP), len(t) - WINDOW})]
-
-
-def search(items: Items, parts: Items, text: str) -> list[tuple[int, int, int, int]]:
-    """(item_id, start, stop, edits) of the whole items and of the parts of items in a text."""
-    c = codes(text)
-    hits = items.hits(c)  # an item has all q-grams of its windows
-    whole = items.search(c, hits)
-    spans: dict[int, list[list[int]]] = {}
-    for i, a, b, e in parts.search(c, hits):
-        own = spans.setdefault(i, [])
-        if own and a <= own[-1][1]:
-            own[-1][1:] = max(own[-1][1], b), min(own[-1][2], e)
-        else:
-            own.append([a, b, e])
-    return sorted(whole + [(i, a, b, e) for i, own in spans.items() for a, b, e in own if all(b <= y or a >= z for x, y, z, _ in whole if x == i)], key=lambda r: (r[1], r[0]))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def windows(rows: list[tuple[int, str]], least: int = WINDOW) -> list[tuple[int, str]]:
+    """The overlapping windows of the items that are longer than one by half a window at least; shorter ones are searched for as a whole only."""
+    out = []
+    for i, t in rows:
+        wide = min(WINDOW, max(least, len(t or "") // 2))
+        step = wide // 2
+        if t and len(t) >= wide + step:
+            out += [(i, t[a : a + wide]) for a in sorted({*range(0, len(t) - wide, step), len(t) - wide})]
+    return out
+
+
+class Benchmark:
+    """A block of benchmark items, with one index of the whole items and one of their windows."""
+
+    def __init__(self, rows: list[tuple[int, str]], q: int, rate: float, least_window: int = WINDOW) -> None:
+        self.ids = [i for i, _ in rows]
+        numbered = [(n, t) for n, (_, t) in enumerate(rows)]  # ids may repeat
+        self.items, self.parts = Items(numbered, q, rate), Items(windows(numbered, least_window), q, rate)
+
+    def search(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, stop, edits) of the whole items and of the parts of items in a text."""
+        c = codes(text)
+        hits = self.items.hits(c)  # an item has all q-grams of its windows
+        whole = self.items.search(c, hits)
+        spans: dict[int, list[list[int]]] = {}
+        for n, a, b, e in self.parts.search(c, hits):
+            own = spans.setdefault(n, [])
+            if own and a <= own[-1][1]:
+                own[-1][1:] = max(own[-1][1], b), min(own[-1][2], e)
+            else:
+                own.append([a, b, e])
+        parts = [(n, a, b, e) for n, own in spans.items() for a, b, e in own if all(b <= y or a >= z for x, y, z, _ in whole if x == n)]
+        return [(self.ids[n], a, b, e) for n, a, b, e in sorted(whole + parts, key=lambda r: (r[1], r[0]))]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, least_window: int = WINDOW) -> DataFrame:
     """(id, item_id, start, stop, edits): each match of a benchmark item in ``docs``.
 
     Items go to the executors in blocks of about ``block_chars`` characters (one item may be longer), one pass over
-    the documents for each block, so what is broadcast is bounded at any size of the benchmark.
+    the documents for each block, so what is broadcast is bounded at any size of the benchmark. A worker process indexes a block once, for all its tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -239,12 +257,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sized = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, len(blocks)))).cast("int"))
     out = spark.createDataFrame([], SCHEMA)
     for b in blocks:
-        rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in sized.filter(F.col("block") == b).select("item_id", "text").collect()])
+        block = spark.sparkContext.broadcast({"rows": [(r[0], r[1]) for r in sized.filter(F.col("block") == b).select("item_id", "text").collect()]})
 
-        def find(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            items, parts = Items(rows.value, q, rate), Items(windows(rows.value), q, rate)
+        def find(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            held = block.value  # stays in the worker process from task to task
+            if "index" not in held:
+                held["index"] = Benchmark(held["rows"], q, rate, least_window)
             for pdf in batches:
-                got = [(i, *m) for i, t in zip(pdf.id, pdf.text, strict=True) if isinstance(t, str) and t for m in search(items, parts, t)]
+                got = [(i, *m) for i, t in zip(pdf.id, pdf.text, strict=True) if isinstance(t, str) and t for m in held["index"].search(t)]
                 yield pd.DataFrame(got, columns=["id", "item_id", "start", "stop", "edits"]).assign(item_id=pd.array([m[1] for m in got], "Int64"))
 
         out = out.unionByName(docs.select(as_text(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(find, SCHEMA))

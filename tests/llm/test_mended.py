@@ -6,8 +6,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from swathe.llm import html_text, toxicity, warc
+from swathe.llm import decontam, html_text, langid, toxicity, warc
 
 TOPICS = ["share-price-history", "social-science", "menu-planning", "alert-fatigue study", "notice-periods", "ad-budgets", "recommender-systems"]
 BOXES = ["share-buttons", "related-posts", "newsletter-signup", "cookie-notice", "ad-slot", "sidebar", "comments", "social-share", "breadcrumbs"]
@@ -92,3 +93,62 @@ def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
     assert models[0] == models[1]
     few = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_bytes=0)
     assert few == ({}, {}, [0.0] * 5)
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(3, 8))) for _ in range(n))
+
+
+def test_thousands_of_declared_languages_are_one_class(spark, tables):
+    own = [(i, words(i % 2, 40), ("en", "de")[i % 2], "src1", 1) for i in range(2000)]
+    rare = [(10_000 + i, words(1000 + i, 20), f"x{i}", "src2", 1) for i in range(1000)]
+    read = spark.read.parquet(tables(documents=own + rare) + "/documents.parquet")
+    langs, logs = langid.fit(read, *[F.col(c) for c in ("text", "lang", "doc_id")])
+    assert langs == ["de", "en", "other"] and logs.shape == (2, langid.BINS, 3)
+    got = langid.identify(read).collect()
+    assert len(got) == 3000 and {r.lang for r in got if r.id < 2000} == {"de", "en"} and all(r.lang == r.declared for r in got if r.id < 2000)
+    assert {r.declared for r in got if r.id >= 10_000} == {f"x{i}" for i in range(1000)}
+
+
+def test_parts_of_items_of_all_lengths_are_found(spark, tables):
+    """Any one and a half windows of an item, by the documented width of its windows."""
+    items = [(n, words(n, 60)[:n]) for n in (75, 81, 99, 120, 149, 151, 199, 260)]
+    texts, want = [], set()
+    for n, t in items:
+        part = 3 * min(100, max(50, n // 2)) // 2
+        for at in sorted({0, (n - part) // 3, (n - part) // 2, n - part}):
+            want.add((len(texts), n))
+            texts.append(words(len(texts) + 500, 12) + " " + t[at : at + part] + " " + words(len(texts) + 900, 12))
+        texts.append(words(len(texts) + 500, 12) + " " + t[:30] + " " + words(len(texts) + 900, 12))
+    folder = tables(documents=[(i, t, "en", "s", 1) for i, t in enumerate(texts)], benchmark=items)
+    read = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    found = lambda **how: {(r.id, r.item_id) for r in decontam.contaminated(read("documents"), read("benchmark"), **how).collect()}
+    assert found(least_window=50) == want
+    assert {(d, i) for d, i in want if i >= 260} <= found() < want  # a part of 150 characters holds a window, one of a short item none
+
+
+def test_items_of_one_id_are_items_of_their_own(spark, tables):
+    a, b = words(1, 40), words(2, 40)
+    folder = tables(documents=[(0, a[:150] + " " + b[:150], "en", "s", 1), (1, b, "en", "s", 1)], benchmark=[(7, a), (7, b), (None, a)])
+    got = sorted((r.doc_id, str(r.item_id), r.start, r.stop) for r in decontam.op9_decontamination(spark, folder).collect())
+    assert [x[:2] for x in got] == [(0, "7"), (0, "7"), (0, "None"), (1, "7")]
+    assert got[3][2:] == (0, len(b)) and {x[2] < 10 for x in got[:2]} == {True, False}
+
+
+def test_a_full_block_of_items_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, random
+from swathe.llm import decontam
+r = random.Random(1)
+rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=1000))) for i in range(decontam.BLOCK_CHARS // 1000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+held = decontam.Benchmark(rows, decontam.Q, decontam.RATE)
+assert held.search("x" * 50 + rows[3][1][100:400])[0][0] == 3
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 700
