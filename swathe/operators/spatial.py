@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import box_mindist2, distance2
 from ..functions.ordering import order_key
+from ..lineage import materialize
 
 Pred = Column
 
@@ -70,6 +71,45 @@ def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counts_by_cells(points: DataFrame, rx: float, ry: float | None = None, rz: float | None = None, levels: int = 2) -> DataFrame:
+    """(id, n) as ``counts`` gives it, each point itself included, for clouds so dense that the pairs would be too many.
+
+    Cells hold their number of points and the tight box around these. A cell whose box lies within a point's box is added as a whole, one that
+    only meets it is parted into cells a quarter as wide, and points are compared in the last cells of the rim alone. Points that coincide are
+    never parted. Cells of the first level are as wide as the largest half side; denser clouds want more ``levels``.
+    """
+    half = {"x": rx, "y": rx if ry is None else ry} | ({} if rz is None else {"z": rz})
+    sizes = [max(half.values()) / 4**k for k in range(levels)]  # quarters are exact, so cells nest
+    at = lambda a, size: F.floor(F.col(a) / size).cast("long")
+    inside = lambda lo, hi, a: (lo > F.col(a) - half[a]) & (hi < F.col(a) + half[a])
+    keys = [f"_c{a}" for a in half]
+    left = points.select("id", *half)
+    for a, r in half.items():
+        left = left.select("*", _cells(F.col(a) - r, F.col(a) + r, sizes[0]).alias(f"_c{a}"))
+    sure = []
+    for k, size in enumerate(sizes):
+        bounds = [f(a).alias(f"_{m}{a}") for a in half for f, m in ((F.min, "lo"), (F.max, "hi"))]
+        cells = points.groupBy(*[at(a, size).alias(f"_c{a}") for a in half]).agg(F.count("*").alias("n"), *bounds)
+        if k:  # the rim's cells are looked up by the cell around them
+            cells = cells.select(*[F.col(c).alias(f"_k{c[2:]}") for c in keys], *[F.floor(F.col(c) / 4).alias(c) for c in keys], *[c for c in cells.columns if c not in keys])
+        meets = whole = F.lit(True)
+        for a, r in half.items():
+            meets = meets & (F.col(f"_hi{a}") > F.col(a) - r) & (F.col(f"_lo{a}") < F.col(a) + r)
+            whole = whole & inside(F.col(f"_lo{a}"), F.col(f"_hi{a}"), a)
+        own = [F.col(f"_k{a}").alias(f"_c{a}") if k else F.col(f"_c{a}") for a in half]
+        met = materialize(left.join(cells, keys).filter(meets).select("id", *half, *own, "n", whole.alias("_whole")))
+        sure.append(met.filter("_whole").select("id", "n"))
+        left = met.filter("not _whole").select("id", *half, *keys)
+    near = points.select(*[F.col(a).alias(f"t_{a}") for a in half], *[at(a, sizes[-1]).alias(f"_c{a}") for a in half])
+    on = F.lit(True)
+    for a in half:
+        on = on & inside(F.col(f"t_{a}"), F.col(f"t_{a}"), a)
+    found = left.join(near, keys).filter(on).select("id", F.lit(1).cast("long").alias("n"))
+    for part in sure:
+        found = found.unionByName(part)
+    return points.select("id").join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def group_of(probes: DataFrame, points: DataFrame, r: float = 1.0) -> DataFrame:
     """(id, g): the group of the nearest point in the box, -1 without one; equal distances go to the smaller id."""
     d = distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y"))

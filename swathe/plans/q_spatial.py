@@ -119,6 +119,8 @@ QUERIES = {
     "neighbors_with_leaf": _with_leaf,
     "neighbors_renumbered": lambda s, d: sj.renumbered(sj.neighbours(points(s, d), R)),
     "neighbor_counts": lambda s, d: sj.counts(points(s, d), R),
+    "neighbor_counts_cells": lambda s, d: sj.counts_by_cells(points(s, d), R),
+    "neighbor_counts_cells_3d": lambda s, d: sj.counts_by_cells(points3(s, d), R3, rz=R3),
     "neighbor_counts_3d": lambda s, d: sj.counts(points3(s, d), R3, rz=R3),
     "neighbor_counts_diff_group": lambda s, d: sj.counts(points(s, d), R, residual=_other_group()),
     "leaf_neighbors": lambda s, d: sj.box_join(_leaf_boxes(s, d), _leaf_boxes(s, d), 4.0),
@@ -187,6 +189,8 @@ ORACLES = {
     "neighbors_with_leaf": f"{pairs_sql(P, R)}, {_keys(6)} SELECT nb.id, t_id, key AS leaf FROM nb JOIN ke ON ke.id = t_id",
     "neighbors_renumbered": pairs_sql(P, R) + " SELECT id, t_id, row_number() OVER (PARTITION BY id ORDER BY t_id) - 1 AS number FROM nb",
     "neighbor_counts": pairs_sql(P, R, itself=True) + _COUNT,
+    "neighbor_counts_cells": pairs_sql(P, R, itself=True) + _COUNT,
+    "neighbor_counts_cells_3d": pairs_sql(E3, R3, None, Z3, True) + _COUNT,
     "neighbor_counts_3d": pairs_sql(E3, R3, None, Z3, True) + _COUNT,
     "neighbor_counts_diff_group": pairs_sql(P, R, None, "AND a.g_id <> b.g_id") + _COUNT,
     "leaf_neighbors": f"{P}, {_keys(5)}, bx AS (SELECT key AS id, min(x) - CAST(0.01 AS DOUBLE) AS xmin, min(y) - CAST(0.01 AS DOUBLE) AS ymin, max(x) + CAST(0.01 AS DOUBLE) AS xmax, max(y) + CAST(0.01 AS DOUBLE) AS ymax FROM ke GROUP BY key) SELECT a.id, b.id AS t_id FROM bx a JOIN bx b ON {_MEET}",
