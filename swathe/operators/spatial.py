@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import box_mindist2, distance2
 from ..functions.ordering import order_key
 from ..lineage import materialize
+from .tiles import box_counts
 
 Pred = Column
 
@@ -62,9 +63,16 @@ def within_sphere(r: float) -> Pred:
     return distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y")) + dz * dz < r * r
 
 
-def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, itself: bool = True, rz: float | None = None) -> DataFrame:
-    """(id, n): how many points are in each one's box; 0 where none is."""
+def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred | None = None, itself: bool = True, rz: float | None = None, apart: str | None = None) -> DataFrame:
+    """(id, n): how many points are in each one's box; 0 where none is. ``apart``: only those that differ in that column.
+
+    In two dimensions and without a ``residual`` no pair is made (``box_counts``).
+    """
+    if rz is None and residual is None:
+        return box_counts(points, rx, ry, itself, apart)
     cond = residual
+    if apart:
+        cond = F.col(apart) != F.col(f"t_{apart}") if cond is None else cond & (F.col(apart) != F.col(f"t_{apart}"))
     if not itself:
         cond = other() if cond is None else other() & cond
     found = spatial_join(points, points, rx, ry, None, cond, rz=rz).groupBy("id").agg(F.count("*").alias("n"))

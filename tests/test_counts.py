@@ -22,3 +22,24 @@ def test_counts_by_cells_equal_all_pairs(spark, levels, half):
 
 def test_counts_of_nothing(spark):
     assert sj.counts_by_cells(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("most", [50, 500_000])
+def test_counts_make_no_pairs(spark, most):
+    """Counts by ranks, with tiles dealt to several tasks or not, equal all pairs; also of other groups, and without the point itself."""
+    from swathe.operators.tiles import box_counts
+
+    rng = np.random.default_rng(most)
+    p = rng.integers(-24, 24, (300, 2)) / 16
+    p[::3] = (0.25, -0.5)
+    g = [None if k % 11 == 0 else k % 3 for k in range(len(p))]
+    rows = [(i, *map(float, v), g[i]) for i, v in enumerate(p)] + [(999, None, 1.0, 1), (998, float("nan"), 1.0, 1), (997, float("inf"), 1.0, 2)]
+    cloud = spark.createDataFrame(rows, "id long, x double, y double, g_id int")
+    near = (np.abs(p[:, None] - p[None]) < (0.75, 0.25)).all(axis=2)
+    differs = np.array([[a is not None and b is not None and a != b for b in g] for a in g])
+    none = {999: 0, 998: 0, 997: 0}
+    for more, pairs in (({}, near), ({"itself": False}, near & ~np.eye(len(p), dtype=bool)), ({"apart": "g_id"}, near & differs)):
+        got = box_counts(cloud, 0.75, 0.25, most=most, **more)
+        assert {r.id: r.n for r in got.collect()} == dict(enumerate(pairs.sum(axis=1).tolist())) | none
+    plan = sj.counts(cloud, 0.5, apart="g_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # a join of points with points grows with the square of their density
