@@ -122,7 +122,7 @@ QUERIES = {
     "neighbor_counts_cells": lambda s, d: sj.counts_by_cells(points(s, d), R),
     "neighbor_counts_cells_3d": lambda s, d: sj.counts_by_cells(points3(s, d), R3, rz=R3),
     "neighbor_counts_3d": lambda s, d: sj.counts(points3(s, d), R3, rz=R3),
-    "neighbor_counts_diff_group": lambda s, d: sj.counts(points(s, d), R, residual=_other_group()),
+    "neighbor_counts_diff_group": lambda s, d: sj.counts(points(s, d), R, apart="g_id"),
     "leaf_neighbors": lambda s, d: sj.box_join(_leaf_boxes(s, d), _leaf_boxes(s, d), 4.0),
     "bvh_overlaps": lambda s, d: sj.box_join(_chunk_boxes(s, d), _chunk_boxes(s, d), 4.0, most=8),
     "point_group": lambda s, d: sj.group_of(points(s, d).withColumn("x", F.col("x") + 0.005), points(s, d), 0.25),
