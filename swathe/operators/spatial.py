@@ -82,11 +82,13 @@ def counts(points: DataFrame, rx: float, ry: float | None = None, residual: Pred
 def counts_by_cells(points: DataFrame, rx: float, ry: float | None = None, rz: float | None = None, levels: int = 2) -> DataFrame:
     """(id, n) as ``counts`` gives it, each point itself included, for clouds so dense that the pairs would be too many.
 
-    Cells hold their number of points and the tight box around these. A cell whose box lies within a point's box is added as a whole, one that
+    In two dimensions the cells are the halves, quarters and so on of a tile's ranks (``box_counts``). With ``rz`` cells hold their number of points and the tight box around these. A cell whose box lies within a point's box is added as a whole, one that
     only meets it is parted into cells a quarter as wide, and points are compared in the last cells of the rim alone. Points that coincide are
     never parted. Cells of the first level are as wide as the largest half side; denser clouds want more ``levels``.
     """
-    half = {"x": rx, "y": rx if ry is None else ry} | ({} if rz is None else {"z": rz})
+    if rz is None:
+        return box_counts(points, rx, ry)
+    half = {"x": rx, "y": rx if ry is None else ry, "z": rz}
     sizes = [max(half.values()) / 4**k for k in range(levels)]  # quarters are exact, so cells nest
     at = lambda a, size: F.floor(F.col(a) / size).cast("long")
     inside = lambda lo, hi, a: (lo > F.col(a) - half[a]) & (hi < F.col(a) + half[a])

@@ -43,3 +43,10 @@ def test_counts_make_no_pairs(spark, most):
         assert {r.id: r.n for r in got.collect()} == dict(enumerate(pairs.sum(axis=1).tolist())) | none
     plan = sj.counts(cloud, 0.5, apart="g_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # a join of points with points grows with the square of their density
+
+
+def test_counts_by_cells_write_no_rows_of_points_and_cells(spark):
+    """In two dimensions each point's row is written with none of the cells of its box."""
+    cloud = spark.createDataFrame([(i, i % 7 / 4, i % 5 / 4, 0.0) for i in range(40)], SCHEMA)
+    plan = sj.counts_by_cells(cloud, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan and "_whole" not in plan
