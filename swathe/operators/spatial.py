@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_mindist2, distance2
-from ..functions.ordering import order_key
 from ..lineage import materialize
+from .nearest import boxed, nearest
 from .tiles import box_counts
 
 Pred = Column
@@ -121,10 +121,13 @@ def counts_by_cells(points: DataFrame, rx: float, ry: float | None = None, rz: f
 
 
 def group_of(probes: DataFrame, points: DataFrame, r: float = 1.0) -> DataFrame:
-    """(id, g): the group of the nearest point in the box, -1 without one; equal distances go to the smaller id."""
-    d = distance2(F.col("x"), F.col("y"), F.col("t_x"), F.col("t_y"))
-    found = spatial_join(probes.select("id", "x", "y"), points.select("id", "x", "y", "g_id"), r).select("id", "t_g_id", order_key(d, "t_id").alias("key"))
-    best = found.groupBy("id").agg(F.min_by("t_g_id", "key").alias("g"))
+    """(id, g): the group of the nearest point in the box, -1 without one; equal distances go to the smaller id. Ids are one point's each.
+
+    The nearest point is searched for in cells as wide as the density needs, so a crowded box is not compared as a whole.
+    """
+    finite = lambda df: df.filter(" AND ".join(f"{a} IS NOT NULL AND abs({a}) < double('inf')" for a in "xy"))
+    found = nearest(finite(probes.select("id", "x", "y")), finite(points.select("id", "x", "y")), True, metric=boxed(r)).filter(F.col("d2") < float("inf"))
+    best = found.join(points.select(F.col("id").alias("t_id"), F.col("g_id").alias("g")), "t_id").select("id", "g")
     return probes.select("id").join(best, "id", "left").select("id", F.coalesce("g", F.lit(-1)).alias("g"))
 
 
