@@ -7,7 +7,8 @@ fewest sets (its prefix); and where the first run that they share stands late in
 that 0.8 asks for. Runs of one text only come first, so a text that was changed in many places meets no other, whatever its group holds.
 Every pair is verified on the whole sets; a shared band or run alone never links two texts. Texts of the same set are one node from the
 start. The members of a run are compared pair by pair where that is few pairs; else with a few hubs first (that with the most partners, and others by hash, new ones in each round),
-and only members that are not yet in one component go on. Sets whose sizes alone rule the similarity out are not compared.
+and only members that are not yet in one component go on. Two sets meet in a run only if the runs before it, of those kept, are not the same one in both: else they have met there. So
+copies meet about once for each place in which they differ, and not once for each run that they share. Sets whose sizes alone rule the similarity out are not compared.
 
 Defined cases: texts without a word are copies of each other and of nothing else; a text of five words or fewer is one run.
 """
@@ -109,6 +110,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(both >= LEAST * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
 
 
+def _meet(live: DataFrame, other: DataFrame, last: bool) -> DataFrame:
+    """The rows of ``live`` with those of ``other`` (b2, s2, z2, e2, b1, r2) of the same run, if they may be similar and are not in one component; in the ``last`` round every pair once a place."""
+    near = (F.least("size", "z2") >= LEAST * F.greatest("size", "z2") - 1e-9) & (F.least("rest", "e2") >= LEAST / (1 + LEAST) * (F.col("size") + F.col("z2")) - 1e-9)
+    # two that also share the run before have met there, where more is left of both
+    once = (F.col("same") < F.col("s2")) & F.coalesce(F.col("before") != F.col("b1"), F.lit(True))
+    return live.join(other, (F.col("band") == F.col("b2")) & (F.col("root") != F.col("r2")) & near & (once if last else F.lit(True)))
+
+
 def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     """(id, k1, k2, root) of each row of ``docs``: its keys and a number that names its component."""
     small_batches(docs.sparkSession)
@@ -126,13 +135,15 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
     held = members.groupBy("band").agg(F.first("df").alias("df"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("same")).alias("x"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("y")).filter("n > 1")
     # runs of the same members count once, by the first of them
     shared = small(materialize(held.groupBy("n", "x", "y").agg(F.min(F.struct("df", "band")).alias("first")).select("first.band")), 300_000)
-    every, members = members, materialize(members.join(shared, "band"))
+    # before: the run of a set's that comes just before, in the order that all sets share
+    before = F.lag("band").over(Window.partitionBy("same").orderBy("df", "band"))
+    every, members = members, materialize(members.join(shared, "band").withColumn("before", before))
     discard(every)
     links = materialize(_verified(near, sets))
     comp = materialize(components(links))
     for turn in range(STARS + 1):
         at = members.join(comp, members.same == comp.node, "left")
-        at = materialize(at.select("band", "same", "size", "rest", F.coalesce("root", "same").alias("root")))
+        at = materialize(at.select("band", "same", "size", "rest", "before", F.coalesce("root", "same").alias("root")))
         per_root = at.groupBy("band", "root").agg(F.count("*").cast("double").alias("n"))
         apart = materialize(per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).filter("roots > 1"))
         size = apart.agg(F.sum("pairs"), F.sum("rows")).first()
@@ -143,11 +154,10 @@ def similar(docs: DataFrame, key: list[Column]) -> DataFrame:
         if not last:
             degree = live.groupBy("same").agg(F.count("*").alias("degree"))
             live = materialize(live.join(degree, "same"))
-        hubs = [F.min(F.struct((F.negate("degree") if not k and not last else F.xxhash64("same", F.lit(turn * HUBS + k))).alias("h"), "same", "size", "rest", "root")) for k in range(HUBS)]
-        other = live if last else live.groupBy("band").agg(F.array_distinct(F.array(*hubs)).alias("m")).select("band", F.explode("m").alias("m")).select("band", "m.same", "m.size", "m.rest", "m.root")
-        other = other.select(F.col("band").alias("b2"), F.col("same").alias("s2"), F.col("size").alias("z2"), F.col("rest").alias("e2"), F.col("root").alias("r2"))
-        near = (F.least("size", "z2") >= LEAST * F.greatest("size", "z2") - 1e-9) & (F.least("rest", "e2") >= LEAST / (1 + LEAST) * (F.col("size") + F.col("z2")) - 1e-9)
-        meet = live.join(other, (F.col("band") == F.col("b2")) & (F.col("root") != F.col("r2")) & near & (F.col("same") < F.col("s2") if last else F.lit(True)))
+        hubs = [F.min(F.struct((F.negate("degree") if not k and not last else F.xxhash64("same", F.lit(turn * HUBS + k))).alias("h"), "same", "size", "rest", "before", "root")) for k in range(HUBS)]
+        other = live if last else live.groupBy("band").agg(F.array_distinct(F.array(*hubs)).alias("m")).select("band", F.explode("m").alias("m")).select("band", "m.same", "m.size", "m.rest", "m.before", "m.root")
+        other = other.select(F.col("band").alias("b2"), F.col("same").alias("s2"), F.col("size").alias("z2"), F.col("rest").alias("e2"), F.col("before").alias("b1"), F.col("root").alias("r2"))
+        meet = _meet(live, other, last)
         pairs = materialize(meet.select(F.greatest("same", "s2").alias("u"), F.least("same", "s2").alias("v")).distinct())
         new = materialize(_verified(pairs, sets))
         links = links.unionByName(new)
