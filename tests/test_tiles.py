@@ -33,3 +33,28 @@ def test_group_of_the_nearest_in_the_box(spark):
     want = {i: int(d[i].argmin()) % 5 if np.isfinite(d[i].min()) else -1 for i in range(len(q))}
     assert -1 in want.values()
     assert {r.id: r.g for r in sj.group_of(probes, points, 0.5).collect()} == want | {999: -1}
+
+
+@pytest.mark.parametrize("most, at_once", [(40, 7), (500_000, 1_000_000)])
+def test_pairs_are_numbered_where_they_are_made(spark, most, at_once):
+    """Points on a grid, so that many lie on the open boxes' sides, a third of them coincide; tiles of many points dealt to several tasks, or not."""
+    from swathe.operators.tiles import numbered_pairs
+
+    rng = np.random.default_rng(most)
+    p = rng.integers(-48, 48, (300, 2)) / 16
+    p[::3] = (0.25, -0.5)
+    rows = [(7 * i % 300, *map(float, v)) for i, v in enumerate(p)] + [(999, None, 1.0), (998, float("nan"), 1.0), (997, 1.0, float("inf")), (None, 0.25, -0.5)]
+    cloud = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    want = set(map(tuple, sj.renumbered(sj.neighbours(cloud, 0.75, 0.25)).collect()))
+    got = numbered_pairs(cloud, 0.75, 0.25, most, at_once).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert sj.numbered_neighbours(cloud, 0.75, 0.25).dtypes == sj.renumbered(sj.neighbours(cloud, 0.75, 0.25)).dtypes
+    assert sj.numbered_neighbours(cloud.limit(0), 0.75).count() == 0
+
+
+def test_the_query_shuffles_no_pairs(spark):
+    """The only rows that are shuffled are points of a tile."""
+    from swathe.plans import q_spatial
+
+    plan = q_spatial.QUERIES["neighbors_renumbered"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan and "Join" not in plan
