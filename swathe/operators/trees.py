@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import lowest, number_of, order_key
 from ..lineage import materialize
-from .index import MAX_DEPTH, dense_rank, depth_for_radius, geometry, number_leaves, ranked, with_keys
+from .index import MAX_DEPTH, dense_rank, depth_for_radius, geometry, number_leaves, with_keys, with_morton
 from .windows import header
 
 #: ranks have room for so many bits
@@ -30,46 +32,103 @@ def with_neighbours(rows: DataFrame, *names: str) -> DataFrame:
     return rows.join(beside("before", 1), "rank", "left").join(beside("after", -1), "rank", "left")
 
 
-def topology(codes: DataFrame, bits: int = 32) -> DataFrame:
+def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    """How many bits each non-negative long has."""
+    high = v >> 32
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((v & 0xFFFFFFFF).astype(np.float64))[1]).astype(np.int64)
+
+
+def _shared(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks that have a next one in ``table`` (code, rank), ascending, and how many leading bits they share with it."""
+    rank, code = table["rank"].to_numpy(), table["code"].to_numpy()
+    order = np.argsort(rank)
+    rank, code = rank[order], code[order]
+    a, b = rank[:-1], rank[1:]
+    return a, np.where(code[:-1] == code[1:], bits + RANK_BITS - _bit_lengths(a ^ b), bits - _bit_lengths(code[:-1] ^ code[1:]))
+
+
+def _seen(share: np.ndarray) -> np.ndarray:
+    """The places that are seen from the right end: each shares less than all that come after it."""
+    least = np.minimum.accumulate(share[::-1])[::-1]
+    return np.flatnonzero(np.concatenate((share[:-1] < least[1:], [True]))) if len(share) else np.zeros(0, np.int64)
+
+
+def _nearest_less(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it, and after it, that shares less; -1 and the number of places where none does."""
+    before, after = np.empty(len(share), np.int64), np.empty(len(share), np.int64)
+    for v in np.unique(share):
+        own, less = np.flatnonzero(share == v), np.flatnonzero(share < v)
+        at = np.searchsorted(less, own)
+        before[own], after[own] = np.concatenate(([-1], less))[at], np.concatenate((less, [len(share)]))[at]
+    return before, after
+
+
+def topology(codes: DataFrame, bits: int = 32, size: int = 1 << 20) -> DataFrame:
     """The inner nodes of the binary radix tree over sorted ``codes`` (code, rank): node, parent, first, last, split, prefix, left_leaf, right_leaf.
 
-    Each pair of neighbours is the split of one node: the node of all codes that share the pair's common leading bits, whose number is ``prefix``. Its first leaf is the one that has these bits in common
-    with the leaf after it, but not with the leaf before; its last one likewise. So every leaf tells the prefixes that begin or end with it, and a node meets its ends in one grouping by
-    (prefix, leading bits): three rows, whatever its size. Equal codes are told apart by their ranks' bits, which follow the code's. Its parent splits at the end where more bits are shared.
+    Each pair of neighbours is the split of one node: the node of all codes that share the pair's common leading bits, whose number is ``prefix``. It reaches on either side to the nearest pair
+    that shares less, and of these two the one that shares more is the split of its parent. Equal codes are told apart by their ranks' bits, which follow the code's.
+
+    ``size`` consecutive ranks are one task's. From outside it needs only the pairs that are seen from its ends, each sharing less than all between: not more than a code and a rank have bits, however
+    many codes there are. A first pass over the codes gives each task's own, which are put together here, and the second makes the nodes; codes and ranks are all that is shuffled.
 
     Nodes are numbered as the end of their range that faces their sibling: a left child by its last leaf, a right one by its first, the root 0. Children are node or leaf ``split``
     and ``split`` + 1; ``left_leaf`` and ``right_leaf`` tell which. The root's parent is null. Fewer than two codes have no node.
     """
-    near = with_neighbours(codes.select("code", "rank"), "code")
-    rank = F.col("rank")
-    share = lambda other, by: F.when(F.col(other).isNull(), -1).when(F.col(other) == F.col("code"), bits + _common(rank, rank + by, RANK_BITS)).otherwise(_common(F.col("code"), F.col(other), bits))
-    near = near.select("code", "rank", share("before_code", -1).alias("l"), share("after_code", 1).alias("r"))
-    # one row for the pair with the next leaf, and one for each prefix that begins, or ends, here
-    own = F.when(F.col("r") >= 0, F.array(F.struct(F.col("r").alias("p"), F.lit(0).alias("what"))))
-    turn = F.when(F.col("r") > F.col("l"), F.lit(1)).otherwise(2)
-    ends = F.when(F.col("r") != F.col("l"), F.transform(F.sequence(F.least("l", "r") + 1, F.greatest("l", "r")), lambda p: F.struct(p.alias("p"), turn.alias("what"))))
-    none = F.array().cast("array<struct<p:int,what:int>>")
-    each = near.select("code", "rank", "l", "r", F.inline(F.concat(F.coalesce(own, none), F.coalesce(ends, none))))
-    # shifts by what is over: a prefix longer than the code goes on into the rank
-    keyed = each.select(
-        "p",
-        F.expr(f"shiftright(code, greatest(0, {bits} - p))").alias("high"),
-        F.expr(f"IF(p > {bits}, shiftright(rank, {RANK_BITS + bits} - p), 0)").alias("low"),
-        *[F.when(F.col("what") == k, F.col(c)).alias(n) for k, c, n in ((0, "rank", "split"), (1, "rank", "first"), (1, "l", "outer_l"), (2, "rank", "last"), (2, "r", "outer_r"))],
-    )
-    nodes = keyed.groupBy("p", "high", "low").agg(*[F.max(c).alias(c) for c in ("split", "first", "outer_l", "last", "outer_r")]).filter("split IS NOT NULL")
-    above = F.when(F.greatest("outer_l", "outer_r") >= 0, F.when(F.col("outer_l") > F.col("outer_r"), F.col("first") - 1).otherwise(F.col("last")))
-    nodes = nodes.select("p", "split", "first", "last", above.alias("above"))
-    number = F.when(F.col("above").isNull(), F.lit(0).cast("long")).when(F.col("above") == F.col("last"), F.col("last")).otherwise(F.col("first"))
-    nodes = materialize(nodes.withColumn("node", number))
-    parents = nodes.select(F.col("split").alias("above"), F.col("node").alias("parent"))
-    got = nodes.join(parents, "above", "left")
-    return got.select("node", "parent", "first", "last", "split", F.col("p").alias("prefix"), (F.col("first") == F.col("split")).alias("left_leaf"), (F.col("last") == F.col("split") + 1).alias("right_leaf"))
+    part, start = F.floor(F.col("rank") / size).cast("long"), F.col("rank") % size == 0
+    rows = codes.filter("code IS NOT NULL").select(F.col("code").cast("long").alias("code"), F.col("rank").cast("long").alias("rank"))
+    # the first of a part closes the last pair of the part before
+    dealt = rows.select("code", "rank", F.explode(F.when(start, F.array(part, part - 1)).otherwise(F.array(part))).alias("part")).groupBy("part")
+
+    def ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, share = _shared(table, bits)
+        left, right = len(a) - 1 - _seen(share[::-1]), _seen(share)
+        at = np.concatenate((left[::-1], right))
+        return pa.table({"part": pa.array(np.full(len(at), key[0].as_py())), "right": pa.array(np.arange(len(at)) >= len(left)), "rank": pa.array(a[at]), "share": pa.array(share[at])})
+
+    found = dealt.applyInArrow(ends, "part long, right boolean, rank long, share long").toArrow().sort_by([("part", "ascending"), ("rank", "ascending")])
+    parts, right, rank, share = (found[c].to_numpy() for c in ("part", "right", "rank", "share"))
+    lowest_rank, highest_rank = (int(rank.min()), int(rank.max()) + 1) if len(rank) else (0, 0)
+    names, starts = np.unique(parts, return_index=True)
+    whole = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(parts)], strict=True)]
+    own = {int(p): [(rank[w][m], share[w][m]) for m in (~right[w], right[w])] for p, w in zip(names, whole, strict=True)}
+    before, after, none = {}, {}, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def seen(r: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept = _seen(n)
+        return r[kept], n[kept]
+
+    beside = none
+    for p, (_, (r, n)) in own.items():
+        before[p] = beside
+        beside = seen(np.concatenate((beside[0], r)), np.concatenate((beside[1], n)))
+    beside = none
+    for p, ((r, n), _) in reversed(own.items()):
+        after[p] = beside
+        beside = tuple(v[::-1] for v in seen(np.concatenate((r, beside[0]))[::-1], np.concatenate((n, beside[1]))[::-1]))
+    ranges = {p: (before[p], after[p]) for p in own}
+
+    def nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, share = _shared(table, bits)
+        (r0, n0), (r1, n1) = ranges.get(key[0].as_py(), (none, none))
+        rank, share, mine = np.concatenate((r0, a, r1)), np.concatenate((n0, share, n1)), slice(len(r0), len(r0) + len(a))
+        lo, hi = _nearest_less(share)
+        first = np.where(lo >= 0, rank[lo] + 1, lowest_rank) if len(rank) else rank
+        last = np.where(hi < len(rank), np.append(rank, 0)[hi], highest_rank)
+        l, r = np.append(share, -1)[lo], np.append(share, -1)[hi]  # noqa: E741
+        root, above = (l < 0) & (r < 0), np.where(l > r, lo, hi)
+        node = np.where(root, 0, np.where(l > r, first, last))
+        parent = np.append(node, 0)[above]
+        first, last, split = first[mine], last[mine], rank[mine]
+        cols = [node[mine], pa.array(parent[mine], mask=root[mine]), first, last, split, share[mine].astype(np.int32), first == split, last == split + 1]
+        return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=["node", "parent", "first", "last", "split", "prefix", "left_leaf", "right_leaf"])
+
+    return dealt.applyInArrow(nodes, "node long, parent long, first long, last long, split long, prefix int, left_leaf boolean, right_leaf boolean")
 
 
 def cloud_topology(points: DataFrame) -> DataFrame:
     """The ``topology`` over a cloud's Morton codes, ties by id."""
-    return topology(ranked(points.select("id", *"xyz")).select("code", "rank"))
+    return topology(dense_rank(with_morton(points.select("id", *"xy")).select("code", "id"), "code", "id").select("code", "rank"))
 
 
 def one_point_leaves(points: DataFrame, least: float = 0.10, axes: str = "xyz") -> DataFrame:

@@ -44,6 +44,17 @@ def test_topology_by_recursive_split(spark, codes):
     assert sorted(map(tuple, tr.topology(df).collect()), key=str) == recursive_nodes(codes, 32)
 
 
+@pytest.mark.parametrize("size, bits", [(1, 32), (7, 32), (64, 63)])
+def test_topology_in_parts(spark, size, bits):
+    """Nodes that reach over many tasks' ranks, runs of equal codes among them; codes are shuffled, not their prefixes."""
+    rng = np.random.default_rng(size)
+    codes = sorted([*rng.integers(0, 1 << bits - 1, 60).tolist(), *rng.integers(0, 16, 40).tolist(), *([77] * 45), (1 << bits) - 1])
+    df = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "code long, rank long").repartition(3)
+    got = tr.topology(df, bits, size)
+    assert sorted(map(tuple, got.collect()), key=str) == recursive_nodes(codes, bits)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("axes", ["xy", "xyz"])
 def test_one_point_leaves_by_insertion(spark, axes):
     rng = np.random.default_rng(2)
