@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import spatial as sj
 from . import stats as st
+from .tiles import box_moments
 
 
 def discretized(segments: DataFrame, step: float) -> DataFrame:
@@ -67,11 +67,9 @@ def eigen_normals(points: DataFrame, r: float) -> DataFrame:
     """(id, nx, ny, nz): the upward normal of each point's neighbourhood in the box of half side r, itself included; with n and the neighbourhood's
     covariances xx, xy, xz, yy, yz, zz.
 
-    The scatter sums are grouped in the JVM; only six numbers per point go to numpy, in batches. Under three neighbours there is no row.
+    The sums are found by ranks in tiles, without making pairs (``box_moments``); only six numbers per point go to the eigenvectors, in batches. Under three neighbours there is no row. Ids are one point's each.
     """
-    near = sj.spatial_join(points.select("id", "x", "y", "z"), points.select("id", "x", "y", "z"), r, rz=r)
-    c = lambda a, b: F.covar_pop(f"t_{a}", f"t_{b}").alias(a + b)
-    g = near.groupBy("id").agg(F.count("*").alias("n"), c("x", "x"), c("x", "y"), c("x", "z"), c("y", "y"), c("y", "z"), c("z", "z")).filter("n >= 3")
+    g = box_moments(points, r, r, r).filter("n >= 3")
 
     def normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -21,6 +21,8 @@ from .windows import header
 
 #: points of a tile on average, where boxes are small, and the most that a task counts at once
 USUAL, MOST = 32_768, 500_000
+#: the same in three dimensions
+MOST3 = 200_000
 #: candidates of the pairs that are made at once
 PAIRS = 1_000_000
 
@@ -113,6 +115,110 @@ def box_counts(points: DataFrame, rx: float, ry: float | None = None, itself: bo
     return got.unionByName(rows.filter(~whole).select("id", F.lit(0).cast("long").alias("n")))
 
 
+def box_sums(x: np.ndarray, y: np.ndarray, z: np.ndarray, values: np.ndarray, boxes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the points (x, y, z) lie in each of the open ``boxes`` (in each axis its lower and upper sides), and the sums of the points' ``values`` (a row each).
+
+    By ranks, as in ``counted``: a box is a run in x, whose parts below its ends in y are runs of stable partings by each bit, and in such a run the parts below its ends in z
+    likewise, whose sums are differences of running sums.
+    """
+
+    def ranks(v: np.ndarray) -> np.ndarray:
+        got = np.empty(len(v), np.int32)
+        got[np.argsort(v, kind="stable")] = np.arange(len(v), dtype=np.int32)
+        return got
+
+    def ends(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        v = np.sort(v)
+        lo = np.searchsorted(v, low, "right")
+        return np.stack([lo, np.maximum(lo, np.searchsorted(v, high, "left"))]).astype(np.int32)
+
+    order = np.argsort(x, kind="stable")
+    (a, b), by_y, by_z = (ends(v, *box) for v, box in zip((x, y, z), boxes, strict=True))
+    rank, third, values = ranks(y[order]), ranks(z[order]), np.column_stack([np.ones(len(x)), values])[order]
+    a, b, total = np.stack([a, a]), np.stack([b, b]), np.zeros((len(by_y[0]), values.shape[1]))
+    bits, sign = len(x).bit_length(), np.array([-1.0, 1.0])
+
+    def below(third: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, box: np.ndarray, by: np.ndarray) -> None:
+        """Adds the sums over the runs a to b of a part whose ranks in z are between the box's ends."""
+        live = a < b
+        a, b, box, by = a[live], b[live], box[live], by[live]
+        if not len(a):
+            return
+        # a part's own ranks in z, so that few are parted by few bits
+        mine = np.sort(third)
+        own, upto = np.searchsorted(mine, third).astype(np.int32), np.searchsorted(mine, by_z).astype(np.int32)
+        for k in (0, 1):
+            lo, hi, end, rank, v = a, b, upto[k][box], own, values
+            for bit in reversed(range(len(third).bit_length())):
+                upper = (rank >> bit & 1).astype(bool)
+                lower = np.concatenate(([0], np.cumsum(~upper))).astype(np.int32)
+                rank, v = np.concatenate((rank[~upper], rank[upper])), np.concatenate((v[~upper], v[upper]))
+                lo0, hi0, one = lower[lo], lower[hi], (end >> bit & 1).astype(bool)
+                add = np.flatnonzero(one & (lo0 < hi0))
+                if len(add):
+                    upward = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(v[: lower[-1]], axis=0)))
+                    sums = (upward[hi0[add]] - upward[lo0[add]]) * (by[add] * sign[k])[:, None]
+                    for c in range(sums.shape[1]):
+                        total[:, c] += np.bincount(box[add], sums[:, c], len(total))
+                lo, hi = np.where(one, lower[-1] + lo - lo0, lo0), np.where(one, lower[-1] + hi - hi0, hi0)
+
+    which = np.stack([np.arange(len(total))] * 2)
+    for bit in reversed(range(bits)):
+        upper = (rank >> bit & 1).astype(bool)
+        lower = np.concatenate(([0], np.cumsum(~upper))).astype(np.int32)
+        rank, third, values = (np.concatenate((v[~upper], v[upper])) for v in (rank, third, values))
+        a0, b0, one = lower[a], lower[b], (by_y >> bit & 1).astype(bool)
+        n = lower[-1]
+        below(third[:n], values[:n], a0[one], b0[one], which[one], np.broadcast_to(sign[:, None], one.shape)[one])
+        a, b = np.where(one, n + a - a0, a0), np.where(one, n + b - b0, b0)
+    return np.rint(total[:, 0]).astype(np.int64), total[:, 1:]
+
+
+def box_moments(points: DataFrame, rx: float, ry: float, rz: float, most: int = MOST3) -> DataFrame:
+    """(id, n, xx, xy, xz, yy, yz, zz): the number and the population covariances of the points in the open box of half sides rx, ry, rz around each, itself included; ids are one point's each.
+
+    Sums are taken from the tile's centre, and a tile is no wider than 64 half sides, so little is lost where they are subtracted. A tile that with its rim has more than ``most`` points is dealt to
+    several tasks, as in ``box_counts``. A row whose coordinates are null or not finite has no row and counts nowhere.
+    """
+    half, second = {"x": rx, "y": ry, "z": rz}, ["xx", "xy", "xz", "yy", "yz", "zz"]
+    sums, keys, kind = [f"_s{c}" for c in [*half, *second]], [f"_t{a}" for a in half], points.schema["id"].dataType.simpleString()
+    good = points.select("id", *[F.col(a).cast("double").alias(a) for a in half]).filter(" AND ".join(f"abs({a}) < double('inf')" for a in half))
+    h = header(good, "xyz").first()
+    room = (math.prod(max(h[f"max{a}"] - h[f"min{a}"], 0) for a in half) * USUAL / h.n) ** (1 / 3) if h.n else 1.0
+    side = {a: min(max(8 * abs(r), room), 64 * abs(r)) or 1.0 for a, r in half.items()}
+    tiled = good
+    for a, r in half.items():
+        near = F.sequence(F.floor((F.col(a) - abs(r)) / side[a]).cast("long"), F.floor((F.col(a) + abs(r)) / side[a]).cast("long"))
+        tiled = tiled.select("*", F.explode(near).alias(f"_t{a}"))
+    own = F.lit(True)
+    for a in half:
+        own = own & (F.floor(F.col(a) / side[a]).cast("long") == F.col(f"_t{a}"))
+    heavy = tiled.groupBy(*keys).agg(F.count("*").alias("c")).filter(F.col("c") > most)
+    heavy = materialize(heavy.select(*keys, F.ceil(F.col("c") / most).cast("int").alias("_k")))
+    tiled, parted, by = tiled.withColumn("probe", own).withColumn("point", F.lit(True)), not heavy.isEmpty(), keys
+    if parted:
+        mine = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_k")).cast("int")
+        tiled = tiled.join(small(heavy, 100_000), keys, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+        each = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+        probes = tiled.filter("probe").withColumn("point", F.lit(False)).withColumn("_i", mine(1)).withColumn("_j", each)
+        tiled, by = tiled.withColumn("probe", F.lit(False)).withColumn("_j", mine(2)).withColumn("_i", each).unionByName(probes).drop("_k"), [*keys, "_i", "_j"]
+    out = pa.schema([("id", good.select("id").limit(0).toArrow().schema.field("id").type), ("n", pa.int64()), *[(c, pa.float64()) for c in sums]])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = {a: table[a].to_numpy() for a in half}
+        probe, point = table["probe"].to_numpy(), table["point"].to_numpy()
+        off = {a: at[a][point] - (key[i].as_py() + 0.5) * side[a] for i, a in enumerate(half)}
+        values = np.column_stack([*off.values(), *[off[c[0]] * off[c[1]] for c in second]])
+        n, got = box_sums(*[at[a][point] for a in half], values, [(at[a][probe] - r, at[a][probe] + r) for a, r in half.items()])
+        return pa.table([table["id"].filter(pa.array(probe)), pa.array(n), *[pa.array(np.ascontiguousarray(c)) for c in got.T]], schema=out)
+
+    got = tiled.groupBy(*by).applyInArrow(add, f"id {kind}, n long, {', '.join(f'{c} double' for c in sums)}")
+    if parted:
+        got = got.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
+    mean = lambda c: F.col(f"_s{c}") / F.col("n")
+    return got.filter("n > 0").select("id", "n", *[(mean(c) - mean(c[0]) * mean(c[1])).alias(c) for c in second])
+
+
 def numbered_pairs(points: DataFrame, rx: float, ry: float | None = None, most: int = MOST, at_once: int = PAIRS) -> DataFrame:
     """(id, t_id, number): every point with the others in the open box of half sides rx, ry around it, numbered from 0 by t_id; ids are one point's each.
 

@@ -58,3 +58,25 @@ def test_the_query_shuffles_no_pairs(spark):
 
     plan = q_spatial.QUERIES["neighbors_renumbered"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
     assert "FlatMapGroupsInArrow" in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [40, 200_000])
+def test_moments_make_no_pairs(spark, most):
+    """Numbers and covariances in open boxes equal those over all pairs, with tiles dealt to several tasks or not; far from 0, where squares lose digits."""
+    from swathe.operators import geometry as geo
+    from swathe.operators.tiles import box_moments
+
+    rng = np.random.default_rng(most)
+    p = rng.integers(-20, 20, (200, 3)) / 8 + (1e5, -1e5, 0.0)
+    p[::7] = (1e5, -1e5, 0.5)
+    rows = [(i, *map(float, v)) for i, v in enumerate(p)] + [(999, None, 1.0, 1.0), (998, 1.0, 1.0, float("nan")), (997, 1.0, float("inf"), 1.0)]
+    cloud = spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3)
+    near = (np.abs(p[:, None] - p[None]) < (0.75, 1.0, 0.5)).all(axis=2)
+    got = {r.id: r for r in box_moments(cloud, 0.75, 1.0, 0.5, most).collect()}
+    assert sorted(got) == list(range(len(p)))
+    for i, m in enumerate(near):
+        want = np.cov(p[m].T, bias=True)
+        assert got[i].n == m.sum()
+        assert np.allclose([got[i][c] for c in ("xx", "xy", "xz", "yy", "yz", "zz")], want[np.triu_indices(3)], atol=1e-9)
+    assert "Join" not in geo.eigen_normals(cloud, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert geo.eigen_normals(cloud.limit(0), 0.5).count() == 0
