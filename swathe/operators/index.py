@@ -211,9 +211,14 @@ def with_morton(points: DataFrame, head: DataFrame | None = None, axes: str = "x
     return j.select(*points.columns, (m.morton2 if axes == "xy" else m.morton3)(*cells).alias("code"))
 
 
-def morton_sorted(points: DataFrame, partitions: int) -> DataFrame:
-    """``points`` dealt and sorted by (code, id): near points stand together, so files prune by their coordinates' ranges."""
-    return with_morton(points).repartitionByRange(partitions, "code", "id").sortWithinPartitions("code", "id")
+def morton_sorted(points: DataFrame, partitions: int, most: int = 1_000_000) -> DataFrame:
+    """``points`` dealt and sorted by (code, id): near points stand together, so files prune by their coordinates' ranges.
+
+    They are dealt to ``partitions``, or to more where these would hold over ``most`` points each on average, as a task sorts one.
+    """
+    head = materialize(header(points))
+    many = max(partitions, -(-head.first().n // most))
+    return with_morton(points, head).repartitionByRange(many, "code", "id").sortWithinPartitions("code", "id")
 
 
 def dense_rank(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:

@@ -115,3 +115,15 @@ def test_ranks_are_dense_over_crowded_rows(spark):
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])] == sorted((r.a, r.b) for r in got)
     assert sorted(r["rank"] for r in got) == list(range(1000))
     assert ix.dense_rank(df.limit(0), "a").count() == 0
+
+
+def test_morton_sort_is_dealt_by_the_number_of_points(spark):
+    """No task sorts more than its share, however many points there are; few points keep the given number of partitions."""
+    p = spark.range(1000).selectExpr("id", "CAST(id % 37 AS DOUBLE) AS x", "CAST(id % 41 AS DOUBLE) AS y", "0D AS z")
+    got = ix.morton_sorted(p, 4, most=50)
+    sizes = [len(part) for part in got.rdd.glom().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) < 150
+    rows = [(r.code, r.id) for r in got.collect()]
+    assert rows == sorted(rows)
+    assert ix.morton_sorted(p, 4).rdd.getNumPartitions() == 4
+    assert ix.morton_sorted(p.limit(0), 4).count() == 0
