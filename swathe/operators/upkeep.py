@@ -18,6 +18,8 @@ from .index import with_keys
 from .windows import header
 
 SUMMARY = ("n", "low")
+#: changes of a batch, at most, whose ids are broadcast
+MOST_IDS = 1_000_000
 
 
 class Parts:
@@ -27,9 +29,11 @@ class Parts:
         self.segments = segments
 
     @classmethod
-    def of(cls, rows: DataFrame) -> Parts:
+    def of(cls, rows: DataFrame, beside: DataFrame | None = None) -> Parts:
+        """A new table of ``rows``, and of those ``beside`` them, which were read from stored parts and are written by the tasks that read them."""
         # a part goes to few tasks, a crowded one is split
-        written = materialize(rows.hint("rebalance", "part"), "part")
+        rows = rows.hint("rebalance", "part")
+        written = materialize(rows if beside is None else beside.unionByName(rows), "part")
         return cls([(written, sorted(r.part for r in written.select("part").distinct().collect()))])
 
     def read(self, parts: list[int] | None = None) -> DataFrame:
@@ -38,9 +42,9 @@ class Parts:
         frames = [df.filter(F.col("part").isin(own)) for df, own in live if own]
         return reduce(DataFrame.unionByName, frames) if frames else self.segments[0][0].limit(0)
 
-    def replaced(self, rows: DataFrame, parts: list[int]) -> Parts:
-        """The table with ``parts`` made of ``rows``."""
-        fresh, gone = Parts.of(rows), set(parts)
+    def replaced(self, fresh: Parts, parts: list[int]) -> Parts:
+        """The table with ``parts`` made of those in ``fresh``."""
+        gone = set(parts)
         kept = [(df, [p for p in own if p not in gone]) for df, own in self.segments]
         return Parts([s for s in kept if s[1]] + [s for s in fresh.segments if s[1]] or fresh.segments)
 
@@ -80,16 +84,26 @@ class Tree:
         changes = materialize(changes.filter("id IS NOT NULL").select("id", "op", *"xyz"))
         if not changes.filter("op IS NULL OR op NOT IN ('insert', 'move', 'delete')").isEmpty() or not changes.groupBy("id").count().filter("count > 1").isEmpty():
             raise ValueError("a change is an insert, a move or a delete, one for each id")
-        ids = small(changes.select("id"), 1_000_000)
-        before = materialize(self.points.read().select("id", "key", "part").join(ids, "id", "left_semi"))
+        own, row = changes.select("id"), ["id", *"xyz", "key", "part"]
+        ids = small(own, MOST_IDS)
+        few, told = ids is not own, None
+        if few:
+            before = materialize(self.points.read().select("id", "key", "part").join(ids, "id", "left_semi"))
+        else:  # one shuffle of the points finds those that change, and leaves the others by part
+            told = self.points.read().select(*row).join(own.withColumn("hit", F.lit(1)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+            told = materialize(told, "hit", "part")
+            before = told.filter("hit = 1").select("id", "key", "part")
         put = changes.filter("op = 'insert'").unionByName(changes.filter("op = 'move'").join(before.select("id"), "id", "left_semi"))
         after = materialize(self._placed(put))
         touched = materialize(before.select("key", "part").union(after.select("key", "part")).distinct())
         parts = sorted(r.part for r in touched.select("part").distinct().collect())  # cells of one level near the root
         if not parts:
             return self
-        kept = self.points.read(parts).select("id", *"xyz", "key", "part").join(ids, "id", "left_anti")
-        points = self.points.replaced(kept.unionByName(after), parts)
+        if few:
+            fresh = Parts.of(after, self.points.read(parts).select(*row).join(ids, "id", "left_anti"))
+        else:
+            fresh = Parts([(told.filter("hit = 0").select(*row), parts), *Parts.of(after).segments])
+        points = self.points.replaced(fresh, parts)
         return Tree(points, self._renewed(points, touched, parts), self.head, self.depth, self.top, self.axes)
 
     def _renewed(self, points: Parts, touched: DataFrame, parts: list[int]) -> Parts:
@@ -110,7 +124,7 @@ class Tree:
         each = each.select("level", "key", *SUMMARY, F.explode(F.sequence(F.lit(0), "last")).alias("above"))
         each = each.select(F.expr(f"shiftright(key, {wide} * (level - above))").alias("key"), F.col("above").alias("level"), *SUMMARY)
         fresh = each.groupBy(*node).agg(F.sum("n").alias("n"), F.min("low").alias("low"))
-        return self.nodes.replaced(off.unionByName(fresh).withColumn("part", self._node_part()), [-1, *parts])
+        return self.nodes.replaced(Parts.of(off.unionByName(fresh).withColumn("part", self._node_part())), [-1, *parts])
 
 
 def build(points: DataFrame, depth: int, top: int = 2, axes: str = "xy", head: DataFrame | None = None) -> Tree:

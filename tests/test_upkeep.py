@@ -60,3 +60,31 @@ def test_a_batch_is_checked(spark):
     for bad in ([(1, "remove", None, None, None)], [(1, "delete", None, None, None), (1, "insert", 1.0, 1.0, 1.0)], [(1, None, None, None, None)]):
         with pytest.raises(ValueError):
             tree.changed(spark.createDataFrame(bad, CHANGES))
+
+
+@pytest.mark.parametrize("axes, top", [("xy", 2), ("xyz", 1)])
+def test_batches_too_large_to_broadcast(spark, axes, top, monkeypatch):
+    """The points are joined with a large batch once, and what that leaves is the new table."""
+    monkeypatch.setattr(upkeep, "MOST_IDS", 0)
+    test_batches_equal_a_rebuild(spark, axes, top)
+
+
+def test_kept_points_are_not_dealt_anew(spark, monkeypatch):
+    """Points that stay in their part are written by the tasks that read them; only those that are put somewhere are shuffled."""
+    rows = [(i, float(i % 32), float(i // 32), float(i % 7)) for i in range(1024)]
+    plans = []
+
+    def recorded(df, *by, **options):
+        if "x" in df.columns:  # points, not nodes
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, *by, **options)
+
+    for most in (1000, 0):
+        monkeypatch.setattr(upkeep, "MOST_IDS", most)
+        tree = upkeep.build(spark.createDataFrame(rows, SCHEMA), 5, 3)
+        plans.clear()
+        with monkeypatch.context() as m:
+            m.setattr(upkeep, "materialize", recorded)
+            tree.changed(spark.createDataFrame([(0, "delete", None, None, None), (1, "move", 2.0, 0.0, -5.0)], CHANGES))
+        assert not any(p.startswith("RebalancePartitions") and "LeftAnti" in p for p in plans)
+        assert sum("LeftAnti" in p for p in plans) == (1 if most else 0)
