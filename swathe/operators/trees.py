@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -90,7 +92,7 @@ def topology(codes: DataFrame, bits: int = 32, size: int = 1 << 20) -> DataFrame
     parts, right, rank, share = (found[c].to_numpy() for c in ("part", "right", "rank", "share"))
     lowest_rank, highest_rank = (int(rank.min()), int(rank.max()) + 1) if len(rank) else (0, 0)
     names, starts = np.unique(parts, return_index=True)
-    whole = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(parts)], strict=True)]
+    whole = [slice(a, b) for a, b in itertools.pairwise([*starts, len(parts)])]
     own = {int(p): [(rank[w][m], share[w][m]) for m in (~right[w], right[w])] for p, w in zip(names, whole, strict=True)}
     before, after, none = {}, {}, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
