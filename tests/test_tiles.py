@@ -80,3 +80,28 @@ def test_moments_make_no_pairs(spark, most):
         assert np.allclose([got[i][c] for c in ("xx", "xy", "xz", "yy", "yz", "zz")], want[np.triu_indices(3)], atol=1e-9)
     assert "Join" not in geo.eigen_normals(cloud, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert geo.eigen_normals(cloud.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("most, most_pairs, at_once", [(40, 10**9, 7), (500_000, 300, 50), (500_000, 10**9, 1_000_000)])
+def test_pairs_are_made_in_tiles(spark, most, most_pairs, at_once):
+    """Points on a grid, so that many lie on the open boxes' sides, a third of them coincide, two share an id; tiles of many points or pairs dealt to several tasks, or not."""
+    from swathe.operators.tiles import box_pairs
+
+    rng = np.random.default_rng(most)
+    p = rng.integers(-48, 48, (300, 2)) / 16
+    p[::3] = (0.25, -0.5)
+    rows = [(7 * i % 300, *map(float, v)) for i, v in enumerate(p)] + [(5, 0.25, -0.5), (999, None, 1.0), (998, float("nan"), 1.0), (997, 1.0, float("inf")), (None, 0.25, -0.5)]
+    cloud = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    fine = [r for r in rows if r[0] is not None and r[1] is not None and np.isfinite(r[1:]).all()]
+    want = sorted((a[0], b[0]) for a in fine for b in fine if a[0] != b[0] and abs(a[1] - b[1]) < 0.75 and abs(a[2] - b[2]) < 0.25)
+    assert sorted(map(tuple, box_pairs(cloud, 0.75, 0.25, most=most, most_pairs=most_pairs, at_once=at_once).collect())) == want
+    assert sj.neighbours(cloud, 0.75, 0.25).dtypes == [("id", "bigint"), ("t_id", "bigint")] and sj.neighbours(cloud.limit(0), 0.75).count() == 0
+
+
+@pytest.mark.parametrize("name", ["neighbors_box2d"])
+def test_neighbour_queries_shuffle_points_once(spark, name):
+    """A join of points with points shuffles each to all cells of its box."""
+    from swathe.plans import q_spatial
+
+    plan = q_spatial.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
