@@ -98,7 +98,7 @@ def test_pairs_are_made_in_tiles(spark, most, most_pairs, at_once):
     assert sj.neighbours(cloud, 0.75, 0.25).dtypes == [("id", "bigint"), ("t_id", "bigint")] and sj.neighbours(cloud.limit(0), 0.75).count() == 0
 
 
-@pytest.mark.parametrize("name", ["neighbors_box2d"])
+@pytest.mark.parametrize("name", ["neighbors_box2d", "neighbors_rect2d"])
 def test_neighbour_queries_shuffle_points_once(spark, name):
     """A join of points with points shuffles each to all cells of its box."""
     from swathe.plans import q_spatial
