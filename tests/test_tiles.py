@@ -105,3 +105,34 @@ def test_neighbour_queries_shuffle_points_once(spark, name):
 
     plan = q_spatial.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def odd_cloud(spark):
+    """Points of which many coincide or lie on the boxes' sides, with groups and heights that are null or NaN in some."""
+    rng = np.random.default_rng(11)
+    p = rng.integers(-24, 24, (240, 2)) / 16
+    p[::3] = (0.25, -0.5)
+    odd = [None, float("nan"), -0.0, 0.0, float("inf"), 1.5, -2.0]
+    rows = [(i, *map(float, v), odd[i % 7], odd[i % 5], f"k{i % 4}" if i % 9 else None) for i, v in enumerate(p)]
+    return spark.createDataFrame(rows, "id long, x double, y double, z double, g_id double, key string").repartition(3)
+
+
+def both_ways(cloud, residual=None, along=()):
+    """The pairs made in tiles and those of the join, which a given cell width asks for."""
+    got, joined = sj.neighbours(cloud, 0.75, 0.5, residual, along=along), sj.neighbours(cloud, 0.75, 0.5, residual, cell=1.0, along=along)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.dtypes == joined.dtypes
+    got, joined = (sorted(map(repr, df.collect())) for df in (got, joined))
+    assert got == joined and got
+
+
+@pytest.mark.parametrize("along", [("t_key",), ("key", "t_x", "x", "t_z", "t_key")])
+def test_pairs_take_columns_along(spark, along):
+    both_ways(odd_cloud(spark), along=along)
+
+
+def test_the_leaf_query_shuffles_points_once(spark):
+    """Keys are made with the header's one row, which is broadcast."""
+    from swathe.plans import q_spatial
+
+    plan = q_spatial.QUERIES["neighbors_with_leaf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan.split("InMemoryRelation")[0]
