@@ -136,3 +136,13 @@ def test_the_leaf_query_shuffles_points_once(spark):
 
     plan = q_spatial.QUERIES["neighbors_with_leaf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan.split("InMemoryRelation")[0]
+
+
+@pytest.mark.parametrize("name", ["neighbors_circle"])
+def test_conditional_pairs_are_made_in_tiles(spark, name):
+    test_neighbour_queries_shuffle_points_once(spark, name)
+
+
+def test_pairs_in_a_circle(spark):
+    """On a grid of sixteenths many distances equal the radius."""
+    both_ways(odd_cloud(spark), sj.within_circle(0.3125))
