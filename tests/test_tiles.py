@@ -138,7 +138,7 @@ def test_the_leaf_query_shuffles_points_once(spark):
     assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan.split("InMemoryRelation")[0]
 
 
-@pytest.mark.parametrize("name", ["neighbors_circle"])
+@pytest.mark.parametrize("name", ["neighbors_circle", "neighbors_donut"])
 def test_conditional_pairs_are_made_in_tiles(spark, name):
     test_neighbour_queries_shuffle_points_once(spark, name)
 
@@ -146,3 +146,8 @@ def test_conditional_pairs_are_made_in_tiles(spark, name):
 def test_pairs_in_a_circle(spark):
     """On a grid of sixteenths many distances equal the radius."""
     both_ways(odd_cloud(spark), sj.within_circle(0.3125))
+
+
+def test_pairs_in_a_ring(spark):
+    """The inner side belongs to the ring, the outer does not."""
+    both_ways(odd_cloud(spark), sj.within_ring(0.125, 0.3125))
