@@ -138,7 +138,7 @@ def test_the_leaf_query_shuffles_points_once(spark):
     assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan.split("InMemoryRelation")[0]
 
 
-@pytest.mark.parametrize("name", ["neighbors_circle", "neighbors_donut"])
+@pytest.mark.parametrize("name", ["neighbors_circle", "neighbors_donut", "neighbors_diff_group"])
 def test_conditional_pairs_are_made_in_tiles(spark, name):
     test_neighbour_queries_shuffle_points_once(spark, name)
 
@@ -151,3 +151,9 @@ def test_pairs_in_a_circle(spark):
 def test_pairs_in_a_ring(spark):
     """The inner side belongs to the ring, the outer does not."""
     both_ways(odd_cloud(spark), sj.within_ring(0.125, 0.3125))
+
+
+@pytest.mark.parametrize("column", ["g_id", "key", "x"])
+def test_pairs_of_other_groups(spark, column):
+    """Nulls differ from nothing, NaN not from itself, 0 not from -0; groups may be texts."""
+    both_ways(odd_cloud(spark), sj.apart_in(column))
