@@ -138,7 +138,7 @@ def test_the_leaf_query_shuffles_points_once(spark):
     assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan.split("InMemoryRelation")[0]
 
 
-@pytest.mark.parametrize("name", ["neighbors_circle", "neighbors_donut", "neighbors_diff_group"])
+@pytest.mark.parametrize("name", ["neighbors_circle", "neighbors_donut", "neighbors_diff_group", "neighbors_lower_z"])
 def test_conditional_pairs_are_made_in_tiles(spark, name):
     test_neighbour_queries_shuffle_points_once(spark, name)
 
@@ -157,3 +157,9 @@ def test_pairs_in_a_ring(spark):
 def test_pairs_of_other_groups(spark, column):
     """Nulls differ from nothing, NaN not from itself, 0 not from -0; groups may be texts."""
     both_ways(odd_cloud(spark), sj.apart_in(column))
+
+
+@pytest.mark.parametrize("condition", [sj.lower(), sj.apart_in("key") & sj.lower(), sj.within_z(1.5), sj.within_sphere(1.5)])
+def test_pairs_by_height(spark, condition):
+    """NaN is above all, also above infinity; a point without a height is in no pair."""
+    both_ways(odd_cloud(spark), condition)
