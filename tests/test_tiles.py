@@ -163,3 +163,35 @@ def test_pairs_of_other_groups(spark, column):
 def test_pairs_by_height(spark, condition):
     """NaN is above all, also above infinity; a point without a height is in no pair."""
     both_ways(odd_cloud(spark), condition)
+
+
+@pytest.fixture(scope="module")
+def dense_cloud(spark):
+    """A tile as dense as 36 million points make the queries' cloud, with its rim."""
+    rng = np.random.default_rng(3)
+    p, ids, z = rng.integers(0, 272, (36_000, 2)) / 100, rng.permutation(36_000_000)[:36_000], rng.integers(90_000, 10_000_000, 36_000) / 100
+    rows = [(int(i), *map(float, v), float(h), int(i) % 7 + 1) for i, v, h in zip(ids, p, z, strict=True)]
+    return spark.createDataFrame(rows, "id long, x double, y double, z double, g_id int").repartition(3).persist()
+
+
+def stored(pairs, folder):
+    """Bytes a row as Parquet."""
+    pairs.write.parquet(str(folder))
+    return sum(f.stat().st_size for f in folder.glob("*.parquet")) / pairs.sparkSession.read.parquet(str(folder)).count()
+
+
+def test_pairs_are_stored_small(spark, dense_cloud, tmp_path):
+    """Each point's others come nearly as those of the point before, so a page repeats itself. Before: 0.74 bytes a row."""
+    assert stored(sj.neighbours(dense_cloud, 0.1), tmp_path / "p") < 0.6
+
+
+def test_tiles_have_partitions_of_their_own(spark, monkeypatch):
+    """Tiles of many pairs are dealt by number, so no two share a task while another has none."""
+    from swathe.operators import tiles
+
+    monkeypatch.setattr(tiles, "USUAL", 1)
+    monkeypatch.setattr(tiles, "TASK_PAIRS", 10)
+    cloud = spark.createDataFrame([(i, i % 10 / 100 + 4 * (i // 20) + 0.5, i % 7 / 10) for i in range(240)], "id long, x double, y double").persist()
+    got = tiles.box_pairs(cloud, 0.45)
+    assert got.rdd.mapPartitions(lambda rows: [len({r.id // 20 for r in rows})]).collect() == [1] * 12
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in range(240) for b in range(240) if a != b and a // 20 == b // 20 and abs(a % 7 - b % 7) < 5)
